@@ -1,11 +1,12 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Words are the pieces between the cuts that the byte-level pre-tokenizer always makes (a space before a visible
-character). Texts are split in blocks of some 16 MB; a block keeps its distinct words in a list, and its documents as positions in that
-list, compressed: a small fraction of the text. The words of all blocks meet by a hash of the word, each distinct word is
-encoded once and its ids are decoded through the id-to-piece table (the tokenizer's vocabulary: bounded), and the ids go back to the block by
-position. There the documents are put together. No step broadcasts or collects the words, and a frequent word occurs once for each block at
-most, not once for each use.
+character). Texts are split in blocks of some 32 MB; a block keeps its distinct words, the frequent first, and its documents as
+positions in that list, compressed: less than half of the text's compressed size. The words of all blocks meet by a hash range of the
+word, in compressed bags; each distinct word of a range is encoded once, and its ids go back to the block by position. There
+the documents are put together, and decoded by joining every id to its piece (the tokenizer's vocabulary: bounded). No step
+broadcasts or collects the words, and a frequent word occurs once for each block at most, not once for each use. There are as many hash
+ranges as shuffle partitions, so that setting bounds the memory of a task.
 
 encode() gives ids and decoded text; digests() only their hashes. A null or empty text has no ids and decodes to ''.
 A special token spelled out in a text becomes its id, as in the tokenizers library. Repeated rows are each reported, doc_id may be
@@ -16,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +25,51 @@ from pyspark.sql import functions as F
 from .common import scratch
 from .tokens import cut, read_blob, tokenizer
 
-BLOCK = 16 << 20
+BLOCK = 32 << 20
 INTS = ("bigint", "int", "smallint", "tinyint")
 
 
-def _blocks(arrow_id):
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(a.tobytes() for a in arrays))
+
+
+def _expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers byte by byte: the high bytes of small numbers compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    return _squeeze(np.array([len(words), *map(len, words)], dtype="<u4"), np.frombuffer(b"".join(words), dtype=np.uint8))
+
+
+def unpack_words(data: bytes) -> list[str]:
+    data = _expand(data)
+    n = int.from_bytes(data[:4], "little")
+    ends = (np.cumsum(np.frombuffer(data, dtype="<u4", count=n, offset=4)) + 4 * n + 4).tolist()
+    return [data[a:b].decode() for a, b in zip([4 * n + 4, *ends], ends)]
+
+
+def pack_ids(ids: list[np.ndarray], kind: str) -> bytes:
+    return _squeeze(np.array([len(ids), *map(len, ids)], dtype="<u4"), np.concatenate([*ids, np.zeros(0, kind)]).astype(kind))
+
+
+def unpack_ids(data: bytes, kind: str) -> list[list[int]]:
+    data = _expand(data)
+    n = int.from_bytes(data[:4], "little")
+    ends = np.cumsum(np.frombuffer(data, dtype="<u4", count=n, offset=4)).tolist()
+    flat = np.frombuffer(data, dtype=kind, offset=4 * n + 4).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _blocks(arrow_id, ranges: int):
     def run(batches):
         from pyspark import TaskContext
 
@@ -36,11 +78,20 @@ def _blocks(arrow_id):
         keys, sizes, codes, held = [], [], [], 0
 
         def flush():
-            words = sorted(where, key=where.get)
-            data = zstandard.ZstdCompressor(level=3).compress(np.concatenate(codes or [np.zeros(0, np.uint32)]).tobytes())
+            code = np.concatenate(codes)
+            count = np.bincount(code, minlength=len(where))
+            order = np.argsort(-count, kind="stable")
+            rank = np.empty(len(order), dtype=np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            plain = [w.encode() for w in where]
+            words = [plain[i] for i in order.tolist()]
+            of = np.fromiter((xxhash.xxh32_intdigest(w) % ranges for w in words), dtype=np.uint32, count=len(words))
+            by = np.argsort(of, kind="stable")
+            used, first = np.unique(of[by], return_index=True)
+            bags = [{"range": int(r), "words": pack_words([words[i] for i in x.tolist()])} for r, x in zip(used, np.split(by, first[1:]))]
             return pa.RecordBatch.from_arrays(
-                [pa.array([head + seq], pa.int64()), pa.array([keys], pa.list_(arrow_id)), pa.array([sizes], pa.list_(pa.int32())), pa.array([data], pa.large_binary() if len(data) > 1 << 30 else pa.binary()), pa.array([words], pa.list_(pa.string()))],
-                ["block", "keys", "sizes", "codes", "words"],
+                [pa.array([head + seq], pa.int64()), pa.array([keys], pa.list_(arrow_id)), pa.array([sizes], pa.list_(pa.int32())), pa.array([_squeeze(_planes(rank[code]))], pa.binary()), pa.array([_squeeze(_planes(of))], pa.binary()), pa.array([bags], pa.list_(pa.struct([("range", pa.int32()), ("words", pa.binary())])))],
+                ["block", "keys", "sizes", "codes", "ranges", "bags"],
             )
 
         for b in batches:
@@ -63,25 +114,18 @@ def _blocks(arrow_id):
     return run
 
 
-def _encode_words(blob, pieces, kind):
-    """Rows sorted by word in, the same rows with ids and decoded bytes out; each word is encoded once."""
+def _encode_range(blob, kind):
+    """The bags of one hash range in, the ids of their words in the same order out; each word is encoded once."""
 
-    def run(batches):
-        tok, piece = tokenizer(blob.value), pieces.value
-        memo: dict[str, tuple[bytes, bytes | None]] = {}
-        last = None
-        for b in batches:
-            words = b.column(2).to_pylist()
-            new = sorted({w for w in words if w != last})
-            memo = {last: memo[last]} if last in memo else {}
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for w, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
-                    decoded = b"".join(map(piece.__getitem__, e.ids))
-                    memo[w] = (np.array(e.ids, dtype=kind).tobytes(), None if decoded == w.encode() else decoded)
-            last = words[-1] if words else last
-            # decoded bytes that are the word itself stay away: the block has the word
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([memo[w][0] for w in words], pa.binary()), pa.array([memo[w][1] for w in words], pa.binary())], ["block", "at", "ids", "raw"])
+    def run(bags):
+        tok = tokenizer(blob.value)
+        lists = [unpack_words(x) for x in bags["words"].to_pylist()]
+        words = list({w for x in lists for w in x})
+        ids = {}
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids.update((w, np.array(e.ids, dtype=kind)) for w, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)))
+        return pa.table({"block": bags["block"], "range": bags["range"], "ids": pa.array([pack_ids([ids[w] for w in x], kind) for x in lists], pa.binary())})
 
     return run
 
@@ -100,20 +144,24 @@ def id_to_piece(blob: str) -> dict[int, bytes]:
     return {i: t.encode() if t in special else bytes(map(byte_of.__getitem__, t)) for t, i in tok.get_vocab(with_added_tokens=True).items()}
 
 
-def _assemble(finish, kind):
+def _assemble(finish, pieces, kind):
     def run(left, right):
-        coded = right.sort_by("at")
-        words = left["words"][0].as_py() if left.num_rows else []
-        ids = [np.frombuffer(x, dtype=kind) for x in coded["ids"].to_pylist()]
-        raw = [w.encode() if r is None else r for w, r in zip(words, coded["raw"].to_pylist())]
-        return finish(left, ids, raw)
+        piece = pieces.value
+        if not left.num_rows:
+            return finish(left, [], [])
+        of = _from_planes(_expand(left["ranges"][0].as_py()))
+        ids = np.empty(len(of), dtype=object)
+        for r, data in zip(right["range"].to_pylist(), right["ids"].to_pylist()):
+            for i, x in zip(np.flatnonzero(of == r).tolist(), unpack_ids(data, kind)):
+                ids[i] = x
+        return finish(left, ids.tolist(), [b"".join([piece[i] for i in x]) for x in ids])
 
     return run
 
 
 def _documents(left):
     for i in range(left.num_rows):
-        codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(left["codes"][i].as_py()), dtype=np.uint32)
+        codes = _from_planes(_expand(left["codes"][i].as_py()))
         keys, sizes = left["keys"][i].as_py(), left["sizes"][i].as_py()
         at = 0
         for key, size in zip(keys, sizes):
@@ -128,21 +176,21 @@ def _joined(docs: DataFrame, tokenizer_path: str | None, finish, out: str) -> Da
     width = "<u2" if tokenizer(text).get_vocab_size() <= 1 << 16 else "<u4"
     kind = dict(docs.dtypes)["doc_id"]
     arrow_id, kind, key = (pa.int64(), "bigint", F.col("doc_id").cast("long")) if kind in INTS else (pa.string(), "string", F.col("doc_id").cast("string"))
-    path = scratch(spark, "bpe-blocks")
-    blocks = docs.select(key.alias("doc_id"), "text").mapInArrow(_blocks(arrow_id), f"block long, keys array<{kind}>, sizes array<int>, codes binary, words array<string>")
-    blocks.write.option("compression", "zstd").parquet(path)
-    blocks = spark.read.schema(blocks.schema).parquet(path)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = blocks.select("block", F.posexplode("words").alias("at", "word")).repartition(parts, "word").sortWithinPartitions("word")
-    coded = words.mapInArrow(_encode_words(blob, pieces, width), "block long, at int, ids binary, raw binary")
-    return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(finish, width), out.replace("ID", kind))
+    path, ranges = scratch(spark, "bpe-blocks"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = f"block long, keys array<{kind}>, sizes array<int>, codes binary, ranges binary, bags array<struct<range:int,words:binary>>"
+    docs.select(key.alias("doc_id"), "text").mapInArrow(_blocks(arrow_id, ranges), schema).write.option("compression", "zstd").parquet(path)
+    blocks = spark.read.schema(schema).parquet(path)
+    bags = blocks.select("block", F.explode("bags").alias("bag")).select("block", "bag.range", "bag.words")
+    coded = bags.groupBy("range").applyInArrow(_encode_range(blob, width), "block long, range int, ids binary")
+    packed = blocks.select("block", "keys", "sizes", "codes", "ranges")
+    return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(finish, pieces, width), out.replace("ID", kind))
 
 
 def digests(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def finish(left, ids, raw):
-        counts, said = np.array([len(a) for a in ids], dtype=np.int64), [",".join(map(str, a.tolist())) for a in ids]
+        counts, said = np.array([len(a) for a in ids], dtype=np.int64), [",".join(map(str, a)) for a in ids]
         out = ([], [], [], [])
         for key, at in _documents(left):
             out[0].append(key)
@@ -158,8 +206,7 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, ids, decoded."""
 
     def finish(left, ids, raw):
-        arrays = [a.tolist() for a in ids]
-        rows = [(key, [t for i in at for t in arrays[i]], b"".join([raw[i] for i in at]).decode("utf-8", "replace")) for key, at in _documents(left)]
+        rows = [(key, [t for i in at for t in ids[i]], b"".join([raw[i] for i in at]).decode("utf-8", "replace")) for key, at in _documents(left)]
         return pa.table({"doc_id": pa.array([r[0] for r in rows], left.schema.field("keys").type.value_type), "ids": pa.array([r[1] for r in rows], pa.list_(pa.int32())), "decoded": pa.array([r[2] for r in rows], pa.string())})
 
     return _joined(docs, tokenizer_path, finish, "doc_id ID, ids array<int>, decoded string")
