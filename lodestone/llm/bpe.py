@@ -178,8 +178,11 @@ def _joined(docs: DataFrame, tokenizer_path: str | None, finish, out: str) -> Da
     arrow_id, kind, key = (pa.int64(), "bigint", F.col("doc_id").cast("long")) if kind in INTS else (pa.string(), "string", F.col("doc_id").cast("string"))
     path, ranges = scratch(spark, "bpe-blocks"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = f"block long, keys array<{kind}>, sizes array<int>, codes binary, ranges binary, bags array<struct<range:int,words:binary>>"
-    docs.select(key.alias("doc_id"), "text").mapInArrow(_blocks(arrow_id, ranges), schema).write.option("compression", "zstd").parquet(path)
-    blocks = spark.read.schema(schema).parquet(path)
+    # bucketed by block, so that the codes meet their ids without being shuffled
+    name = "lodestone_" + path.rsplit("/", 1)[1].replace("-", "_")
+    made = docs.select(key.alias("doc_id"), "text").mapInArrow(_blocks(arrow_id, ranges), schema)
+    made.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(ranges, "block").saveAsTable(name)
+    blocks = spark.table(name)
     bags = blocks.select("block", F.explode("bags").alias("bag")).select("block", "bag.range", "bag.words")
     coded = bags.groupBy("range").applyInArrow(_encode_range(blob, width), "block long, range int, ids binary")
     packed = blocks.select("block", "keys", "sizes", "codes", "ranges")

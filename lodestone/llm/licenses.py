@@ -50,22 +50,24 @@ def _normal(text: Column) -> Column:
     return F.trim(t)
 
 
-def digest(text: Column) -> Column:
-    n = _normal(text)
-    return F.when(n != "", F.md5(n))
+def _digested(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with a text column replaced by its digest; the normal form is a column in between, so that it is made once."""
+    n = f"__{name}"
+    return df.withColumn(n, _normal(F.col(text))).withColumn(name, F.when(F.col(n) != "", F.md5(n))).drop(n, text)
 
 
 def known_digests(spark) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license string, body string").select("license", digest(F.col("body")).alias("digest")).distinct()
+    return _digested(spark.createDataFrame(KNOWN, "license string, body string"), "body", "digest").distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     known = F.broadcast(known_digests(spark))  # the fixed list above
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", digest(F.col("text")).alias("text_digest"), lines.alias("lines"))
-    units = rows.select("row", "doc_id", "text_digest", F.explode_outer("lines").alias("line"))
-    found = units.withColumn("digest", digest(F.col("line"))).join(known.withColumnRenamed("license", "notice"), "digest", "left")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", lines.alias("lines"))
+    rows = _digested(rows, "text", "text_digest")
+    units = _digested(rows.select("row", "doc_id", "text_digest", F.explode_outer("lines").alias("line")), "line", "digest")
+    found = units.join(known.withColumnRenamed("license", "notice"), "digest", "left")
     # rows of a document leave the scan together: the partial aggregate leaves one row of each
     each = found.groupBy("row", "doc_id", "text_digest").agg(
         F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("line_licenses"), F.count("notice").alias("n_license_lines")
