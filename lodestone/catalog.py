@@ -1,4 +1,6 @@
 """The registered queries and the SQL they are held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import ORACLE_SQL, QUERIES
+from .plans import graphing, searching  # noqa: F401  they register theirs
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
