@@ -44,6 +44,11 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_or_not(df: DataFrame, most: int) -> DataFrame:
+    """A stored table with a broadcast hint if it has at most so many rows; a join with it shuffles otherwise."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id written as text, modulo 5; fold 0 is held out. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5

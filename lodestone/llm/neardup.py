@@ -29,11 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, mix64, stored
+from .common import drop_stored, mix64, small_or_not, stored
 
 COORDINATES, BANDS, ROWS = 160, 32, 5
 AGREE = 98
 BLOCK = 2000
+IDS = 1_000_000  # at most so many ids (16 bytes each) are broadcast to pick documents; more are joined by a shuffle
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -81,7 +82,7 @@ def _sign(width: int):
                     for j in range(ROWS):
                         k = mix64(k ^ s[:, i * ROWS + j], j)
                     keys[:, i] = k
-                small = mix64(s, 99).astype(np.uint8)
+                small = np.hstack([mix64(s, 99).astype(np.uint8), keys.astype("<u4").view(np.uint8)])
                 digest, bands, brief = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 for row, i in enumerate(full):
                     digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
@@ -106,13 +107,14 @@ def _sets(width: int):
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs (a, b) of ids whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(ids, "doc_id").mapInArrow(_sets(width), "doc_id long, items array<long>")
-    sets = stored(sets, "neardup-sets")
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "neardup-ids")
+    sets = stored(docs.select("doc_id", "text").join(small_or_not(ids, IDS), "doc_id").mapInArrow(_sets(width), "doc_id long, items array<long>"), "neardup-sets")
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("items").alias(f"of_{x}")) for x in "ab")
     common = F.size(F.array_intersect("of_a", "of_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", common.alias("c"), (F.size("of_a") + F.size("of_b")).alias("n"))
-    return stored(both.filter(F.expr(f"100 * c >= {percent} * (n - c)")).select("a", "b").distinct(), "neardup-links"), sets
+    links = stored(both.filter(F.expr(f"100 * c >= {percent} * (n - c)")).select("a", "b").distinct(), "neardup-links")
+    drop_stored(docs.sparkSession, sets)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -136,49 +138,91 @@ def components(edges: DataFrame) -> DataFrame:
     return stored(stars.select(F.col("u").alias("id"), F.col("m").alias("component")).union(stars.select(F.col("m").alias("id"), F.col("m").alias("component")).distinct()), "components")
 
 
-def _cross(percent: int):
-    """Pairs between components, out of rows sorted by bucket and block pair."""
-
-    def pairs(g):
-        comp, n, ids, block = g["comp"], g["n"], g["rep"], g["block"]
-        brief = np.frombuffer(b"".join(g["brief"]), dtype=np.uint8).reshape(len(ids), COORDINATES)
-        left, right = (np.flatnonzero(block == x) for x in (block.min(), block.max()))
-        same = g["lo"] == g["hi"]
-        if g["lo"] != block.min() or g["hi"] != block.max():
-            return
-        for i in left:
-            r = right[right > i] if same else right
-            r = r[(comp[r] != comp[i]) & (100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i]))]
-            if len(r):
-                for j in r[(brief[r] == brief[i]).sum(axis=1) >= AGREE]:
-                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
+def _candidates(g: dict, percent: int):
+    """(member, its possible partners) of one block pair of one bucket: other component, size and sketch allow it, no earlier band shared."""
+    comp, n, block, band = g["comp"], g["n"], g["block"], g["band"][0]
+    both = np.frombuffer(b"".join(g["brief"]), dtype=np.uint8).reshape(len(comp), COORDINATES + 4 * BANDS)
+    brief, bands = both[:, :COORDINATES], np.ascontiguousarray(both[:, COORDINATES:]).view("<u4")[:, :band]
+    same = g["lo"] == g["hi"]
+    left, right = np.flatnonzero(block == g["lo"]), np.flatnonzero(block == g["hi"])
+    for i in left:
+        r = right[right > i] if same else right
+        r = r[(comp[r] != comp[i]) & (100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i]))]
+        if len(r):
+            r = r[(brief[r] == brief[i]).sum(axis=1) >= AGREE]
+        if len(r):
+            r = r[~(bands[r] == bands[i]).any(axis=1)]
+        if len(r):
+            yield i, r
+
+
+COLUMNS = ("key", "lo", "hi", "rep", "n", "comp", "block", "band", "brief")
+GROUP = "key long, lo int, hi int, rep long, n long, comp long, block int, band int, brief binary"
+
+
+def _groups(batches, more: tuple[str, ...] = ()):
+    """The rows of each (key, lo, hi), out of rows sorted by them."""
+    names = ("rep", "n", "comp", "block", "band")
+    held, last = None, None
+
+    def made():
+        return {x: np.array(held[x]) for x in names} | {x: held[x] for x in ("brief", *more)} | dict(zip(("key", "lo", "hi"), last))
+
+    for b in batches:
+        d = {x: b.column(x).to_pylist() for x in COLUMNS} | {x: [v.values.to_numpy() for v in b.column(x)] for x in more}
+        for i, k in enumerate(zip(d["key"], d["lo"], d["hi"])):
+            if k != last:
+                if held and len(held["rep"]) > 1:
+                    yield made()
+                held, last = {x: [] for x in (*names, "brief", *more)}, k
+            for x in held:
+                held[x].append(d[x][i])
+    if held and len(held["rep"]) > 1:
+        yield made()
+
+
+def _live(percent: int):
+    """The rows that have a possible partner."""
 
     def run(batches):
-        held, key = None, None
-        names = ("rep", "n", "comp", "block")
-        out: set = set()
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        out: list[tuple] = []
+        for g in _groups(batches):
+            at = sorted({int(x) for i, r in _candidates(g, percent) for x in (i, *r)})
+            out += [(g["key"], g["lo"], g["hi"], g["rep"][i], g["n"][i], g["comp"][i], g["block"][i], g["band"][i], g["brief"][i]) for i in at]
+            if len(out) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], list(COLUMNS))
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], list(COLUMNS))
 
-        def done(h, k):
-            g = {x: np.array(h[x]) for x in names} | {"brief": h["brief"], "lo": k[1], "hi": k[2]}
-            out.update(pairs(g))
+    return run
 
-        for b in batches:
-            d = b.to_pydict()
-            for i in range(len(b)):
-                k = (d["key"][i], d["lo"][i], d["hi"][i])
-                if k != key:
-                    if held and len(held["rep"]) > 1:
-                        done(held, key)
-                    held, key = {x: [] for x in (*names, "brief")}, k
-                for x in held:
-                    held[x].append(d[x][i])
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
-                out.clear()
-        if held and len(held["rep"]) > 1:
-            done(held, key)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+
+def _linked(percent: int):
+    """Confirmed links between components, at most one for each two that meet in a bucket."""
+
+    def run(batches):
+        for g in _groups(batches, ("items",)):
+            root: dict[int, int] = {}
+
+            def find(x):
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            out = []
+            for i, r in _candidates(g, percent):
+                for j in r:
+                    a, b = find(g["comp"][i]), find(g["comp"][j])
+                    if a == b:
+                        continue
+                    common = len(np.intersect1d(g["items"][i], g["items"][j], assume_unique=True))
+                    if 100 * common >= percent * (len(g["items"][i]) + len(g["items"][j]) - common):
+                        root[max(a, b)] = min(a, b)
+                        out.append(sorted((int(g["rep"][i]), int(g["rep"][j]))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     return run
 
@@ -188,42 +232,46 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(docs.mapInArrow(_sign(width), "doc_id long, n_shingles long, digest binary, bands array<long>, brief binary"), "neardup-signed")
     full = signed.filter("digest is not null and doc_id is not null")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = stored(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "neardup-classes")
     # the rows that stand for their class; one row for each even if the table repeats it
     own = full.join(classes, (full["doc_id"] == classes["rep"]) & (full["digest"] == classes["digest"]), "left_semi").dropDuplicates(["doc_id", "digest"])
-    own = stored(own.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "brief"), "neardup-classes")
-    members = own.select("rep", "n", F.explode("bands").alias("key"))
+    own = stored(own.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "brief"), "neardup-own")
+    members = own.select("rep", "n", F.posexplode("bands").alias("band", "key"))
 
+    # most buckets have one member; the others are kept, with their members
     hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    starred = members.join(hubs, "key").filter(F.expr(f"rep <> hub.rep and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)"))
+    crowd = stored(members.join(hubs, "key"), "neardup-crowd")
+    starred = crowd.filter(F.expr(f"rep <> hub.rep and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)"))
     pairs = stored(starred.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct(), "neardup-pairs")
-    links, sets = _confirmed(pairs, docs, width, percent)
-    drop_stored(spark, sets)
-    first = components(links)
+    links = _confirmed(pairs, docs, width, percent)
+    last = components(links)
 
-    labelled = members.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).filter("c0 <> c1")
-    rows = labelled.join(mixed, "key").select("key", "rep", "n", "comp", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
+    labelled = crowd.drop("hub").join(last.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    labelled = stored(labelled.drop("component"), "neardup-labelled")
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
+    rows = labelled.join(mixed, "key").select("key", "band", "rep", "n", "comp", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(own.select("rep", "brief"), "rep")
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "n", "comp", "block", "brief")
-    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    more = stored(dealt.mapInArrow(_cross(percent), "a long, b long").distinct(), "neardup-cross")
-    if more.isEmpty():
-        last = first
-    else:
-        new, sets = _confirmed(more, docs, width, percent)
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).select(*COLUMNS)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
+    live = stored(dealt(rows).mapInArrow(_live(percent), GROUP), "neardup-live")
+    if not live.isEmpty():
+        ids = stored(live.select(F.col("rep").alias("doc_id")).distinct(), "neardup-ids")
+        sets = stored(docs.join(small_or_not(ids, IDS), "doc_id").mapInArrow(_sets(width), "doc_id long, items array<long>"), "neardup-sets")
+        full_rows = live.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select(*COLUMNS, "items")
+        last = components(links.union(dealt(full_rows).mapInArrow(_linked(percent), "a long, b long").distinct()))
         drop_stored(spark, sets)
-        last = components(links.union(new))
 
     named = classes.join(last.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     some = signed.filter("digest is not null").select("doc_id", "n_shingles", "digest").join(named, "digest", "left").drop("digest")
     none = signed.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return some.union(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    out = stored(some.union(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "neardup")
+    for t in (signed, own, crowd, labelled, live):
+        drop_stored(spark, t)
+    return out
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without those whose component has a smaller doc_id; rows without an id stay. Of repeated rows one stays."""
     gone = near_duplicates(docs, width, percent).filter("doc_id is not null and not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept
+    return docs.join(small_or_not(stored(gone, "neardup-gone"), IDS), "doc_id", "left_anti").select(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_or_not, stored
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive forms of the base patterns: the same matches in time linear in the text.
@@ -31,6 +31,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]*+")
 MARK = re.compile(r"[0-9@]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+ROWS = 200_000  # at most so many documents with discovered spans are broadcast; more are joined by a shuffle
 EDGE = "\"'`()[]{}<>|*#$%&!?,;:.="
 
 
@@ -220,7 +221,7 @@ def redact(docs: DataFrame, support: int = 5, rounds: int = 3, sure: float = 0.9
     scanned = _scanned(docs)
     key = ["__id", "__hash"]
     further = _further(scanned.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}), _learned(scanned, support, rounds, sure), key)
-    # documents with discovered spans are few: what is not among them passes by without a match
+    further = small_or_not(stored(further, "pii-further"), ROWS)
     rows = docs.withColumns({"__id": F.col("doc_id"), "__hash": _text_hash(F.col("text"))})
     rows = rows.join(further, (rows["__id"].eqNullSafe(further["__id"])) & (rows["__hash"] == further["__hash"]), "left").select(*[docs[c] for c in docs.columns], "further")
     at, width = docs.columns.index("text"), len(docs.columns)
