@@ -18,6 +18,7 @@ import io
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from .common import scratch
 from .tokens import cut, read_blob, tokenizer, worker_store
 
 MASK = 0xA282EAD8  # fixed value of the record format
-MEMO = 700_000
+MEMO = 1_600_000  # pieces held by a worker, some 300 MB
 
 
 def _place(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -61,6 +62,7 @@ def unframe(buffer: bytes, at: int) -> tuple[bytes, int]:
 def _encode(texts: list[str], blob: str, kind: str) -> list[bytes]:
     """Ids of each text as bytes; pieces seen before by this worker come from its memo, whose size is bounded."""
     memo, tok = worker_store(f"pieces-{kind}"), tokenizer(blob)
+    code = "H" if kind == "<u2" else "I"
     pieces = [cut(t) for t in texts]
     new = list({p for ps in pieces for p in ps if p not in memo})
     if len(memo) + len(new) > MEMO:
@@ -68,7 +70,7 @@ def _encode(texts: list[str], blob: str, kind: str) -> list[bytes]:
         new = list({p for ps in pieces for p in ps})
     for at in range(0, len(new), 4096):
         some = new[at : at + 4096]
-        memo.update((p, np.array(e.ids, dtype=kind).tobytes()) for p, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)))
+        memo.update((p, array(code, e.ids).tobytes()) for p, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)))
     return [b"".join(map(memo.__getitem__, ps)) for ps in pieces]
 
 
