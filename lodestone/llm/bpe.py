@@ -26,6 +26,7 @@ from .common import scratch
 from .tokens import cut, read_blob, tokenizer
 
 BLOCK = 32 << 20
+RUN = 1 << 16  # words of a document whose ids are gathered at once
 INTS = ("bigint", "int", "smallint", "tinyint")
 
 
@@ -57,16 +58,17 @@ def unpack_words(data: bytes) -> list[str]:
     return [data[a:b].decode() for a, b in zip([4 * n + 4, *ends], ends)]
 
 
-def pack_ids(ids: list[np.ndarray], kind: str) -> bytes:
-    return _squeeze(np.array([len(ids), *map(len, ids)], dtype="<u4"), np.concatenate([*ids, np.zeros(0, kind)]).astype(kind))
+def pack_ids(ids: list[bytes], kind: str) -> bytes:
+    """The ids of some words, each given as the bytes of an array of this kind."""
+    size = np.dtype(kind).itemsize
+    return _squeeze(np.array([len(ids), *[len(x) // size for x in ids]], dtype="<u4"), np.frombuffer(b"".join(ids), dtype=np.uint8))
 
 
-def unpack_ids(data: bytes, kind: str) -> list[list[int]]:
+def unpack_ids(data: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word has, and all of them."""
     data = _expand(data)
     n = int.from_bytes(data[:4], "little")
-    ends = np.cumsum(np.frombuffer(data, dtype="<u4", count=n, offset=4)).tolist()
-    flat = np.frombuffer(data, dtype=kind, offset=4 * n + 4).tolist()
-    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+    return np.frombuffer(data, dtype="<u4", count=n, offset=4), np.frombuffer(data, dtype=kind, offset=4 * n + 4)
 
 
 def _blocks(arrow_id, ranges: int):
@@ -78,12 +80,14 @@ def _blocks(arrow_id, ranges: int):
         keys, sizes, codes, held = [], [], [], 0
 
         def flush():
+            plain = [w.encode() for w in where]
+            where.clear()
             code = np.concatenate(codes)
-            count = np.bincount(code, minlength=len(where))
+            codes.clear()
+            count = np.bincount(code, minlength=len(plain))
             order = np.argsort(-count, kind="stable")
             rank = np.empty(len(order), dtype=np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
-            plain = [w.encode() for w in where]
             words = [plain[i] for i in order.tolist()]
             of = np.fromiter((xxhash.xxh32_intdigest(w) % ranges for w in words), dtype=np.uint32, count=len(words))
             by = np.argsort(of, kind="stable")
@@ -124,7 +128,7 @@ def _encode_range(blob, kind):
         ids = {}
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
-            ids.update((w, np.array(e.ids, dtype=kind)) for w, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)))
+            ids.update((w, np.array(e.ids, dtype=kind).tobytes()) for w, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)))
         return pa.table({"block": bags["block"], "range": bags["range"], "ids": pa.array([pack_ids([ids[w] for w in x], kind) for x in lists], pa.binary())})
 
     return run
@@ -144,29 +148,40 @@ def id_to_piece(blob: str) -> dict[int, bytes]:
     return {i: t.encode() if t in special else bytes(map(byte_of.__getitem__, t)) for t, i in tok.get_vocab(with_added_tokens=True).items()}
 
 
+def _decoded(ids: list[int], piece: dict[int, bytes]) -> str:
+    return b"".join(map(piece.__getitem__, ids)).decode("utf-8", "replace")
+
+
 def _assemble(finish, pieces, kind):
     def run(left, right):
-        piece = pieces.value
-        if not left.num_rows:
-            return finish(left, [], [])
-        of = _from_planes(_expand(left["ranges"][0].as_py()))
-        ids = np.empty(len(of), dtype=object)
-        for r, data in zip(right["range"].to_pylist(), right["ids"].to_pylist()):
-            for i, x in zip(np.flatnonzero(of == r).tolist(), unpack_ids(data, kind)):
-                ids[i] = x
-        return finish(left, ids.tolist(), [b"".join([piece[i] for i in x]) for x in ids])
+        return finish(left, _documents(left, right, kind), pieces.value)
 
     return run
 
 
-def _documents(left):
-    for i in range(left.num_rows):
-        codes = _from_planes(_expand(left["codes"][i].as_py()))
-        keys, sizes = left["keys"][i].as_py(), left["sizes"][i].as_py()
-        at = 0
-        for key, size in zip(keys, sizes):
-            yield key, codes[at : at + size].tolist()
-            at += size
+def _documents(left, right, kind):
+    """(doc_id, its ids) for the documents of one block; the ids of its words lie end to end in one array, in order of range."""
+    if not left.num_rows:
+        return
+    of = _from_planes(_expand(left["ranges"][0].as_py()))
+    got = [unpack_ids(right["ids"][i].as_py(), kind) for i in np.argsort(right["range"].to_numpy()).tolist()]
+    flat = np.concatenate([np.zeros(0, kind), *[x for _, x in got]])
+    by = np.argsort(of, kind="stable")
+    counts, starts = np.zeros(len(of), dtype=np.int64), np.zeros(len(of), dtype=np.int64)
+    counts[by] = np.concatenate([np.zeros(0, np.int64), *[n for n, _ in got]])
+    starts[by] = np.cumsum(counts[by]) - counts[by]
+    del got, by, of
+
+    codes = _from_planes(_expand(left["codes"][0].as_py()))
+    at = 0
+    for key, size in zip(left["keys"][0].as_py(), left["sizes"][0].as_py()):
+        parts = [np.zeros(0, kind)]
+        for x in range(at, at + size, RUN):
+            code = codes[x : min(x + RUN, at + size)]
+            n = counts[code]
+            parts.append(flat[np.repeat(starts[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        yield key, np.concatenate(parts)
+        at += size
 
 
 def _joined(docs: DataFrame, tokenizer_path: str | None, finish, out: str) -> DataFrame:
@@ -192,15 +207,16 @@ def _joined(docs: DataFrame, tokenizer_path: str | None, finish, out: str) -> Da
 def digests(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
-    def finish(left, ids, raw):
-        counts, said = np.array([len(a) for a in ids], dtype=np.int64), [",".join(map(str, a)) for a in ids]
+    def finish(left, documents, piece):
+        names = {i: str(i) for i in piece}
         out = ([], [], [], [])
-        for key, at in _documents(left):
+        for key, ids in documents:
             out[0].append(key)
-            out[1].append(int(counts[at].sum()) if at else 0)
-            out[2].append(hashlib.sha256(",".join([said[i] for i in at if said[i]]).encode()).hexdigest())
-            out[3].append(hashlib.sha256(b"".join([raw[i] for i in at]).decode("utf-8", "replace").encode()).hexdigest())
-        return pa.table({"doc_id": pa.array(out[0], left.schema.field("keys").type.value_type), "n_tokens": pa.array(out[1], pa.int64()), "ids_sha256": out[2], "decoded_sha256": out[3]})
+            out[1].append(len(ids))
+            ids = ids.tolist()
+            out[2].append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+            out[3].append(hashlib.sha256(_decoded(ids, piece).encode()).hexdigest())
+        return pa.table({"doc_id": pa.array(out[0], left.schema.field("keys").type.value_type), "n_tokens": pa.array(out[1], pa.int64()), "ids_sha256": pa.array(out[2], pa.string()), "decoded_sha256": pa.array(out[3], pa.string())})
 
     return _joined(docs, tokenizer_path, finish, "doc_id ID, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -208,8 +224,8 @@ def digests(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
 def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, ids, decoded."""
 
-    def finish(left, ids, raw):
-        rows = [(key, [t for i in at for t in ids[i]], b"".join([raw[i] for i in at]).decode("utf-8", "replace")) for key, at in _documents(left)]
+    def finish(left, documents, piece):
+        rows = [(key, ids.astype(np.int32), _decoded(ids.tolist(), piece)) for key, ids in documents]
         return pa.table({"doc_id": pa.array([r[0] for r in rows], left.schema.field("keys").type.value_type), "ids": pa.array([r[1] for r in rows], pa.list_(pa.int32())), "decoded": pa.array([r[2] for r in rows], pa.string())})
 
     return _joined(docs, tokenizer_path, finish, "doc_id ID, ids array<int>, decoded string")
