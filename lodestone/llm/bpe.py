@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import scratch
 from .tokens import cut, read_blob, tokenizer
 
-BLOCK = 32 << 20
+BLOCK = 16 << 20
 RUN = 1 << 16  # words of a document whose ids are gathered at once
 INTS = ("bigint", "int", "smallint", "tinyint")
 
@@ -71,6 +71,14 @@ def unpack_ids(data: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype="<u4", count=n, offset=4), np.frombuffer(data, dtype=kind, offset=4 * n + 4)
 
 
+def _rows(batches):
+    """(doc_id, text) of every row; few texts at once are Python strings."""
+    for b in batches:
+        for at in range(0, len(b), 128):
+            part = b.slice(at, 128)
+            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+
+
 def _blocks(arrow_id, ranges: int):
     def run(batches):
         from pyspark import TaskContext
@@ -98,20 +106,19 @@ def _blocks(arrow_id, ranges: int):
                 ["block", "keys", "sizes", "codes", "ranges", "bags"],
             )
 
-        for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                pieces = cut(text or "")
-                for p in pieces:
-                    if p not in where:
-                        where[p] = len(where)
-                codes.append(np.fromiter(map(where.__getitem__, pieces), dtype=np.uint32, count=len(pieces)))
-                keys.append(key)
-                sizes.append(len(pieces))
-                held += len(text or "") + 64
-                if held >= BLOCK:
-                    yield flush()
-                    where, keys, sizes, codes, held = {}, [], [], [], 0
-                    seq += 1
+        for key, text in _rows(batches):
+            pieces = cut(text or "")
+            for p in pieces:
+                if p not in where:
+                    where[p] = len(where)
+            codes.append(np.fromiter(map(where.__getitem__, pieces), dtype=np.uint32, count=len(pieces)))
+            keys.append(key)
+            sizes.append(len(pieces))
+            held += len(text or "") + 64
+            if held >= BLOCK:
+                yield flush()
+                where, keys, sizes, codes, held = {}, [], [], [], 0
+                seq += 1
         if keys:
             yield flush()
 
