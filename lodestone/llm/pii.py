@@ -227,11 +227,13 @@ def redact(docs: DataFrame, support: int = 5, rounds: int = 3, sure: float = 0.9
     at, width = docs.columns.index("text"), len(docs.columns)
 
     def run(batches):
-        for b in batches:
-            texts = [t if t is None else masked_text(t, base_spans(t) + [(x["kind"], x["start"], x["end"]) for x in more or ()]) for t, more in zip(b.column(at).to_pylist(), b.column(width).to_pylist())]
-            columns = list(b.columns[:width])
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
+        for whole in batches:
+            for first in range(0, len(whole), 512):
+                b = whole.slice(first, 512)
+                texts = [t if t is None else masked_text(t, base_spans(t) + [(x["kind"], x["start"], x["end"]) for x in more or ()]) for t, more in zip(b.column(at).to_pylist(), b.column(width).to_pylist())]
+                columns = list(b.columns[:width])
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
 
     docs_columns = list(docs.columns)
     out = rows.mapInArrow(run, docs.schema)
