@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from .common import fold_of, mix64
 
 BITS = 18
+MEMO = 100_000  # at most so many tokens are remembered, then forgotten all at once
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 THRESHOLD = 0.3
 
 
 def _hashes(tokens: list[str], memo: dict[str, int]) -> np.ndarray:
     def new(t: str) -> int:
-        if len(memo) > 400_000:
+        if len(memo) > MEMO:
             memo.clear()
         memo[t] = h = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
         return h
@@ -46,7 +47,7 @@ def features(text: str | None, memo: dict[str, int], shapes: dict[str, str]) ->
     bias = np.array([0], dtype=np.int64)
     if not tokens:
         return bias, np.ones(1)
-    if len(shapes) > 400_000:
+    if len(shapes) > MEMO:
         shapes.clear()
     known = [shapes.get(t) or shapes.setdefault(t, _shape(t)) for t in tokens]
     w, s = _hashes(tokens, memo), _hashes(known, memo)
@@ -110,16 +111,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, epochs: int =
 def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
     """The columns in keep, and the score, for every row."""
     model = docs.sparkSession.sparkContext.broadcast(weights)
-    rows = docs.select(*[docs[c] for c in keep], docs["text"].alias("__text"))
+    rows = docs.select(*[docs[c] for c in keep], *[docs["text"].alias("__text")] * ("text" not in keep))
+    at = (*keep, "text").index("text")  # the text goes to Python once
 
     def run(batches):
         w = model.value.astype(np.float64)
         memo, shapes = {}, {}
         for b in batches:
             out = []
-            for t in b.column(len(keep)).to_pylist():
-                i, v = features(t, memo, shapes)
-                out.append(1 / (1 + np.exp(-np.clip(w[i] @ v, -35, 35))))
+            for first in range(0, len(b), 256):
+                for t in b.column(at).slice(first, 256).to_pylist():
+                    i, v = features(t, memo, shapes)
+                    out.append(1 / (1 + np.exp(-np.clip(w[i] @ v, -35, 35))))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out, pa.float64())], names=[*keep, "score"])
 
     schema = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in keep) + ", score double"
