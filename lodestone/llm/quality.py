@@ -108,8 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, epochs: int =
     return np.frombuffer(got[0]["w"], dtype=np.float32) if got else np.zeros(1 << BITS, dtype=np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns in keep, and the score, for every row."""
+def score(docs: DataFrame, weights: np.ndarray, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns in keep, and the score under this name, for every row."""
     model = docs.sparkSession.sparkContext.broadcast(weights)
     rows = docs.select(*[docs[c] for c in keep], *[docs["text"].alias("__text")] * ("text" not in keep))
     at = (*keep, "text").index("text")  # the text goes to Python once
@@ -123,9 +123,9 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
                 for t in b.column(at).slice(first, 256).to_pylist():
                     i, v = features(t, memo, shapes)
                     out.append(1 / (1 + np.exp(-np.clip(w[i] @ v, -35, 35))))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out, pa.float64())], names=[*keep, name])
 
-    schema = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in keep) + ", score double"
+    schema = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in keep) + f", `{name}` double"
     return rows.mapInArrow(run, schema)
 
 
@@ -137,4 +137,4 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 8000, threshold:
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 8000, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier accepts, with all their columns."""
-    return score(docs, train(docs, labels, sample), docs.columns).filter(F.col("score") >= threshold).drop("score")
+    return score(docs, train(docs, labels, sample), docs.columns, "__score").filter(F.col("__score") >= threshold).drop("__score")

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestone.llm import ann, binary, bpe, decontam, language, licenses, neardup, pii, quality, sharding
@@ -301,6 +302,8 @@ def test_quality(spark, docs, odd, none, sf):
     assert len(rows(quality.classify(odd, odd_labels))) == len(ODD)
     assert {r["score"] for r in rows(quality.classify(odd, odd_labels.limit(0)))} == {0.5}
     assert rows(quality.classify(none, labels)) == [] and quality.keep_good(odd, odd_labels).columns == odd.columns
+    named = quality.keep_good(odd.withColumn("score", F.lit("mine")), odd_labels, threshold=0.0)
+    assert {r["score"] for r in rows(named)} == {"mine"} and named.count() == len(ODD)
 
 
 def edit_window(pattern, text, k):
