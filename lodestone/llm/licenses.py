@@ -4,8 +4,11 @@ A text is normalised (case, copyright lines, equivalent spellings, punctuation,
 looked up among the digests of known licence texts, which are normalised the same way. Looked up are the entire text of a
 document and, as entire texts too, each of its lines, since notices stand on a line of their own.
 
-The known digests are a fixed list of some ten short texts, so the join side has a proven bound. Each distinct line of a
-document is looked up once.
+Known are the notices and bodies in KNOWN and the whole texts in the folder license_texts, each with and without its title, heading,
+appendix, list numbers and older postal addresses: a fixed list of some hundred digests, so the join side has a proven bound. The
+lookup of whole texts also leaves out what holders fill in: copyright lines without a year, 'all rights reserved' lines, the names
+in the clauses of NAMES, and whether links are https. text_digest keeps these. Texts that are edited otherwise, and licences that are not in the
+list, are not recognised.
 
 Result: one row for each document, with the digest of the whole text, the licence of the whole text (null if unknown),
 the sorted distinct licences of its lines joined by commas ('' if none), and the count of matching lines. Null or empty texts,
@@ -13,6 +16,9 @@ and texts that normalise to nothing, have a null digest and match nothing. Rows
 columns are ignored.
 """
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +46,53 @@ KNOWN = [
 # A line that holds no more than a copyright statement; \n keeps it to whole lines in either engine.
 COPYRIGHT_LINE = r"\n[ \t]*(copyright|\(c\)|©)[^\n]*[0-9][0-9][0-9][0-9][^\n]*"
 
+# What the lookup of whole texts leaves out besides: a line of its own that names the holder, with a year or not, or reserves rights.
+OWNER_LINE = r"\n[ \t#*/;-]*(?:(?i:copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*|(?i:copyright)[ \t:]*(?:\([cC]\)|©)[^\n]*|©[^\n]*|Copyright (?!(?i:licen|and |holder|owner|notice|law))[^\n]*|(?i:all rights? reserved)[ \t\r.*/#]*)(?=\n|\z)"
+
+# Clauses of the normal form in which holders put their own names, and what stands for them.
+NAMES = [
+    (r"neither the names? of .{1,200}? nor the names? of (its|the|any|other) contributors", "neither the name of x nor the names of its contributors"),
+    (r"this software is provided by .{1,200}? as is", "this software is provided by x as is"), (r"in no event shall .{1,200}? be liable", "in no event shall x be liable"),
+]
+
+# Texts without any of these are their own lookup form.
+FILLED = r"(?i)copyright|©|\(c\)|rights? reserved|https://|neither\W+the\W+name|software\W+is\W+provided\W+by|in\W+no\W+event\W+shall"
+
+TEXTS = Path(__file__).parent / "license_texts"
+
+# Titles that stand above texts that do not hold one.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "(The MIT License)", "Expat License", "This software is released under the MIT license:", "License: MIT"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"], "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC License (ISCL)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "BSD License", "The BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "BSD License", "The BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng license"], "Unlicense": ["The Unlicense", "Unlicense"], "Apache-2.0": ["The Apache License"],
+}
+
+# Where the texts that hold a heading begin and end without it and without what explains their use.
+BEGINS = {"Apache-2.0": "TERMS AND CONDITIONS FOR USE", "BSL-1.0": "Permission is hereby granted", "MPL-2.0": "1. Definitions"}
+ENDS = [r"[ \t]*END OF TERMS AND CONDITIONS", r"[ \t]*(APPENDIX|Appendix): How to", r"[ \t]*How to Apply These Terms", r"EXHIBIT A ?-", r"Exhibit A -", r"For more information, please refer"]
+ADDRESS = r"51 Franklin St(reet)?,\s+Fifth Floor,\s+Boston,? MA\s+02110-1301,?\s+USA"
+ADDRESSES = ["51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA"]
+
+
+def _forms(name: str, text: str) -> set[str]:
+    """The forms in which a whole text is handed on."""
+    out = {text} | {text[: m.start()] for e in ENDS for m in re.finditer(rf"(?m)^{e}", text)}
+    out |= {text[: m.end()] for m in re.finditer(rf"(?m)^{ENDS[0]}", text)}
+    out |= {t[t.index(BEGINS[name]) :] for t in out} if name in BEGINS else set()
+    out |= {re.sub(r"(?m)^[ \t]*[0-9]\.[ \t]", "", t) for t in out} if name.startswith("BSD") or name == "Zlib" else set()
+    out |= {re.sub(ADDRESS, a, t) for t in out for a in ADDRESSES}
+    out |= {re.sub("(licenses|philosophy)/why-not-lgpl", f"{at}/why-not-lgpl", t) for t in out for at in ("licenses", "philosophy")}
+    return out | {f"{title}\n\n{t}" for t in out for title in TITLES.get(name, [])}
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """Licence and text; files NAME_2 and so on hold other issues of the text of NAME."""
+    texts = [(f.stem.split("_")[0], f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
+    whole = [(name, t) for name, t in KNOWN] + [(name, form) for name, text in texts for form in sorted(_forms(name, text))]
+    return list(dict.fromkeys(whole))
+
 
 def _normal(text: Column) -> Column:
     t = F.concat(F.lit("\n"), F.lower(text))
@@ -50,14 +103,29 @@ def _normal(text: Column) -> Column:
     return F.trim(t)
 
 
-def _digested(df: DataFrame, text: str, name: str) -> DataFrame:
+def _bare(text: Column) -> Column:
+    """The normal form without what holders fill in."""
+    t = _normal(F.replace(F.regexp_replace(F.concat(F.lit("\n"), text), OWNER_LINE, ""), F.lit("https://"), F.lit("http://")))
+    for a, b in NAMES:
+        t = F.regexp_replace(t, a, b)
+    return t
+
+
+def _digested(df: DataFrame, text: str, name: str, normal=_normal) -> DataFrame:
     """df with a text column replaced by its digest; the normal form is a column in between, so that it is made once."""
     n = f"__{name}"
-    return df.withColumn(n, _normal(F.col(text))).withColumn(name, F.when(F.col(n) != "", F.md5(n))).drop(n, text)
+    return df.withColumn(n, normal(F.col(text))).withColumn(name, F.when(F.col(n) != "", F.md5(n))).drop(n, text)
 
 
 def known_digests(spark) -> DataFrame:
-    return _digested(spark.createDataFrame(KNOWN, "license string, body string"), "body", "digest").distinct()
+    """Of entire lines; a text of many lines is known on one line too."""
+    lines = [(name, " ".join(text.split())) for name, text in known_texts()]
+    return _digested(spark.createDataFrame(lines, "license string, body string"), "body", "digest").distinct()
+
+
+def known_whole(spark) -> DataFrame:
+    """Of whole texts, in the lookup form."""
+    return _digested(spark.createDataFrame(known_texts(), "license string, body string"), "body", "digest", _bare).distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -65,15 +133,17 @@ def scan(docs: DataFrame) -> DataFrame:
     known = F.broadcast(known_digests(spark))  # the fixed list above
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", lines.alias("lines"))
-    rows = _digested(rows, "text", "text_digest")
-    units = _digested(rows.select("row", "doc_id", "text_digest", F.explode_outer("lines").alias("line")), "line", "digest")
+    rows = rows.withColumn("filled", F.when(F.col("text").rlike(FILLED), F.col("text")))
+    rows = _digested(_digested(rows, "text", "text_digest"), "filled", "bare", _bare)  # null where text_digest serves
+    units = _digested(rows.select("row", "doc_id", "text_digest", "bare", F.explode_outer("lines").alias("line")), "line", "digest")
     found = units.join(known.withColumnRenamed("license", "notice"), "digest", "left")
     # rows of a document leave the scan together: the partial aggregate leaves one row of each
-    each = found.groupBy("row", "doc_id", "text_digest").agg(
+    each = found.groupBy("row", "doc_id", "text_digest", "bare").agg(
         F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("line_licenses"), F.count("notice").alias("n_license_lines")
     )
-    whole = known.select(F.col("license").alias("text_license"), F.col("digest").alias("text_digest"))
-    return each.join(whole, "text_digest", "left").select("doc_id", "text_digest", "text_license", "line_licenses", "n_license_lines")
+    each = each.withColumn("lookup", F.coalesce("bare", "text_digest"))
+    whole = F.broadcast(known_whole(spark)).select(F.col("license").alias("text_license"), F.col("digest").alias("lookup"))
+    return each.join(whole, "lookup", "left").select("doc_id", "text_digest", "text_license", "line_licenses", "n_license_lines")
 
 
 def _sql_normal(text: str) -> str:

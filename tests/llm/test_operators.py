@@ -81,6 +81,21 @@ def test_licenses(spark, odd, none):
     assert rows(licenses.scan(same))[0]["text_license"] == "MIT"
 
 
+def test_real_license_files(spark):
+    """LICENSE files as projects hand them on, named by licence and project, and what holders fill in."""
+    folder = os.path.join(os.path.dirname(__file__), "licenses")
+    some = [(f[:-4].rpartition("-")[0], open(os.path.join(folder, f), encoding="utf-8").read()) for f in sorted(os.listdir(folder))]
+    mit = next(t for n, t in some if n == "MIT")
+    body = mit[mit.index("Permission is hereby granted") :]
+    some += [("MIT", f"{head}\n\n{body}") for head in ("MIT License\n\nCopyright (c) Someone", "Copyright (c) Someone\nAll rights reserved.", "The MIT License (MIT)\n\nCopyright 2011-2013 A, B", "Copyright npm, Inc.")]
+    some += [(None, body.replace("without limitation", "with limitation")), (None, "Copyright (c) Someone\nAll rights reserved."), (None, "A text on software. " + body)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(some)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text_license"] for r in rows(licenses.scan(df))}
+    assert got == {i: n for i, (n, _) in enumerate(some)}
+    known = [(r["license"], r["digest"]) for r in rows(licenses.known_whole(spark))]
+    assert len({d for _, d in known}) == len(known) > 100
+
+
 def test_license_sql(spark, sf):
     import duckdb
 
