@@ -7,19 +7,29 @@ place that matches within k edits shares at least m - q + 1 - k q of the window'
 neighbouring diagonals, hence within one of the overlapping bands of 2 (k + 1) diagonals. Hits are counted by window and band, bands
 that reach the bound are retained, and each retained region is verified by a banded alignment of the whole window.
 
-One row for each document and item with at least one verified window: doc_id, item_id, windows matched, first start and last end
-in the normalised text, least edits. Documents that match nothing have no row. Null and empty texts match nothing; items
+Verbatim quotes need not cover a window: any 13 consecutive words of an item, and any 64 consecutive characters, are found wherever they
+begin. All q-grams of such a quote are in the index, so only unbroken runs of shared q-grams are looked at; in these, each 13 words
+and each 56 characters are looked up among the digests of the items' (56 characters start every 9 in an item, so that 64 hold one) and
+compared with the item. Quotes with edits are found if they cover a window, which 143 characters always do.
+
+One row for each document and item with at least one verified window or quote: doc_id, item_id, windows matched, first start and last end
+in the normalised text, least edits; start and end are those of the quotes, and edits 0, if no window matched. Documents that match nothing have no row. Null and empty texts match nothing; items
 shorter than q characters after normalisation cannot be told from common words and are left out. Items that are repeated are
 each reported. An empty benchmark gives no rows. The benchmark is broadcast in blocks of at most `block_bytes` of text, one
 pass over the documents for each block. clean() keeps documents that match no item, with all their columns.
 """
 
+import hashlib
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q, WINDOW, FILTER_BITS = 8, 96, 20
+WORDS, QUOTE, STEP = 13, 64, 9  # of verbatim quotes
+PIECE = QUOTE - STEP + 1
 SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -38,6 +48,18 @@ def budget(m: int) -> int:
     return min(m // 10, (m - Q) // Q)
 
 
+def quotes(b: bytes, step: int) -> set[tuple[int, int]]:
+    """Start and end of each 13 words, and of 56 characters every `step`."""
+    words = [m.span() for m in re.finditer(rb"[^ ]+", b)]
+    out = {(words[i][0], words[i + WORDS - 1][1]) for i in range(len(words) - WORDS + 1)}
+    last = len(b) - PIECE
+    return out | ({(i, i + PIECE) for i in (*range(0, last, step), last)} if len(b) >= (QUOTE if step > 1 else PIECE) else set())
+
+
+def _digest(b: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little")
+
+
 def _grams(b: bytes) -> np.ndarray:
     if len(b) < Q:
         return np.zeros(0, dtype=np.uint64)
@@ -71,17 +93,51 @@ class Index:
         self.grams, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.filter[_spot(self.grams).astype(np.int64)] = True
-
-    def regions(self, text: bytes) -> list[tuple[int, int, int]]:
-        """(window, lowest and highest diagonal) of the bands that reach the bound."""
+        whole: dict[bytes, list[int]] = {}
+        for i, (_, text) in enumerate(items):
+            whole.setdefault(normal(text), []).append(i)
+        self.texts, self.holders = list(whole), list(whole.values())
+        self.shortest, parts = 0, [np.zeros(0, np.uint64)]
+        for t in self.texts:
+            spans = quotes(t, STEP)
+            parts.append(np.fromiter((_digest(t[a:b]) for a, b in spans), np.uint64, len(spans)))
+            self.shortest = min([b - a for a, b in spans] + [self.shortest or len(t)]) if spans else self.shortest
+        digests, source = np.concatenate(parts), np.repeat(np.arange(len(self.texts)), [len(p) for p in parts[1:]])
+        order = np.argsort(digests, kind="stable")
+        self.digests, self.source = digests[order], source[order]
+
+    def shared(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where q-grams of the items start in the text, and their numbers."""
         g = _grams(text)
         at = np.flatnonzero(self.filter[_spot(g).astype(np.int64)])
         if not len(at) or not len(self.grams):
-            return []
+            return at[:0], at[:0]
         j = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
         hit = self.grams[j] == g[at]
-        at, j = at[hit], j[hit]
-        if len(at) < self.need.min():
+        return at[hit], j[hit]
+
+    def quoted(self, text: bytes, at: np.ndarray) -> dict[int, list[int]]:
+        """item number: start and end of what is quoted verbatim."""
+        out: dict[int, list[int]] = {}
+        if not self.shortest or len(at) < self.shortest - Q + 1:
+            return out
+        cuts = np.flatnonzero(np.diff(at) != 1) + 1
+        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(at)]])
+        long = ends - starts >= self.shortest - Q + 1
+        for first, last in zip(at[starts[long]].tolist(), at[ends[long] - 1].tolist()):
+            run = text[first : last + Q]
+            for a, b in quotes(run, 1):
+                d = np.uint64(_digest(run[a:b]))
+                for s in self.source[np.searchsorted(self.digests, d) : np.searchsorted(self.digests, d, "right")].tolist():
+                    if run[a:b] in self.texts[s]:
+                        for i in self.holders[s]:
+                            e = out.setdefault(i, [first + a, first + b])
+                            e[:] = min(e[0], first + a), max(e[1], first + b)
+        return out
+
+    def regions(self, text: bytes, at: np.ndarray, j: np.ndarray) -> list[tuple[int, int, int]]:
+        """(window, lowest and highest diagonal) of the bands that reach the bound."""
+        if not len(at) or len(at) < self.need.min():
             return []
         n = self.count[j]
         entry = np.repeat(self.first[j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -107,7 +163,8 @@ class Index:
         """item number: windows, start, end, least edits."""
         out: dict[int, list[int]] = {}
         done: set[int] = set()
-        for w, low, high in self.regions(text):
+        at, j = self.shared(text)
+        for w, low, high in self.regions(text, at, j):
             if w in done:
                 continue
             pattern, k = self.windows[w], int(self.budget[w])
@@ -120,6 +177,8 @@ class Index:
                 for i in self.owners[w]:
                     e = out.setdefault(i, [0, start + end - len(pattern), start + end, edits])
                     e[:] = e[0] + 1, min(e[1], max(0, start + end - len(pattern))), max(e[2], start + end), min(e[3], edits)
+        for i, (start, end) in self.quoted(text, at).items():
+            out.setdefault(i, [0, start, end, 0])
         return out
 
 

@@ -361,6 +361,29 @@ def test_decontamination(spark, docs, odd, none, sf):
     assert decontam.clean(odd, odd_bench).columns == odd.columns
 
 
+def test_quotes_of_part_of_an_item(spark, sf):
+    """Any 13 words and any 64 characters of an item in foreign text, held against a plain search; shorter quotes are no finding."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    items += [(9001, "a b c d e f g h i j k l m n o p q r s t u v w x y z"), (9002, "x" * 40 + "".join(chr(0x4E00 + 7 * i) for i in range(90)))]
+    index = decontam.Index(items)
+    rng = np.random.default_rng(5)
+    for n, (i, text) in enumerate(items):
+        t = decontam.normal(text)
+        words = t.split(b" ")
+        spans = [b" ".join(words[k : k + 13]) for k in rng.integers(0, max(1, len(words) - 12), 3) if len(words) >= 13]
+        spans += [t[k : k + 64] for k in rng.integers(0, max(1, len(t) - 63), 3) if len(t) >= 64]
+        for span in spans:
+            got = index.matches(b"zqj wvk 77 " + span + b" 88 kvw jqz")
+            assert {items[g][0] for g in got} >= {k for k, x in items if span in decontam.normal(x)} >= {i}
+        short = b" ".join(words[:4])
+        if len(words) > 20 and len(short) < 30:
+            assert n not in index.matches(b"zqj wvk 77 " + short + b" 88 kvw jqz")
+    some = [(1, "zqj wvk " + " ".join(items[-2][1].split(" ")[5:18]) + " kvw jqz"), (2, "zqj wvk " + " ".join(items[-2][1].split(" ")[5:17]) + " kvw jqz")]
+    df, bench = spark.createDataFrame(some, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert [tuple(r) for r in decontam.find(df, bench).collect()] == [(1, 9001, 0, 8, 33, 0)]
+    assert [r["doc_id"] for r in rows(decontam.clean(df, bench))] == [2]
+
+
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
     assert os.path.exists(default_path())
