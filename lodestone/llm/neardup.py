@@ -227,7 +227,8 @@ def _linked(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, more: tuple[str, ...] = ()) -> DataFrame:
+    """`more`: ("digest",) gives the digest of the shingles too."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(docs.mapInArrow(_sign(width), "doc_id long, n_shingles long, digest binary, bands array<long>, brief binary"), "neardup-signed")
@@ -263,15 +264,39 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
         drop_stored(spark, sets)
 
     named = classes.join(last.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    some = signed.filter("digest is not null").select("doc_id", "n_shingles", "digest").join(named, "digest", "left").drop("digest")
-    none = signed.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    some = signed.filter("digest is not null").select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", "component_id", *more)
+    none = signed.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *more)
     out = stored(some.union(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "neardup")
     for t in (signed, own, crowd, labelled, live):
         drop_stored(spark, t)
     return out
 
 
+def _with_digest(width: int, at: int):
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t, width) for t in b.column(at).to_pylist()]
+            digest = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, digest], [*b.schema.names, "digest"])
+
+    return run
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id; rows without an id stay. Of repeated rows one stays."""
-    gone = near_duplicates(docs, width, percent).filter("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(small_or_not(stored(gone, "neardup-gone"), IDS), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs without those whose component has a smaller doc_id. Of rows that repeat doc_id and shingles one stays. Rows without
+    an id count as copies of each other, and of rows with an id, if they have the same shingles; their near copies stay."""
+    found = near_duplicates(docs, width, percent, ("digest",))
+    gone = found.filter("doc_id is not null and not kept").select("doc_id").distinct()
+    left = docs.join(small_or_not(stored(gone, "neardup-gone"), IDS), "doc_id", "left_anti").select(*docs.columns)
+    again = stored(found.groupBy("doc_id", "digest").count().filter("count > 1 or doc_id is null").select("doc_id").distinct(), "neardup-again")
+    if again.isEmpty():
+        return left
+    ids = small_or_not(stored(again.filter("doc_id is not null"), "neardup-repeated"), IDS)
+    named, unnamed = left.filter("doc_id is not null"), left.filter("doc_id is null")
+    some = named.join(ids, "doc_id", "left_semi").select(*docs.columns).union(unnamed)
+    schema = some.select("*", F.lit(None).cast("binary").alias("digest")).schema
+    some = some.mapInArrow(_with_digest(width, docs.columns.index("text")), schema).dropDuplicates(["doc_id", "digest"])
+    copied = found.filter("doc_id is not null and digest is not null").select("digest").distinct()
+    others = some.filter("doc_id is null").join(copied, "digest", "left_anti").select(*docs.columns)
+    once = named.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    return once.union(some.filter("doc_id is not null").select(*docs.columns)).union(others)

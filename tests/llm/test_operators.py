@@ -198,6 +198,21 @@ def test_near_duplicates(spark, docs, odd, none):
     assert neardup.keep_one(odd).columns == odd.columns
 
 
+def test_keep_one_of_repeated_rows(spark):
+    """Against brute force: repeated rows, rows without an id, and empty texts."""
+    one, two, three = (" ".join(f"{c}{j}" for j in range(30)) for c in "abc")
+    some = [(1, one), (1, one), (2, one), (None, one), (None, two), (None, two), (3, three), (4, ""), (4, ""), (5, three.upper()), (6, "x y z")] + [(7, "p q r s t u v")] * 3 + [(8, None)] * 2 + [(None, None)] * 2
+    comps = brute_components([(i, t) for i, t in some if i is not None], 5)
+    want, seen = [], {t.lower() for i, t in some if i is not None and t}
+    for i, t in dict.fromkeys(some):
+        if comps[i][1] == i if i is not None else not t or t.lower() not in seen:
+            want.append((i, t))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    df = spark.createDataFrame([(n, i, t) for n, (i, t) in enumerate(some)], "n long, doc_id long, text string").repartition(3)
+    got = neardup.keep_one(df)
+    assert got.columns == df.columns and sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted(want, key=key)
+
+
 def test_cross_pairs_reach_every_component(spark, monkeypatch):
     """Links that no star finds: blocks of two, so that blocks meet in pairs."""
     monkeypatch.setattr(neardup, "BLOCK", 2)
