@@ -1,7 +1,7 @@
 """Token ids as length-delimited binary records, with masked checksums and a separate offset index.
 
 Documents are dealt out by ranges of doc_id, sorted, encoded, and written as one data file and one index file for each
-range. A record is: length (8 bytes), masked crc32 of those bytes (4), payload, masked crc32 of the payload (4), all
+range; there are as many ranges as shuffle partitions, or more, so that one holds about `file_bytes` of input. A record is: length (8 bytes), masked crc32 of those bytes (4), payload, masked crc32 of the payload (4), all
 little-endian; the payload is the ids as unsigned 16-bit integers when the vocabulary allows it, else 32-bit. The mask rotates a
 checksum by 15 bits and adds a constant, so that a checksum of bytes that hold checksums stays useful. The index holds doc_id,
 offset and count of ids for each record, which is all that a shuffled read needs.
@@ -10,8 +10,9 @@ Each task writes under a name of its own and the names that count are those the
 dies leaves a file that no one reads. Files are read back by the reported names, every checksum is verified, and the start of a
 document is the sum of what the files before it and the records before it hold.
 
-A null text is empty: one record with the end id alone. A null doc_id sorts first. Rows that share a doc_id are each written,
-next to each other, shorter texts first. An empty table writes no files.
+A null text is empty: one record with the end id alone. A null doc_id sorts first; integer ids of any width are written as 64-bit ones, all
+others as text, in the order of their own type. Rows that share a doc_id are each written, next to each other, shorter texts first, and
+may span files; rows that are equal in id and text go to one file. An empty table writes no files. Other columns are ignored.
 """
 
 import io
@@ -26,11 +27,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, stored
 from .tokens import cut, read_blob, tokenizer, worker_store
 
 MASK = 0xA282EAD8  # fixed value of the record format
-MEMO = 1_600_000  # pieces held by a worker, some 300 MB
+MEMO, LONG = 200 << 20, 256  # bytes held by a worker for pieces that it has seen, none of more than 256 characters
 
 
 def _place(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -60,26 +61,42 @@ def unframe(buffer: bytes, at: int) -> tuple[bytes, int]:
 
 
 def _encode(texts: list[str], blob: str, kind: str) -> list[bytes]:
-    """Ids of each text as bytes; pieces seen before by this worker come from its memo, whose size is bounded."""
-    memo, tok = worker_store(f"pieces-{kind}"), tokenizer(blob)
+    """Ids of each text as bytes; pieces seen before by this worker come from its memo, whose size is bounded in bytes."""
+    store, tok = worker_store(f"pieces-{kind}"), tokenizer(blob)
+    memo = store.setdefault("memo", {})
     code = "H" if kind == "<u2" else "I"
     pieces = [cut(t) for t in texts]
     new = list({p for ps in pieces for p in ps if p not in memo})
-    if len(memo) + len(new) > MEMO:
+    fixed = 150  # of an entry besides its characters and ids
+    added = sum(fixed + 2 * len(p) for p in new if len(p) <= LONG)
+    if store.get("bytes", 0) + added > MEMO:
         memo.clear()
+        store["bytes"] = 0
         new = list({p for ps in pieces for p in ps})
+        added = sum(fixed + 2 * len(p) for p in new if len(p) <= LONG)
+    store["bytes"] = store.get("bytes", 0) + added
+    once = {}
     for at in range(0, len(new), 4096):
         some = new[at : at + 4096]
-        memo.update((p, array(code, e.ids).tobytes()) for p, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)))
-    return [b"".join(map(memo.__getitem__, ps)) for ps in pieces]
+        for p, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
+            (memo if len(p) <= LONG else once)[p] = array(code, e.ids).tobytes()
+    return [b"".join([memo[p] if len(p) <= LONG else once[p] for p in ps]) for ps in pieces]
 
 
-def write(docs: DataFrame, folder: str, end_id: int = 2, tokenizer_path: str | None = None) -> DataFrame:
-    """Writes the files and returns one row for each: path, part (in the order of doc_id), records, ids. The table is stored."""
+def _ranges(docs: DataFrame, file_bytes: int) -> int:
+    """From Spark's estimate of the input, which costs no scan; where it has none, from the texts."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("s")).first()["s"]
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
+
+
+def write(docs: DataFrame, folder: str, end_id: int = 2, tokenizer_path: str | None = None, file_bytes: int = 128 << 20) -> DataFrame:
+    """Writes the files and returns one row for each: path, part (in the order of doc_id), records, ids, kind, id_type. The table is stored."""
     blob = docs.sparkSession.sparkContext.broadcast(read_blob(tokenizer_path))
     kind = "<u2" if tokenizer(blob.value).get_vocab_size() <= 1 << 16 else "<u4"
     id_type = dict(docs.dtypes)["doc_id"]
-    arrow_id = pa.int64() if id_type in ("bigint", "int", "smallint", "tinyint") else pa.string()
+    arrow_id, id_type = (pa.int64(), "bigint") if id_type in ("bigint", "int", "smallint", "tinyint") else (pa.string(), "string")
 
     def run(batches):
         from pyspark import TaskContext
@@ -87,7 +104,7 @@ def write(docs: DataFrame, folder: str, end_id: int = 2, tokenizer_path: str | N
         part = TaskContext.get().partitionId()
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
         fs, base = _place(folder)
-        tail, offset, n_ids, ids, offsets, counts, out = np.array([end_id], dtype=kind).tobytes(), 0, 0, [], [], [], None
+        tail, offset, n_ids, ids, offsets, counts, out = np.array([end_id], dtype=kind).tobytes(), 0, 0, [], array("q"), array("q"), None
         for b in batches:
             for at in range(0, len(b), 256):
                 rows = b.slice(at, 256)
@@ -95,9 +112,9 @@ def write(docs: DataFrame, folder: str, end_id: int = 2, tokenizer_path: str | N
                     fs.create_dir(base)
                     out = fs.open_output_stream(_place(name + ".rec")[1])
                 buffer = io.BytesIO()
-                for key, payload in zip(rows.column(0).to_pylist(), _encode([t or "" for t in rows.column(1).to_pylist()], blob.value, kind)):
+                ids.append(rows.column(0))
+                for payload in _encode([t or "" for t in rows.column(1).to_pylist()], blob.value, kind):
                     payload += tail
-                    ids.append(key)
                     offsets.append(offset)
                     counts.append(len(payload) // int(kind[-1]))
                     n_ids += counts[-1]
@@ -105,22 +122,22 @@ def write(docs: DataFrame, folder: str, end_id: int = 2, tokenizer_path: str | N
                 out.write(buffer.getvalue())
         if out is not None:
             out.close()
-            index = pa.table({"doc_id": pa.array(ids, arrow_id), "offset": pa.array(offsets, pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
+            index = pa.table({"doc_id": pa.chunked_array(ids, arrow_id), "offset": np.frombuffer(offsets, np.int64), "n_tokens": np.frombuffer(counts, np.int64)})
             with fs.open_output_stream(_place(name + ".idx")[1]) as f, pa.ipc.new_stream(f, index.schema) as w:
                 w.write_table(index)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([n_ids], pa.int64()), pa.array([kind])], ["path", "part", "records", "ids", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int64()), pa.array([len(counts)], pa.int64()), pa.array([n_ids], pa.int64()), pa.array([kind]), pa.array([id_type])], ["path", "part", "records", "ids", "kind", "id_type"])
 
-    key = F.col("doc_id") if arrow_id == pa.int64() else F.col("doc_id").cast("string")
-    rows = docs.select(key.alias("doc_id"), "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.octet_length("text").asc_nulls_first(), "text")
-    path = scratch(docs.sparkSession, "binary-files")
-    rows.mapInArrow(run, "path string, part long, records long, ids long, kind string").write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    # in the order of the id's own type; ids go to Python as they are written
+    rows = docs.select("doc_id", "text", F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("size").asc_nulls_first(), "hash"]
+    rows = rows.repartitionByRange(_ranges(docs, file_bytes), *order).sortWithinPartitions(*order)
+    rows = rows.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text")
+    return stored(rows.mapInArrow(run, "path string, part long, records long, ids long, kind string, id_type string"), "binary-files")
 
 
 def read(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every record of the files of write(), checksums verified."""
+    """doc_id, start, n_tokens, ids_crc32 of every record of the files of write(), checksums verified. A file's index and one record at a
+    time are held."""
 
     def run(batches):
         for b in batches:
@@ -128,21 +145,22 @@ def read(files: DataFrame) -> DataFrame:
                 fs, name = _place(path)
                 with fs.open_input_file(name + ".idx") as f:
                     index = pa.ipc.open_stream(f).read_all()
+                total = before
                 with fs.open_input_file(name + ".rec") as f:
-                    total, starts, crcs = before, [], []
-                    for offset, n in zip(index["offset"].to_pylist(), index["n_tokens"].to_pylist()):
-                        f.seek(offset)
-                        payload, _ = unframe(f.read(16 + n * int(kind[-1])), 0)
-                        starts.append(total)
-                        total += n
-                        crcs.append(zlib.crc32(np.frombuffer(payload, dtype=kind).astype("<u4").tobytes()))
-                key = index["doc_id"].cast(pa.int64()) if index["doc_id"].type == pa.int64() else index["doc_id"]
-                yield from pa.table({"doc_id": key, "start": pa.array(starts, pa.int64()), "n_tokens": index["n_tokens"], "ids_crc32": pa.array(crcs, pa.int64())}).to_batches(max_chunksize=10_000)
+                    for part in index.to_batches(max_chunksize=10_000):
+                        starts, crcs = [], []
+                        for offset, n in zip(part["offset"].to_pylist(), part["n_tokens"].to_pylist()):
+                            f.seek(offset)
+                            payload, _ = unframe(f.read(16 + n * int(kind[-1])), 0)
+                            starts.append(total)
+                            total += n
+                            crcs.append(zlib.crc32(np.frombuffer(payload, dtype=kind).astype("<u4").tobytes()))
+                        yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(starts, pa.int64()), part["n_tokens"], pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     w = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-    n = max(1, files.count())
-    todo = files.select("path", F.coalesce(F.sum("ids").over(w), F.lit(0)).alias("before"), "kind").repartition(n, "path")
-    return todo.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = files.agg(F.count("*").alias("n"), F.max("id_type").alias("id_type")).first()
+    todo = files.select("path", F.coalesce(F.sum("ids").over(w), F.lit(0)).alias("before"), "kind").repartition(max(1, found["n"]), "path")
+    return todo.mapInArrow(run, f"doc_id {found['id_type'] or 'long'}, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_files(docs: DataFrame, end_id: int = 2, tokenizer_path: str | None = None, folder: str | None = None) -> DataFrame:

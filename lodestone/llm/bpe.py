@@ -1,16 +1,18 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Words are the pieces between the cuts that the byte-level pre-tokenizer always makes (a space before a visible
-character). Texts are split in blocks of some 32 MB; a block keeps its distinct words, the frequent first, and its documents as
-positions in that list, compressed: less than half of the text's compressed size. The words of all blocks meet by a hash range of the
-word, in compressed bags; each distinct word of a range is encoded once, and its ids go back to the block by position. There
-the documents are put together, and decoded by joining every id to its piece (the tokenizer's vocabulary: bounded). No step
-broadcasts or collects the words, and a frequent word occurs once for each block at most, not once for each use. There are as many hash
-ranges as shuffle partitions, so that setting bounds the memory of a task.
+character). Texts are split in blocks of some 16 MB; a block keeps its distinct words, the frequent first, and its documents as
+positions in that list, compressed: less than half of the text's compressed size. The words of up to `TOGETHER` blocks (4 GB of text) meet by
+a hash range of the word, in compressed bags; each distinct word of a range is encoded once there, and its ids go back to the block by
+position. There the documents are put together, and decoded by joining every id to its piece (the tokenizer's vocabulary: bounded). No
+step broadcasts or collects the words, and a frequent word occurs once for each block at most, not once for each use. A task holds
+the words of one of `RANGES` ranges of `TOGETHER` blocks, or one block, however large the input: beyond 4 GB a word is encoded
+once for every 4 GB.
 
 encode() gives ids and decoded text; digests() only their hashes. A null or empty text has no ids and decodes to ''.
 A special token spelled out in a text becomes its id, as in the tokenizers library. Repeated rows are each reported, doc_id may be
-null, an empty table gives no rows.
+null and of any type (integers come back as 64-bit ones, others as text), an empty table gives no rows. Other columns are ignored. What is
+stored on the way is deleted.
 """
 
 import hashlib
@@ -22,10 +24,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import drop_path, scratch, stored
 from .tokens import cut, read_blob, tokenizer
 
-BLOCK = 16 << 20
+BLOCK, TOGETHER, RANGES = 16 << 20, 256, 64
 RUN = 1 << 16  # words of a document whose ids are gathered at once
 INTS = ("bigint", "int", "smallint", "tinyint")
 
@@ -79,7 +81,7 @@ def _rows(batches):
             yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
 
 
-def _blocks(arrow_id, ranges: int):
+def _blocks(arrow_id):
     def run(batches):
         from pyspark import TaskContext
 
@@ -97,7 +99,7 @@ def _blocks(arrow_id, ranges: int):
             rank = np.empty(len(order), dtype=np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             words = [plain[i] for i in order.tolist()]
-            of = np.fromiter((xxhash.xxh32_intdigest(w) % ranges for w in words), dtype=np.uint32, count=len(words))
+            of = np.fromiter((xxhash.xxh32_intdigest(w) % RANGES for w in words), dtype=np.uint32, count=len(words))
             by = np.argsort(of, kind="stable")
             used, first = np.unique(of[by], return_index=True)
             bags = [{"range": int(r), "words": pack_words([words[i] for i in x.tolist()])} for r, x in zip(used, np.split(by, first[1:]))]
@@ -198,17 +200,24 @@ def _joined(docs: DataFrame, tokenizer_path: str | None, finish, out: str) -> Da
     width = "<u2" if tokenizer(text).get_vocab_size() <= 1 << 16 else "<u4"
     kind = dict(docs.dtypes)["doc_id"]
     arrow_id, kind, key = (pa.int64(), "bigint", F.col("doc_id").cast("long")) if kind in INTS else (pa.string(), "string", F.col("doc_id").cast("string"))
-    path, ranges = scratch(spark, "bpe-blocks"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, buckets = scratch(spark, "bpe-blocks"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = f"block long, keys array<{kind}>, sizes array<int>, codes binary, ranges binary, bags array<struct<range:int,words:binary>>"
     # bucketed by block, so that the codes meet their ids without being shuffled
     name = "lodestone_" + path.rsplit("/", 1)[1].replace("-", "_")
-    made = docs.select(key.alias("doc_id"), "text").mapInArrow(_blocks(arrow_id, ranges), schema)
-    made.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(ranges, "block").saveAsTable(name)
-    blocks = spark.table(name)
-    bags = blocks.select("block", F.explode("bags").alias("bag")).select("block", "bag.range", "bag.words")
-    coded = bags.groupBy("range").applyInArrow(_encode_range(blob, width), "block long, range int, ids binary")
-    packed = blocks.select("block", "keys", "sizes", "codes", "ranges")
-    return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(finish, pieces, width), out.replace("ID", kind))
+    made = docs.select(key.alias("doc_id"), "text").mapInArrow(_blocks(arrow_id), schema)
+    made.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, "block").saveAsTable(name)
+    try:
+        blocks = spark.table(name)
+        groups = max(1, -(-blocks.count() // TOGETHER))
+        group = F.pmod(F.xxhash64("block"), F.lit(groups)).alias("together")
+        bags = blocks.select("block", group, F.explode("bags").alias("bag")).select("block", "together", "bag.range", "bag.words")
+        coded = bags.groupBy("together", "range").applyInArrow(_encode_range(blob, width), "block long, range int, ids binary")
+        packed = blocks.select("block", "keys", "sizes", "codes", "ranges")
+        done = packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(finish, pieces, width), out.replace("ID", kind))
+        return stored(done, "bpe-done")
+    finally:
+        spark.sql(f"drop table {name}")
+        drop_path(spark, path)
 
 
 def digests(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:

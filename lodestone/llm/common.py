@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of our own only where the session names none."""
+    """The folder that driver and executors share; a temporary one of our own only on a local master whose session names none."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("lodestone.shared.dir", None)
     if conf is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, conf, True)
         spark.conf.set("lodestone.shared.dir", conf)
@@ -32,21 +34,33 @@ def stored(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """df as a table written once in the shared folder: it cuts the lineage and outlives lost executors."""
     path = scratch(df.sparkSession, tag)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lodestone_path = path
+    return out
 
 
-def drop_stored(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table made by stored() which nothing will read again."""
-    jvm, base = spark.sparkContext._jvm, shared_dir(spark)
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if base.split(":", 1)[-1].strip("/") in folder:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_path(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables made by stored() which nothing will read again."""
+    for t in tables:
+        drop_path(t.sparkSession, t._lodestone_path)
 
 
 def small_or_not(df: DataFrame, most: int) -> DataFrame:
-    """A stored table with a broadcast hint if it has at most so many rows; a join with it shuffles otherwise."""
-    return F.broadcast(df) if df.count() <= most else df
+    """A stored table to be broadcast if it has at most so many rows; a join with it shuffles otherwise, whatever Spark estimates."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like this one that is not taken, in whatever case."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def fold_of(doc_id: Column) -> Column:

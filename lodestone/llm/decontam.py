@@ -12,22 +12,32 @@ begin. All q-grams of such a quote are in the index, so only unbroken runs of sh
 and each 56 characters are looked up among the digests of the items' (56 characters start every 9 in an item, so that 64 hold one) and
 compared with the item. Quotes with edits are found if they cover a window, which 143 characters always do.
 
-One row for each document and item with at least one verified window or quote: doc_id, item_id, windows matched, first start and last end
-in the normalised text, least edits; start and end are those of the quotes, and edits 0, if no window matched. Documents that match nothing have no row. Null and empty texts match nothing; items
-shorter than q characters after normalisation cannot be told from common words and are left out. Items that are repeated are
-each reported. An empty benchmark gives no rows. The benchmark is broadcast in blocks of at most `block_bytes` of text, one
-pass over the documents for each block. clean() keeps documents that match no item, with all their columns.
+Items shorter than q characters after normalisation hold no q-gram: find() looks them up exactly, as whole words. clean() lets such items
+pass (`shortest`), since an answer of one common word stands in half of all clean documents.
+
+One row for each row of docs and row of the benchmark with at least one verified window, quote or short item: doc_id, item_id, windows
+matched, first start and last end in the normalised text, least edits; start and end are those of the quotes or the short item, and edits 0,
+if no window matched. Documents that match nothing have no row. Null and empty texts match nothing. Equal rows of the benchmark count
+once, rows of one item_id with several texts each for itself; rows without an id or a text, or whose text has neither letter nor digit, match
+nothing. Ids may be of any type. An empty benchmark gives no rows.
+
+The benchmark is broadcast in blocks of at most `block_bytes` of text (an index of 8 MB takes some 400 MB), one pass over the documents
+for each block; hits of a document are expanded HITS at a time. clean() keeps documents that match no item, with all their columns.
 """
 
 import hashlib
 import re
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 Q, WINDOW, FILTER_BITS = 8, 96, 20
+HITS = 1 << 20  # of a document, expanded at once
+REACH = WINDOW + 2 * (WINDOW // 10 + 1)  # no band holds hits farther apart
 WORDS, QUOTE, STEP = 13, 64, 9  # of verbatim quotes
 PIECE = QUOTE - STEP + 1
 SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -48,12 +58,17 @@ def budget(m: int) -> int:
     return min(m // 10, (m - Q) // Q)
 
 
-def quotes(b: bytes, step: int) -> set[tuple[int, int]]:
+def quotes(b: bytes, step: int):
     """Start and end of each 13 words, and of 56 characters every `step`."""
-    words = [m.span() for m in re.finditer(rb"[^ ]+", b)]
-    out = {(words[i][0], words[i + WORDS - 1][1]) for i in range(len(words) - WORDS + 1)}
+    words: deque = deque(maxlen=WORDS)
+    for m in re.finditer(rb"[^ ]+", b):
+        words.append(m.start())
+        if len(words) == WORDS:
+            yield words[0], m.end()
     last = len(b) - PIECE
-    return out | ({(i, i + PIECE) for i in (*range(0, last, step), last)} if len(b) >= (QUOTE if step > 1 else PIECE) else set())
+    if len(b) >= (QUOTE if step > 1 else PIECE):
+        yield from ((i, i + PIECE) for i in range(0, last, step))
+        yield last, last + PIECE
 
 
 def _digest(b: bytes) -> int:
@@ -74,35 +89,45 @@ def _spot(grams: np.ndarray) -> np.ndarray:
 class Index:
     """The q-grams of a block of items, with a filter in front."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        by_text: dict[bytes, set[int]] = {}
+    def __init__(self, items: list[tuple]):
+        by_text: dict[bytes, list[int]] = {}
+        whole: dict[bytes, list[int]] = {}
         for i, (_, text) in enumerate(items):
-            for w in windows(normal(text)):
-                by_text.setdefault(w, set()).add(i)
+            whole.setdefault(normal(text), []).append(i)
+        for text, at in whole.items():
+            for w in windows(text):
+                by_text.setdefault(w, []).extend(at)
         self.ids = [i for i, _ in items]
         self.windows = list(by_text)
-        self.owners = [sorted(v) for v in by_text.values()]
+        self.owners = [sorted(set(v)) for v in by_text.values()]
         self.budget = np.array([budget(len(w)) for w in self.windows], dtype=np.int64)
         self.need = np.array([len(w) - Q + 1 - Q * budget(len(w)) for w in self.windows], dtype=np.int64)
-        grams = [_grams(w) for w in self.windows]
-        flat = np.concatenate([*grams, np.zeros(0, np.uint64)])
-        window = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([*[np.arange(len(g)) for g in grams], np.zeros(0, np.int64)])
+        sizes = np.array([len(w) - Q + 1 for w in self.windows], dtype=np.int64)
+        flat = np.empty(sizes.sum(), dtype=np.uint64)
+        ends = np.cumsum(sizes)
+        for w, a, b in zip(self.windows, ends - sizes, ends):
+            flat[a:b] = _grams(w)
         order = np.argsort(flat, kind="stable")
-        self.window, self.place = window[order], place[order]
-        self.grams, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+        flat = flat[order]
+        self.window = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.place = (np.arange(len(flat)) - np.repeat(ends - sizes, sizes)).astype(np.uint8)[order]
+        del order
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        self.grams, self.first = flat[first], first
+        self.count = np.diff(np.append(first, len(flat)))
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.filter[_spot(self.grams).astype(np.int64)] = True
-        whole: dict[bytes, list[int]] = {}
-        for i, (_, text) in enumerate(items):
-            whole.setdefault(normal(text), []).append(i)
+        self.short = {t: at for t, at in whole.items() if 0 < len(t) < Q}
         self.texts, self.holders = list(whole), list(whole.values())
         self.shortest, parts = 0, [np.zeros(0, np.uint64)]
         for t in self.texts:
-            spans = quotes(t, STEP)
-            parts.append(np.fromiter((_digest(t[a:b]) for a, b in spans), np.uint64, len(spans)))
-            self.shortest = min([b - a for a, b in spans] + [self.shortest or len(t)]) if spans else self.shortest
-        digests, source = np.concatenate(parts), np.repeat(np.arange(len(self.texts)), [len(p) for p in parts[1:]])
+            least, digests = 0, []
+            for a, b in quotes(t, STEP):
+                least = min(least or len(t), b - a)
+                digests.append(_digest(t[a:b]))
+            parts.append(np.unique(np.array(digests, dtype=np.uint64)))
+            self.shortest = min(self.shortest or least, least) if least else self.shortest
+        digests, source = np.concatenate(parts), np.repeat(np.arange(len(self.texts), dtype=np.int32), [len(p) for p in parts[1:]])
         order = np.argsort(digests, kind="stable")
         self.digests, self.source = digests[order], source[order]
 
@@ -135,15 +160,27 @@ class Index:
                             e[:] = min(e[0], first + a), max(e[1], first + b)
         return out
 
-    def regions(self, text: bytes, at: np.ndarray, j: np.ndarray) -> list[tuple[int, int, int]]:
-        """(window, lowest and highest diagonal) of the bands that reach the bound."""
+    def regions(self, text: bytes, at: np.ndarray, j: np.ndarray):
+        """(window, lowest and highest diagonal) of the bands that reach the bound; the hits of a band lie within REACH, so they are expanded in
+        slices that overlap by it."""
         if not len(at) or len(at) < self.need.min():
-            return []
+            return
+        ends = np.cumsum(self.count[j])
+        start = 0
+        while start < len(at):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + HITS, "right")))
+            first = int(np.searchsorted(at, at[start] - REACH))
+            yield from self._bands(text, at[first:stop], j[first:stop])
+            start = stop
+
+    def _bands(self, text: bytes, at: np.ndarray, j: np.ndarray) -> list[tuple[int, int, int]]:
         n = self.count[j]
         entry = np.repeat(self.first[j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         w, diagonal = self.window[entry], np.repeat(at, n) - self.place[entry]
+        del entry
         enough = (np.bincount(w, minlength=len(self.windows)) >= self.need)[w]
-        w, diagonal = w[enough], diagonal[enough] + WINDOW  # never negative
+        w, diagonal = w[enough].astype(np.int64), diagonal[enough] + WINDOW  # never negative
         half = self.budget[w] + 1
         key = w * (len(text) + 3 * WINDOW) + diagonal // half
         key, n = np.unique(key, return_counts=True)
@@ -159,8 +196,22 @@ class Index:
         low = band * half - WINDOW
         return list(zip(w[keep].tolist(), low[keep].tolist(), (low + np.where(first, 2, 1) * half)[keep].tolist()))
 
-    def matches(self, text: bytes) -> dict[int, list[int]]:
-        """item number: windows, start, end, least edits."""
+    def whole_words(self, text: bytes) -> dict[int, list[int]]:
+        """item number: first start and last end of a short item."""
+        out: dict[int, list[int]] = {}
+        most = max((t.count(b" ") + 1 for t in self.short), default=0)
+        last: deque = deque(maxlen=most)
+        for m in re.finditer(rb"[^ ]+", text) if most else ():
+            last.append(m.start())
+            for start in last:
+                if m.end() - start < Q:
+                    for i in self.short.get(text[start : m.end()], ()):
+                        e = out.setdefault(i, [start, m.end()])
+                        e[1] = m.end()
+        return out
+
+    def matches(self, text: bytes, shortest: int = 0) -> dict[int, list[int]]:
+        """item number: windows, start, end, least edits; of items of less than `shortest` characters none."""
         out: dict[int, list[int]] = {}
         done: set[int] = set()
         at, j = self.shared(text)
@@ -179,6 +230,8 @@ class Index:
                     e[:] = e[0] + 1, min(e[1], max(0, start + end - len(pattern))), max(e[2], start + end), min(e[3], edits)
         for i, (start, end) in self.quoted(text, at).items():
             out.setdefault(i, [0, start, end, 0])
+        if shortest < Q and self.short:
+            out |= {i: [0, start, end, 0] for i, (start, end) in self.whole_words(text).items() if end - start >= shortest}
         return out
 
 
@@ -196,9 +249,9 @@ def banded(pattern: bytes, region: bytes, k: int) -> tuple[int, int]:
     return int(row[end]), end
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = 32 << 20) -> list[Index]:
+def blocks(benchmark: DataFrame, block_bytes: int = 8 << 20) -> list[Index]:
     """The items in blocks whose text is bounded; normally one."""
-    rows = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
+    rows = benchmark.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("s")).first()["s"]
     n = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
     for i in range(n):
@@ -206,19 +259,21 @@ def blocks(benchmark: DataFrame, block_bytes: int = 32 << 20) -> list[Index]:
         yield Index([(r["item_id"], r["text"]) for r in some.collect()])
 
 
-def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, item_id long, n_windows long, start long, end long, edits long"
+    schema = f"doc_id {kind}, item_id {dict(benchmark.dtypes)['item_id']}, n_windows long, start long, end long, edits long"
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     parts = []
     for index in blocks(benchmark, block_bytes):
         held = spark.sparkContext.broadcast(index)
 
         def run(batches, held=held):
             x = held.value
+            ids = pa.array(x.ids, item_type)
             for b in batches:
-                rows = [(at, x.ids[i], *m) for at, text in enumerate(b.column(1).to_pylist()) for i, m in x.matches(normal(text)).items()]
+                rows = [(at, i, *m) for at, text in enumerate(b.column(1).to_pylist()) for i, m in x.matches(normal(text)).items()]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows])), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(1, 6)]], ["doc_id", "item_id", "n_windows", "start", "end", "edits"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows])), ids.take(pa.array([r[1] for r in rows])), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(2, 6)]], ["doc_id", "item_id", "n_windows", "start", "end", "edits"])
 
         parts.append(docs.select("doc_id", "text").mapInArrow(run, schema))
     out = parts[0]
@@ -227,15 +282,15 @@ def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20) ->
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of docs in which no item is found."""
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20, shortest: int = Q) -> DataFrame:
+    """The rows of docs in which no item of at least `shortest` characters is found."""
     at = docs.columns.index("text")
     for index in blocks(benchmark, block_bytes):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, held=held):
             for b in batches:
-                keep = pa.array([not held.value.matches(normal(t)) for t in b.column(at).to_pylist()], pa.bool_())
+                keep = pa.array([not held.value.matches(normal(t), shortest) for t in b.column(at).to_pylist()], pa.bool_())
                 yield b.filter(keep)
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -2,12 +2,15 @@
 
 Letters are lower-cased and every run of anything else becomes one space; n-grams of 1 to 4 characters are hashed
 to 65,536 buckets. Counts for each language are summed in Spark over a bounded sample of labelled rows (`per_lang` rows of a
-language are expected in it, chosen by a hash of doc_id; held-out rows never); the smoothed log-probability matrix has 65,536 rows
-and a column for each language and is broadcast. Whole texts are scored in numpy, some hundred thousand characters at a
-time. The score is the posterior of the mean log-probability taken for 32 n-grams, so that it does not depend on length.
+language are expected in it, chosen by a hash of doc_id; held-out rows never; of more than `most_langs` languages those with the most
+rows are learned). The smoothed log-probability matrix has 65,536 rows and a column for each language and is broadcast, with the
+log of each language's share of the labelled rows as its prior. Texts are scored in batches: the n-grams of many texts make a sparse matrix
+of texts by buckets, whose product with the matrix gives all their scores at once; a long text goes in pieces that add up. The score is
+the posterior of the prior and the mean log-probability taken for 32 n-grams, so that it does not depend on length.
 
 A text that is null or has no letter gets `und` and score 0. Ties go to the language that sorts first. Null languages teach
-nothing; with no labelled row at all every text gets `und`. Repeated rows are each reported; an empty table gives no rows.
+nothing; with no labelled row at all every text gets `und`. Repeated rows are each reported and taught; an empty table gives no rows. Other
+columns are ignored.
 """
 
 import re
@@ -30,16 +33,58 @@ def _letters(text: str | None) -> str:
     return f" {s.strip()} " if any(map(str.isalpha, s)) else ""
 
 
+def _hashed(codes: np.ndarray, n: int) -> np.ndarray:
+    """Bucket numbers of the n-grams of some characters."""
+    key = codes[: max(0, len(codes) - n + 1)].copy()
+    for i in range(1, n):
+        more = codes[i : len(codes) - n + 1 + i]
+        key = key * np.uint64(0x110000) + more if n < 4 else (key << np.uint64(16)) ^ more
+    return (mix64(key, n) >> np.uint64(48)).astype(np.int64)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
 def _grams(text: str):
     """Bucket numbers of the n-grams of a text, for each order and piece."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    codes = _codes(text)
     for n in ORDERS:
         for at in range(0, max(0, len(codes) - n + 1), PIECE):
-            part = codes[at : at + PIECE + n - 1]
-            key = part[: len(part) - n + 1].copy()
-            for i in range(1, n):
-                key = key * np.uint64(0x110000) + part[i : len(part) - n + 1 + i] if n < 4 else (key << np.uint64(16)) ^ part[i : len(part) - n + 1 + i]
-            yield (mix64(key, n) >> np.uint64(48)).astype(np.int64)
+            yield _hashed(codes[at : at + PIECE + n - 1], n)
+
+
+def totals(texts: list[str], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the sums of the rows of the matrix that its n-grams meet, and how many n-grams it has."""
+    sums, counts = np.zeros((len(texts), matrix.shape[1])), np.zeros(len(texts), dtype=np.int64)
+    parts, owners, held = [], [], 0
+
+    def flush():
+        codes, owner = np.concatenate(parts), np.concatenate(owners)
+        for n in ORDERS:
+            whole = owner[: max(0, len(codes) - n + 1)] == owner[n - 1 :]  # n-grams that lie within a text
+            text = owner[: len(whole)][whole]
+            bucket = _hashed(codes, n)[whole]
+            counts[:] += np.bincount(text, minlength=len(texts))
+            for i in range(matrix.shape[1]):
+                sums[:, i] += np.bincount(text, weights=matrix[:, i][bucket], minlength=len(texts))
+
+    for i, t in enumerate(texts):
+        codes = _codes(t)
+        if len(codes) > PIECE:
+            for g in _grams(t):
+                counts[i] += len(g)
+                sums[i] += [matrix[:, j][g].sum() for j in range(matrix.shape[1])]
+            continue
+        parts.append(codes)
+        owners.append(np.full(len(codes), i, dtype=np.int64))
+        held += len(codes)
+        if held > PIECE:
+            flush()
+            parts, owners, held = [], [], 0
+    if held:
+        flush()
+    return sums, counts
 
 
 def _count(batches):
@@ -54,16 +99,17 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at])], ["lang", "bucket", "n"])
 
 
-def train(docs: DataFrame, per_lang: int = 2500, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """Languages and the matrix of log-probabilities, buckets by languages. The bound on the sample is per_lang."""
+def train(docs: DataFrame, per_lang: int = 2500, smoothing: float = 0.5, most_langs: int = 200) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, the matrix of log-probabilities, buckets by languages, and the log priors. The sample is bounded by per_lang and most_langs."""
+    spark = docs.sparkSession
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id")) != 0))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    sizes = {r["lang"]: r["n"] for r in most}
     if not sizes:
-        return [], np.zeros((BUCKETS, 0))
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1 << 30, (1 << 30) * per_lang // n))).otherwise(share)
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < share).select("text", "lang")
+        return [], np.zeros((BUCKETS, 0)), np.zeros(0)
+    shares = spark.createDataFrame([(lang, min(1 << 30, (1 << 30) * per_lang // n)) for lang, n in sizes.items()], "lang string, share long")
+    chosen = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < F.col("share")
+    sample = rows.join(F.broadcast(shares), "lang").filter(chosen).select("text", "lang")  # most_langs rows
     counted = sample.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     langs = sorted(sizes)
     counts = np.zeros((BUCKETS, len(langs)))
@@ -71,34 +117,33 @@ def train(docs: DataFrame, per_lang: int = 2500, smoothing: float = 0.5) -> tupl
     if len(got):
         counts[got["bucket"].to_numpy(), got["lang"].map(langs.index).to_numpy()] = got["n"].to_numpy()
     counts += smoothing
-    return langs, np.log(counts / counts.sum(axis=0))
+    n = np.array([sizes[x] for x in langs])
+    return langs, np.log(counts / counts.sum(axis=0)), np.log(n / n.sum())
+
+
+def posterior(sums: np.ndarray, counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    p = sums / np.maximum(counts, 1)[:, None] * 32 + prior
+    p = np.exp(p - p.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
 
 
-def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred, score for every row."""
-    model = docs.sparkSession.sparkContext.broadcast([np.ascontiguousarray(matrix[:, i]) for i in range(len(langs))])  # 65,536 x languages doubles
+def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, prior: np.ndarray) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every row."""
+    model = docs.sparkSession.sparkContext.broadcast((np.asfortranarray(matrix), prior))  # 65,536 x languages doubles
 
     def score(batches):
-        columns = model.value
+        matrix, prior = model.value
         for b in batches:
-            names, scores = [], []
-            for text in b.column(1).to_pylist():
-                s = _letters(text) if columns else ""
-                if not s:
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                logp, n = np.zeros(len(columns)), 0
-                for g in _grams(s):
-                    n += len(g)
-                    for i, c in enumerate(columns):
-                        logp[i] += c[g].sum()
-                p = logp / n * 32
-                p = np.exp(p - p.max())
-                i = int(p.argmax())
-                names.append(langs[i])
-                scores.append(float(p[i] / p.sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            for at in range(0, len(b), 256):
+                part = b.slice(at, 256)
+                texts = [_letters(t) if langs else "" for t in part.column(1).to_pylist()]
+                names, scores = ["und"] * len(texts), [0.0] * len(texts)
+                some = [i for i, t in enumerate(texts) if t]
+                if some:
+                    p = posterior(*totals([texts[i] for i in some], matrix), prior)
+                    for i, best, row in zip(some, p.argmax(axis=1).tolist(), p):
+                        names[i], scores[i] = langs[best], float(row[best])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", "text", (fold_of(F.col("doc_id")) == 0).alias("held_out"))
     kind = dict(docs.dtypes)["doc_id"]
@@ -106,5 +151,4 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
 
 
 def identify(docs: DataFrame, per_lang: int = 2500) -> DataFrame:
-    langs, matrix = train(docs, per_lang)
-    return predict(docs, langs, matrix)
+    return predict(docs, *train(docs, per_lang))

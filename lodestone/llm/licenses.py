@@ -7,7 +7,8 @@ document and, as entire texts too, each of its lines, since notices stand on a l
 Known are the notices and bodies in KNOWN and the whole texts in the folder license_texts, each with and without its title, heading,
 appendix, list numbers and older postal addresses: a fixed list of some hundred digests, so the join side has a proven bound. The
 lookup of whole texts also leaves out what holders fill in: copyright lines without a year, 'all rights reserved' lines, the names
-in the clauses of NAMES, and whether links are https. text_digest keeps these. Texts that are edited otherwise, and licences that are not in the
+in the clauses of NAMES, a copyright notice of up to 400 characters that shares its line with the first words of a licence, and whether
+links are https. text_digest keeps these, but loses all of a line that begins with a copyright notice and a year. Texts that are edited otherwise, and licences that are not in the
 list, are not recognised.
 
 Result: one row for each document, with the digest of the whole text, the licence of the whole text (null if unknown),
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 SPELLINGS = [
     ("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sub licence", "sublicense"),
     ("non commercial", "noncommercial"), ("per cent", "percent"), ("favour", "favor"), ("authorisation", "authorization"),
-    ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("merchantability", "merchantability"),
+    ("organisation", "organization"), ("acknowledgement", "acknowledgment"),
     ("whilst", "while"), ("wilful", "willful"), ("copyright owner", "copyright holder"), ("redistributions", "redistribution"),
 ]
 
@@ -49,6 +50,9 @@ COPYRIGHT_LINE = r"\n[ \t]*(copyright|\(c\)|©)[^\n]*[0-9][0-9][0-9][0-9][^\n]*"
 # What the lookup of whole texts leaves out besides: a line of its own that names the holder, with a year or not, or reserves rights.
 OWNER_LINE = r"\n[ \t#*/;-]*(?:(?i:copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*|(?i:copyright)[ \t:]*(?:\([cC]\)|©)[^\n]*|©[^\n]*|Copyright (?!(?i:licen|and |holder|owner|notice|law))[^\n]*|(?i:all rights? reserved)[ \t\r.*/#]*)(?=\n|\z)"
 
+# A notice that shares its line with the licence: what stands from the notice to the words the licence begins with.
+NOTICE = r"(?i)\n[ \t#*/;-]*(?:copyright|\(c\)|©)(?:(?!permission is hereby|permission to use|redistribution and use|licensed under|released under|this software is|this work is)[^\n]){0,400}(?=permission is hereby|permission to use|redistribution and use|licensed under|released under|this software is|this work is)"
+
 # Clauses of the normal form in which holders put their own names, and what stands for them.
 NAMES = [
     (r"neither the names? of .{1,200}? nor the names? of (its|the|any|other) contributors", "neither the name of x nor the names of its contributors"),
@@ -105,7 +109,8 @@ def _normal(text: Column) -> Column:
 
 def _bare(text: Column) -> Column:
     """The normal form without what holders fill in."""
-    t = _normal(F.replace(F.regexp_replace(F.concat(F.lit("\n"), text), OWNER_LINE, ""), F.lit("https://"), F.lit("http://")))
+    t = F.regexp_replace(F.concat(F.lit("\n"), text), NOTICE, "\n")
+    t = _normal(F.replace(F.regexp_replace(t, OWNER_LINE, ""), F.lit("https://"), F.lit("http://")))
     for a, b in NAMES:
         t = F.regexp_replace(t, a, b)
     return t

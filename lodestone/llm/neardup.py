@@ -9,16 +9,22 @@ bin keeps the smallest it has seen, so later rounds fill only bins still empty.
 one bin each, so 320 rounds fill every coordinate, whatever the set. Coordinates agree with the probability of the Jaccard
 similarity. 32 bands of 5 coordinates meet for a pair of similarity 0.8 but for a chance of 3e-6.
 
-In each bucket, members are compared with the member of the smallest doc_id: as many pairs as members. Confirmed links make
-components. Then only buckets that still hold more than one component are taken up, and there all pairs between different
-components are looked at, in blocks, within a task that emits only those pairs whose sketches (8 bits a coordinate) agree in 98 of
-160 places (a linked pair falls short with a chance below 1e-8) and whose set sizes allow the link. So a group of any number of near
-copies costs pairs in proportion to its size, and no candidate is dropped. Every link counts only after the full sets were
-intersected: 100 * common >= 80 * union.
-
-Result: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept. Null or empty texts have no shingles and link to
-nothing. Rows that share a doc_id are taken as linked. A null doc_id joins the component of its text but names none and is never
-kept, unless nothing else has its text: then component_id is null. An empty table gives no rows. Other columns are ignored.
+Candidates come in two steps. First the members of all buckets, one for each class, are dealt by ranges of (bucket, class), so that a
+bucket of any size is spread evenly; each is compared with the first of its bucket in its task, and the first ones of a bucket that spans
+tasks are compared with the very first: as many pairs as members. Confirmed links make components. Then only buckets that still hold
+more than one component are taken up. There a member can have a partner in another component only if it lies within 62 + r of that
+component's leader, r being the farthest of the component's members from it in that bucket; distance is the number of
+sketch places (8 bits a coordinate) that differ, a metric, so this drops nothing. Two groups of near copies in one bucket thus cost
+members times components, not members squared. Among the members that are left all pairs between different components are looked
+at, in blocks, within a task that emits only those whose sketches agree in 98 of 160 places (a linked pair falls short with a chance below
+1e-8) and whose set sizes allow the link. No candidate is dropped. Every link counts only after the full sets were intersected:
+100 * common >= 80 * union. Members without a close partner that share a bucket all the same (unrelated documents with one long
+common passage) are each a component, and there the work does grow with the square of their number, in numpy and in blocks.
+
+Result: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept. Links are between texts: rows that share a doc_id
+but not the text are documents of their own, and each row gets the component of its text. Null or empty texts, and texts of white space,
+have no shingles and link to nothing. A null doc_id joins the component of its text but names none and is never kept; component_id is null
+where no member has an id. doc_id may be of any type that can be ordered. An empty table gives no rows. Other columns are ignored.
 """
 
 import hashlib
@@ -29,11 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, mix64, small_or_not, stored
+from .common import drop_stored, fresh, mix64, small_or_not, stored
 
 COORDINATES, BANDS, ROWS = 160, 32, 5
 AGREE = 98
-BLOCK = 2000
+BLOCK = 2000  # members or leaders of a bucket that one group holds
 IDS = 1_000_000  # at most so many ids (16 bytes each) are broadcast to pick documents; more are joined by a shuffle
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -73,7 +79,7 @@ def _sign(width: int):
         for b in batches:
             for at in range(0, len(b), 128):
                 part = b.slice(at, 128)
-                sets = [shingles(t, width) for t in part.column(1).to_pylist()]
+                sets = [shingles(t, width) for t in part.column(2).to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 s = sketches([sets[i] for i in full])
                 keys = np.zeros((len(full), BANDS), dtype=np.uint64)
@@ -88,8 +94,8 @@ def _sign(width: int):
                     digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                     bands[i], brief[i] = keys[row].view(np.int64), small[row].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(brief, pa.binary())],
-                    ["doc_id", "n_shingles", "digest", "bands", "brief"],
+                    [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(brief, pa.binary())],
+                    ["doc_id", "text_hash", "n_shingles", "digest", "bands", "brief"],
                 )
 
     return run
@@ -100,21 +106,61 @@ def _sets(width: int):
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, width).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, width).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["vid", "items"])
 
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of ids whose full sets are similar enough."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "neardup-ids")
-    sets = stored(docs.select("doc_id", "text").join(small_or_not(ids, IDS), "doc_id").mapInArrow(_sets(width), "doc_id long, items array<long>"), "neardup-sets")
-    left, right = (sets.select(F.col("doc_id").alias(x), F.col("items").alias(f"of_{x}")) for x in "ab")
+def _items(docs: DataFrame, own: DataFrame, vids: DataFrame, width: int, repeated: bool) -> DataFrame:
+    """The full sets (vid, items) of some classes, from one text of each."""
+    asked = stored(own.select("vid", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).join(small_or_not(vids, IDS), "vid", "left_semi"), "neardup-asked")
+    rows = docs.join(small_or_not(asked, IDS), docs["doc_id"].eqNullSafe(F.col("of_id")) & (docs["text_hash"] == F.col("of_hash"))).select("vid", "text")
+    rows = rows.dropDuplicates(["vid"]) if repeated else rows
+    sets = stored(rows.mapInArrow(_sets(width), "vid long, items array<long>"), "neardup-sets")
+    drop_stored(asked)
+    return sets
+
+
+def _stars(percent: int):
+    """Of rows (key, vid, n) sorted by key and vid: each with the first of its bucket here, and (border) the first of a bucket that may go on
+    in another task. Of both the bucket; a bucket of one member that lies within a task leaves nothing."""
+    names = ["key", "vid", "hub", "border"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+
+    def run(batches):
+        hub, size, first, held, count = None, 0, True, [], 0
+        # members seen are held back until the bucket turns out to have a second one
+        for b in batches:
+            for key, vid, n in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if hub is None or key != hub[0]:
+                    first = hub is None
+                    hub, size = (key, vid, n), 1
+                    held_hub = (key, vid, None, first)
+                    if first:
+                        held.append(held_hub)
+                else:
+                    size += 1
+                    if size == 2 and not first:
+                        held.append(held_hub)
+                    close = 100 * min(n, hub[2]) >= percent * max(n, hub[2])
+                    held.append((key, vid, hub[1] if close else None, False))
+                if len(held) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
+                    held = []
+        if hub is not None:  # the last bucket may go on
+            held.append((hub[0], hub[1], None, True))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
+
+    return run
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of classes whose full sets are similar enough."""
+    left, right = (sets.select(F.col("vid").alias(x), F.col("items").alias(f"of_{x}")) for x in "ab")
     common = F.size(F.array_intersect("of_a", "of_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", common.alias("c"), (F.size("of_a") + F.size("of_b")).alias("n"))
-    links = stored(both.filter(F.expr(f"100 * c >= {percent} * (n - c)")).select("a", "b").distinct(), "neardup-links")
-    drop_stored(docs.sparkSession, sets)
-    return links
+    return stored(both.filter(F.expr(f"100 * c >= {percent} * (n - c)")).select("a", "b").distinct(), "neardup-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -129,13 +175,119 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         new = stored(small.filter("u <> v").distinct(), "stars")
         mark = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        drop_stored(edges.sparkSession, cur)
+        drop_stored(cur)
         cur = new
         if mark == before:
             break
         before = mark
     stars = cur.groupBy("u").agg(F.min("v").alias("m"))
-    return stored(stars.select(F.col("u").alias("id"), F.col("m").alias("component")).union(stars.select(F.col("m").alias("id"), F.col("m").alias("component")).distinct()), "components")
+    out = stored(stars.select(F.col("u").alias("id"), F.col("m").alias("component")).union(stars.select(F.col("m").alias("id"), F.col("m").alias("component")).distinct()), "components")
+    drop_stored(cur)
+    return out
+
+
+def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places in which the sketches differ."""
+    return (a != b).sum(axis=-1)
+
+
+def _leaders(batches):
+    """Of rows (key, block, comp, vid, brief) sorted by the first four: for each component in each block of a bucket its first member's sketch,
+    and how far the others lie from it."""
+    held, lead, far = None, None, 0
+    out: list[tuple] = []
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["key", "comp", "vid", "brief", "far"])
+
+    for b in batches:
+        for key, block, comp, vid, brief in zip(*(b.column(i).to_pylist() for i in range(5))):
+            sketch = np.frombuffer(brief, np.uint8, COORDINATES)
+            if held is None or (key, block, comp) != held[:3]:
+                if held:
+                    out.append((held[0], held[2], held[3], lead.tobytes(), far))
+                held, lead, far = (key, block, comp, vid), sketch, 0
+                if len(out) >= 10_000:
+                    yield batch()
+                    out = []
+            else:
+                far = max(far, int(_gap(lead, sketch)))
+    if held:
+        out.append((held[0], held[2], held[3], lead.tobytes(), far))
+        yield batch()
+
+
+def _joined_leaders(batches):
+    """Of rows (key, comp, vid, brief, far), the leaders of blocks, sorted by the first three: for each component of a bucket the first, and
+    how far any member can lie from it."""
+    held, lead, far = None, None, 0
+    out: list[tuple] = []
+    for b in batches:
+        for key, comp, _, brief, own in zip(*(b.column(i).to_pylist() for i in range(5))):
+            sketch = np.frombuffer(brief, np.uint8)
+            if (key, comp) != held:
+                if held:
+                    out.append((*held, lead.tobytes(), far))
+                held, lead, far = (key, comp), sketch, own
+            else:
+                far = max(far, int(_gap(lead, sketch)) + own)
+    if held:
+        out.append((*held, lead.tobytes(), far))
+    for at in range(0, len(out), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 10_000]), (pa.int64(), pa.int64(), pa.binary(), pa.int32()))], ["key", "comp", "brief", "far"])
+
+
+def _in_reach(batches):
+    """Of rows (key, mine, theirs, far, comp, vid, brief) sorted by the first four, the leaders (far >= 0) of some components of a bucket and some
+    members (far null, sorted first): (key, vid) of the members within reach of a leader of another component."""
+
+    def found(g):
+        lead = [r for r in g if r[0] is not None]
+        own = [r for r in g if r[0] is None]
+        if not lead or not own:
+            return []
+        sketch = np.frombuffer(b"".join(r[3] for r in lead), np.uint8).reshape(len(lead), -1)
+        reach, comps = np.array([r[0] for r in lead]) + COORDINATES - AGREE, np.array([r[1] for r in lead])
+        return [r[2] for r in own if ((comps != r[1]) & (_gap(sketch, np.frombuffer(r[3], np.uint8, COORDINATES)) <= reach)).any()]
+
+    held, group = None, []
+    for b in batches:
+        out = []
+        for key, mine, theirs, far, comp, vid, brief in zip(*(b.column(i).to_pylist() for i in range(7))):
+            if (key, mine, theirs) != held:
+                out += [(held[0], v) for v in found(group)] if held else []
+                held, group = (key, mine, theirs), []
+            group.append((far, comp, vid, brief))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["key", "vid"])
+    if held and (out := [(held[0], v) for v in found(group)]):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["key", "vid"])
+
+
+def _blocks_of(size: str):
+    return F.expr(f"cast(ceil({size} / {BLOCK}) as int)")
+
+
+def _place(blocks: str):
+    return F.pmod(F.xxhash64("vid"), F.col(blocks)).cast("int")
+
+
+def _near_others(rows: DataFrame) -> DataFrame:
+    """Of members (key, band, vid, n, comp, brief) of mixed buckets those that can have a partner in another component there."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = small_or_not(stored(rows.groupBy("key").agg(_blocks_of("count(1)").alias("blocks")).filter("blocks > 1"), "neardup-sizes"), IDS)
+    rows = rows.join(sizes, "key", "left").withColumn("mine", F.coalesce(_place("blocks"), F.lit(0))).fillna(1, ["blocks"])
+    of_block = rows.select("key", F.col("mine").cast("long").alias("block"), "comp", "vid", "brief").repartition(parts, "key", "block").sortWithinPartitions("key", "block", "comp", "vid")
+    lead = of_block.mapInArrow(_leaders, "key long, comp long, vid long, brief binary, far int")
+    lead = stored(lead.repartition(parts, "key", "comp").sortWithinPartitions("key", "comp", "vid").mapInArrow(_joined_leaders, "key long, comp long, brief binary, far int"), "neardup-leaders")
+    many = small_or_not(stored(lead.groupBy("key").agg(_blocks_of("count(1)").alias("sides")).filter("sides > 1"), "neardup-sides"), IDS)
+    members = rows.join(many, "key", "left").select("key", "mine", F.explode(F.sequence(F.lit(0), F.coalesce("sides", F.lit(1)) - 1)).alias("theirs"), F.lit(None).cast("int").alias("far"), "comp", "vid", "brief")
+    leaders = lead.withColumn("vid", F.col("comp")).join(many, "key", "left").join(sizes, "key", "left").withColumn("theirs", F.coalesce(_place("sides"), F.lit(0)))
+    leaders = leaders.select("key", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("mine"), "theirs", "far", "comp", "vid", "brief")
+    met = members.unionByName(leaders).repartition(parts, "key", "mine", "theirs").sortWithinPartitions("key", "mine", "theirs", F.col("far").asc_nulls_first())
+    live = met.mapInArrow(_in_reach, "key long, vid long").distinct()
+    return rows.drop("blocks", "mine").join(live, ["key", "vid"])
 
 
 def _candidates(g: dict, percent: int):
@@ -156,13 +308,13 @@ def _candidates(g: dict, percent: int):
             yield i, r
 
 
-COLUMNS = ("key", "lo", "hi", "rep", "n", "comp", "block", "band", "brief")
-GROUP = "key long, lo int, hi int, rep long, n long, comp long, block int, band int, brief binary"
+COLUMNS = ("key", "lo", "hi", "vid", "n", "comp", "block", "band", "brief")
+GROUP = "key long, lo int, hi int, vid long, n long, comp long, block int, band int, brief binary"
 
 
 def _groups(batches, more: tuple[str, ...] = ()):
     """The rows of each (key, lo, hi), out of rows sorted by them."""
-    names = ("rep", "n", "comp", "block", "band")
+    names = ("vid", "n", "comp", "block", "band")
     held, last = None, None
 
     def made():
@@ -172,12 +324,12 @@ def _groups(batches, more: tuple[str, ...] = ()):
         d = {x: b.column(x).to_pylist() for x in COLUMNS} | {x: [v.values.to_numpy() for v in b.column(x)] for x in more}
         for i, k in enumerate(zip(d["key"], d["lo"], d["hi"])):
             if k != last:
-                if held and len(held["rep"]) > 1:
+                if held and len(held["vid"]) > 1:
                     yield made()
                 held, last = {x: [] for x in (*names, "brief", *more)}, k
             for x in held:
                 held[x].append(d[x][i])
-    if held and len(held["rep"]) > 1:
+    if held and len(held["vid"]) > 1:
         yield made()
 
 
@@ -189,7 +341,7 @@ def _live(percent: int):
         out: list[tuple] = []
         for g in _groups(batches):
             at = sorted({int(x) for i, r in _candidates(g, percent) for x in (i, *r)})
-            out += [(g["key"], g["lo"], g["hi"], g["rep"][i], g["n"][i], g["comp"][i], g["block"][i], g["band"][i], g["brief"][i]) for i in at]
+            out += [(g["key"], g["lo"], g["hi"], g["vid"][i], g["n"][i], g["comp"][i], g["block"][i], g["band"][i], g["brief"][i]) for i in at]
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], list(COLUMNS))
                 out = []
@@ -220,83 +372,92 @@ def _linked(percent: int):
                     common = len(np.intersect1d(g["items"][i], g["items"][j], assume_unique=True))
                     if 100 * common >= percent * (len(g["items"][i]) + len(g["items"][j]) - common):
                         root[max(a, b)] = min(a, b)
-                        out.append(sorted((int(g["rep"][i]), int(g["rep"][j]))))
+                        out.append(sorted((int(g["vid"][i]), int(g["vid"][j]))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, more: tuple[str, ...] = ()) -> DataFrame:
-    """`more`: ("digest",) gives the digest of the shingles too."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(docs.mapInArrow(_sign(width), "doc_id long, n_shingles long, digest binary, bands array<long>, brief binary"), "neardup-signed")
-    full = signed.filter("digest is not null and doc_id is not null")
-    classes = stored(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "neardup-classes")
-    # the rows that stand for their class; one row for each even if the table repeats it
-    own = full.join(classes, (full["doc_id"] == classes["rep"]) & (full["digest"] == classes["digest"]), "left_semi").dropDuplicates(["doc_id", "digest"])
-    own = stored(own.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "brief"), "neardup-own")
-    members = own.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-
-    # most buckets have one member; the others are kept, with their members
-    hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    crowd = stored(members.join(hubs, "key"), "neardup-crowd")
-    starred = crowd.filter(F.expr(f"rep <> hub.rep and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)"))
-    pairs = stored(starred.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct(), "neardup-pairs")
-    links = _confirmed(pairs, docs, width, percent)
+def _named(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, bool]:
+    """The signed rows (doc_id, text_hash, n_shingles, digest), their classes (digest, component, with the smallest doc_id of the class and a text
+    of it), both stored, and whether rows repeat id and text."""
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    signed = stored(docs.mapInArrow(_sign(width), f"doc_id {kind}, text_hash long, n_shingles long, digest binary, bands array<long>, brief binary"), "neardup-signed")
+    repeated = not signed.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
+    # one row stands for the class: ids first, then the smallest
+    first = F.min_by(F.struct("doc_id", "text_hash", F.col("n_shingles").alias("n"), "bands", "brief"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    own = signed.filter("digest is not null").groupBy("digest").agg(first.alias("x")).select("digest", "x.*")
+    own = stored(own.withColumn("vid", F.monotonically_increasing_id()), "neardup-own")
+
+    # buckets of more than one member, and a star in each
+    members = own.select(F.posexplode("bands").alias("band", "key"), "vid", "n")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.select("key", "vid", "n").repartitionByRange(parts, "key", "vid").sortWithinPartitions("key", "vid")
+    crowd = stored(dealt.mapInArrow(_stars(percent), "key long, vid long, hub long, border boolean"), "neardup-crowd")
+    border = crowd.filter("border")  # two rows a task at most
+    more = border.groupBy("key").agg(F.min("vid").alias("hub"), F.collect_set("vid").alias("vids")).select("hub", F.explode("vids").alias("vid")).filter("vid <> hub")
+    sizes = own.select("vid", "n")
+    more = more.join(sizes, "vid").join(sizes.select(F.col("vid").alias("hub"), F.col("n").alias("m")), "hub").filter(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    pairs = crowd.filter("hub is not null").select(F.col("hub").alias("a"), F.col("vid").alias("b")).union(more.select(F.col("hub"), F.col("vid"))).distinct()
+    pairs = stored(pairs, "neardup-pairs")
+    sets = _items(docs, own, stored(pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct(), "neardup-ids"), width, repeated)
+    links = _confirmed(pairs, sets, percent)
+    drop_stored(sets, pairs)
     last = components(links)
 
-    labelled = crowd.drop("hub").join(last.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    labelled = stored(labelled.drop("component"), "neardup-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
-    rows = labelled.join(mixed, "key").select("key", "band", "rep", "n", "comp", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(own.select("rep", "brief"), "rep")
+    labelled = crowd.select("key", "vid").distinct().join(last.withColumnRenamed("id", "vid"), "vid", "left").select("key", "vid", F.coalesce("component", "vid").alias("comp"))
+    labelled = stored(labelled, "neardup-labelled")
+    mixed = stored(labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key"), "neardup-mixed")
+    rows = labelled.join(small_or_not(mixed, IDS), "key", "left_semi").join(own.select("vid", "n", "brief", "bands"), "vid")
+    rows = stored(rows.select("key", (F.array_position("bands", F.col("key")) - 1).cast("int").alias("band"), "vid", "n", "comp", "brief"), "neardup-rows")
+    rows = stored(_near_others(rows), "neardup-near")
+    blocks = small_or_not(stored(rows.groupBy("key").agg(_blocks_of("count(1)").alias("blocks")).filter("blocks > 1"), "neardup-blocks"), IDS)
+    rows = rows.join(blocks, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", _place("blocks"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).select(*COLUMNS)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lambda df: df.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
-    live = stored(dealt(rows).mapInArrow(_live(percent), GROUP), "neardup-live")
+    by_block = lambda df: df.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "vid")
+    live = stored(by_block(rows).mapInArrow(_live(percent), GROUP), "neardup-live")
     if not live.isEmpty():
-        ids = stored(live.select(F.col("rep").alias("doc_id")).distinct(), "neardup-ids")
-        sets = stored(docs.join(small_or_not(ids, IDS), "doc_id").mapInArrow(_sets(width), "doc_id long, items array<long>"), "neardup-sets")
-        full_rows = live.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select(*COLUMNS, "items")
-        last = components(links.union(dealt(full_rows).mapInArrow(_linked(percent), "a long, b long").distinct()))
-        drop_stored(spark, sets)
-
-    named = classes.join(last.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    some = signed.filter("digest is not null").select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", "component_id", *more)
-    none = signed.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *more)
+        sets = _items(docs, own, stored(live.select("vid").distinct(), "neardup-ids"), width, repeated)
+        full = by_block(live.join(sets, "vid").select(*COLUMNS, "items"))
+        last = components(links.union(full.mapInArrow(_linked(percent), "a long, b long").distinct()))
+        drop_stored(sets)
+    named = own.join(last.withColumnRenamed("id", "vid"), "vid", "left").select("digest", F.coalesce("component", "vid").alias("component"), "doc_id", "text_hash")
+    named = stored(named, "neardup-named")
+    out = stored(signed.select("doc_id", "text_hash", "n_shingles", "digest"), "neardup-rows")
+    drop_stored(signed, own, crowd, links, labelled, mixed, live)
+    return out, named, repeated
+
+
+def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
+    signed, named, _ = _named(docs, width, percent)
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.select("digest", "component").join(smallest, "component").select("digest", "component_id")
+    some = signed.filter("digest is not null").join(named, "digest").select("doc_id", "n_shingles", "component_id")
+    none = signed.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = stored(some.union(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "neardup")
-    for t in (signed, own, crowd, labelled, live):
-        drop_stored(spark, t)
+    drop_stored(signed)
     return out
 
 
-def _with_digest(width: int, at: int):
-    def run(batches):
-        for b in batches:
-            sets = [shingles(t, width) for t in b.column(at).to_pylist()]
-            digest = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, digest], [*b.schema.names, "digest"])
-
-    return run
-
-
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id. Of rows that repeat doc_id and shingles one stays. Rows without
-    an id count as copies of each other, and of rows with an id, if they have the same shingles; their near copies stay."""
-    found = near_duplicates(docs, width, percent, ("digest",))
-    gone = found.filter("doc_id is not null and not kept").select("doc_id").distinct()
-    left = docs.join(small_or_not(stored(gone, "neardup-gone"), IDS), "doc_id", "left_anti").select(*docs.columns)
-    again = stored(found.groupBy("doc_id", "digest").count().filter("count > 1 or doc_id is null").select("doc_id").distinct(), "neardup-again")
-    if again.isEmpty():
-        return left
-    ids = small_or_not(stored(again.filter("doc_id is not null"), "neardup-repeated"), IDS)
-    named, unnamed = left.filter("doc_id is not null"), left.filter("doc_id is null")
-    some = named.join(ids, "doc_id", "left_semi").select(*docs.columns).union(unnamed)
-    schema = some.select("*", F.lit(None).cast("binary").alias("digest")).schema
-    some = some.mapInArrow(_with_digest(width, docs.columns.index("text")), schema).dropDuplicates(["doc_id", "digest"])
-    copied = found.filter("doc_id is not null and digest is not null").select("digest").distinct()
-    others = some.filter("doc_id is null").join(copied, "digest", "left_anti").select(*docs.columns)
-    once = named.join(ids, "doc_id", "left_anti").select(*docs.columns)
-    return once.union(some.filter("doc_id is not null").select(*docs.columns)).union(others)
+    """One row of docs of each component, with all its columns: the one of the smallest doc_id (null last), then digest of its shingles. Rows
+    that share a doc_id are told apart by their texts, so none is lost that has no copy elsewhere. Rows without words are linked to nothing and
+    stay; but of rows that repeat doc_id and text, one stays."""
+    signed, named, repeated = _named(docs, width, percent)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "text_hash")
+    best = named.groupBy("component").agg(F.min(order).alias("b")).select("b.doc_id", "b.digest", "b.text_hash")
+    rows = signed.filter("digest is not null").select("doc_id", "text_hash", "digest")
+    same = [rows[c].eqNullSafe(best[c]) for c in ("doc_id", "digest", "text_hash")]
+    gone = rows.join(best, same[0] & same[1] & same[2], "left_anti").select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).distinct()
+    gone = small_or_not(stored(gone, "neardup-gone"), IDS)
+    h = fresh("text_hash", docs.columns)
+    hashed = docs.withColumn(h, F.xxhash64("text"))
+    left = hashed.join(gone, hashed["doc_id"].eqNullSafe(gone["of_id"]) & (hashed[h] == gone["of_hash"]), "left_anti")
+    if repeated:
+        again = signed.groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"))
+        again = small_or_not(stored(again, "neardup-again"), IDS)
+        match = left["doc_id"].eqNullSafe(again["of_id"]) & (left[h] == again["of_hash"])
+        left = left.join(again, match, "left_anti").union(left.join(again, match, "left_semi").dropDuplicates(["doc_id", h]))
+    return left.drop(h)

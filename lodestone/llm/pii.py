@@ -1,18 +1,24 @@
 """Personal data: four base patterns, and bootstrapped contextual extraction on top of them.
 
 Base patterns give spans of kinds email, ip, card and phone (leftmost, non-overlapping per kind; matches that fail their check
-are dropped). They are the seeds. Each seed, and each other token with four digits or more or with an @, is an occurrence of an
-instance (its text) in two lexical patterns: the word before with the word after, and the two words before. Spark scores the
-graph of patterns and instances in rounds: a pattern's confidence for a kind is the mean confidence of its distinct instances, if at
-least `support` distinct seeds of the kind stand in it; an instance that is no seed gets the best confidence among its patterns.
-After `rounds` rounds, instances of at least `sure` whose form could be of the kind (an @ for email, three dots for ip, 13 digits for
-card, 7 for phone) are reported as further spans of that kind, unless they overlap a base span.
+are dropped). They are the seeds. Each seed, and each other candidate, is an occurrence of an instance (its text) in two lexical
+patterns: the word before with the word after, and the two words before (of a word the nearest `CONTEXT` characters, digits masked).
+Candidates are digit groups set apart by single spaces, dots or hyphens with 7 digits or more together, and tokens with
+four digits or more or with an @; a token ends at white space, quotes, brackets and list punctuation, and may be of any length.
+
+Spark scores the graph of patterns and instances in rounds. Seeds have confidence 1 for their kind. A pattern is trusted for a kind if
+at least `support` of its distinct instances are seeds of it or were found before with a confidence of `sure`; its trust is the mean
+confidence of all its distinct instances. An instance that is no seed and whose form could be of the kind (an @ for email, three
+dots for ip, 13 digits for card, 7 to 15 for phone) gets the best trust among its patterns. So instances found in one round support further
+patterns in the next. After `rounds` rounds, instances of at least `sure` are reported as further spans of their best kind, unless they
+overlap a base span.
 
 Spans are written kind:start:end in code points, end exclusive, by kind in the order above and then by start. A null text is
 empty and has no spans. Repeated rows are each reported and count once as evidence. An empty table gives no rows. Other columns are
-ignored by find(); redact() keeps them and replaces each span by its kind in angle brackets (overlapping spans as one).
+ignored by find(); redact() keeps them, whatever their names, and replaces each span by its kind in angle brackets (overlapping spans as one).
 """
 
+import bisect
 import hashlib
 import re
 
@@ -20,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_or_not, stored
+from .common import drop_stored, fresh, small_or_not, stored
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive forms of the base patterns: the same matches in time linear in the text.
@@ -31,8 +37,12 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]*+")
 MARK = re.compile(r"[0-9@]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-ROWS = 200_000  # at most so many documents with discovered spans are broadcast; more are joined by a shuffle
-EDGE = "\"'`()[]{}<>|*#$%&!?,;:.="
+ROWS = 200_000  # at most so many rows of patterns, instances or documents are broadcast; more are joined by a shuffle
+CONTEXT = 40  # characters of a neighbouring word that a pattern holds
+EDGE = frozenset("\"'`()[]{}<>|*#$&!?,;:=")
+GROUPS = re.compile(r"(?<![\w@.])\(?[0-9]+\)?(?:[\x20.-]\(?[0-9]+\)?)++")
+DIGITS = re.compile("[0-9]")
+WORDLIKE = re.compile(r"[\w@]")
 
 
 def luhn(digits: str) -> bool:
@@ -56,11 +66,17 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, end))
 
 
+def _octet(digits: str) -> bool:
+    """At most 255, however many zeros stand before."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(index of kind, start, end), sorted."""
     out = [(0, s, e) for s, e in _emails(text)]
     if MARK.search(text):
-        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(_octet(p) for p in m[0].split("."))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 16:
                 d = m[0].replace(" ", "").replace("-", "")
@@ -79,7 +95,7 @@ def _word_before(text: str, at: int) -> tuple[str, int]:
     while end and text[end - 1].isspace():
         end -= 1
     start = end
-    while start and end - start < 40 and not text[start - 1].isspace():
+    while start and end - start < CONTEXT and not text[start - 1].isspace():
         start -= 1
     return text[start:end].lower(), start
 
@@ -89,7 +105,7 @@ def _word_after(text: str, at: int) -> str:
     while at < n and text[at].isspace():
         at += 1
     end = at
-    while end < n and end - at < 40 and not text[end].isspace():
+    while end < n and end - at < CONTEXT and not text[end].isspace():
         end += 1
     return text[at:end].lower()
 
@@ -104,29 +120,49 @@ def _contexts(text: str, start: int, end: int) -> list[str]:
     return [f"{_masked(b)} _ {_masked(a)}", f"{_masked(bb)} {_masked(b)} _"]
 
 
+def _ends(c: str) -> bool:
+    return c.isspace() or c in EDGE
+
+
 def _others(text: str, taken: list[tuple[int, int, int]]):
-    """Other tokens that could be identifiers: at least four digits, or an @."""
-    at = 0
+    """Start and end of the other candidates, in order, without those that overlap what is taken."""
+    taken = sorted((s, e) for _, s, e in taken)
+    merged: list[list[int]] = []
+    for s, e in taken:
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    starts = [s for s, _ in merged]
+
+    def free(start, end):
+        i = bisect.bisect_left(starts, end)
+        return i == 0 or merged[i - 1][1] <= start
+
+    groups = [m.span() for m in GROUPS.finditer(text) if len(DIGITS.findall(m[0])) >= 7 and not WORDLIKE.match(text, m.end()) and free(*m.span())]
+    yield from groups
+    used, at, g = groups, 0, 0
     while m := MARK.search(text, at):
         start, end = m.start(), m.end()
-        while start > at and not text[start - 1].isspace():
+        while start > at and not _ends(text[start - 1]):
             start -= 1
-        while end < len(text) and not text[end].isspace():
+        while end < len(text) and not _ends(text[end]):
             end += 1
         at = end
-        if end - start > 100:
-            continue  # longer than any identifier of these kinds
-        token = text[start:end]
-        start += len(token) - len(token.lstrip(EDGE))
-        end -= len(token) - len(token.rstrip(EDGE))
-        if start < end and not any(s < end and start < e for _, s, e in taken):
+        while end > start and text[end - 1] == ".":
+            end -= 1
+        while start < end and text[start] == ".":
+            start += 1
+        while g < len(used) and used[g][1] <= start:
+            g += 1
+        if start < end and not (g < len(used) and used[g][0] < end) and free(start, end):
             token = text[start:end]
-            if "@" in token or sum("0" <= c <= "9" for c in token) >= 4:
+            if "@" in token or len(DIGITS.findall(token)) >= 4:
                 yield start, end
 
 
 def could_be(kind: int, token: str) -> bool:
-    digits = sum("0" <= c <= "9" for c in token)
+    digits = len(DIGITS.findall(token))
     return ("@" in token, token.count(".") == 3 and digits >= 4, digits >= 13, 7 <= digits <= 15)[kind]
 
 
@@ -158,20 +194,24 @@ def _scan(batches):
 
 
 def _learned(scanned: DataFrame, support: int, rounds: int, sure: float) -> DataFrame:
-    """(instance, kind, confidence) of discovered instances."""
+    """(instance, learned): the kind of each discovered instance."""
     o = scanned.select(F.explode("found").alias("o")).select("o.instance", "o.kind", "o.may", F.explode("o.patterns").alias("pattern"))
     graph = stored(o.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.first("may").alias("may")), "pii-graph")
     sizes = graph.groupBy("pattern").agg(F.count("*").alias("n"))
-    seeds = graph.filter("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= support)
-    patterns = stored(seeds.join(sizes, "pattern"), "pii-patterns")
-    edges = graph.filter("kind < 0").select("pattern", "instance", F.explode("may").alias("kind"))
-    edges = stored(edges.join(patterns, ["pattern", "kind"]), "pii-edges")  # only what may be learned
-    scores = edges.select("instance", "kind").distinct().withColumn("confidence", F.lit(0.0))
+    seeds = graph.filter("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("sum"), F.count("*").alias("firm"))
+    edges = stored(graph.filter("kind < 0").select("pattern", "instance", F.explode("may").alias("kind")), "pii-edges")
+    scores = None
     for _ in range(rounds):
-        trust = edges.join(scores, ["instance", "kind"]).groupBy("pattern", "kind").agg(((F.first("seeds") + F.sum("confidence")) / F.first("n")).alias("trust"))
-        scores = stored(edges.join(trust, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("trust").alias("confidence")), "pii-scores")
+        known = seeds
+        if scores is not None:
+            found = edges.join(small_or_not(scores, ROWS), ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("confidence").alias("sum"), F.count_if(F.col("confidence") >= sure).alias("firm"))
+            known = seeds.unionByName(found).groupBy("pattern", "kind").agg(F.sum("sum").alias("sum"), F.sum("firm").alias("firm"))
+        trust = stored(known.filter(F.col("firm") >= support).join(sizes, "pattern").select("pattern", "kind", (F.col("sum") / F.col("n")).alias("trust")), "pii-trust")
+        scores = stored(edges.join(small_or_not(trust, ROWS), ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("trust").alias("confidence")), "pii-scores")
     best = scores.filter(F.col("confidence") >= sure).groupBy("instance").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "kind")).alias("b"))
-    return best.select("instance", F.col("b.kind").alias("learned"))
+    out = stored(best.select("instance", F.col("b.kind").alias("learned")), "pii-learned")
+    drop_stored(graph, edges)
+    return small_or_not(out, ROWS)
 
 
 def _text_hash(text):
@@ -194,9 +234,10 @@ def _further(scanned: DataFrame, learned: DataFrame, key: list[str]) -> DataFram
 
 def find(docs: DataFrame, support: int = 5, rounds: int = 3, sure: float = 0.9) -> DataFrame:
     """One row for each document: counts and digest of the base spans, all spans, and the count of those discovered."""
-    scanned = _scanned(docs).withColumn("row", F.monotonically_increasing_id())
-    scanned = stored(scanned, "pii-rows")
-    further = _further(scanned, _learned(scanned, support, rounds, sure), ["row"])
+    first = _scanned(docs)
+    scanned = stored(first.withColumn("row", F.monotonically_increasing_id()), "pii-rows")
+    drop_stored(first)
+    further = small_or_not(stored(_further(scanned, _learned(scanned, support, rounds, sure), ["row"]), "pii-further"), ROWS)
     named = F.array(*[F.lit(k) for k in KINDS])
     base = F.transform(F.filter(F.split("base", ","), lambda s: s != ""), lambda s: F.struct((F.array_position(named, F.split(s, ":")[0]).cast("int") - 1).alias("kind"), F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end")))
     every = F.array_sort(F.concat(base, F.col("further")))
@@ -219,11 +260,12 @@ def masked_text(text: str, spans) -> str:
 def redact(docs: DataFrame, support: int = 5, rounds: int = 3, sure: float = 0.9) -> DataFrame:
     """docs with every span of text replaced by its kind; all columns stay, n_chars (if there) follows the text."""
     scanned = _scanned(docs)
-    key = ["__id", "__hash"]
-    further = _further(scanned.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}), _learned(scanned, support, rounds, sure), key)
-    further = small_or_not(stored(further, "pii-further"), ROWS)
-    rows = docs.withColumns({"__id": F.col("doc_id"), "__hash": _text_hash(F.col("text"))})
-    rows = rows.join(further, (rows["__id"].eqNullSafe(further["__id"])) & (rows["__hash"] == further["__hash"]), "left").select(*[docs[c] for c in docs.columns], "further")
+    further = _further(scanned, _learned(scanned, support, rounds, sure), ["doc_id", "text_hash"])
+    h, more = fresh("text_hash", docs.columns), fresh("further", docs.columns)
+    further = small_or_not(stored(further.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), F.col("further").alias(more)), "pii-further"), ROWS)
+    drop_stored(scanned)
+    rows = docs.withColumn(h, _text_hash(F.col("text")))
+    rows = rows.join(further, rows["doc_id"].eqNullSafe(further["of_id"]) & (rows[h] == further["of_hash"]), "left").select(*[rows[c] for c in docs.columns], more)
     at, width = docs.columns.index("text"), len(docs.columns)
 
     def run(batches):

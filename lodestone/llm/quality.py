@@ -2,12 +2,13 @@
 
 Tokens are runs of word characters or of other visible characters; features are hashed unigrams and bigrams of the tokens, of
 their shapes, and one for how often bigrams repeat, weighted 1 + log(count) and scaled to unit length. Training reads a
-bounded sample: `sample` labelled rows are expected in it, chosen by a hash of doc_id, none of them held out; their
-features stream through one task in the order of that hash, `epochs` times. The weights (2^18 floats) are broadcast, and whole
-texts are scored as sparse dot products.
+bounded sample: at most `sample` labelled rows, those of the smallest hash of doc_id, none of them held out, and of those as many,
+in the order of the hash, as hold `most` features together. These stream through one task in that order, `epochs` times. The weights
+(2^18 floats, most of them 0 by the proximal step) are broadcast, and whole texts are scored as sparse dot products.
 
-Empty and null texts have only the bias and are scored like any other. Null labels teach nothing; labels given twice for an id
-count twice. With no labels every score is 0.5. Repeated rows are each reported; an empty table gives no rows.
+Empty and null texts have only the bias and are scored like any other. Null labels teach nothing; different labels given for one id
+both count, equal ones once, as do rows of documents that repeat id and text. With no labels every score is 0.5. Repeated rows are each
+reported; an empty table gives no rows. keep_good() keeps all columns, whatever their names.
 """
 
 import re
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, mix64
+from .common import fold_of, fresh, mix64, stored
 
 BITS = 18
 MEMO = 100_000  # at most so many tokens are remembered, then forgotten all at once
@@ -72,12 +73,15 @@ def _featurise(batches):
             yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([i for i, _ in f], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in f], pa.list_(pa.float32()))], ["y", "h", "i", "v"])
 
 
-def _ftrl(alpha: float, beta: float, l1: float, l2: float, epochs: int):
+def _ftrl(alpha: float, beta: float, l1: float, l2: float, epochs: int, most: int):
     def run(batches):
         z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-        rows = []
+        rows, held = [], 0
         for b in batches:
-            rows += zip(b.column("y").to_pylist(), (x.values.to_numpy() for x in b.column("i")), (x.values.to_numpy().astype(np.float64) for x in b.column("v")))
+            for y, i, v in zip(b.column("y").to_pylist(), b.column("i"), b.column("v")):
+                held += len(i)
+                if held <= most:
+                    rows.append((y, i.values.to_numpy().copy(), v.values.to_numpy().astype(np.float64)))
 
         def weights(zi, ni):
             return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
@@ -94,24 +98,24 @@ def _ftrl(alpha: float, beta: float, l1: float, l2: float, epochs: int):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.0, l2: float = 0.5, label: str = "quality") -> np.ndarray:
-    """Weights, learned from a sample of about `sample` labelled rows: that bound is this parameter."""
-    usable = labels.select("doc_id", F.col(label).alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0))
+def train(
+    docs: DataFrame, labels: DataFrame, sample: int = 8000, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.5, label: str = "quality", most: int = 30_000_000
+) -> np.ndarray:
+    """Weights, learned from a sample of at most `sample` labelled rows and `most` features: these parameters are the bound."""
     h = F.xxhash64(F.lit(11), "doc_id")
-    known = usable.count()
-    if known > sample:
-        usable = usable.filter(F.pmod(h, F.lit(1 << 30)) < (1 << 30) * sample // known)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")  # bounded by the parameter
-    rows = chosen.select("text", F.col("y").cast("double").alias("y"), h.alias("h"))
-    rows = rows.mapInArrow(_featurise, "y double, h long, i array<int>, v array<float>")
-    got = rows.repartition(1).sortWithinPartitions("h").mapInArrow(_ftrl(alpha, beta, l1, l2, epochs), "w binary").collect()  # one row
+    usable = labels.select("doc_id", F.col(label).cast("double").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0))
+    usable = usable.distinct().withColumn("h", h).orderBy("h", "doc_id", "y").limit(sample)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")  # `sample` rows at most
+    rows = chosen.select("text", "y", "h").mapInArrow(_featurise, "y double, h long, i array<int>, v array<float>").distinct()
+    rows = stored(rows.orderBy("h", "y", F.hash("i")).limit(sample), "quality-sample")
+    got = rows.repartition(1).sortWithinPartitions("h", "y", F.hash("i")).mapInArrow(_ftrl(alpha, beta, l1, l2, epochs, most), "w binary").collect()  # one row
     return np.frombuffer(got[0]["w"], dtype=np.float32) if got else np.zeros(1 << BITS, dtype=np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, keep: list[str], name: str = "score") -> DataFrame:
     """The columns in keep, and the score under this name, for every row."""
     model = docs.sparkSession.sparkContext.broadcast(weights)
-    rows = docs.select(*[docs[c] for c in keep], *[docs["text"].alias("__text")] * ("text" not in keep))
+    rows = docs.select(*[docs[c] for c in keep], *[docs["text"].alias(fresh("text", keep))] * ("text" not in keep))
     at = (*keep, "text").index("text")  # the text goes to Python once
 
     def run(batches):
@@ -137,4 +141,5 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 8000, threshold:
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 8000, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier accepts, with all their columns."""
-    return score(docs, train(docs, labels, sample), docs.columns, "__score").filter(F.col("__score") >= threshold).drop("__score")
+    name = fresh("score", docs.columns)
+    return score(docs, train(docs, labels, sample), docs.columns, name).filter(F.col(name) >= threshold).drop(name)

@@ -5,12 +5,13 @@ Rows get a seeded hash; within each source the rows are ranked by it, and the fr
 of that fraction and cut into shards of equal counts, so that each shard, and each run of slots in it, has the
 mixture of the whole table.
 
-Ranks come from counts by hash range: no window holds more than one small range of one source, however large
-the source. The law that holds is `rows`: counts of shards differ by one at most.
+Ranks come from counts by hash range, and these from counts of `WIDE` ranges together: no window holds more than one small range
+of one source, or the counts of `WIDE` ranges, or one count for some two million rows, however large the source. The law that holds is
+`rows`: counts of shards differ by one at most.
 
-Nulls: a null source is a source of its own; a null text has size 16 and crc32 0; null ids share one hash and
-are ranked by what else differs. Rows that are equal in every column are interchangeable. An empty table gives no
-rows. Other columns are ignored.
+Nulls: a null source is a source of its own; a null text has size 16 and crc32 0; rows without an id take their hash from the
+text. Rows that repeat an id, or have neither id nor text, share one hash and are ranked by what else differs, in one range. Rows that are
+equal in every column are interchangeable. An empty table gives no rows. Other columns are ignored.
 """
 
 import math
@@ -20,17 +21,17 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-ROWS_IN_RANGE = 2000
+ROWS_IN_RANGE, WIDE = 2000, 1024
 
 
 def _offsets(counts: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Rows before each range, and rows in all, by group."""
+    """Rows before each range, and rows in all, by group; counts of WIDE ranges are summed first."""
+    counts = counts.withColumn("wide", F.floor(F.col(order) / WIDE))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return counts.select(
-        *by, order,
-        F.coalesce(F.sum("n").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        F.sum("n").over(w).alias("total"),
-    )
+    sofar = lambda w, x: F.coalesce(F.sum("n").over(w.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wide = counts.groupBy(*by, "wide").agg(F.sum("n").alias("n")).select(*by, "wide", sofar(w, "wide").alias("ahead"), F.sum("n").over(w).alias("total"))
+    within = counts.select(*by, "wide", order, sofar(Window.partitionBy(*by, "wide"), order).alias("inside"))
+    return within.join(wide, [*by, "wide"]).select(*by, order, (F.col("ahead") + F.col("inside")).alias("before"), "total")
 
 
 def interleave(docs: DataFrame, shards: int, seed: int = 17, strata: str = "source") -> DataFrame:
@@ -41,7 +42,7 @@ def interleave(docs: DataFrame, shards: int, seed: int = 17, strata: str = "sour
     key = docs.select(
         "doc_id", "text",
         F.when(F.col(strata).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(strata).cast("string"))).alias("stratum"),
-        F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1))).alias("h"),
+        F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(F.xxhash64(F.lit(seed), "doc_id")).alias("h"),
     ).withColumn("part", F.shiftrightunsigned("h", 64 - bits))
     before = _offsets(key.groupBy("stratum", "part").agg(F.count("*").alias("n")), ["stratum"], "part")
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -116,12 +116,50 @@ def test_language(docs, odd, none):
     assert rows(language.identify(none)) == []
 
 
-def test_language_scores_like_the_plain_formula(docs):
-    langs, m = language.train(docs, 20)
-    r = docs.filter("doc_id = 9").first()
-    text = language._letters(r["text"])
-    logp = sum(m[g].sum(axis=0) for g in language._grams(text))
-    assert langs[int(np.argmax(logp))] == rows(language.predict(docs.filter("doc_id = 9"), langs, m))[0]["lang_pred"]
+def test_language_scores_like_the_plain_formula(docs, odd):
+    """Counts, log-probabilities, priors and posteriors again, n-gram by n-gram."""
+
+    def bucket(gram):
+        codes, key = [ord(c) for c in gram], ord(gram[0])
+        for c in codes[1:]:
+            key = (key * 0x110000 + c if len(gram) < 4 else (key << 16) ^ c) % 2**64
+        return int(language.mix64(np.array([key], np.uint64), len(gram))[0]) >> 48
+
+    def grams(text):
+        letters = "".join(c if c.isalpha() else " " for c in text.lower())
+        t = f" {' '.join(letters.split())} "
+        return Counter(t[i : i + n] for n in (1, 2, 3, 4) for i in range(len(t) - n + 1)) if t.strip() else Counter()
+
+    some = docs.filter("doc_id < 60 and length(text) < 3000")
+    learn = [r for r in rows(some) if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["lang"]]
+    langs = sorted({r["lang"] for r in learn})
+    seen: dict[str, int] = {}
+    counts = {x: Counter() for x in langs}
+    for r in learn:
+        for g, n in grams(r["text"]).items():
+            seen[g] = seen.get(g) or bucket(g)
+            counts[r["lang"]][seen[g]] += n
+    totals = {x: sum(counts[x].values()) + 0.5 * 65536 for x in langs}
+    got = {r["doc_id"]: r for r in rows(language.identify(some, per_lang=10**6))}
+    for r in rows(some):
+        mine = grams(r["text"])
+        n = sum(mine.values())
+        logs = []
+        for x in langs:
+            logp = sum(c * np.log((counts[x][seen.setdefault(g, bucket(g))] + 0.5) / totals[x]) for g, c in mine.items())
+            logs.append(logp / n * 32 + np.log(sum(q["lang"] == x for q in learn) / len(learn)))
+        p = np.exp(np.array(logs) - max(logs))
+        assert got[r["doc_id"]]["lang_pred"] == langs[int(p.argmax())] and abs(got[r["doc_id"]]["score"] - p.max() / p.sum()) < 1e-9
+
+
+def test_language_in_pieces(monkeypatch):
+    """Long texts in pieces, many texts at once: the same sums."""
+    matrix = np.random.default_rng(1).standard_normal((language.BUCKETS, 3))
+    texts = [language._letters(t) for t in ("one two three", "a", "fünf sechs " * 40, "x y")]
+    want = language.totals(texts, matrix)
+    monkeypatch.setattr(language, "PIECE", 20)
+    got = language.totals(texts, matrix)
+    assert (got[1] == want[1]).all() and np.allclose(got[0], want[0]) and want[1][1] == 3 + 2 + 1
 
 
 @pytest.fixture(scope="module")
@@ -261,9 +299,35 @@ def test_nearest(spark, sf):
 
 
 def test_chi_square():
-    x = np.random.default_rng(1).chisquare(6, 200_000)
-    for q in (1.0, 4.0, 9.0):
-        assert abs((x < q).mean() - ann.chi_square_6(np.float64(q))) < 0.01
+    x = np.random.default_rng(1).chisquare(ann.DIMENSIONS, 200_000)
+    for q in (8.0, 16.0, 24.0):
+        assert abs((x < q).mean() - ann.chi_square(np.float64(q))) < 0.01
+    assert abs(ann.chi_square(ann.quantile(0.95)) - 0.95) < 1e-9
+
+
+@pytest.mark.parametrize(("spread", "most"), [(None, 0.8), (0.3, 0.1)])
+def test_verified_share_and_recall(spread, most):
+    """How much of a shard is compared on its original coordinates: isotropic vectors, and 200 clusters of unequal length."""
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((8000, 64))
+    if spread is not None:
+        v = rng.standard_normal((200, 64))[rng.integers(0, 200, 8000)] + spread * v
+    v *= rng.uniform(1e200, 1.1e200, (8000, 1)) if spread is not None else 1 / np.linalg.norm(v, axis=1, keepdims=True)
+    tree, hits, asked = ann.Tree(np.arange(8000), v, 20), 0, range(0, 8000, 200)
+    small = v / np.abs(v).max()
+    with np.errstate(over="ignore"):
+        for q in asked:
+            s = small @ small[q]
+            s[q] = -np.inf
+            hits += len(set(np.argsort(-s)[:20].tolist()) & {i for _, i in tree.search(q, v[q], 20, 0.95)})
+    assert hits >= 0.95 * 20 * len(asked) and tree.verified <= most * 8000 * len(asked)
+
+
+def test_nearest_of_one_id_with_two_vectors(spark):
+    """Each vector of an id asks and is found; the best score counts."""
+    some = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.9, 0.1]), (2, [0.0, 2.0]), (2, [0.1, 0.1]), (2, [0.1, 0.1])]
+    df = spark.createDataFrame(some, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
+    assert [tuple(r) for r in ann.nearest(df).orderBy("rank").collect()] == [(0, 1, 2, 2.0), (0, 2, 1, 0.9)]
 
 
 def test_bpe(docs, odd, none, tok, monkeypatch):
@@ -371,7 +435,8 @@ def test_decontamination(spark, docs, odd, none, sf):
     assert {(r["doc_id"], r["item_id"]) for r in rows(decontam.find(df, bench, block_bytes=900))} == got
     assert {r["doc_id"] for r in rows(decontam.clean(df, bench))} == {i for i, _ in some} - {i for i, _ in got}
     odd_bench = spark.createDataFrame([(1, None), (2, ""), (None, "one two three one two three"), (3, "x"), (4, "one two three. one two THREE")], "item_id long, text string")
-    assert {(r["doc_id"], r["item_id"]) for r in rows(decontam.find(odd, odd_bench))} == {(3, 4), (7, 4)}
+    assert {(r["doc_id"], r["item_id"]) for r in rows(decontam.find(odd, odd_bench))} == {(3, 4), (7, 4), (9, 3)}  # a short item is a whole word
+    assert {r["doc_id"] for r in rows(decontam.clean(odd, odd_bench))} == {r[0] for r in ODD} - {3, 7}
     assert rows(decontam.find(odd, odd_bench.limit(0))) == [] and rows(decontam.find(none, bench)) == []
     assert decontam.clean(odd, odd_bench).columns == odd.columns
 
