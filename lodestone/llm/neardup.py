@@ -39,7 +39,7 @@ from .common import drop_stored, fresh, mix64, small_or_not, stored
 
 COORDINATES, BANDS, ROWS = 160, 32, 5
 AGREE = 98
-BLOCK = 2000  # members or leaders of a bucket that one group holds
+BLOCK = 500  # members or leaders of a bucket that one group holds
 IDS = 1_000_000  # at most so many ids (16 bytes each) are broadcast to pick documents; more are joined by a shuffle
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
