@@ -65,8 +65,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def stub_embedding(text: Column) -> Column:
-    """A unit vector of 128 numbers from the 32 bytes of the text's SHA-256, repeated and scaled to [-1, 1]."""
-    digest = F.sha2(text.cast("binary"), 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.conv(F.substring(digest, 2 * (i % 32) + 1, F.lit(2)), 16, 10).cast("double") / 255 * 2 - 1)
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: x / length)
+    """A unit vector of 128 numbers from the 32 bytes of the text's SHA-256, repeated and scaled to [-1, 1]. The digest is taken once and the
+    length once: each is the only element of an array that a transform runs over."""
+    bound = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    byte = lambda d, i: F.conv(F.substring(d, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 255 * 2 - 1
+    raw = bound(F.sha2(text.cast("binary"), 256), lambda d: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: byte(d, i)))
+    unit = lambda r: bound(F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x) * (DIMENSIONS // 32)), lambda n: F.transform(r, lambda x: x / n))
+    return F.flatten(F.array_repeat(bound(raw, unit), DIMENSIONS // 32))

@@ -49,19 +49,20 @@ def with_topic(events: DataFrame, catalog: DataFrame) -> DataFrame:
     return events.join(F.broadcast(catalog), events["eventType"] == catalog["event_type"], "left")  # the catalog is a fixed list
 
 
-def recent(events: DataFrame, limit: int = 100, event_type: str | None = None, log: int = LOG, order: tuple[str, ...] = ("timestamp", "eventId")) -> DataFrame:
-    """The newest events, newest first. The log holds the last `log` events; filters apply to what it holds."""
+def recent(events: DataFrame, limit: int = 100, event_type: str | None = None, log: int = LOG, order: tuple[str, ...] = ("timestamp", "eventId"), topic: str | None = None) -> DataFrame:
+    """The newest events, newest first. The log holds the last `log` events; filters by type and topic apply to what it holds."""
     check("limit", limit, 1, LOG)
     newest = [F.desc(c) for c in order]
     held = events.orderBy(*newest).limit(log)
     held = held if event_type is None else held.filter(F.col("eventType") == event_type)
+    held = held if topic is None else held.filter(F.col("eventType").isin([t[1] for t in TOPICS if t[0] == topic]))
     return held.orderBy(*newest).limit(limit)
 
 
 def deduplicate(events: DataFrame) -> DataFrame:
     """One row for each eventId: the earliest."""
-    rank = F.row_number().over(Window.partitionBy("eventId").orderBy("timestamp"))
-    return events.withColumn("__n", rank).filter("__n = 1").drop("__n")
+    first = events.groupBy(F.col("eventId").alias("__id")).agg(F.min_by(F.struct("*"), "timestamp").alias("__e"))
+    return first.select("__e.*")
 
 
 def rates(events: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:

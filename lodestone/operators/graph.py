@@ -8,7 +8,7 @@ written to the shared folder, so the plan does not grow and cycles end by themse
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import stored
+from ..sources.store import small_or_not, stored
 from .search import check
 
 LABELS = ("Repository", "Document", "Service", "Team", "Developer", "Dependency", "Commit")
@@ -31,9 +31,10 @@ def _prepared(events: DataFrame) -> DataFrame:
     """Events with their repository, its state before the event, and the place of the event in the order."""
     e = events.withColumn("repo", _get("repositoryId")).withColumn("at", F.struct("timestamp", "eventId"))
     state = F.when(F.col("eventType").isin("RepositoryCreated", "RepositoryCloned"), 1).when(F.col("eventType") == "RepositoryDeleted", 0)
-    w = Window.partitionBy("repo").orderBy("at")
+    each = F.coalesce("repo", F.concat(F.lit("no repository "), "eventId"))  # events without a repository stand alone, not in one window
+    w = Window.partitionBy(each).orderBy("at")
     alive = F.coalesce(F.last(state, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
-    return e.withColumn("alive", alive & F.col("repo").isNotNull()).withColumn("gone", F.max(F.when(F.col("eventType") == "RepositoryDeleted", F.col("at"))).over(Window.partitionBy("repo")))
+    return e.withColumn("alive", alive & F.col("repo").isNotNull()).withColumn("gone", F.max(F.when(F.col("eventType") == "RepositoryDeleted", F.col("at"))).over(Window.partitionBy(each)))
 
 
 def fold_nodes(events: DataFrame) -> DataFrame:
@@ -137,11 +138,28 @@ def merge_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("from_id", "to_id", "type").agg(F.min("created_at").alias("created_at"))
 
 
+def match(nodes: DataFrame, edges: DataFrame, type: str | None = None, from_label: str | None = None, to_label: str | None = None) -> DataFrame:
+    """(a)-[type]->(b) with both ends: every column of nodes once as from_ and once as to_, and the columns of the edge between them."""
+    end = lambda side, label: list_nodes(nodes, label).select(*[F.col(c).alias(f"{side}_id" if c == "node_id" else f"{side}_{c}") for c in nodes.columns])
+    return list_edges(edges, type=type).join(end("from", from_label), "from_id").join(end("to", to_label), "to_id")
+
+
+def walk(edges: DataFrame, starts: DataFrame, types: list[str], reverse: bool = False) -> DataFrame:
+    """start, node_id: where each start gets by edges of these types, one after the other; ownership is such a walk along OWNS and
+    BELONGS_TO."""
+    a, b = ("to_id", "from_id") if reverse else ("from_id", "to_id")
+    at = starts.select("start", F.col("start").alias("node_id")).distinct()
+    for t in types:
+        step = edges.filter(F.col("type") == t).select(F.col(a).alias("node_id"), F.col(b).alias("next"))
+        at = at.join(step, "node_id").select("start", F.col("next").alias("node_id")).distinct()
+    return at
+
+
 def reach(edges: DataFrame, starts: DataFrame, hops: int, reverse: bool = False) -> DataFrame:
     """start, node_id, hops: what each start (start) reaches within some hops along the edges, by the shortest way; the start at 0."""
     check("hops", hops, 1, 1000)
     a, b = ("to_id", "from_id") if reverse else ("from_id", "to_id")
-    steps = edges.select(F.col(a).alias("node_id"), F.col(b).alias("next")).distinct()
+    steps = stored(edges.select(F.col(a).alias("node_id"), F.col(b).alias("next")).distinct(), "steps")
     seen = starts.select("start", F.col("start").alias("node_id"), F.lit(0).alias("hops"))
     frontier = seen
     for level in range(1, hops + 1):
@@ -153,20 +171,61 @@ def reach(edges: DataFrame, starts: DataFrame, hops: int, reverse: bool = False)
     return seen
 
 
+def paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """start, node_id, hops, path: the shortest path from each start to what it reaches; of several the first in the order of its nodes."""
+    check("hops", hops, 1, 1000)
+    steps = stored(edges.select(F.col("from_id").alias("node_id"), F.col("to_id").alias("next")).distinct(), "steps")
+    seen = starts.select("start", F.col("start").alias("node_id"), F.lit(0).alias("hops"), F.array("start").alias("path"))
+    frontier = seen
+    for level in range(1, hops + 1):
+        new = frontier.join(steps, "node_id").groupBy("start", F.col("next").alias("node_id")).agg(F.min("path").alias("path"))
+        new = new.join(seen.select("start", "node_id"), ["start", "node_id"], "left_anti")
+        frontier = stored(new.select("start", "node_id", F.lit(level).alias("hops"), F.concat("path", F.array("node_id")).alias("path")), "paths")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def in_cycles(edges: DataFrame, hops: int) -> DataFrame:
-    """Nodes that reach themselves within some hops, and in how many."""
-    starts = edges.select(F.col("from_id").alias("start")).distinct()
-    far = reach(edges, starts, max(1, hops - 1))
-    back = far.join(edges.select(F.col("from_id").alias("node_id"), "to_id"), "node_id").filter("to_id = start")
+    """Nodes that reach themselves within some hops, and in how many. Nodes without a way in or out are trimmed first, again and again (at
+    most `hops` times): what is left is searched from each node."""
+    left = stored(edges.select("from_id", "to_id").distinct(), "cycles")
+    count = left.count()
+    for _ in range(hops):
+        inner = left.join(left.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi").join(left.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi")
+        left = stored(inner.select("from_id", "to_id"), "cycles")
+        before, count = count, left.count()
+        if count == before:
+            break
+    starts = left.select(F.col("from_id").alias("start")).distinct()
+    far = reach(left, starts, max(1, hops - 1))
+    back = far.join(left.select(F.col("from_id").alias("node_id"), "to_id"), "node_id").filter("to_id = start")
     return back.groupBy("start").agg((F.min("hops") + 1).alias("length")).withColumnRenamed("start", "node_id")
 
 
-def derived_edges(first: DataFrame, second: DataFrame, type: str = "INTERACTS_WITH") -> DataFrame:
-    """(a)-[first]->(x)<-[second]-(b) gives (a)-[type]->(b), with the count of x as evidence."""
-    met = first.select(F.col("from_id").alias("a"), F.col("to_id").alias("x")).distinct().join(second.select(F.col("from_id").alias("b"), F.col("to_id").alias("x")).distinct(), "x").filter("a <> b")
+def derived_edges(first: DataFrame, second: DataFrame, type: str = "INTERACTS_WITH", most: int = 1000) -> DataFrame:
+    """(a)-[first]->(x)<-[second]-(b) gives (a)-[type]->(b), with the count of x as evidence. The pairs of one x are as many as the product of its
+    edges; an x with more than `most` first edges is dealt out in parts of that size, each of which meets all its second edges."""
+    a = first.select(F.col("from_id").alias("a"), F.col("to_id").alias("x")).distinct()
+    b = second.select(F.col("from_id").alias("b"), F.col("to_id").alias("x")).distinct()
+    hot = small_or_not(stored(a.groupBy("x").agg(F.expr(f"cast(ceil(count(1) / {most}) as int)").alias("parts")).filter("parts > 1"), "hot-nodes"))
+    a = a.join(hot, "x", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    b = b.join(hot, "x", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    met = a.join(b, ["x", "part"]).filter("a <> b")
     return met.groupBy("a", "b").agg(F.count("*").alias("evidence")).select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), F.lit(type).alias("type"), "evidence", F.lit(True).alias("inferred"))
 
 
+def propagate(scores: DataFrame, edges: DataFrame, keep: float = 0.5, rounds: int = 2) -> DataFrame:
+    """node_id, confidence: each node has the best of its own confidence (node_id, confidence) and `keep` times that of a node with an edge to it,
+    round by round. The formula is our own."""
+    steps = edges.select(F.col("from_id").alias("node_id"), "to_id").distinct()
+    for _ in range(rounds):
+        handed = scores.join(steps, "node_id").select(F.col("to_id").alias("node_id"), (F.col("confidence") * keep).alias("confidence"))
+        scores = stored(scores.select("node_id", "confidence").union(handed).groupBy("node_id").agg(F.round(F.max("confidence"), 6).alias("confidence")), "confidence")
+    return scores
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """In- and out-degree and instability, out / (in + out)."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("from_id").alias("node_id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("to_id").alias("node_id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
@@ -174,6 +233,12 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(d, "node_id", "left").select("node_id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"), F.round(F.try_divide("out_degree", F.col("in_degree") + F.col("out_degree")), 6).alias("instability"))
 
 
+def hotspots(degrees: DataFrame, critical: int, god: int) -> DataFrame:
+    """Nodes that at least `critical` others point to, and those with at least `god` edges in all."""
+    both = F.col("in_degree") + F.col("out_degree")
+    return degrees.select("node_id", (F.col("in_degree") >= critical).alias("critical"), (both >= god).alias("god_object")).filter("critical or god_object")
+
+
 def confidence(evidence: DataFrame, half_life_days: float = 90.0, now: str = "2024-02-01") -> DataFrame:
     """Confidence of an object from its evidence (node_id, weight 0..1, seen_at): 1 - product of (1 - weight * 2^(-age / half life)), and its
     tier. The formula is our own; the tier bounds are 0.90, 0.75, 0.60 and 0.40."""

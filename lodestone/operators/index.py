@@ -1,14 +1,29 @@
-"""The search index as tables: postings, document frequencies with idf, and norms.
+"""The search index as tables: postings, document frequencies with idf, and norms; derived on the fly or kept in a folder.
 
-corpus: id, type, text. postings: id, token, tf (share of the document's tokens), n_tokens. idf = ln(max(N, 1) / (df + 1)) + 1 with N the
-documents that have at least one token. Everything is a partial aggregate followed by one shuffle on its key.
+corpus: id, type, text, and if there metadata (a map). postings: id, segment, token, tf (share of the document's tokens), n_tokens. idf =
+ln(max(N, 1) / (df + 1)) + 1 with N the documents that have at least one token. Everything is a partial aggregate followed by one shuffle
+on its key.
 """
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 
+BUCKETS = 16  # folders of the postings, by a hash of the token
+
+
+@dataclass(frozen=True)
+class Index:
+    """entries: id, segment, type, metadata, token_count, unique_tokens, indexed_at, norm; postings; vocabulary: token, df, idf. Postings
+    whose (id, segment) is not among the entries are dead."""
+
+    entries: DataFrame
+    postings: DataFrame
+    vocabulary: DataFrame
+
 
 def postings(corpus: DataFrame) -> DataFrame:
     tokens = corpus.select("id", tokenize(F.col("text")).alias("tokens"))
@@ -41,14 +56,101 @@ def top_terms(weights: DataFrame, n: int = 20) -> DataFrame:
     return weights.select("token", F.round("idf", 4).alias("idf")).orderBy(F.desc("idf"), "token").limit(n)
 
 
-def stats(corpus: DataFrame) -> DataFrame:
-    """Documents, documents indexed (all that were ever added) and distinct tokens."""
-    vocabulary = postings(corpus).agg(F.count_distinct("token").alias("vocabulary"))
-    return corpus.agg(F.count("*").alias("documents")).crossJoin(vocabulary)  # one row each
+def _entries(corpus: DataFrame, at) -> DataFrame:
+    t = tokenize(F.col("text"))
+    meta = F.col("metadata") if "metadata" in corpus.columns else F.expr("map()").cast("map<string,string>")
+    return corpus.select("id", "type", meta.alias("metadata"), F.size(t).alias("token_count"), F.size(F.array_distinct(t)).alias("unique_tokens"), at.alias("indexed_at"))
+
+
+def of(corpus: "DataFrame | Index") -> Index:
+    """The index of a corpus, derived whenever it is read."""
+    if isinstance(corpus, Index):
+        return corpus
+    posts = postings(corpus)
+    weights = idf(posts, corpus_size(corpus))
+    entries = _entries(corpus, F.current_timestamp()).join(norms(posts, weights), "id", "left").withColumn("segment", F.lit(0))
+    return Index(entries, posts.withColumn("segment", F.lit(0)), weights)
+
+
+class Store:
+    """An index in a folder. Each add or remove appends a segment, whose postings lie in folders by token bucket, sorted by token, and then
+    writes the vocabulary and the entries with their norms anew, since every change of N or of a df changes them; the state row comes
+    last, so that a change that failed is not seen. Ids within one add must be distinct (of repeated ones, one counts). Adding an id again
+    replaces it. total_indexed counts every document ever added, total_removed those removed; replacing removes nothing."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def _has(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def state(self) -> dict:
+        """segment, documents, vocabulary, total_indexed, total_removed of the newest state."""
+        if not self._has("state"):
+            return {"segment": 0, "documents": 0, "vocabulary": 0, "total_indexed": 0, "total_removed": 0}
+        return self._read("state").orderBy(F.desc("segment")).first().asDict()
+
+    def stats(self) -> DataFrame:
+        """One row."""
+        kinds = "documents long, vocabulary long, total_indexed long, total_removed long"
+        s = self.state()
+        return self.spark.createDataFrame([tuple(s[k.split()[0]] for k in kinds.split(", "))], kinds)
+
+    def add(self, corpus: DataFrame, at: str | None = None) -> "Store":
+        s = self.state()
+        n = s["segment"] + 1
+        own = corpus.dropDuplicates(["id"])
+        posts = postings(own).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int"))
+        # a token of any frequency is spread: ranges are cut within it
+        posts = posts.repartitionByRange("bucket", "token", "id").sortWithinPartitions("bucket", "token", "id")
+        posts.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={n}")
+        now = F.current_timestamp() if at is None else F.to_timestamp(F.lit(at))
+        _entries(own, now).write.mode("overwrite").parquet(f"{self.folder}/entries/segment={n}")
+        added = self.spark.read.parquet(f"{self.folder}/entries/segment={n}").count()
+        return self._refresh(n, s["total_indexed"] + added, s["total_removed"])
+
+    def remove(self, ids: DataFrame) -> "Store":
+        s = self.state()
+        n = s["segment"] + 1
+        gone = self.tables().entries.join(ids.select("id").distinct(), "id", "left_semi").select("id")
+        gone.write.mode("overwrite").parquet(f"{self.folder}/removed/segment={n}")
+        count = self.spark.read.parquet(f"{self.folder}/removed/segment={n}").count()
+        return self._refresh(n, s["total_indexed"], s["total_removed"] + count)
+
+    def _refresh(self, n: int, indexed: int, removed: int) -> "Store":
+        here = F.col("segment") <= n
+        entries, posts = self._read("entries").filter(here), self._read("postings").filter(here)
+        newest = F.max("segment").alias("segment")
+        live = entries.select("id", "segment").groupBy("id").agg(newest)
+        if self._has("removed"):
+            gone = self._read("removed").filter(here).groupBy("id").agg(F.max("segment").alias("since"))
+            live = live.join(gone, "id", "left").filter("since is null or since < segment").drop("since")
+        live = entries.join(live, ["id", "segment"])
+        if n > 1:
+            posts = posts.join(live.select("id", "segment"), ["id", "segment"], "left_semi")
+        size = live.filter("token_count > 0").agg(F.greatest(F.count("*"), F.lit(1)).alias("docs"))
+        base = f"{self.folder}/version={n}"
+        idf(posts, size).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{base}/vocabulary")
+        vocabulary = self.spark.read.parquet(f"{base}/vocabulary")
+        live.join(norms(posts, vocabulary), "id", "left").write.mode("overwrite").parquet(f"{base}/entries")
+        row = (self.spark.read.parquet(f"{base}/entries").count(), vocabulary.count(), indexed, removed)
+        self.spark.createDataFrame([row], "documents long, vocabulary long, total_indexed long, total_removed long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/state/segment={n}")
+        return self
+
+    def tables(self) -> Index:
+        n = self.state()["segment"]
+        if not n:
+            raise ValueError(f"nothing was added to {self.folder}")
+        base = f"{self.folder}/version={n}"
+        return Index(self.spark.read.parquet(f"{base}/entries"), self._read("postings").filter(F.col("segment") <= n), self.spark.read.parquet(f"{base}/vocabulary"))
 
 
 def add(corpus: DataFrame, new: DataFrame) -> DataFrame:
-    """Adding an id again replaces it."""
+    """A corpus with more documents; adding an id again replaces it."""
     return corpus.join(new, "id", "left_anti").select(*new.columns).unionByName(new)
 
 

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,14 +29,22 @@ def page_count(df: DataFrame, size: int) -> DataFrame:
     return df.agg(F.count("*").alias("total_items")).select("total_items", F.ceil(F.col("total_items") / size).alias("total_pages"))
 
 
-def where(df: DataFrame, organization: str | None = None, **equal) -> DataFrame:
-    """Rows whose columns equal the given values; with an organization, only its rows."""
+def where(df: DataFrame, organization: str | None = None, since: dict | None = None, until: dict | None = None, any_of: dict | None = None, **equal) -> DataFrame:
+    """Rows whose columns equal the given values, are at or after `since`, before `until`, and among `any_of`; with an organization, only its rows."""
     tests: list[Column] = [F.col(c) == v for c, v in equal.items() if v is not None]
+    tests += [F.col(c) >= v for c, v in (since or {}).items()] + [F.col(c) < v for c, v in (until or {}).items()] + [F.col(c).isin(list(v)) for c, v in (any_of or {}).items()]
     if organization is not None:
         tests.append(F.col("organization_id") == organization)
     return df.filter(reduce(lambda a, b: a & b, tests)) if tests else df
 
 
+def of_tenant(df: DataFrame, organization: str | None, **filters) -> DataFrame:
+    """The same for one organization, which must be named."""
+    if not organization:
+        raise ValueError("an organization is required")
+    return where(df, organization, **filters)
+
+
 def fuse(sources: dict[str, DataFrame], k: int = 60, top_k: int = 10) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (id, rank): each id once, with the sum of 1 / (k + rank) over the lists and its best rank."""
     parts = [d.select("id", "rank", F.lit(n).alias("source")) for n, d in sources.items()]
@@ -58,8 +66,7 @@ def expand(tokens: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def best_of_each(df: DataFrame, key: str, score: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score)))
-    return df.withColumn("__n", rank).filter("__n = 1").drop("__n")
+    return df.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct("*"), score).alias("__best")).select("__best.*")
 
 
 def duplicates(df: DataFrame, key: str, text: str) -> DataFrame:

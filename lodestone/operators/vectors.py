@@ -1,12 +1,18 @@
-"""Vectors: choice of chunk texts, stub embeddings, cosine search."""
+"""Vectors: choice of chunk texts, stub embeddings, the embedding fold, cosine search."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import as_doubles, cosine, stub_embedding
+from ..functions.similarity import DIMENSIONS, as_doubles, cosine, stub_embedding
 from ..functions.text import words
 from .search import check
 
+MODEL, PREVIEW = "stub-128", 200  # fixed value: characters of a preview
+VECTORS, QUERIES = 8192, 1024  # of a block
+PACKED = pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
+
 
 def chunk_texts(document_id: Column, previews: Column, preview: Column, count: Column) -> Column:
     """The texts to embed: the chunk previews; else the text preview cut in `count` windows, the last one longer; else placeholders."""
@@ -21,8 +27,28 @@ def chunk_texts(document_id: Column, previews: Column, preview: Column, count: C
 
 
 def embed(documents: DataFrame) -> DataFrame:
-    """One row for each chunk of documents (document_id, texts)."""
-    return documents.select("document_id", F.posexplode("texts").alias("chunk_index", "text")).select("document_id", "chunk_index", F.lit("stub-128").alias("model_name"), stub_embedding(F.col("text")).alias("vector"))
+    """One row for each chunk of documents (document_id, texts); other columns are kept."""
+    rest = [c for c in documents.columns if c not in ("document_id", "texts")]
+    each = documents.select("document_id", *rest, F.posexplode("texts").alias("chunk_index", "text"))
+    return each.select("document_id", *rest, "chunk_index", F.substring("text", 1, PREVIEW).alias("text_preview"), F.lit(MODEL).alias("model_name"), F.lit(DIMENSIONS).alias("vector_dim"), stub_embedding(F.col("text")).alias("vector"))
+
+
+def fold(events: DataFrame) -> DataFrame:
+    """One row for each chunk of each document processed (the last event of a document counts), with its vector."""
+    e = events.filter(F.col("eventType") == "DocumentProcessed").withColumn("id", F.get_json_object("payload", "$.documentId"))
+    last = e.groupBy("id").agg(F.max_by(F.struct("payload", "organizationId"), F.struct("timestamp", "eventId")).alias("e")).select("id", "e.*")
+    get = lambda name: F.get_json_object("payload", f"$.{name}")
+    previews = F.from_json(get("chunkPreviews"), "array<string>")
+    texts = chunk_texts(F.col("id"), previews, get("textPreview"), get("chunkCount").cast("int"))
+    return embed(last.select(F.col("id").alias("document_id"), get("repositoryId").alias("repository_id"), F.col("organizationId").alias("organization_id"), texts.alias("texts")))
+
+
+def search_text(chunks: DataFrame, query: str, top_k: int = 5) -> DataFrame:
+    """The chunks nearest to the vector of a text: document_id, chunk_index, preview, score; ties by document and chunk."""
+    check("top_k", top_k, 1, 50)
+    q = F.broadcast(chunks.sparkSession.range(1).select(stub_embedding(F.lit(query)).alias("q")))  # one row
+    score = F.round(cosine(F.col("vector"), F.col("q")), 6)
+    return chunks.crossJoin(q).select("document_id", "chunk_index", F.col("text_preview").alias("preview"), score.alias("score")).orderBy(F.desc("score"), "document_id", "chunk_index").limit(top_k)
 
 
 def top_similar(vectors: DataFrame, query: list[float], top_k: int = 5) -> DataFrame:
@@ -32,12 +58,50 @@ def top_similar(vectors: DataFrame, query: list[float], top_k: int = 5) -> DataF
     return vectors.select("id", F.round(cosine(F.col("vector"), q), 6).alias("score")).orderBy(F.desc("score"), "id").limit(top_k)
 
 
+def _packed(key, t):
+    ids = t["id"].to_numpy().astype(np.int64)
+    return pa.table({"dim": [key[0].as_py()], "block": [key[1].as_py()], "ids": [ids.tobytes()], "data": [t["vector"].combine_chunks().flatten().to_numpy().tobytes()]}, schema=PACKED)
+
+
+def _nearest(top_k: int):
+    """The nearest of each query of a block among the vectors of another, which are held once for all query blocks that meet it."""
+
+    def run(batches):
+        for b in batches:
+            for dim, ids, data, q_ids, q_data in zip(*(b.column(i).to_pylist() for i in range(5))):
+                v, q = (np.frombuffer(x).reshape(-1, dim) for x in (data, q_data))
+                ids, q_ids = (np.frombuffer(x, np.int64) for x in (ids, q_ids))
+                lengths = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    score = np.round(q @ v.T / lengths, 6)
+                score[(q_ids[:, None] == ids) | ~np.isfinite(score)] = -np.inf
+                out = []
+                for own, row in zip(q_ids.tolist(), score):
+                    at = np.flatnonzero(row >= (np.partition(row, -top_k)[-top_k] if len(row) > top_k else -2))
+                    at = at[row[at] >= -2]
+                    out += [(own, int(ids[i]), float(row[i])) for i in at[np.lexsort((ids[at], -row[at]))][:top_k]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "score"])
+
+    return run
+
+
 def top_similar_many(vectors: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame:
-    """The nearest of each of a few queries (query_id, vector), whose vectors are broadcast: their count must be bounded."""
-    q = F.broadcast(queries.select("query_id", as_doubles(F.col("vector")).alias("q")))
-    scored = vectors.join(q, F.col("id") != F.col("query_id")).select("query_id", "id", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("score"))
+    """The nearest by cosine of each query (query_id, vector) among all vectors (id, vector) but its own: query_id, rank, id, score. Queries and
+    vectors meet in blocks of bounded size, and each pair of blocks hands on top_k rows of a query. Vectors of zeros and of other
+    dimensions, and rows without id or vector, take no part."""
+
+    def blocks(df: DataFrame, id_: str, size: int) -> tuple[DataFrame, int]:
+        rows = df.select(F.col(id_).cast("long").alias("id"), as_doubles(F.col("vector")).alias("vector")).filter("id is not null and size(vector) > 0 and forall(vector, x -> x is not null)")
+        n = max(1, -(-df.count() // size))
+        packed = rows.withColumns({"dim": F.size("vector"), "block": F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")}).groupBy("dim", "block").applyInArrow(_packed, "dim int, block int, ids binary, data binary")
+        return packed, n
+
+    (every, n), (asked, _) = blocks(vectors, "id", VECTORS), blocks(queries, "query_id", QUERIES)
+    asked = asked.select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    met = every.join(asked, ["dim", "block"]).select("dim", "ids", "data", "q_ids", "q_data")
+    found = met.mapInArrow(_nearest(top_k), "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= top_k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= top_k)
 
 
 def records(embeddings: DataFrame, repository_id: str | None = None, include_vectors: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import manifests
 from ..operators import events as E
-from ..operators import folds, graph
+from ..operators import folds, graph, index, vectors
 from ..sources.store import table
 from . import query
 
@@ -59,17 +59,46 @@ def edges_filtered(spark, sf_dir):
     return graph.list_edges(edges(spark, sf_dir), to_id="Nation:3", type="BELONGS_TO")
 
 
-@query(f"WITH {BOTH}, gone AS (SELECT node_id FROM nodes WHERE label = 'Part' AND name LIKE 'small%') SELECT count(*) AS edges FROM edges WHERE from_id NOT IN (SELECT * FROM gone) AND to_id NOT IN (SELECT * FROM gone)")
+@query(f"""WITH {BOTH}, gone AS (SELECT node_id FROM nodes WHERE label = 'Part' AND name LIKE 'small%'), n AS (SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT * FROM gone))
+SELECT 'node' AS kind, node_id AS a, NULL AS b, label AS type FROM nodes JOIN n USING (node_id) UNION ALL SELECT 'edge', from_id, to_id, type FROM edges WHERE from_id NOT IN (SELECT * FROM gone) AND to_id NOT IN (SELECT * FROM gone)""")
 def detach_delete(spark, sf_dir):
+    """All nodes and edges that remain."""
     n = nodes(spark, sf_dir)
-    gone = n.filter("label = 'Part' and name like 'small%'").select("node_id")
-    return graph.detach_delete(n, edges(spark, sf_dir), gone)[1].agg(F.count("*").alias("edges"))
+    left, e = graph.detach_delete(n, edges(spark, sf_dir), n.filter("label = 'Part' and name like 'small%'").select("node_id"))
+    left = left.select(F.lit("node").alias("kind"), F.col("node_id").alias("a"), F.lit(None).cast("string").alias("b"), F.col("label").alias("type"))
+    return left.union(e.select(F.lit("edge"), "from_id", "to_id", "type"))
 
 
-@query(f"WITH {BOTH} SELECT type, count(*) AS n FROM edges WHERE from_id IN (SELECT node_id FROM nodes) AND to_id IN (SELECT node_id FROM nodes WHERE label <> 'Region') GROUP BY type")
+TIMED = "SELECT 'Order:' || l_orderkey AS from_id, 'Part:' || l_partkey AS to_id, 'REFERENCES' AS type, l_shipdate AS created_at FROM lineitem"
+
+
+@query(f"WITH {SQL_NODES}, e AS ({TIMED}) SELECT from_id, to_id, type, min(created_at) AS created_at FROM e WHERE from_id IN (SELECT node_id FROM nodes) AND to_id IN (SELECT node_id FROM nodes WHERE name NOT LIKE 'red%') GROUP BY ALL")
 def merged_edges(spark, sf_dir):
-    e = edges(spark, sf_dir).withColumn("created_at", F.lit(0))
-    return graph.merge_edges(e, nodes(spark, sf_dir).filter("label <> 'Region'").unionByName(nodes(spark, sf_dir).filter("label = 'Region'").limit(0))).groupBy("type").agg(F.count("*").alias("n"))
+    """Every line of an order as an edge to its part, written again and again; parts that begin with red are not there."""
+    l = table(spark, sf_dir, "lineitem")
+    e = l.select(F.concat(F.lit("Order:"), F.col("l_orderkey").cast("string")).alias("from_id"), F.concat(F.lit("Part:"), F.col("l_partkey").cast("string")).alias("to_id"), F.lit("REFERENCES").alias("type"), F.col("l_shipdate").alias("created_at"))
+    return graph.merge_edges(e, nodes(spark, sf_dir).filter("label <> 'Part' or name not like 'red%'"))
+
+
+@query(f"WITH {BOTH} SELECT e.from_id, e.to_id, e.type, a.label AS from_label, a.name AS from_name, b.label AS to_label, b.name AS to_name FROM edges e JOIN nodes a ON a.node_id = e.from_id JOIN nodes b ON b.node_id = e.to_id WHERE e.type = 'BELONGS_TO' AND b.label = 'Nation'")
+def pattern_match(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    nations = n.filter("label = 'Nation'")
+    return graph.match(n, graph.list_edges(edges(spark, sf_dir), type="BELONGS_TO").join(nations.select(F.col("node_id").alias("to_id")), "to_id", "left_semi"))
+
+
+@query(f"WITH {SQL_EDGES} SELECT DISTINCT o.from_id AS start, r.to_id AS node_id FROM edges o JOIN edges n ON n.from_id = o.to_id AND n.type = 'BELONGS_TO' JOIN edges r ON r.from_id = n.to_id AND r.type = 'BELONGS_TO' WHERE o.type = 'CREATED_BY'")
+def ownership(spark, sf_dir):
+    """The region that each order belongs to, by its customer and the customer's nation."""
+    starts = table(spark, sf_dir, "orders").select(F.concat(F.lit("Order:"), F.col("o_orderkey").cast("string")).alias("start"))
+    return graph.walk(edges(spark, sf_dir, ("CREATED_BY", "BELONGS_TO")), starts, ["CREATED_BY", "BELONGS_TO", "BELONGS_TO"])
+
+
+@query(f"""WITH RECURSIVE {SQL_EDGES}, r AS (SELECT ['Order:5'] AS path, 'Order:5' AS node_id UNION ALL SELECT list_append(path, e.to_id), e.to_id FROM r JOIN edges e ON e.from_id = r.node_id WHERE len(path) < 4 AND e.type IN ('CREATED_BY', 'BELONGS_TO', 'REFERENCES')),
+b AS (SELECT node_id, min(len(path)) AS l FROM r GROUP BY node_id) SELECT 'Order:5' AS start, node_id, (l - 1)::INT AS hops, array_to_string(min(path), ' ') AS path FROM r JOIN b USING (node_id) WHERE len(path) = l GROUP BY node_id, l""")
+def shortest_paths(spark, sf_dir):
+    start = spark.createDataFrame([("Order:5",)], "start string")
+    return graph.paths(edges(spark, sf_dir, ("CREATED_BY", "BELONGS_TO", "REFERENCES")), start, 3).withColumn("path", F.array_join("path", " "))
 
 
 def reach_sql(kinds: str, start: str, hops: int, a: str, b: str) -> str:
@@ -89,32 +118,36 @@ def impact_set(spark, sf_dir):
     return graph.reach(edges(spark, sf_dir, ("CREATED_BY", "BELONGS_TO")), start, 4, reverse=True)
 
 
-RING = "SELECT DISTINCT x.c_nationkey AS a, y.c_nationkey AS b FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 1 WHERE x.c_custkey < 30"
+RING = "SELECT DISTINCT x.c_nationkey AS a, y.c_nationkey AS b FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 1 AND x.c_mktsegment = y.c_mktsegment AND x.c_acctbal > 0"
 
 
 @query(f"WITH RECURSIVE e AS ({RING}), r AS (SELECT a AS start, b AS node, 1 AS hops FROM e UNION SELECT r.start, e.b, r.hops + 1 FROM r JOIN e ON e.a = r.node WHERE r.hops < 6) SELECT start AS node_id, min(hops)::INT AS length FROM r WHERE start = node GROUP BY start")
 def cycle_check(spark, sf_dir):
+    """A customer's nation points to that of the next customer, if that one is in the same segment and this one has money."""
     c = table(spark, sf_dir, "customer")
-    x, y = c.filter("c_custkey < 30").select((F.col("c_custkey") + 1).alias("k"), F.col("c_nationkey").alias("from_id")), c.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("to_id"))
-    e = x.join(y, "k").select("from_id", "to_id").distinct()
-    return graph.in_cycles(e, 6)
+    x, y = c.filter("c_acctbal > 0").select((F.col("c_custkey") + 1).alias("k"), "c_mktsegment", F.col("c_nationkey").alias("from_id")), c.select(F.col("c_custkey").alias("k"), "c_mktsegment", F.col("c_nationkey").alias("to_id"))
+    return graph.in_cycles(x.join(y, ["k", "c_mktsegment"]).select("from_id", "to_id").distinct(), 6)
 
 
-@query(f"WITH {SQL_EDGES} SELECT a.from_id, b.from_id AS to_id, 'INTERACTS_WITH' AS type, count(*) AS evidence, true AS inferred FROM edges a JOIN edges b ON a.to_id = b.to_id AND a.type = 'PRODUCES' AND b.type = 'PRODUCES' AND a.from_id <> b.from_id WHERE a.to_id IN (SELECT 'Part:' || p_partkey FROM part WHERE p_size = 7) GROUP BY a.from_id, b.from_id")
+@query(f"WITH {SQL_EDGES} SELECT a.from_id, b.from_id AS to_id, 'INTERACTS_WITH' AS type, count(*) AS evidence, true AS inferred FROM edges a JOIN edges b ON a.to_id = b.to_id AND a.type = 'PRODUCES' AND b.type = 'PRODUCES' AND a.from_id <> b.from_id GROUP BY a.from_id, b.from_id")
 def derived_edges(spark, sf_dir):
-    some = table(spark, sf_dir, "part").filter("p_size = 7").select(F.concat(F.lit("Part:"), F.col("p_partkey").cast("string")).alias("to_id"))
-    own = edges(spark, sf_dir, ("PRODUCES",)).join(some, "to_id", "left_semi")
+    own = edges(spark, sf_dir, ("PRODUCES",))
     return graph.derived_edges(own, own)
 
 
+@query(f"WITH {BOTH}, e AS (SELECT from_id AS node_id, 0 AS i, 1 AS o FROM edges UNION ALL SELECT to_id, 1, 0 FROM edges), d AS (SELECT node_id, sum(i) AS i, sum(i + o) AS s FROM e JOIN nodes USING (node_id) GROUP BY node_id) SELECT node_id, i >= 30 AS critical, s >= 100 AS god_object FROM d WHERE i >= 30 OR s >= 100")
+def hotspots(spark, sf_dir):
+    return graph.hotspots(graph.degrees(nodes(spark, sf_dir), edges(spark, sf_dir)), 30, 100)
+
+
 @query(f"WITH {BOTH}, d AS (SELECT node_id, (SELECT count(*) FROM edges WHERE to_id = node_id) AS i, (SELECT count(*) FROM edges WHERE from_id = node_id) AS o FROM nodes) SELECT node_id, i AS in_degree, o AS out_degree, CASE WHEN i + o > 0 THEN round(o / (i + o)::DOUBLE, 6) END AS instability FROM d")
 def degree_metrics(spark, sf_dir):
     return graph.degrees(nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
-@query(f"WITH {BOTH} SELECT node_id FROM nodes WHERE label = 'Customer' AND node_id NOT IN (SELECT 'Customer:' || o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 4 = 0)")
+@query(f"WITH {BOTH} SELECT node_id FROM nodes WHERE label = 'Customer' AND node_id NOT IN (SELECT 'Customer:' || o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
 def gap_detection(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' and o_orderkey % 4 = 0")
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'")
     e = o.select(F.concat(F.lit("Order:"), F.col("o_orderkey").cast("string")).alias("from_id"), F.concat(F.lit("Customer:"), F.col("o_custkey").cast("string")).alias("to_id"), F.lit("CREATED_BY").alias("type"))
     return graph.gaps(nodes(spark, sf_dir), e, "Customer", "CREATED_BY")
 
@@ -150,11 +183,12 @@ def latest_state(spark, sf_dir):
     return E.latest(log(spark, sf_dir))
 
 
-@query(f"WITH {EVENTS} SELECT \"eventId\", \"eventType\" FROM ev")
+@query(f"WITH {EVENTS} SELECT \"eventId\", \"eventType\", \"timestamp\", \"aggregateId\", payload FROM ev")
 def event_dedupe(spark, sf_dir):
+    """Errors and purchases come twice; the later copies have another payload."""
     e = log(spark, sf_dir)
-    again = e.filter(F.col("eventId") % 3 == 0).withColumn("timestamp", F.col("timestamp") + F.expr("interval 1 hour"))
-    return E.deduplicate(e.union(again)).select("eventId", "eventType")
+    again = e.filter("eventType in ('error', 'purchase')").withColumns({"timestamp": F.col("timestamp") + F.expr("interval 1 hour"), "payload": F.lit("again")})
+    return E.deduplicate(again.union(e)).select("eventId", "eventType", "timestamp", "aggregateId", "payload")
 
 
 @query(f"WITH {EVENTS} SELECT time_bucket(INTERVAL '1 hour', \"timestamp\") AS window_start, \"eventType\", count(*) AS n, round(sum(value), 4) AS total FROM ev GROUP BY ALL")
@@ -191,16 +225,20 @@ def event_replay(spark, sf_dir):
     return E.replay(log(spark, sf_dir), "2024-01-10", "2024-01-20").groupBy("eventType").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id % 7 AS client, event_id AS request_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT client, 0::BIGINT AS k, NULL::BIGINT AS request_id, []::BIGINT[] AS held, true AS admitted FROM (SELECT DISTINCT client FROM e)
+UNION ALL SELECT client, k, request_id, CASE WHEN len(now) < 20 THEN list_append(now, t) ELSE now END, len(now) < 20 FROM (SELECT e.client, e.k, e.request_id, e.t, list_filter(r.held, lambda h: h > e.t - 3600000000) AS now FROM r JOIN e ON e.client = r.client AND e.k = r.k + 1))
+SELECT client, request_id, admitted FROM r WHERE k > 0""")
 def rate_limit_admission(spark, sf_dir):
-    """Admissions depend on earlier admissions: held against a plain loop in the tests."""
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("client"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("timestamp"))
-    return E.rate_limit(e, limit=20, seconds=3600.0)
+    return E.rate_limit(e, limit=20, seconds=3600.0).select("client", "request_id", "admitted")
 
 
-@query("SELECT topic, event_type, producer, len(consumers)::INT AS consumers FROM (VALUES ('repository.created','RepositoryCreated','repository-service',[1,2,3,4]),('repository.updated','RepositoryUpdated','repository-service',[1,2]),('repository.deleted','RepositoryDeleted','repository-service',[1,2,3]),('document.processed','DocumentProcessed','document-service',[1,2,3]),('embedding.generated','EmbeddingGenerated','embedding-service',[1]),('graph.updated','GraphUpdated','graph-service',[])) t(topic, event_type, producer, consumers)")
+@query("""SELECT topic, event_type, producer, array_to_string(list_sort(string_split(consumers, ' ')), ' ') AS consumers FROM (VALUES ('repository.created','RepositoryCreated','repository-service','document-service embedding-service graph-service search-service'),
+('repository.updated','RepositoryUpdated','repository-service','graph-service search-service'),('repository.deleted','RepositoryDeleted','repository-service','document-service graph-service search-service'),
+('document.processed','DocumentProcessed','document-service','embedding-service graph-service search-service'),('embedding.generated','EmbeddingGenerated','embedding-service','search-service'),('graph.updated','GraphUpdated','graph-service','')) t(topic, event_type, producer, consumers)""")
 def topic_catalog(spark, sf_dir):
-    return E.topics(spark).select("topic", "event_type", "producer", F.size("consumers").alias("consumers"))
+    return E.topics(spark).select("topic", "event_type", "producer", F.array_join(F.sort_array("consumers"), " ").alias("consumers"))
 
 
 @query("SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations")
@@ -210,65 +248,149 @@ def conversation_timeline(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")).alias("previous"))
 
 
-@query("""WITH w AS (SELECT user_id, event_id, greatest(1 - (value / 1000) * pow(2.0, -greatest(date_diff('day', ts::DATE, DATE '2024-02-01'), 0) / 90.0), 1e-12) AS l FROM events WHERE value BETWEEN 0 AND 1000),
-c AS (SELECT user_id AS node_id, round(1 - exp(sum(ln(l))), 6) AS confidence FROM w GROUP BY user_id)
-SELECT node_id, confidence, CASE WHEN confidence >= 0.9 THEN 'very high' WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' WHEN confidence >= 0.4 THEN 'low' ELSE 'very low' END AS tier FROM c""")
+CONFIDENCE = """WITH w AS (SELECT user_id, event_id, greatest(1 - (least(greatest(value, 0), 1000) / 1000) * pow(2.0, -greatest(date_diff('day', ts::DATE, DATE '2024-02-01'), 0) / 90.0), 1e-12) AS l FROM events),
+c AS (SELECT user_id AS node_id, round(1 - exp(sum(ln(l))), 6) AS confidence FROM w GROUP BY user_id)"""
+
+
+@query(CONFIDENCE + """ SELECT node_id, confidence, CASE WHEN confidence >= 0.9 THEN 'very high' WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' WHEN confidence >= 0.4 THEN 'low' ELSE 'very low' END AS tier FROM c""")
 def confidence_scores(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("value between 0 and 1000")
-    return graph.confidence(e.select(F.col("user_id").alias("node_id"), (F.col("value") / 1000).alias("weight"), F.col("ts").alias("seen_at")))
+    e = table(spark, sf_dir, "events").withColumn("weight", F.least(F.greatest("value", F.lit(0.0)), F.lit(1000.0)) / 1000)
+    return graph.confidence(e.select(F.col("user_id").alias("node_id"), "weight", F.col("ts").alias("seen_at")))
 
 
-# --- envelopes made from the driver's tables: customers are repositories, orders are commits, parts are dependencies
+@query(CONFIDENCE + """, e AS (SELECT DISTINCT user_id AS a, ('0x' || md5(event_type)[1:4])::INT AS b FROM events), o AS (SELECT node_id, confidence FROM c),
+one AS (SELECT node_id, round(max(confidence), 6) AS confidence FROM (SELECT * FROM o UNION ALL SELECT b, confidence * 0.5 FROM o JOIN e ON e.a = o.node_id) GROUP BY node_id) SELECT * FROM one""")
+def confidence_propagation(spark, sf_dir):
+    """From users to the types of their events, which have nodes of their own."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("from_id"), F.conv(F.substring(F.md5("event_type"), 1, 4), 16, 10).cast("long").alias("to_id"))
+    return graph.propagate(confidence_scores(spark, sf_dir), e, 0.5, 1)
+
+
+# --- envelopes made from the driver's tables. Customers outside the segment MACHINERY are repositories, all orders are commits, all parts
+# dependencies and all documents documents, of the repository with their number, which need not be there. Those of nation 7 are deleted, the
+# segment AUTOMOBILE is renamed, those with money are cloned, those of nation 3 are to be synchronised.
 
 
 def envelopes(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").filter("c_custkey < 60")
-    at = F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, c_custkey)")
-    repo = F.concat(F.lit("repo_"), F.col("c_custkey").cast("string"))
-    made = E.make(c, "RepositoryCreated", F.struct(repo.alias("repositoryId"), F.col("c_name").alias("name"), F.concat(F.lit("https://example.org/"), F.col("c_custkey").cast("string")).alias("url"), F.col("c_mktsegment").alias("language"), F.lit("private").alias("visibility"), F.lit("main").alias("defaultBranch")), repo, at)
-    o = table(spark, sf_dir, "orders").filter("o_custkey < 80")
-    of = F.concat(F.lit("repo_"), F.col("o_custkey").cast("string"))
-    when = F.expr("timestamp '2024-01-02 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, o_orderkey)")
-    commits = E.make(o, "CommitAnalyzed", F.struct(of.alias("repositoryId"), F.col("o_orderkey").cast("string").alias("sha"), F.concat(F.col("o_orderpriority"), F.lit("@x.org")).alias("authorEmail"), F.col("o_orderstatus").alias("authorName"), F.lit("work").alias("message")), of, when)
-    gone = c.filter("c_custkey % 10 = 0")
-    deleted = E.make(gone, "RepositoryDeleted", F.struct(repo.alias("repositoryId")), repo, F.expr("timestamp '2024-06-01 00:00:00'"))
-    renamed = E.make(c.filter("c_custkey % 3 = 0"), "RepositoryUpdated", F.struct(repo.alias("repositoryId"), F.create_map(F.lit("name"), F.concat(F.lit("new-"), F.col("c_name"))).alias("changedFields")), repo, F.expr("timestamp '2024-03-01 00:00:00'"))
-    return made.union(commits).union(deleted).union(renamed)
-
-
-@query("""SELECT 'repo_' || c_custkey AS node_id, 'Repository' AS label, CASE WHEN c_custkey % 3 = 0 THEN 'new-' || c_name ELSE c_name END AS name FROM customer WHERE c_custkey < 60 AND c_custkey % 10 <> 0
-UNION ALL SELECT 'commit:' || o_orderkey, 'Commit', NULL FROM orders WHERE o_custkey < 80 UNION ALL SELECT * FROM (SELECT 'developer:' || o_orderpriority || '@x.org', 'Developer', arg_max(o_orderstatus, o_orderkey) FROM orders WHERE o_custkey < 80 GROUP BY o_orderpriority)""")
+    text = lambda c: F.col(c).cast("string")
+    repo = lambda c: F.concat(F.lit("repo_"), text(c))
+    at = lambda day, c: F.expr(f"timestamp '{day} 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, {c})")
+    c, o, d, p = (table(spark, sf_dir, t) for t in ("customer", "orders", "documents", "part"))
+    c = c.filter("c_mktsegment <> 'MACHINERY'")
+    own, url = repo("c_custkey"), F.concat(F.lit("https://example.org/"), text("c_custkey")).alias("url")
+    made = E.make(c, "RepositoryCreated", F.struct(own.alias("repositoryId"), F.col("c_name").alias("name"), url, F.col("c_mktsegment").alias("language"), F.lit("private").alias("visibility"), F.lit("main").alias("defaultBranch")), own, at("2024-01-01", "c_custkey"))
+    of = repo("o_custkey")
+    commits = E.make(o, "CommitAnalyzed", F.struct(of.alias("repositoryId"), text("o_orderkey").alias("sha"), F.concat("o_orderpriority", F.lit("@x.org")).alias("authorEmail"), F.col("o_orderstatus").alias("authorName"), F.lit("work").alias("message"), F.array(text("o_custkey"), F.lit("b")).alias("filesChanged")), of, at("2024-01-02", "o_orderkey"))
+    of = repo("doc_id")
+    ident = F.concat(F.lit("doc_"), text("doc_id"))
+    preview = F.concat_ws(" ", "source", "lang", text("n_chars"))
+    documents = E.make(d, "DocumentProcessed", F.struct(ident.alias("documentId"), of.alias("repositoryId"), F.concat("source", F.lit(".md")).alias("fileName"), F.lit("MARKDOWN").alias("documentType"), F.lit(2).alias("chunkCount"), F.col("n_chars").alias("wordCount"), preview.alias("textPreview"), F.when(F.col("lang") == "de", F.array(preview, F.lit(" "))).alias("chunkPreviews")), ident, at("2024-01-20", "doc_id"), F.lit("org"))
+    of = repo("p_partkey")
+    dependencies = E.make(p, "DependencyDetected", F.struct(of.alias("repositoryId"), F.col("p_name").alias("name"), text("p_size").alias("version"), F.lit("pip").alias("ecosystem"), F.lit("requirements.txt").alias("sourceFile")), of, at("2024-01-21", "p_partkey"))
+    cloned = E.make(c.filter("c_acctbal > 0"), "RepositoryCloned", F.struct(own.alias("repositoryId"), url, F.lit("main").alias("defaultBranch"), text("c_nationkey").alias("commitCount"), text("c_custkey").alias("sizeKb")), own, F.expr("timestamp '2024-02-01 00:00:00'"))
+    renamed = E.make(c.filter("c_mktsegment = 'AUTOMOBILE'"), "RepositoryUpdated", F.struct(own.alias("repositoryId"), F.create_map(F.lit("name"), F.concat(F.lit("new-"), F.col("c_name"))).alias("changedFields")), own, F.expr("timestamp '2024-03-01 00:00:00'"))
+    asked = E.make(c.filter("c_nationkey = 3"), "RepositorySyncRequested", F.struct(own.alias("repositoryId")), own, F.expr("timestamp '2024-04-01 00:00:00'"))
+    deleted = E.make(c.filter("c_nationkey = 7"), "RepositoryDeleted", F.struct(own.alias("repositoryId")), own, F.expr("timestamp '2024-06-01 00:00:00'"))
+    out = made
+    for part in (commits, documents, dependencies, cloned, renamed, asked, deleted):
+        out = out.union(part)
+    return out
+
+
+REPOS = "repos AS (SELECT *, 'repo_' || c_custkey AS repo, CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'new-' || c_name ELSE c_name END AS name, 'https://example.org/' || c_custkey AS url FROM customer WHERE c_mktsegment <> 'MACHINERY')"
+LIVE = f"{REPOS}, live AS (SELECT * FROM repos WHERE c_nationkey <> 7)"
+
+
+@query(f"""WITH {LIVE} SELECT repo AS node_id, 'Repository' AS label, name, CASE WHEN c_acctbal > 0 THEN 'success' END AS cloned, CASE WHEN c_acctbal > 0 THEN c_nationkey::VARCHAR END AS count_ FROM live
+UNION ALL SELECT 'commit:' || o_orderkey, 'Commit', NULL, NULL, '2' FROM orders UNION ALL SELECT * FROM (SELECT 'developer:' || o_orderpriority || '@x.org', 'Developer', arg_max(o_orderstatus, o_orderkey), NULL, NULL FROM orders GROUP BY o_orderpriority)
+UNION ALL SELECT 'doc_' || doc_id, 'Document', source || '.md', NULL, n_chars::VARCHAR FROM documents UNION ALL SELECT DISTINCT 'dep:pip:' || p_name || ':' || p_size, 'Dependency', p_name, NULL, p_size::VARCHAR FROM part""")
 def event_fold_nodes(spark, sf_dir):
-    return graph.fold_nodes(envelopes(spark, sf_dir)).select("node_id", "label", F.col("props")["name"].alias("name"))
+    p = F.col("props")
+    return graph.fold_nodes(envelopes(spark, sf_dir)).select("node_id", "label", F.coalesce(p["name"], p["fileName"]).alias("name"), p["cloneStatus"].alias("cloned"), F.coalesce(p["commitCount"], p["filesChanged"], p["wordCount"], p["version"]).alias("count_"))
 
 
-@query("""SELECT 'commit:' || o_orderkey AS from_id, 'repo_' || o_custkey AS to_id, 'COMMITTED_TO' AS type FROM orders WHERE o_custkey < 60 AND o_custkey % 10 <> 0
-UNION ALL SELECT 'developer:' || o_orderpriority || '@x.org', 'commit:' || o_orderkey, 'AUTHORED_BY' FROM orders WHERE o_custkey < 80""")
+@query(f"""WITH {LIVE} SELECT 'commit:' || o_orderkey AS from_id, 'repo_' || o_custkey AS to_id, 'COMMITTED_TO' AS type FROM orders JOIN live ON c_custkey = o_custkey
+UNION ALL SELECT 'developer:' || o_orderpriority || '@x.org', 'commit:' || o_orderkey, 'AUTHORED_BY' FROM orders UNION ALL SELECT 'doc_' || doc_id, repo, 'DESCRIBES' FROM documents JOIN live ON c_custkey = doc_id
+UNION ALL SELECT DISTINCT repo, 'dep:pip:' || p_name || ':' || p_size, 'DEPENDS_ON' FROM part JOIN live ON c_custkey = p_partkey""")
 def event_fold_edges(spark, sf_dir):
     return graph.fold_edges(envelopes(spark, sf_dir)).drop("created_at")
 
 
-@query("""SELECT CASE WHEN o_custkey < 60 THEN 'here' ELSE 'not here' END AS repository, count(*) AS events, sum(2) AS nodes, sum(CASE WHEN o_custkey < 60 THEN 2 ELSE 1 END) AS relationships FROM orders WHERE o_custkey < 80 GROUP BY 1""")
+@query(f"""WITH {REPOS}, e AS (SELECT 'CommitAnalyzed' AS trigger_event, o_custkey AS k, 2 AS n, 1 AS r FROM orders UNION ALL SELECT 'DocumentProcessed', doc_id, 1, 0 FROM documents UNION ALL SELECT 'DependencyDetected', p_partkey, 1, 0 FROM part)
+SELECT trigger_event, count(*) AS events, sum(n) AS nodes, sum(CASE WHEN c_custkey IS NULL THEN r ELSE r + 1 END) AS relationships FROM e LEFT JOIN repos ON c_custkey = k GROUP BY trigger_event
+UNION ALL SELECT 'RepositoryCreated', count(*), count(*), 0 FROM repos UNION ALL SELECT 'RepositoryUpdated', count(*), 0, 0 FROM repos WHERE c_mktsegment = 'AUTOMOBILE'""")
 def graph_update_counts(spark, sf_dir):
-    e = envelopes(spark, sf_dir)
-    u = graph.graph_updates(e).filter("trigger_event = 'CommitAnalyzed'").join(e.select("eventId", F.substring("aggregateId", 6, 20).cast("int").alias("k")), "eventId")
-    return u.groupBy(F.when(F.col("k") < 60, "here").otherwise("not here").alias("repository")).agg(F.count("*").alias("events"), F.sum("nodes_created").alias("nodes"), F.sum("relationships_created").alias("relationships"))
+    u = graph.graph_updates(envelopes(spark, sf_dir))
+    return u.groupBy("trigger_event").agg(F.count("*").alias("events"), F.sum("nodes_created").alias("nodes"), F.sum("relationships_created").alias("relationships"))
+
+
+PREVIEW = "concat_ws(' ', source, lang, n_chars::VARCHAR)"
 
 
-@query("""SELECT 'repo_' || c_custkey AS id, 'Repository' AS type, CASE WHEN c_custkey % 3 = 0 THEN 'new-' || c_name || ' ' || c_mktsegment || ' https://example.org/' || c_custkey || ' private main' ELSE c_name || ' ' || c_mktsegment || ' https://example.org/' || c_custkey END AS text FROM customer WHERE c_custkey < 60 AND c_custkey % 10 <> 0
-UNION ALL SELECT 'commit:' || o_orderkey, 'Commit', 'work ' || o_orderstatus || ' ' || o_orderpriority || '@x.org' FROM orders WHERE o_custkey < 80""")
+@query(f"""WITH {LIVE} SELECT repo AS id, 'Repository' AS type, name || ' ' || c_mktsegment || ' ' || url || CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN ' private main' ELSE '' END AS text FROM live
+UNION ALL SELECT 'commit:' || o_orderkey, 'Commit', 'work ' || o_orderstatus || ' ' || o_orderpriority || '@x.org' FROM orders
+UNION ALL SELECT 'doc_' || doc_id, 'Document', {PREVIEW} || CASE WHEN lang = 'de' THEN '  ' ELSE '' END FROM documents UNION ALL SELECT DISTINCT 'dep:pip:' || p_name || ':' || p_size, 'Dependency', p_name || ' pip ' || p_size || ' requirements.txt' FROM part""")
 def search_fold(spark, sf_dir):
     return folds.search_documents(envelopes(spark, sf_dir))
 
 
-@query("""SELECT 'repo_' || c_custkey AS repository_id, CASE WHEN c_custkey % 3 = 0 THEN 'new-' || c_name ELSE c_name END AS name, 'https://example.org/' || c_custkey AS url, 'active' AS status FROM customer WHERE c_custkey < 60 AND c_custkey % 10 <> 0""")
+@query(f"""WITH {LIVE}, text AS (SELECT repo AS id, name || ' ' || c_mktsegment || ' ' || url AS text FROM live WHERE c_mktsegment <> 'AUTOMOBILE' UNION ALL SELECT repo, name || ' ' || c_mktsegment || ' ' || url || ' private main' FROM live WHERE c_mktsegment = 'AUTOMOBILE'
+UNION ALL SELECT 'doc_' || doc_id, {PREVIEW} FROM documents UNION ALL SELECT DISTINCT 'dep:pip:' || p_name || ':' || p_size, p_name || ' pip ' || p_size || ' requirements.txt' FROM part UNION ALL SELECT 'commit:' || o_orderkey, 'work ' || o_orderstatus || ' ' || o_orderpriority || '@x.org' FROM orders)
+SELECT CASE WHEN id LIKE 'repo%' THEN 'Repository' WHEN id LIKE 'doc%' THEN 'Document' WHEN id LIKE 'dep%' THEN 'Dependency' ELSE 'Commit' END AS type, count(*) AS n FROM text WHERE list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'building') OR list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'small') GROUP BY 1""")
+def unified_search(spark, sf_dir):
+    """Repositories, documents, dependencies and commits in one index: how many of each kind hold one of two tokens."""
+    posts = index.postings(folds.search_documents(envelopes(spark, sf_dir)))
+    ids = posts.filter(F.col("token").isin("building", "small")).select("id").distinct()
+    return ids.join(folds.search_documents(envelopes(spark, sf_dir)).select("id", "type"), "id").groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {LIVE} SELECT repo AS repository_id, name, url, c_mktsegment AS language, 'private' AS visibility, 'main' AS default_branch, 'active' AS status, CASE WHEN c_nationkey = 3 THEN '2024-04-01' END AS synced FROM live""")
 def repository_state(spark, sf_dir):
-    return folds.repositories(envelopes(spark, sf_dir)).select("repository_id", "name", "url", "status")
+    r = folds.repositories(envelopes(spark, sf_dir))
+    return r.select("repository_id", "name", "url", "language", "visibility", "default_branch", "status", F.date_format("last_synced_at", "yyyy-MM-dd").alias("synced"))
 
 
-@query("""SELECT 'repo_' || c_custkey AS repository_id, md5(c_name) IS NOT NULL AS ok, 1 AS chunk_count FROM customer WHERE c_custkey < 60 AND c_custkey % 10 <> 0""")
+@query(f"""WITH {LIVE}, t AS (SELECT repo, 'Language: ' || c_mktsegment || ' URL: ' || url || ' This is an auto-discovered README document.' AS rest, c_name FROM live)
+SELECT 'doc_' || sha256(repo || '|README.md')[1:12] AS document_id, repo AS repository_id, 'README.md' AS file_name, 'MARKDOWN' AS document_type, 11 AS word_count, 1 AS chunk_count, replace(c_name, '#', '') || ' ' || rest AS text_preview FROM t""")
 def readme_documents(spark, sf_dir):
-    return folds.readmes(envelopes(spark, sf_dir)).select("repository_id", F.col("text_preview").contains("auto-discovered README").alias("ok"), "chunk_count")
+    """The text made for each repository, by its first name: the sign that stands in it goes with the Markdown."""
+    return folds.readmes(envelopes(spark, sf_dir)).select("document_id", "repository_id", "file_name", "document_type", "word_count", "chunk_count", "text_preview")
+
+
+@query(f"""WITH c AS (SELECT 'doc_' || doc_id AS document_id, 'repo_' || doc_id AS repository_id, {PREVIEW} AS p, string_split({PREVIEW}, ' ') AS w, lang FROM documents),
+t AS (SELECT document_id, repository_id, unnest([0, 1]) AS chunk_index, p, w, lang FROM c)
+SELECT document_id, repository_id, 'org' AS organization_id, chunk_index::INT AS chunk_index, 'stub-128' AS model_name, 128 AS vector_dim,
+CASE WHEN lang = 'de' THEN CASE WHEN chunk_index = 0 THEN p ELSE document_id || ':chunk:1' END WHEN chunk_index = 0 THEN array_to_string(w[1 : greatest(len(w) // 2, 1)], ' ') ELSE array_to_string(w[greatest(len(w) // 2, 1) + 1 :], ' ') END AS text_preview FROM t""")
+def embedding_fold(spark, sf_dir):
+    return vectors.fold(envelopes(spark, sf_dir)).drop("vector")
+
+
+def stub_sql(text: str) -> str:
+    raw = f"list_transform(range(0, 128), lambda i: ('0x' || substr(sha256({text}), 2 * (i % 32) + 1, 2))::INT / 255.0::DOUBLE * 2 - 1)"
+    return f"list_transform({raw}, lambda x: x / sqrt(list_dot_product({raw}, {raw})))"
+
+
+@query(f"""WITH c AS (SELECT 'doc_' || doc_id AS document_id, {PREVIEW} AS p FROM documents WHERE lang = 'de'), t AS (SELECT document_id, 0 AS chunk_index, p AS preview FROM c UNION ALL SELECT document_id, 1, document_id || ':chunk:1' FROM c),
+v AS (SELECT *, {stub_sql("preview")} AS v FROM t), q AS (SELECT {stub_sql("'web de 120'")} AS q) SELECT document_id, chunk_index, preview, round(list_dot_product(v, q), 6) AS score FROM v, q ORDER BY score DESC, document_id, chunk_index LIMIT 10""")
+def vector_text_search(spark, sf_dir):
+    """Chunks of German documents nearest to a text."""
+    german = envelopes(spark, sf_dir).filter("eventType = 'DocumentProcessed' and get_json_object(payload, '$.chunkPreviews') is not null")
+    return vectors.search_text(vectors.fold(german), "web de 120", 10)
+
+
+@query("""SELECT 'repo_' || o_custkey AS repository_id, o_orderkey::VARCHAR AS sha, o_orderpriority || '@x.org' AS author_email, repeat('long ', 200)[1:500] AS message, o_orderdate AS committed_at, 50 AS files FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey::VARCHAR) <= 3""")
+def commit_log(spark, sf_dir):
+    """The three newest commits of each repository, as they are published."""
+    o = table(spark, sf_dir, "orders")
+    raw = o.select(F.concat(F.lit("repo_"), F.col("o_custkey").cast("string")).alias("repository_id"), F.col("o_orderkey").cast("string").alias("sha"), F.concat("o_orderpriority", F.lit("@x.org")).alias("author_email"), F.repeat(F.lit("long "), 200).alias("message"), F.array_repeat("o_orderstatus", 60).alias("files"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("committed"))
+    return folds.commits(raw, 3).select("repository_id", "sha", "author_email", "message", F.col("committed_at").cast("timestamp_ntz").alias("committed_at"), F.size("files_changed").alias("files"))
+
+
+@query("""WITH e AS (SELECT event_type, event_id, ts, CASE event_type WHEN 'error' THEN 'DocumentProcessed' ELSE 'RepositoryCreated' END AS kind FROM events), held AS (SELECT * FROM e ORDER BY ts DESC, event_id DESC LIMIT 1000)
+SELECT event_id AS "eventId", kind AS "eventType" FROM held WHERE kind = 'DocumentProcessed' ORDER BY ts DESC, event_id DESC LIMIT 40""")
+def event_log_topic(spark, sf_dir):
+    e = log(spark, sf_dir).withColumn("eventType", F.when(F.col("eventType") == "error", "DocumentProcessed").otherwise("RepositoryCreated"))
+    return E.recent(e, 40, topic="document.processed").select("eventId", "eventType")
 
 
 MANIFESTS = [
@@ -280,8 +402,21 @@ MANIFESTS = [
 ]
 
 
-@query("""SELECT * FROM (VALUES ('a/requirements.txt','requests','==2.31.0','pip'),('a/requirements.txt','uvicorn','>=0.29.0','pip'),('a/requirements.txt','flask','','pip'),('b/package.json','react','^18.0.0','npm'),('b/package.json','jest','29','npm'),
-('d/go.mod','github.com/a/b','v1.2.3','go'),('d/go.mod','github.com/c/d','v0.1.0','go'),('e/Cargo.toml','serde','1.0','cargo'),('e/Cargo.toml','tokio','1.32.0','cargo'),('e/Cargo.toml','mockito','1','cargo'),
-('g/setup.py','requests','>=2','pip'),('g/setup.py','flask','','pip'),('h/pyproject.toml','httpx','>=0.2','pip'),('h/pyproject.toml','rich','^13','pip'),('h/pyproject.toml','yarl','','pip')) t(path, name, version, ecosystem)""")
+@query("""SELECT * FROM (VALUES ('a/requirements.txt','requests','==2.31.0','pip','requirements.txt'),('a/requirements.txt','uvicorn','>=0.29.0','pip','requirements.txt'),('a/requirements.txt','flask','','pip','requirements.txt'),('b/package.json','react','^18.0.0','npm','b/package.json'),('b/package.json','jest','29','npm','b/package.json'),
+('d/go.mod','github.com/a/b','v1.2.3','go','go.mod'),('d/go.mod','github.com/c/d','v0.1.0','go','go.mod'),('e/Cargo.toml','serde','1.0','cargo','Cargo.toml'),('e/Cargo.toml','tokio','1.32.0','cargo','Cargo.toml'),('e/Cargo.toml','mockito','1','cargo','Cargo.toml'),
+('g/setup.py','requests','>=2','pip','setup.py'),('g/setup.py','flask','','pip','setup.py'),('h/pyproject.toml','httpx','>=0.2','pip','pyproject.toml'),('h/pyproject.toml','rich','^13','pip','pyproject.toml'),('h/pyproject.toml','yarl','','pip','pyproject.toml')) t(path, name, version, ecosystem, source_file)""")
 def dependencies(spark, sf_dir):
-    return manifests.all_dependencies(spark.createDataFrame(MANIFESTS, "path string, content string")).drop("source_file")
+    """One manifest of each format, and broken ones."""
+    return manifests.all_dependencies(spark.createDataFrame(MANIFESTS, "path string, content string"))
+
+
+@query("""SELECT 'r' || o_custkey || '/requirements-dev.txt' AS path, p_name[1:3] || o_orderkey AS name, '>=' || p_size AS version, 'pip' AS ecosystem, 'requirements.txt' AS source_file FROM orders JOIN part ON p_partkey = o_orderkey
+UNION ALL SELECT 'r' || p_partkey || '/sub/package.json', p_type, '^' || p_size, 'npm', 'r' || p_partkey || '/sub/package.json' FROM part""")
+def table_dependencies(spark, sf_dir):
+    """Manifests written from orders and parts: a file of requirements for each customer, a package file for each part."""
+    o, p = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    line = F.concat(F.substring("p_name", 1, 3), F.col("o_orderkey").cast("string"), F.lit("[x]>="), F.col("p_size").cast("string"))
+    path = lambda c, name: F.concat(F.lit("r"), F.col(c).cast("string"), F.lit(name)).alias("path")
+    req = o.join(p, o["o_orderkey"] == p["p_partkey"]).groupBy("o_custkey").agg(F.array_join(F.collect_list(line), "\n").alias("content"))
+    npm = F.to_json(F.struct(F.create_map(F.col("p_type"), F.concat(F.lit("^"), F.col("p_size").cast("string"))).alias("dependencies")))
+    return manifests.all_dependencies(req.select(path("o_custkey", "/requirements-dev.txt"), "content").union(p.select(path("p_partkey", "/sub/package.json"), npm.alias("content"))))

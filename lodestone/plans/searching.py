@@ -1,11 +1,13 @@
 """Search, documents and vectors on the driver's tables: `documents` is the corpus, its `lang` the type."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import folds, index, listing, search, vectors
-from ..sources.store import table
+from ..sources.store import shared_folder, table
 from . import ORACLE_SQL, QUERIES, query
 
 EXACT_QUERY, PREFIX_QUERY, FUZZY_QUERY, HYBRID_QUERY = "clown disgusting clown", "disg clow", "disgustng clwn", "clown disg thti idoit"
@@ -28,6 +30,29 @@ def indexed(spark, sf_dir):
     return c, p, index.idf(p, index.corpus_size(c))
 
 
+STORES: dict = {}
+
+
+def new_store(spark) -> index.Store:
+    return index.Store(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+
+
+def store(spark, sf_dir) -> index.Store:
+    """The stored index of the documents; the first query of a session builds it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in STORES:
+        c = corpus(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.create_map(F.lit("source"), "source").alias("metadata")), "id")
+        STORES[key] = new_store(spark).add(c, "2024-01-01 00:00:00")
+    return STORES[key]
+
+
+@query(f"WITH {TOK} SELECT (SELECT count(*) FROM documents) AS documents, count(DISTINCT token) AS vocabulary, (SELECT count(*) FROM documents) AS total_indexed, 0::BIGINT AS total_removed FROM tok")
+def index_build(spark, sf_dir):
+    """Builds the index, always anew; the searches read it."""
+    STORES.pop((spark.sparkContext.applicationId, sf_dir), None)
+    return store(spark, sf_dir).stats()
+
+
 def search_sql(text: str, type_: str | None = None, fuzzy: bool = True, most: int = 2, k: int = 10) -> str:
     q = search.tokens_of(text)
     rows = ", ".join(f"({i}, '{t}')" for i, t in enumerate(q))
@@ -47,7 +72,7 @@ def search_sql(text: str, type_: str | None = None, fuzzy: bool = True, most: in
 
 def _search(name, text, **options):
     def run(spark, sf_dir):
-        return search.search(corpus(spark, sf_dir), text, **options)
+        return search.search(store(spark, sf_dir).tables(), text, **options).select("id", "type", "score", "tfidf", "match_type")
 
     QUERIES[name] = run
     ORACLE_SQL[name] = search_sql(text, options.get("type"), options.get("fuzzy", True), options.get("max_distance", 2), options.get("top_k", 10))
@@ -60,6 +85,17 @@ _search("search_hybrid", HYBRID_QUERY, top_k=50)
 _search("search_hybrid_typed", HYBRID_QUERY, type="en", top_k=20, max_distance=1)
 
 
+@query("SELECT r.*, d.source, len(t)::INT AS token_count, len(list_distinct(t))::INT AS unique_tokens, TIMESTAMP '2024-01-01 00:00:00' AS indexed_at FROM (" + search_sql(HYBRID_QUERY, None, True, 2, 10) + ") r JOIN (SELECT *, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents) d ON d.doc_id = r.id")
+def search_rows(spark, sf_dir):
+    """The whole entries of the best, with their metadata."""
+    return search.search(store(spark, sf_dir).tables(), HYBRID_QUERY).withColumn("source", F.col("metadata")["source"]).drop("metadata").withColumn("indexed_at", F.col("indexed_at").cast("timestamp_ntz"))
+
+
+@query("SELECT doc_id AS id, lang AS type FROM documents WHERE contains(' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ', ' of the ')")
+def search_phrase(spark, sf_dir):
+    return search.phrase(corpus(spark, sf_dir), "Of the")
+
+
 @query("WITH tok AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents) SELECT id, len(t)::INT AS token_count, len(list_distinct(t))::INT AS unique_tokens FROM tok")
 def token_stats(spark, sf_dir):
     return index.token_stats(corpus(spark, sf_dir))
@@ -100,39 +136,57 @@ def many_sql(queries: str, skip_self: str, k: int) -> str:
 
 @query(many_sql("SELECT item_id AS query_id, text FROM benchmark", "", 10))
 def search_batch(spark, sf_dir):
-    return search.search_many(corpus(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return search.search_many(store(spark, sf_dir).tables(), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
 @query("SELECT rank, id, score, tfidf, match_type FROM (" + many_sql("SELECT doc_id AS query_id, text FROM documents WHERE doc_id = 7", "WHERE query_id <> id", 5) + ")")
 def similar_documents(spark, sf_dir):
-    return search.similar(corpus(spark, sf_dir), 7, 5)
+    return search.similar(store(spark, sf_dir).tables(), 7, 5)
 
 
 @query(f"WITH {TOK} SELECT DISTINCT token FROM tok WHERE starts_with(token, 'clo') ORDER BY token LIMIT 10")
 def suggest(spark, sf_dir):
-    return search.suggest(index.postings(corpus(spark, sf_dir)).select("token").distinct(), "CLO", 10)
+    return search.suggest(store(spark, sf_dir).tables().vocabulary, "CLO", 10)
 
 
 @query(f"""WITH {INDEX}, q(position, query_token) AS (VALUES (0, 'clown'), (1, 'disg'), (2, 'clown'), (3, 'zzzz')),
 b AS (SELECT query_token, count(DISTINCT id) AS n FROM post JOIN (SELECT DISTINCT query_token FROM q) ON starts_with(token, query_token) GROUP BY query_token)
 SELECT q.position::INT AS position, q.query_token, round(coalesce(idf, 0), 4) AS idf, coalesce(df, 0) AS document_frequency, coalesce(n, 0) AS prefix_matches FROM q LEFT JOIN idf ON token = q.query_token LEFT JOIN b USING (query_token)""")
 def explain_tokens(spark, sf_dir):
-    return search.explain(corpus(spark, sf_dir), "clown disg clown zzzz")
+    return search.explain(store(spark, sf_dir).tables(), "clown disg clown zzzz")
+
+
+@query(f"WITH {INDEX}, t AS (SELECT token, round(idf, 4) AS r FROM idf ORDER BY r DESC, token LIMIT 10) SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM idf) AS vocabulary, (SELECT string_agg(token, ' ' ORDER BY r DESC, token) FROM t) AS top_terms")
+def explain_totals(spark, sf_dir):
+    return search.explain_totals(store(spark, sf_dir).tables(), 10)
 
 
 @query(f"WITH {INDEX} SELECT token, round(idf, 4) AS idf FROM idf ORDER BY idf.idf DESC, token LIMIT 10")
 def top_terms(spark, sf_dir):
-    return index.top_terms(indexed(spark, sf_dir)[2], 10)
+    return index.top_terms(store(spark, sf_dir).tables().vocabulary, 10)
 
 
-@query(f"WITH {TOK} SELECT (SELECT count(*) FROM documents) AS documents, count(DISTINCT token) AS vocabulary FROM tok")
+@query("""WITH left_ AS (SELECT doc_id, CASE WHEN lang = 'de' THEN 'replaced ' || text ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'fr'), tok AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM left_)
+SELECT (SELECT count(*) FROM left_) AS documents, count(DISTINCT token) AS vocabulary, (SELECT count(*) + count(*) FILTER (lang = 'de') FROM documents) AS total_indexed, (SELECT count(*) FILTER (lang = 'fr') FROM documents) AS total_removed FROM tok""")
 def index_stats(spark, sf_dir):
-    return index.stats(corpus(spark, sf_dir))
+    """After all documents were added, one language added again with another text, and another language removed."""
+    c = corpus(spark, sf_dir)
+    again = c.filter("type = 'de'").withColumn("text", F.concat(F.lit("replaced "), "text"))
+    return new_store(spark).add(c).add(again).remove(c.filter("type = 'fr'")).stats()
+
+
+@query("SELECT * FROM (" + search_sql("replaced disg", None, False, 2, 50).replace("documents", "after_").replace("WITH ", "WITH after_ AS (SELECT doc_id, lang, CASE WHEN lang = 'de' THEN 'replaced ' || text ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'fr'), ", 1) + ")")
+def search_after_changes(spark, sf_dir):
+    """A search of the index after documents were replaced and removed: nothing of the old texts counts."""
+    c = corpus(spark, sf_dir)
+    again = c.filter("type = 'de'").withColumn("text", F.concat(F.lit("replaced "), "text"))
+    changed = new_store(spark).add(c).remove(c.filter("type = 'fr'")).add(again)
+    return search.search(changed.tables(), "replaced disg", 50, fuzzy=False).select("id", "type", "score", "tfidf", "match_type")
 
 
 @query(f"WITH {TOK} SELECT token, levenshtein(token, 'disgusting')::INT AS distance FROM (SELECT DISTINCT token FROM tok) WHERE levenshtein(token, 'disgusting') <= 4")
 def fuzzy_match(spark, sf_dir):
-    return search.fuzzy_match(index.postings(corpus(spark, sf_dir)).select("token").distinct(), "disgusting", 4)
+    return search.fuzzy_match(store(spark, sf_dir).tables().vocabulary, "disgusting", 4)
 
 
 @query(f"WITH {TOK}, q(t) AS (VALUES ('clwn'), ('idoit')) SELECT id, min(levenshtein(token, t))::INT AS distance FROM tok, q WHERE levenshtein(token, t) <= 2 GROUP BY id")
@@ -140,16 +194,23 @@ def bulk_fuzzy_min(spark, sf_dir):
     return search.fuzzy_documents(index.postings(corpus(spark, sf_dir)), "clwn idoit", 2)
 
 
-@query(f"""WITH {TOK}, b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a FROM benchmark WHERE item_id < 3), v AS (SELECT DISTINCT token AS b FROM tok)
-SELECT a, v.b, levenshtein(a, v.b)::INT AS distance FROM b, v WHERE a <> v.b AND levenshtein(a, v.b) <= 1""")
+@query(f"""WITH {TOK}, b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a FROM benchmark), v AS (SELECT DISTINCT token AS b FROM tok)
+SELECT a, v.b, levenshtein(a, v.b)::INT AS distance FROM b JOIN v ON length(v.b) BETWEEN length(a) - 1 AND length(a) + 1 AND a <> v.b AND levenshtein(a, v.b) <= 1""")
 def fuzzy_vocab_pairs(spark, sf_dir):
-    words = table(spark, sf_dir, "benchmark").filter("item_id < 3").select(F.explode(T.tokenize(F.col("text"))).alias("token")).distinct()
-    return search.fuzzy_pairs(words, index.postings(corpus(spark, sf_dir)).select("token").distinct(), 1)
-
-
-@query()
+    words = table(spark, sf_dir, "benchmark").select(F.explode(T.tokenize(F.col("text"))).alias("token")).distinct()
+    return search.fuzzy_pairs(words, store(spark, sf_dir).tables().vocabulary, 1)
+
+
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT p_name AS a, 'small bolt' AS b FROM part),
+r AS (SELECT a, b, 1 AS i, []::BIGINT[] AS used, '' AS l, greatest(0, greatest(length(a), length(b)) // 2 - 1) AS w FROM p
+UNION ALL SELECT a, b, i + 1, CASE WHEN j IS NULL THEN used ELSE list_append(used, j) END, CASE WHEN j IS NULL THEN l ELSE l || a[i] END, w
+FROM (SELECT *, list_filter(range(greatest(1, i - w)::BIGINT, (least(length(b), i + w) + 1)::BIGINT), lambda j: NOT list_contains(used, j) AND b[j] = a[i])[1] AS j FROM r WHERE i <= length(a))),
+d AS (SELECT a, b, len(used) AS m, list_sum(list_transform(range(1, len(used) + 1), lambda k: CASE WHEN l[k] <> b[list_sort(used)[k]] THEN 0.5 ELSE 0 END)) AS t FROM r WHERE i = length(a) + 1),
+s AS (SELECT a, CASE WHEN a = b THEN 1 WHEN m = 0 THEN 0 ELSE (m / length(a)::DOUBLE + m / length(b)::DOUBLE + (m - t) / m::DOUBLE) / 3 END AS j,
+CASE WHEN a[1:4] = b[1:4] THEN 4 WHEN a[1:3] = b[1:3] THEN 3 WHEN a[1:2] = b[1:2] THEN 2 WHEN a[1:1] = b[1:1] THEN 1 ELSE 0 END AS same FROM d)
+SELECT a, round(j, 6) AS jaro, round(j + same * 0.1 * (1 - j), 6) AS jaro_winkler FROM s""")
 def jaro(spark, sf_dir):
-    """The reference counts half transpositions, which the SQL engine's function does not: held against golden values in the tests."""
+    """Half transpositions count, which the SQL engine's own function leaves out."""
     p = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
     return p.select("a", F.round(S.jaro_similarity("a", F.lit("small bolt")), 6).alias("jaro"), F.round(S.jaro_winkler_similarity("a", F.lit("small bolt")), 6).alias("jaro_winkler"))
 
@@ -223,10 +284,10 @@ def vector_topk(spark, sf_dir):
     return vectors.top_similar(v, q, 10)
 
 
-@query(f"SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round({COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND a.vec_id <> b.vec_id)) WHERE rank <= 5")
+@query(f"SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round({COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)) WHERE rank <= 5")
 def vector_topk_batch(spark, sf_dir):
     v = vector_table(spark, sf_dir)
-    return vectors.top_similar_many(v, v.filter("id < 20").withColumnRenamed("id", "query_id"), 5)
+    return vectors.top_similar_many(v, v.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), 5)
 
 
 @query("SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source")
@@ -272,10 +333,40 @@ def hybrid_rrf(spark, sf_dir):
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank")  # of 50 rows
     v = vector_table(spark, sf_dir)
     q = v.filter("id = 3").select("vector").first()["vector"]
-    return listing.fuse({"text": search.search(corpus(spark, sf_dir), "clown idiot", 50, fuzzy=False).select("id", rank), "vector": vectors.top_similar(v, q, 50).select("id", rank)})
+    return listing.fuse({"text": search.search(store(spark, sf_dir).tables(), "clown idiot", 50, fuzzy=False).select("id", rank), "vector": vectors.top_similar(v, q, 50).select("id", rank)})
+
 
+PLAIN = f"CASE WHEN doc_id % 5 IN (0, 1) THEN {MD} WHEN doc_id % 5 = 2 THEN regexp_replace(text, '<[^>]+>', ' ', 'g') ELSE text END"
+PW = W.replace("text", "plain")
 
-@query("SELECT doc_id AS document_id, CASE WHEN doc_id % 5 IN (0, 1) THEN 'MARKDOWN' WHEN doc_id % 5 = 2 THEN 'HTML' ELSE 'TEXT' END AS document_type, count(*) AS n FROM documents GROUP BY ALL")
+
+@query(f"""WITH p AS (SELECT doc_id, {PLAIN} AS plain FROM documents), w AS (SELECT doc_id, {PW} AS w FROM p),
+c AS (SELECT doc_id, w, list_transform(range(0, ceil(len(w) / 450.0)::BIGINT), lambda i: array_to_string(w[i * 450 + 1 : i * 450 + 500], ' ')) AS c FROM w)
+SELECT doc_id AS document_id, CASE WHEN doc_id % 5 IN (0, 1) THEN 'MARKDOWN' WHEN doc_id % 5 = 2 THEN 'HTML' ELSE 'TEXT' END AS document_type, len(w)::INT AS word_count, len(c)::INT AS chunk_count,
+md5(array_to_string(c, '|')) AS chunks_digest, md5(array_to_string(w[1:500], ' ')) AS preview_digest, md5(array_to_string(list_transform(c, lambda x: x[1:500]), '|')) AS previews_digest FROM c""")
 def document_pipeline(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("repository_id"), F.expr(NAMES).alias("file_name"), F.col("text").alias("content"))
-    return folds.process(d).groupBy("document_id", "document_type").agg(F.count("*").alias("n"))
+    joined = lambda c: F.md5(F.array_join(c, "|"))
+    return folds.process(d).select("document_id", "document_type", "word_count", "chunk_count", joined("chunks").alias("chunks_digest"), F.md5("text_preview").alias("preview_digest"), joined("chunk_previews").alias("previews_digest"))
+
+
+@query("""WITH l AS (SELECT doc_id, lang, source, n_chars FROM documents) SELECT doc_id, lang, n_chars FROM l WHERE source = (SELECT min(source) FROM l) AND lang IN ('de', 'en') AND n_chars >= 200 AND n_chars < 2000""")
+def tenant_filter(spark, sf_dir):
+    """One tenant's documents, its source; the predicate on it is mandatory."""
+    d = table(spark, sf_dir, "documents")
+    own = d.agg(F.min("source")).first()[0]
+    rows = d.withColumnRenamed("source", "organization_id")
+    return listing.of_tenant(rows, own, since={"n_chars": 200}, until={"n_chars": 2000}, any_of={"lang": ["de", "en"]}).select("doc_id", "lang", "n_chars")
+
+
+@query("SELECT doc_id AS id, round(coalesce(quality, 0) * 0.7::DOUBLE + n_chars * 0.001::DOUBLE, 6) AS score FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id) ORDER BY score DESC, id LIMIT 10")
+def rerank(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(F.col("doc_id").alias("id"), "quality", "n_chars")
+    return listing.rerank(rows, {"quality": 0.7, "n_chars": 0.001}, 10).select("id", "score")
+
+
+@query(f"WITH {TOK}, q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark), s AS (SELECT DISTINCT lower(n_name) AS synonym, 'the' AS token FROM nation) SELECT token FROM q UNION SELECT synonym FROM s JOIN q USING (token)")
+def query_expansion(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select(F.explode(T.tokenize(F.col("text"))).alias("token")).distinct()
+    return listing.expand(q, table(spark, sf_dir, "nation").select(F.lit("the").alias("token"), F.lower("n_name").alias("synonym")).distinct())

@@ -13,9 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir of the session; a temporary folder only on a local master whose session names none."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("lodestone.shared.folder", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("lodestone.shared.folder", found)
@@ -28,6 +30,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_or_not(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A stored table to be broadcast if it has at most so many rows; a join with it shuffles otherwise."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def manifests(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of the dependency manifests below a folder."""
     from pyspark.sql import functions as F

@@ -51,19 +51,47 @@ def rates(events: DataFrame, width: str = "1 hour", late: str | None = "10 minut
     return counted.select(F.col("w.start").alias("window_start"), "eventType", "n")
 
 
-def project(events: DataFrame, log: str, fold: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, kinds: list[str] | None = None):
-    """Appends each batch to the log and writes the fold of the whole log as a new snapshot, out/batch=<id>. A batch that runs again
-    overwrites its own part of the log and its own snapshot."""
+BUCKETS = 64  # folders of the log, by a hash of the key
+
+
+def project(events: DataFrame, log: str, fold: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, kinds: list[str] | None = None, key: tuple | None = None):
+    """Appends each batch to the log and writes a new snapshot, out/batch=<id>. A batch that runs again overwrites its own part of the log and
+    its own snapshot.
+
+    key: (field of the payload, column of the fold's rows) if the fold's rows of one key follow from the events of that key alone, as those of
+    repositories and documents do. Then a batch reads, of the log, the folders that hold its keys, folds their events, and takes all other
+    rows from the snapshot before. Without a key the whole log is folded for each batch, which suits short logs only."""
 
     def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
         own = df if kinds is None else df.filter(F.col("eventType").isin(kinds))
-        own.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        everything = df.sparkSession.read.schema(ENVELOPE + ", batch long").parquet(log).filter(F.col("batch") <= number).drop("batch")
-        fold(everything.dropDuplicates(["eventId"])).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        own = own.withColumn("key", F.get_json_object("payload", f"$.{key[0]}") if key else F.lit(""))
+        own = own.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+        own.write.mode("overwrite").partitionBy("bucket").parquet(f"{log}/batch={number}")
+        new = spark.read.schema(own.schema).parquet(f"{log}/batch={number}")
+        everything = spark.read.schema(f"{ENVELOPE}, key string, batch long, bucket int").parquet(log).filter(F.col("batch") <= number)
+        before = _newest(spark, out, number)
+        if key and before is not None:
+            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+            keys = new.select("key").filter("key is not null").distinct()
+            everything = everything.filter(F.col("bucket").isin(touched)).join(keys, "key", "left_semi")
+        rows = fold(everything.drop("batch", "bucket", "key").dropDuplicates(["eventId"]))
+        if key and before is not None:
+            rows = before.join(keys.withColumnRenamed("key", key[1]), key[1], "left_anti").select(*rows.columns).unionByName(rows)
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _newest(spark: SparkSession, out: str, before: int) -> DataFrame | None:
+    """The snapshot of the last batch before this one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    done = [n for n in (int(x[6:]) for x in names if x.startswith("batch=")) if n < before]
+    return spark.read.parquet(f"{out}/batch={max(done)}") if done else None
+
+
 def rate_limit(requests: DataFrame, limit: int = 120, seconds: float = 60.0) -> DataFrame:
     """requests (client, request_id, timestamp): request_id, client, admitted. The state of a client is the times admitted within `seconds`."""
 

@@ -69,6 +69,75 @@ def test_reads(log, spark):
     assert {(r["node_id"], r["hops"]) for r in far.collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
 
 
+def test_paths_and_patterns(log, spark):
+    n, e = graph.fold_nodes(log), graph.fold_edges(log)
+    met = graph.match(n, e, "AUTHORED_BY", "Developer", "Commit").collect()
+    assert [(r["from_id"], r["to_id"], r["from_props"]["name"], r["to_label"]) for r in met] == [("developer:a@x.org", "commit:abc", "A", "Commit")]
+    start = spark.createDataFrame([("developer:a@x.org",)], "start string")
+    assert [r["node_id"] for r in graph.walk(e, start, ["AUTHORED_BY", "COMMITTED_TO"]).collect()] == ["r1"]
+    ring = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a"), ("x", "a"), ("d", "y")], "from_id string, to_id string")
+    got = {r["node_id"]: r["path"] for r in graph.paths(ring, spark.createDataFrame([("a",)], "start string"), 5).collect()}
+    assert got == {"a": ["a"], "b": ["a", "b"], "c": ["a", "c"], "d": ["a", "b", "d"], "y": ["a", "b", "d", "y"]}
+    assert {(r["node_id"], r["length"]) for r in graph.in_cycles(ring, 5).collect()} == {(x, 3) for x in "abcd"}
+    scores = spark.createDataFrame([("a", 0.8), ("d", 0.1)], "node_id string, confidence double")
+    assert {r["node_id"]: r["confidence"] for r in graph.propagate(scores, ring, 0.5, 2).collect()} == {"a": 0.8, "b": 0.4, "c": 0.4, "d": 0.2, "y": 0.05}
+    hot = graph.hotspots(graph.degrees(spark.createDataFrame([("a",), ("b",)], "node_id string"), ring), 2, 4).collect()
+    assert [(r["node_id"], r["critical"], r["god_object"]) for r in hot] == [("a", True, True)]
+
+
+def test_derived_edges_of_a_hot_node(spark):
+    """A node with more edges than one task takes is dealt out, and gives the same pairs."""
+    e = spark.createDataFrame([(f"s{i}", f"p{i % 3 if i % 2 else 0}") for i in range(40)], "from_id string, to_id string")
+    rows = lambda df: sorted((r["from_id"], r["to_id"], r["evidence"]) for r in df.collect())
+    assert rows(graph.derived_edges(e, e, most=3)) == rows(graph.derived_edges(e, e)) and graph.derived_edges(e, e, most=3).count() > 500
+
+
+def test_events_without_a_repository(spark):
+    """They belong to no window of a repository, and to no edge."""
+    some = [envelope(1, "CommitAnalyzed", 1, sha="a", authorEmail="m@x.org"), envelope(2, "CommitAnalyzed", 2, sha="b"), envelope(3, "RepositoryDeleted", 3)]
+    e = E.parse(spark.createDataFrame([(json.dumps(x),) for x in some], "value string"))[0]
+    assert {r["node_id"] for r in graph.fold_nodes(e).collect()} == {"commit:a", "commit:b", "developer:m@x.org"}
+    assert {(r["from_id"], r["type"]) for r in graph.fold_edges(e).collect()} == {("developer:m@x.org", "AUTHORED_BY")}
+
+
+def test_commits_and_payloads(log, spark):
+    raw = spark.createDataFrame([("r", f"s{i}", "a@x.org", "m" * 600, ["f"] * 60, 1000 + i) for i in range(5)], "repository_id string, sha string, author_email string, message string, files array<string>, committed long")
+    got = folds.commits(raw, per_repository=2).collect()
+    assert {r["sha"] for r in got} == {"s3", "s4"} and {(len(r["message"]), len(r["files_changed"])) for r in got} == {(500, 50)} and min(r["committed_at"] for r in got).second == 43
+    p = E.payloads(log, "DependencyDetected", 1).first()
+    assert (p["name"], p["version"], p["sourceFile"]) == ("requests", "2.31.0", "requirements.txt") and E.payloads(log, "DependencyDetected", 2).count() == 0
+    assert [r["eventId"] for r in E.recent(log, 5, topic="document.processed").collect()] == ["e005", "e004"] and E.recent(log, 5, topic="nothing").count() == 0
+    late = log.withColumn("timestamp", F.col("timestamp") + F.expr("interval 1 day")).withColumn("payload", F.lit("late"))
+    assert {r["payload"] == "late" for r in E.deduplicate(late.union(log)).collect()} == {False}
+
+
+def test_catalog_against_the_router():
+    """Where the list of topics names consumers that follow nothing of the kind, and consumers it does not name."""
+    from lodestone.sources.schemas import TOPICS
+
+    services = {"document-service": "documents", "embedding-service": "embeddings", "graph-service": "graph", "search-service": "search"}
+    drift = {(kind, s) for _, kind, _, consumers in TOPICS for s in services if (s in consumers) != (kind in jobs.SUBSCRIPTIONS[services[s]])}
+    assert drift == {("RepositoryCreated", "embedding-service"), ("EmbeddingGenerated", "search-service")}
+
+
+def test_projection_by_key(spark, log, tmp_path):
+    """Batch by batch, only the repositories of a batch are folded again; the last snapshot is the fold of the whole log."""
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    folded = []
+
+    def fold(events):
+        folded.append(events.count())
+        return folds.repositories(events)
+
+    good = log.filter("eventId not in ('e009', 'e010')")
+    for n, some in enumerate((good.filter("eventId <= 'e006'"), good.filter("eventId > 'e006' and eventId < 'e015'"), good.filter("eventId >= 'e015'"))):
+        some.coalesce(1).write.mode("append").json(str(src))
+        q = jobs.project(jobs.read_events(spark, str(src)), str(tmp_path / "log"), fold, out, str(tmp_path / "c"), key=("repositoryId", "repository_id"))
+        q.awaitTermination()
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(spark.read.parquet(f"{out}/batch=2")) == rows(folds.repositories(good)) and folded[-1] < good.count()
+
+
 def test_search_fold(log):
     s = {r["id"]: r["text"] for r in folds.search_documents(log).collect()}
     assert s["r1"] == "payment-gateway Go https://x.org/1 public main" and s["r2"] == "other https://x.org/1" and "r4" not in s

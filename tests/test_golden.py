@@ -56,13 +56,46 @@ def test_search_options(corpus, spark):
     assert "CartesianProduct" not in plan
 
 
-def test_suggest_explain_stats(corpus):
+def test_suggest_explain_stats(corpus, spark, tmp_path):
     w = index.idf(index.postings(corpus), index.corpus_size(corpus))
     assert [r["token"] for r in search.suggest(w, "pay").collect()] == ["payment"] and search.suggest(w, "zzz").count() == 0
     e = {r["query_token"]: r for r in search.explain(corpus, "payment pay").collect()}
     assert e["payment"]["idf"] == 1.0 and e["payment"]["document_frequency"] == 3 and e["pay"]["prefix_matches"] == 3 and e["pay"]["idf"] == 0
-    s = index.stats(corpus).first()
-    assert (s["documents"], s["vocabulary"]) == (4, 14)
+    t = search.explain_totals(corpus, 2).first()
+    assert (t["documents"], t["vocabulary"], t["top_terms"]) == (4, 14, "backend documentation")
+
+
+def test_stored_index(corpus, spark, tmp_path):
+    """Added, added again, removed: searches see the newest texts only, and another reader of the folder sees the same."""
+    store = index.Store(spark, str(tmp_path / "index"))
+    with pytest.raises(ValueError):
+        store.tables()
+    meta = corpus.withColumn("metadata", F.create_map(F.lit("owner"), F.lit("x")))
+    store.add(meta, "2024-01-01 00:00:00")
+    for q in ("payment billing", "pay", "paymnt"):
+        assert found(search.search(store.tables(), q)) == found(search.search(corpus, q))
+    row = search.search(store.tables(), "billing").first()
+    assert (row["metadata"], row["token_count"], row["unique_tokens"], row["indexed_at"].year) == ({"owner": "x"}, 5, 5, 2024)
+    new = spark.createDataFrame([("repo_002", "Repository", "payment ledger")], corpus.schema)
+    store.add(new).remove(spark.createDataFrame([("doc_001",), ("nobody",)], "id string"))
+    s = index.Store(spark, str(tmp_path / "index")).stats().first()
+    assert (s["documents"], s["total_indexed"], s["total_removed"]) == (3, 5, 1)
+    now = corpus.filter("id not in ('repo_002', 'doc_001')").union(new)
+    for q in ("payment billing", "pay", "invoice", "readme", "ledger"):
+        assert found(search.search(store.tables(), q)) == found(search.search(now, q))
+    assert [r["id"] for r in search.similar(store.tables(), "repo_002", 2).collect()] == [r["id"] for r in search.similar(now, "repo_002", 2).collect()]
+    store.add(spark.createDataFrame([("doc_001", "Document", "back again")], corpus.schema))
+    assert [r["id"] for r in search.search(store.tables(), "again", fuzzy=False).collect()] == ["doc_001"]
+    assert [r["id"] for r in search.phrase(corpus, "Payment-service golang").collect()] == ["repo_001"] and search.phrase(corpus, " ").count() == 0
+
+
+def test_long_tokens_are_not_taken_apart(spark):
+    """A token of 60,000 characters costs a prefix for each length asked for, not for each of its own."""
+    corpus = spark.createDataFrame([(1, "t", "x" * 60_000 + " pay"), (2, "t", "payment")], "id long, type string, text string")
+    got = search.search_many(corpus, spark.createDataFrame([(9, "pay xx")], "query_id long, text string")).collect()
+    assert {(r["id"], r["match_type"]) for r in got} == {(1, "exact"), (2, "prefix")}
+    words = spark.createDataFrame([("pey",)], "token string")
+    assert [r["b"] for r in search.fuzzy_pairs(words, index.postings(corpus).select("token").distinct(), 1).collect()] == ["pay"]
 
 
 def test_levenshtein_and_fuzzy(spark):
@@ -119,9 +152,11 @@ def test_vectors(spark):
 
 
 def test_manifests(spark):
-    more = [("x/node_modules/package.json", '{"dependencies": {"no": "1"}}'), ("y/package.json", '{"dependencies": null}'), ("z/package.json", '{"dependencies": {"a": {"b": 1}}}'), ("w/requirements-dev.txt", "a[b]~=1 # x")]
+    more = [("x/node_modules/package.json", '{"dependencies": {"no": "1"}}'), ("y/package.json", '{"dependencies": null}'), ("z/package.json", '{"dependencies": {"a": {"b": 1}}}'), ("w/requirements-dev.txt", "a[b]~=1 # x"), ("v/sub/package.json", '{"dependencies": {"q": "1"}}')]
+    sources = {r["path"]: r["source_file"] for r in manifests.all_dependencies(spark.createDataFrame(more, "path string, content string")).collect()}
+    assert sources["w/requirements-dev.txt"] == "requirements.txt" and sources["v/sub/package.json"] == "v/sub/package.json"
     got = sorted((r["path"], r["name"], r["version"]) for r in manifests.all_dependencies(spark.createDataFrame([*MANIFESTS, *more], "path string, content string")).collect())
-    assert ("z/package.json", "a", "") in got and ("w/requirements-dev.txt", "a", "~=1 # x") in got and not any(p.startswith(("x/", "y/", "c/", "f/")) for p, *_ in got) and len(got) == 17
+    assert ("z/package.json", "a", "") in got and ("w/requirements-dev.txt", "a", "~=1 # x") in got and not any(p.startswith(("x/", "y/", "c/", "f/")) for p, *_ in got) and len(got) == 18
 
 
 def test_listing(spark):
@@ -131,3 +166,44 @@ def test_listing(spark):
         listing.page(a, 0, 10, "id", "id")
     assert {r["token"] for r in listing.expand(spark.createDataFrame([("db",)], "token string"), spark.createDataFrame([("db", "database")], "token string, synonym string")).collect()} == {"db", "database"}
     assert listing.rerank(a.withColumn("s", F.lit(1.0)), {"s": 2.0, "rank": -1.0}).first()["id"] == "x"
+    rows = spark.createDataFrame([("o1", "x", 1, True), ("o1", "y", 5, False), ("o2", "x", 9, True)], "organization_id string, kind string, at int, live boolean")
+    assert listing.of_tenant(rows, "o1", since={"at": 1}, until={"at": 5}, any_of={"kind": ["x", "y"]}, live=True).count() == 1
+    with pytest.raises(ValueError):
+        listing.of_tenant(rows, None)
+    best = listing.best_of_each(rows, "kind", "at")
+    assert best.columns == rows.columns and {(r["kind"], r["at"]) for r in best.collect()} == {("x", 9), ("y", 5)}
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Blocks of a few vectors give what a plain search gives; zeros, other dimensions and nulls take no part."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "VECTORS", 7)
+    monkeypatch.setattr(vectors, "QUERIES", 2)
+    m = np.random.default_rng(3).standard_normal((40, 5))
+    m[7] = m[3]
+    some = [(i, v.tolist()) for i, v in enumerate(m)] + [(100, [0.0] * 5), (101, [1.0] * 4), (102, None), (None, [1.0] * 5)]
+    v = spark.createDataFrame(some, "id long, vector array<double>")
+    got = vectors.top_similar_many(v, v.filter("id in (0, 3, 7, 100)").withColumnRenamed("id", "query_id"), 4).collect()
+    unit = m / np.linalg.norm(m, axis=1)[:, None]
+    for q in (0, 3, 7):
+        s = np.round(unit @ unit[q], 6)
+        want = [i for i in np.lexsort((np.arange(40), -s)).tolist() if i != q][:4]
+        assert [r["id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+    assert len(got) == 12
+    embedded = vectors.embed(spark.createDataFrame([("d", "r1", ["x", "y" * 300])], "document_id string, repository_id string, texts array<string>"))
+    assert vectors.records(embedded, "r2").count() == 0 and "vector" not in vectors.records(embedded).columns and "vector" in vectors.records(embedded, "r1", True).columns
+    best = vectors.search_text(embedded, "x", 1).first()
+    assert (best["document_id"], best["chunk_index"], best["preview"], best["score"]) == ("d", 0, "x", 1.0)
+
+
+def test_files_of_a_repository(spark, tmp_path):
+    from lodestone.sources import store
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "requirements-dev.txt").write_text("flask>=2\n")
+    (tmp_path / "sub" / "package.json").write_text('{"dependencies": {"a": "1"}}')
+    (tmp_path / "sub" / "big.bin").write_bytes(b"x" * 5000)
+    files = store.manifests(spark, str(tmp_path))
+    assert {r["name"] for r in manifests.all_dependencies(files).collect()} == {"flask", "a"} and files.count() == 2
+    assert store.folder_size_kb(spark, str(tmp_path)).first()["size_kb"] == 4
