@@ -38,10 +38,12 @@ def _prepared(events: DataFrame) -> DataFrame:
 
 
 def fold_nodes(events: DataFrame) -> DataFrame:
-    """Nodes after all events: properties are patched key by key, nulls never overwrite, a deletion forgets what came before."""
+    """Nodes after all events: properties are patched key by key, nulls never overwrite, a deletion forgets what came before. Documents,
+    dependencies, commits and developers outlive their repository. What an event writes is an array that is exploded, so that the log is read
+    and ordered once."""
     e = _prepared(events)
-    kept = e.filter((F.col("gone").isNull()) | (F.col("at") > F.col("gone")))
-    kind = F.col("eventType")
+    kind, repo = F.col("eventType"), F.col("repo")
+    kept = F.col("gone").isNull() | (F.col("at") > F.col("gone"))
     changed = F.coalesce(F.from_json(_get("changedFields"), "map<string,string>"), F.expr("map()").cast("map<string,string>"))
     org = F.map_concat(_props("name", "url", "language", "visibility", "defaultBranch"), F.create_map(F.lit("organizationId"), F.col("organizationId")))
     cloned = F.map_concat(F.create_map(F.lit("cloneStatus"), F.lit("success")), _props("commitCount", "sizeKb", "clonedAt"))
@@ -49,30 +51,23 @@ def fold_nodes(events: DataFrame) -> DataFrame:
         _props("sha", "authorEmail", "authorName", "committedAt", "repositoryId"),
         F.create_map(F.lit("message"), F.substring(_text("message"), 1, 200), F.lit("filesChanged"), F.coalesce(F.json_array_length(_get("filesChanged")), F.lit(0)).cast("string")),
     )
-    upsert = lambda where, id_, label, props, makes=True: kept.filter(where).select(id_.alias("node_id"), F.lit(label).alias("label"), props.alias("props"), "at", "timestamp", F.lit(makes).alias("makes"))
-    rows = upsert(kind == "RepositoryCreated", F.col("repo"), "Repository", org)
-    for part in (
-        upsert((kind == "RepositoryUpdated") & F.col("alive") & (F.size(changed) > 0), F.col("repo"), "Repository", changed, False),
-        upsert(kind == "RepositoryCloned", F.col("repo"), "Repository", cloned),
-        # documents, dependencies and commits outlive their repository
-        *(_others(e, kind, upsert_kind, id_, label, props) for upsert_kind, id_, label, props in (
-            ("DocumentProcessed", _get("documentId"), "Document", _props("fileName", "documentType", "chunkCount", "wordCount", "repositoryId")),
-            ("DependencyDetected", dependency_id(), "Dependency", _props("name", "version", "ecosystem", "sourceFile")),
-            ("CommitAnalyzed", F.concat(F.lit("commit:"), _text("sha")), "Commit", commit),
-        )),
-        _others(e.filter(F.length(_text("authorEmail")) > 0), kind, "CommitAnalyzed", F.concat(F.lit("developer:"), _get("authorEmail")), "Developer", F.create_map(F.lit("email"), _get("authorEmail"), F.lit("name"), _get("authorName"))),
-    ):
-        rows = rows.unionByName(part)
+    write = lambda where, id_, label, props, makes=True: F.when(where, F.struct(id_.alias("node_id"), F.lit(label).alias("label"), props.alias("props"), F.lit(makes).alias("makes")))
+    writes = F.array(
+        write((kind == "RepositoryCreated") & kept, repo, "Repository", org),
+        write((kind == "RepositoryUpdated") & kept & F.col("alive") & (F.size(changed) > 0), repo, "Repository", changed, False),
+        write((kind == "RepositoryCloned") & kept, repo, "Repository", cloned),
+        write(kind == "DocumentProcessed", _get("documentId"), "Document", _props("fileName", "documentType", "chunkCount", "wordCount", "repositoryId")),
+        write(kind == "DependencyDetected", dependency_id(), "Dependency", _props("name", "version", "ecosystem", "sourceFile")),
+        write(kind == "CommitAnalyzed", F.concat(F.lit("commit:"), _text("sha")), "Commit", commit),
+        write((kind == "CommitAnalyzed") & (F.length(_text("authorEmail")) > 0), F.concat(F.lit("developer:"), _get("authorEmail")), "Developer", F.create_map(F.lit("email"), _get("authorEmail"), F.lit("name"), _get("authorName"))),
+    )
+    rows = e.select("at", "timestamp", F.explode(F.array_compact(writes)).alias("w")).select("w.*", "at", "timestamp")
     times = rows.groupBy("node_id").agg(F.min_by("label", "at").alias("label"), F.min("timestamp").alias("created_at"), F.max("timestamp").alias("updated_at"), F.max("makes").alias("made")).filter("made").drop("made")
     values = rows.select("node_id", "at", F.explode("props").alias("k", "v")).filter("v is not null").groupBy("node_id", "k").agg(F.max_by("v", "at").alias("v"))
     props = values.groupBy("node_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))
     return times.join(props, "node_id", "left").select("node_id", "label", "props", "created_at", "updated_at")
 
 
-def _others(e, kind, event, id_, label, props):
-    return e.filter(kind == event).select(id_.alias("node_id"), F.lit(label).alias("label"), props.alias("props"), "at", "timestamp", F.lit(True).alias("makes"))
-
-
 def dependency_id():
     return F.concat(F.lit("dep:"), F.coalesce(_get("ecosystem"), F.lit("unknown")), F.lit(":"), _text("name"), F.lit(":"), _text("version"))
 
@@ -85,14 +80,18 @@ def fold_edges(events: DataFrame, eventual: bool = False) -> DataFrame:
     commit = F.concat(F.lit("commit:"), _text("sha"))
     after = (F.col("gone").isNull()) | (F.col("at") > F.col("gone"))
     if eventual:
-        living = e.filter(kind.isin("RepositoryCreated", "RepositoryCloned") & after).select("repo").distinct()
-        there = e.join(living, "repo", "left_semi")
+        living = e.filter(kind.isin("RepositoryCreated", "RepositoryCloned") & after).select("repo", F.lit(True).alias("lives")).distinct()
+        e = e.join(living, "repo", "left")
+        there = F.coalesce("lives", F.lit(False))
     else:
-        there = e.filter(F.col("alive") & after)
-    edge = lambda df, event, a, b, t: df.filter(kind == event).select(a.alias("from_id"), b.alias("to_id"), F.lit(t).alias("type"), "timestamp")
-    rows = edge(there, "DocumentProcessed", _get("documentId"), repo, "DESCRIBES")
-    rows = rows.union(edge(there, "DependencyDetected", repo, dependency_id(), "DEPENDS_ON")).union(edge(there, "CommitAnalyzed", commit, repo, "COMMITTED_TO"))
-    rows = rows.union(edge(e.filter(F.length(_text("authorEmail")) > 0), "CommitAnalyzed", F.concat(F.lit("developer:"), _get("authorEmail")), commit, "AUTHORED_BY"))
+        there = F.col("alive") & after
+    write = lambda where, a, b, t: F.when(where, F.struct(a.alias("from_id"), b.alias("to_id"), F.lit(t).alias("type")))
+    writes = F.array(
+        write(there & (kind == "DocumentProcessed"), _get("documentId"), repo, "DESCRIBES"), write(there & (kind == "DependencyDetected"), repo, dependency_id(), "DEPENDS_ON"),
+        write(there & (kind == "CommitAnalyzed"), commit, repo, "COMMITTED_TO"),
+        write((kind == "CommitAnalyzed") & (F.length(_text("authorEmail")) > 0), F.concat(F.lit("developer:"), _get("authorEmail")), commit, "AUTHORED_BY"),
+    )
+    rows = e.select("timestamp", F.explode(F.array_compact(writes)).alias("w")).select("w.*", "timestamp")
     return rows.groupBy("from_id", "to_id", "type").agg(F.min("timestamp").alias("created_at"))
 
 

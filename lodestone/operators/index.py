@@ -80,6 +80,8 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._state: dict | None = None  # as last read or written here: another writer's changes are seen by a new reader
+        self._tables: Index | None = None
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
@@ -90,9 +92,10 @@ class Store:
 
     def state(self) -> dict:
         """segment, documents, vocabulary, total_indexed, total_removed of the newest state."""
-        if not self._has("state"):
-            return {"segment": 0, "documents": 0, "vocabulary": 0, "total_indexed": 0, "total_removed": 0}
-        return self._read("state").orderBy(F.desc("segment")).first().asDict()
+        if self._state is None:
+            none = {"segment": 0, "documents": 0, "vocabulary": 0, "total_indexed": 0, "total_removed": 0}
+            self._state = self._read("state").orderBy(F.desc("segment")).first().asDict() if self._has("state") else none
+        return self._state
 
     def stats(self) -> DataFrame:
         """One row."""
@@ -139,14 +142,17 @@ class Store:
         live.join(norms(posts, vocabulary), "id", "left").write.mode("overwrite").parquet(f"{base}/entries")
         row = (self.spark.read.parquet(f"{base}/entries").count(), vocabulary.count(), indexed, removed)
         self.spark.createDataFrame([row], "documents long, vocabulary long, total_indexed long, total_removed long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/state/segment={n}")
+        self._state = self._tables = None
         return self
 
     def tables(self) -> Index:
         n = self.state()["segment"]
         if not n:
             raise ValueError(f"nothing was added to {self.folder}")
-        base = f"{self.folder}/version={n}"
-        return Index(self.spark.read.parquet(f"{base}/entries"), self._read("postings").filter(F.col("segment") <= n), self.spark.read.parquet(f"{base}/vocabulary"))
+        if self._tables is None:
+            base = f"{self.folder}/version={n}"
+            self._tables = Index(self.spark.read.parquet(f"{base}/entries"), self._read("postings").filter(F.col("segment") <= n), self.spark.read.parquet(f"{base}/vocabulary"))
+        return self._tables
 
 
 def add(corpus: DataFrame, new: DataFrame) -> DataFrame:
