@@ -68,18 +68,20 @@ def _encode(texts: list[str], blob: str, kind: str) -> list[bytes]:
     pieces = [cut(t) for t in texts]
     new = list({p for ps in pieces for p in ps if p not in memo})
     fixed = 150  # of an entry besides its characters and ids
-    added = sum(fixed + 2 * len(p) for p in new if len(p) <= LONG)
+    added = fixed * len(new) + 2 * sum(map(len, new))  # at most
     if store.get("bytes", 0) + added > MEMO:
         memo.clear()
         store["bytes"] = 0
         new = list({p for ps in pieces for p in ps})
-        added = sum(fixed + 2 * len(p) for p in new if len(p) <= LONG)
+        added = fixed * len(new) + 2 * sum(map(len, new))
     store["bytes"] = store.get("bytes", 0) + added
     once = {}
     for at in range(0, len(new), 4096):
         some = new[at : at + 4096]
         for p, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
             (memo if len(p) <= LONG else once)[p] = array(code, e.ids).tobytes()
+    if not once:
+        return [b"".join(map(memo.__getitem__, ps)) for ps in pieces]
     return [b"".join([memo[p] if len(p) <= LONG else once[p] for p in ps]) for ps in pieces]
 
 
