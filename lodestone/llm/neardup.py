@@ -156,10 +156,14 @@ def _stars(percent: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of classes whose full sets are similar enough."""
+    """Those pairs (a, b) of classes whose full sets are similar enough. The first of a large bucket has as many pairs as the bucket has members:
+    they meet its set in blocks."""
     left, right = (sets.select(F.col("vid").alias(x), F.col("items").alias(f"of_{x}")) for x in "ab")
+    hubs = small_or_not(stored(pairs.groupBy("a").agg(_blocks_of("count(1)").alias("blocks")).filter("blocks > 1"), "neardup-hubs"), IDS)
+    pairs = pairs.join(hubs, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"), F.lit(0)).alias("block"))
+    left = left.join(hubs, "a", "left").select("a", "of_a", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
     common = F.size(F.array_intersect("of_a", "of_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", common.alias("c"), (F.size("of_a") + F.size("of_b")).alias("n"))
+    both = pairs.join(right, "b").join(left, ["a", "block"]).select("a", "b", common.alias("c"), (F.size("of_a") + F.size("of_b")).alias("n"))
     return stored(both.filter(F.expr(f"100 * c >= {percent} * (n - c)")).select("a", "b").distinct(), "neardup-links")
 
 
