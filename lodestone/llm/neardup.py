@@ -155,15 +155,21 @@ def _stars(percent: int):
     return run
 
 
+def _spread(many: DataFrame, few: DataFrame, key: str, by, counted: DataFrame | None = None) -> DataFrame:
+    """many joined with few, which has a row for each key at most. A key with more than BLOCK rows meets its row in blocks; `by` deals them out and must
+    be the same whenever a row is computed again. `counted` has the keys of many, if it is cheaper to read."""
+    counts = many if counted is None else counted
+    hot = small_or_not(stored(counts.groupBy(key).agg(_blocks_of("count(1)").alias("blocks")).filter("blocks > 1"), "neardup-hot"), IDS)
+    many = many.withColumn("dealt", by).join(hot, key, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("dealt"), F.col("blocks")).cast("int"), F.lit(0))).drop("dealt", "blocks")
+    few = few.join(hot, key, "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    return many.join(few, [key, "block"]).drop("block")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of classes whose full sets are similar enough. The first of a large bucket has as many pairs as the bucket has members:
-    they meet its set in blocks."""
+    """Those pairs (a, b) of classes whose full sets are similar enough. The first of a large bucket has as many pairs as the bucket has members."""
     left, right = (sets.select(F.col("vid").alias(x), F.col("items").alias(f"of_{x}")) for x in "ab")
-    hubs = small_or_not(stored(pairs.groupBy("a").agg(_blocks_of("count(1)").alias("blocks")).filter("blocks > 1"), "neardup-hubs"), IDS)
-    pairs = pairs.join(hubs, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"), F.lit(0)).alias("block"))
-    left = left.join(hubs, "a", "left").select("a", "of_a", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
     common = F.size(F.array_intersect("of_a", "of_b"))
-    both = pairs.join(right, "b").join(left, ["a", "block"]).select("a", "b", common.alias("c"), (F.size("of_a") + F.size("of_b")).alias("n"))
+    both = _spread(pairs.join(right, "b"), left, "a", F.col("b"), pairs).select("a", "b", common.alias("c"), (F.size("of_a") + F.size("of_b")).alias("n"))
     return stored(both.filter(F.expr(f"100 * c >= {percent} * (n - c)")).select("a", "b").distinct(), "neardup-links")
 
 
@@ -437,8 +443,9 @@ def _named(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     signed, named, _ = _named(docs, width, percent)
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.select("digest", "component").join(smallest, "component").select("digest", "component_id")
-    some = signed.filter("digest is not null").join(named, "digest").select("doc_id", "n_shingles", "component_id")
+    named = _spread(named.select("digest", "component"), smallest, "component", F.col("digest")).select("digest", "component_id")
+    # signed is a stored table, read alike each time: its row numbers deal out equal rows too
+    some = _spread(signed.filter("digest is not null"), named, "digest", F.monotonically_increasing_id()).select("doc_id", "n_shingles", "component_id")
     none = signed.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = stored(some.union(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "neardup")
     drop_stored(signed)
