@@ -174,18 +174,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, component (the smallest id reachable) for every id in edges (a, b), by alternating large and small stars."""
+    """id, component (the smallest id reachable) for every id in edges (a, b), by alternating large and small stars. A node of many
+    edges meets its smallest neighbour in blocks of them."""
     cur = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
     before = None
     while True:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(_spread(both, low, "u", F.col("v")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        small = _spread(large, low, "u", F.col("v")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         new = stored(small.filter("u <> v").distinct(), "stars")
         mark = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        drop_stored(cur)
+        drop_stored(cur, large)
         cur = new
         if mark == before:
             break
