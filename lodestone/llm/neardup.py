@@ -427,11 +427,12 @@ def _named(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
     blocks = small_or_not(stored(rows.groupBy("key").agg(_blocks_of("count(1)").alias("blocks")).filter("blocks > 1"), "neardup-blocks"), IDS)
     rows = rows.join(blocks, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", _place("blocks"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).select(*COLUMNS)
-    by_block = lambda df: df.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "vid")
-    live = stored(by_block(rows).mapInArrow(_live(percent), GROUP), "neardup-live")
+    # by ranges: tasks get like numbers of rows, where a hash may send several full block pairs to one
+    pairs_of = rows.repartitionByRange(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "vid")
+    live = stored(pairs_of.mapInArrow(_live(percent), GROUP), "neardup-live")
     if not live.isEmpty():
         sets = _items(docs, own, stored(live.select("vid").distinct(), "neardup-ids"), width, repeated)
-        full = by_block(live.join(sets, "vid").select(*COLUMNS, "items"))
+        full = live.join(sets, "vid").select(*COLUMNS, "items").repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "vid")
         last = components(links.union(full.mapInArrow(_linked(percent), "a long, b long").distinct()))
         drop_stored(sets)
     named = own.join(last.withColumnRenamed("id", "vid"), "vid", "left").select("digest", F.coalesce("component", "vid").alias("component"), "doc_id", "text_hash")
