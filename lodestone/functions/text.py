@@ -26,6 +26,11 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def strip_markdown(text: Column) -> Column:
     for pattern, by in MARKDOWN:
         text = F.regexp_replace(text, pattern, by)

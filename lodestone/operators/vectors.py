@@ -6,18 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import DIMENSIONS, as_doubles, cosine, stub_embedding
-from ..functions.text import words
+from ..functions.text import strip, words
 from .search import check
 
 MODEL, PREVIEW = "stub-128", 200  # fixed value: characters of a preview
 VECTORS, QUERIES = 8192, 1024  # of a block
-PACKED = pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
 
 
 def chunk_texts(document_id: Column, previews: Column, preview: Column, count: Column) -> Column:
     """The texts to embed: the chunk previews; else the text preview cut in `count` windows, the last one longer; else placeholders."""
     blank = lambda i: F.concat_ws(":", document_id, F.lit("chunk"), i.cast("string"))
-    given = F.transform(previews, lambda c, i: F.coalesce(F.nullif(F.trim(c), F.lit("")), blank(i)))
+    given = F.transform(previews, lambda c, i: F.coalesce(F.nullif(strip(c), F.lit("")), blank(i)))
     n = F.greatest(F.coalesce(count, F.lit(1)), F.lit(1))
     w = words(preview)
     step = F.greatest(F.floor(F.size(w) / n), F.lit(1)).cast("int")
@@ -59,47 +58,59 @@ def top_similar(vectors: DataFrame, query: list[float], top_k: int = 5) -> DataF
 
 
 def _packed(key, t):
-    ids = t["id"].to_numpy().astype(np.int64)
-    return pa.table({"dim": [key[0].as_py()], "block": [key[1].as_py()], "ids": [ids.tobytes()], "data": [t["vector"].combine_chunks().flatten().to_numpy().tobytes()]}, schema=PACKED)
+    ids = t["id"].combine_chunks()
+    data = t["vector"].combine_chunks().flatten().to_numpy()
+    return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "ids": pa.ListArray.from_arrays([0, len(ids)], ids), "hashes": pa.array([t["hash"].to_numpy().tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
 
 
 def _nearest(top_k: int):
-    """The nearest of each query of a block among the vectors of another, which are held once for all query blocks that meet it."""
+    """The nearest of each query of a block among the vectors of another, which are held once for all query blocks that meet it. Equal ids are known by
+    their hashes first; rows are in the order of their ids."""
 
     def run(batches):
         for b in batches:
-            for dim, ids, data, q_ids, q_data in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for i in range(len(b)):
+                dim, hashes, data, q_hashes, q_data = (b.column(c)[i].as_py() for c in ("dim", "hashes", "data", "q_hashes", "q_data"))
+                ids, q_ids = b.column("ids")[i].values, b.column("q_ids")[i].values
                 v, q = (np.frombuffer(x).reshape(-1, dim) for x in (data, q_data))
-                ids, q_ids = (np.frombuffer(x, np.int64) for x in (ids, q_ids))
                 lengths = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))
                 with np.errstate(invalid="ignore", divide="ignore"):
                     score = np.round(q @ v.T / lengths, 6)
-                score[(q_ids[:, None] == ids) | ~np.isfinite(score)] = -np.inf
-                out = []
-                for own, row in zip(q_ids.tolist(), score):
+                if ids.type == q_ids.type:
+                    for x, y in zip(*np.nonzero(np.frombuffer(q_hashes, np.int64)[:, None] == np.frombuffer(hashes, np.int64))):
+                        score[x, y] = -np.inf if ids[y.item()] == q_ids[x.item()] else score[x, y]
+                score[~np.isfinite(score)] = -np.inf
+                own, found, values = [], [], []
+                for x, row in enumerate(score):
                     at = np.flatnonzero(row >= (np.partition(row, -top_k)[-top_k] if len(row) > top_k else -2))
                     at = at[row[at] >= -2]
-                    out += [(own, int(ids[i]), float(row[i])) for i in at[np.lexsort((ids[at], -row[at]))][:top_k]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "score"])
+                    at = at[np.argsort(-row[at], kind="stable")][:top_k]
+                    own.append(np.full(len(at), x))
+                    found.append(at)
+                    values.append(row[at])
+                own, found, values = np.concatenate(own), np.concatenate(found), np.concatenate(values)
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(own)), ids.take(pa.array(found)), pa.array(values)], ["query_id", "id", "score"])
 
     return run
 
 
 def top_similar_many(vectors: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame:
-    """The nearest by cosine of each query (query_id, vector) among all vectors (id, vector) but its own: query_id, rank, id, score. Queries and
-    vectors meet in blocks of bounded size, and each pair of blocks hands on top_k rows of a query. Vectors of zeros and of other
-    dimensions, and rows without id or vector, take no part."""
+    """The nearest by cosine of each query (query_id, vector) among all vectors (id, vector) but its own: query_id, rank, id, score. Ids are of any type
+    that can be ordered (numbers, strings, structs of them). Queries and vectors meet in blocks of bounded size, and each pair of blocks hands on
+    top_k rows of a query. Vectors of zeros and of other dimensions, and rows without id or vector, take no part."""
 
-    def blocks(df: DataFrame, id_: str, size: int) -> tuple[DataFrame, int]:
-        rows = df.select(F.col(id_).cast("long").alias("id"), as_doubles(F.col("vector")).alias("vector")).filter("id is not null and size(vector) > 0 and forall(vector, x -> x is not null)")
+    def blocks(df: DataFrame, id_: str, size: int) -> tuple[DataFrame, int, str]:
+        kind = df.schema[id_].dataType.simpleString()
+        rows = df.select(F.col(id_).cast(kind).alias("id"), as_doubles(F.col("vector")).alias("vector")).filter("id is not null and size(vector) > 0 and forall(vector, x -> x is not null)")
         n = max(1, -(-df.count() // size))
-        packed = rows.withColumns({"dim": F.size("vector"), "block": F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")}).groupBy("dim", "block").applyInArrow(_packed, "dim int, block int, ids binary, data binary")
-        return packed, n
-
-    (every, n), (asked, _) = blocks(vectors, "id", VECTORS), blocks(queries, "query_id", QUERIES)
-    asked = asked.select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
-    met = every.join(asked, ["dim", "block"]).select("dim", "ids", "data", "q_ids", "q_data")
-    found = met.mapInArrow(_nearest(top_k), "query_id long, id long, score double")
+        h = F.xxhash64("id")
+        dealt = rows.withColumns({"hash": h, "dim": F.size("vector"), "block": F.pmod(h, F.lit(n)).cast("int")}).repartition("dim", "block").sortWithinPartitions("dim", "block", "id")
+        return dealt.groupBy("dim", "block").applyInArrow(_packed, f"dim int, block int, ids array<{kind}>, hashes binary, data binary"), n, kind
+
+    (every, n, kind), (asked, _, q_kind) = blocks(vectors, "id", VECTORS), blocks(queries, "query_id", QUERIES)
+    asked = asked.select("dim", F.col("ids").alias("q_ids"), F.col("hashes").alias("q_hashes"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    met = every.join(asked, ["dim", "block"]).select("dim", "ids", "hashes", "data", "q_ids", "q_hashes", "q_data")
+    found = met.mapInArrow(_nearest(top_k), f"query_id {q_kind}, id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= top_k)
 

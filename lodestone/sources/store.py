@@ -27,7 +27,16 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lodestone_path = path
+    return out
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes tables made by stored() which nothing will read again."""
+    for t in tables:
+        folder = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._lodestone_path)
+        folder.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small_or_not(df: DataFrame, most: int = 1_000_000) -> DataFrame:
