@@ -1,34 +1,53 @@
-"""The search index as tables: postings, document frequencies with idf, and norms; derived on the fly or kept in a folder.
+"""The search index as tables: postings with positions, document frequencies with idf, and norms; derived on the fly or kept in a folder.
 
-corpus: id, type, text, and if there metadata (a map). postings: id, segment, token, tf (share of the document's tokens), n_tokens. idf =
+corpus: id, type, text, and if there metadata (a map). postings: id, segment, token, n, tf (share of the document's tokens), n_tokens, positions. idf =
 ln(max(N, 1) / (df + 1)) + 1 with N the documents that have at least one token. Everything is a partial aggregate followed by one shuffle
 on its key.
 """
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..sources.store import drop_stored, small_or_not, stored
+from ..sources.versions import Versions
 
-BUCKETS = 16  # folders of the postings, by a hash of the token
+SEGMENTS, SHARE = 16, 0.2  # changes, and their share of the documents, beyond which a store is merged
+BLOCKS = 1000  # of the postings at most, each of documents of like length
+ROW_GROUP = 1 << 20  # bytes: what a search can skip
+IDS = 1_000_000  # ids of a change up to which they are broadcast
 
 
 @dataclass(frozen=True)
 class Index:
-    """entries: id, segment, type, metadata, token_count, unique_tokens, indexed_at, norm; postings; vocabulary: token, df, idf. Postings
-    whose (id, segment) is not among the entries are dead."""
+    """entries: id, segment, type, metadata, token_count, unique_tokens, indexed_at, words (token, n), and norm if it is up to date; postings;
+    vocabulary: token, df, idf. Postings whose (id, segment) is not among the entries are dead. bounds: token, block, most, n, where postings
+    also have type, block and impact (tf * idf / norm); None where the postings are not ranked."""
 
     entries: DataFrame
     postings: DataFrame
     vocabulary: DataFrame
+    bounds: DataFrame | None = None
+
+    def with_norms(self, found: DataFrame) -> DataFrame:
+        """Rows (id, segment, ...) of live documents with their norms: those kept, or where documents changed since, made of the words of the ids found."""
+        if "norm" in self.entries.columns:
+            return found.join(self.entries.select("id", "segment", "norm"), ["id", "segment"])
+        own = self.entries.select("id", "segment", "words").join(found.select("id", "segment").distinct(), ["id", "segment"], "left_semi")
+        each = own.select("id", "segment", F.explode("words").alias("w"), F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + w["n"]).alias("n_tokens"))
+        weighted = each.select("id", "segment", F.col("w.token").alias("token"), (F.col("w.n") / F.col("n_tokens")).alias("tf")).join(self.vocabulary, "token")
+        w = F.col("tf") * F.col("idf")
+        n = F.sqrt(F.sum(w * w))
+        return found.join(weighted.groupBy("id", "segment").agg(F.when(n == 0, 1.0).otherwise(n).alias("norm")), ["id", "segment"])
 
 
 def postings(corpus: DataFrame) -> DataFrame:
     tokens = corpus.select("id", tokenize(F.col("text")).alias("tokens"))
-    each = tokens.select("id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
-    return each.groupBy("id", "n_tokens", "token").agg(F.count("*").alias("n")).select("id", "token", "n", (F.col("n") / F.col("n_tokens")).alias("tf"), "n_tokens")
+    each = tokens.select("id", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("at", "token"))
+    counted = each.groupBy("id", "n_tokens", "token").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("at")).alias("positions"))
+    return counted.select("id", "token", "n", (F.col("n") / F.col("n_tokens")).alias("tf"), "n_tokens", "positions")
 
 
 def token_stats(corpus: DataFrame) -> DataFrame:
@@ -62,97 +81,228 @@ def _entries(corpus: DataFrame, at) -> DataFrame:
     return corpus.select("id", "type", meta.alias("metadata"), F.size(t).alias("token_count"), F.size(F.array_distinct(t)).alias("unique_tokens"), at.alias("indexed_at"))
 
 
+def _words(posts: DataFrame) -> DataFrame:
+    return posts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("token", "n"))).alias("words"))
+
+
+def _weight(df, docs: int):
+    return F.log(F.lit(float(max(docs, 1))) / (df + 1)) + 1
+
+
+NO_WORDS = "cast(array() as array<struct<token:string,n:bigint>>)"
+
+
 def of(corpus: "DataFrame | Index") -> Index:
     """The index of a corpus, derived whenever it is read."""
     if isinstance(corpus, Index):
         return corpus
     posts = postings(corpus)
     weights = idf(posts, corpus_size(corpus))
-    entries = _entries(corpus, F.current_timestamp()).join(norms(posts, weights), "id", "left").withColumn("segment", F.lit(0))
+    entries = _entries(corpus, F.current_timestamp()).join(norms(posts, weights), "id", "left").join(_words(posts), "id", "left")
+    entries = entries.withColumns({"segment": F.lit(0), "words": F.coalesce("words", F.expr(NO_WORDS))})
     return Index(entries, posts.withColumn("segment", F.lit(0)), weights)
 
 
 class Store:
-    """An index in a folder. Each add or remove appends a segment, whose postings lie in folders by token bucket, sorted by token, and then
-    writes the vocabulary and the entries with their norms anew, since every change of N or of a df changes them; the state row comes
-    last, so that a change that failed is not seen. Ids within one add must be distinct (of repeated ones, one counts). Adding an id again
-    replaces it. total_indexed counts every document ever added, total_removed those removed; replacing removes nothing."""
+    """An index in a folder, as segments that are never changed. A manifest lists those that count, in order, and is swapped in one step
+    (sources.versions), so a change that failed is not seen, and of two writers the later one takes its number after the other's.
+
+    add() writes the postings and entries of the new documents as one segment, sorted by token and by id. With it, and for remove(), go the ids of
+    documents that are replaced or removed, and the changes of the document frequencies; so a change reads the ids of the entries, and
+    beyond them only rows of its own documents. What they take away is what came before them in the order. merge() makes one segment of all that lives, in which
+    norms are kept and postings are ranked: it has blocks of documents of like length, the greatest impact of each token in each block,
+    and small row groups in the order of token and block, which a search can skip. It is called by the first add(), and again once changes make
+    up a share of the documents; until then searches make the norms they need of the words of their candidates. Scores are always
+    those of an index built anew. vacuum() deletes segments that no manifest names.
+
+    Of rows of one id in an add(), the one of the greatest hash of type and text counts; a null id takes no part. Adding an id again replaces it.
+    total_indexed counts every document ever added, total_removed those removed; replacing removes nothing."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._state: dict | None = None  # as last read or written here: another writer's changes are seen by a new reader
-        self._tables: Index | None = None
+        self.versions = Versions(spark, folder)
+        self._held: tuple[int, Index] | None = None
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+    def _read(self, name: str, part: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/data/{name}/{part}")
 
-    def _has(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    def _path(self, name: str, part: str) -> str:
+        return f"{self.folder}/data/{name}/{part}"
 
     def state(self) -> dict:
-        """segment, documents, vocabulary, total_indexed, total_removed of the newest state."""
-        if self._state is None:
-            none = {"segment": 0, "documents": 0, "vocabulary": 0, "total_indexed": 0, "total_removed": 0}
-            self._state = self._read("state").orderBy(F.desc("segment")).first().asDict() if self._has("state") else none
-        return self._state
+        """segments, docs (documents with a token), documents, total_indexed, total_removed of the newest version."""
+        return self.versions.newest()[1] or {"segments": [], "docs": 0, "documents": 0, "total_indexed": 0, "total_removed": 0, "next": 1}
 
     def stats(self) -> DataFrame:
-        """One row."""
-        kinds = "documents long, vocabulary long, total_indexed long, total_removed long"
+        """One row: documents, vocabulary, total_indexed, total_removed."""
         s = self.state()
-        return self.spark.createDataFrame([tuple(s[k.split()[0]] for k in kinds.split(", "))], kinds)
+        vocabulary = self.tables().vocabulary.count() if s["segments"] else 0
+        return self.spark.createDataFrame([(s["documents"], vocabulary, s["total_indexed"], s["total_removed"])], "documents long, vocabulary long, total_indexed long, total_removed long")
+
+    # --- changes
+
+    def _union(self, state: dict, part: str, *columns: str) -> DataFrame | None:
+        out = None
+        for s in state["segments"]:
+            if s.get(part):
+                own = self._read(s[part], part)
+                own = own.select(*(columns or [c for c in own.columns if c not in ("norm", "block", "impact", "type_") and (part != "terms" or c != "idf")])).withColumn("segment", F.lit(s["place"]))
+                out = own if out is None else out.unionByName(own)
+        return out
+
+    def _live(self, state: dict, *columns: str) -> DataFrame | None:
+        entries = self._union(state, "entries", *columns)
+        gone = self._union(state, "gone")
+        if entries is None or gone is None:
+            return entries
+        since = small_or_not(gone.groupBy("id").agg(F.max("segment").alias("since")), IDS)
+        return entries.join(since, "id", "left").filter("since is null or since <= segment").drop("since")
+
+    def _effect(self, state: dict, ids: DataFrame, added: DataFrame | None, name: str) -> dict:
+        """Writes which living documents go, and by how much each df changes. added: (token, n) of the new ones."""
+        live, out = self._live(state, "id"), {"gone": None, "went": 0, "went_docs": 0}
+        changes = [] if added is None else [added]
+        if live is not None:
+            live.join(ids.select("id").distinct(), "id", "left_semi").select("id").write.parquet(self._path(name, "gone"))
+            gone = self._read(name, "gone")
+            span = gone.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).first()
+            if span["n"]:
+                # the span of the ids reaches the scan, whose files are in the order of id
+                dead = self._live(state, "id", "words").filter(F.col("id").between(F.lit(span["low"]), F.lit(span["high"]))).join(small_or_not(gone, IDS), "id", "left_semi")
+                dead = stored(dead.select("id", "words"), "dead")
+                changes.append(dead.select(F.explode("words.token").alias("token"), F.lit(-1).cast("long").alias("n")))
+                out = {"gone": name, "went": span["n"], "went_docs": dead.filter("size(words) > 0").count()}
+        if changes:
+            every = changes[0] if len(changes) == 1 else changes[0].union(changes[1])
+            every.groupBy("token").agg(F.sum("n").alias("df")).filter("df <> 0").repartitionByRange("token").sortWithinPartitions("token").write.parquet(self._path(name, "terms"))
+            out["terms"] = name
+        if live is not None and out["gone"]:
+            drop_stored(dead)
+        return out
+
+    def _commit(self, make, attempts: int = 10) -> None:
+        """make(state) writes what depends on the state and returns the next one; it is called again if another writer came first."""
+        for _ in range(attempts):
+            number, state = self.versions.newest()
+            if self.versions.commit(number + 1, make(state or self.state())):
+                return
+        raise RuntimeError(f"other writers changed {self.folder} {attempts} times in a row")
 
     def add(self, corpus: DataFrame, at: str | None = None) -> "Store":
-        s = self.state()
-        n = s["segment"] + 1
-        own = corpus.dropDuplicates(["id"])
-        posts = postings(own).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int"))
-        # a token of any frequency is spread: ranges are cut within it
-        posts = posts.repartitionByRange("bucket", "token", "id").sortWithinPartitions("bucket", "token", "id")
-        posts.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={n}")
         now = F.current_timestamp() if at is None else F.to_timestamp(F.lit(at))
-        _entries(own, now).write.mode("overwrite").parquet(f"{self.folder}/entries/segment={n}")
-        added = self.spark.read.parquet(f"{self.folder}/entries/segment={n}").count()
-        return self._refresh(n, s["total_indexed"] + added, s["total_removed"])
+        content = F.xxhash64("type", "text")
+        one = corpus.filter("id is not null").withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(content)))).filter("__n = 1").drop("__n")
+        own = stored(one, "added")
+        posts = postings(own)
+        entries = _entries(own, now).join(_words(posts), "id", "left").withColumn("words", F.coalesce("words", F.expr(NO_WORDS)))
+        name = self.versions.fresh()
+        if not self.state()["segments"]:
+            made = self._base(entries, posts, name)
+        else:
+            self._write_entries(entries, name)
+            posts.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.option("parquet.block.size", ROW_GROUP).parquet(self._path(name, "postings"))
+            counted = self._read(name, "entries").agg(F.count("*").alias("n"), F.count_if(F.col("token_count") > 0).alias("docs")).first()
+            made = {"documents": counted["n"], "docs": counted["docs"], "ranked": False}
+        words = self._read(name, "postings").select("token", F.lit(1).cast("long").alias("n"))
+
+        def make(state: dict) -> dict:
+            first = not state["segments"]
+            if made["ranked"] and first:
+                effect = {"terms": name, "gone": None, "went": 0, "went_docs": 0}
+            else:
+                effect = self._effect(state, own, words, self.versions.fresh())
+            segment = {"place": state["next"], "entries": name, "postings": name, "terms": effect.get("terms"), "gone": effect["gone"], "ranked": made["ranked"] and first, "documents": made["documents"]}
+            return {
+                "segments": [*state["segments"], segment], "docs": state["docs"] + made["docs"] - effect["went_docs"], "documents": state["documents"] + made["documents"] - effect["went"],
+                "total_indexed": state["total_indexed"] + made["documents"], "total_removed": state["total_removed"], "next": state["next"] + 1,
+            }
+
+        self._commit(make)
+        drop_stored(own)
+        return self._merge_if_due()
 
     def remove(self, ids: DataFrame) -> "Store":
-        s = self.state()
-        n = s["segment"] + 1
-        gone = self.tables().entries.join(ids.select("id").distinct(), "id", "left_semi").select("id")
-        gone.write.mode("overwrite").parquet(f"{self.folder}/removed/segment={n}")
-        count = self.spark.read.parquet(f"{self.folder}/removed/segment={n}").count()
-        return self._refresh(n, s["total_indexed"], s["total_removed"] + count)
-
-    def _refresh(self, n: int, indexed: int, removed: int) -> "Store":
-        here = F.col("segment") <= n
-        entries, posts = self._read("entries").filter(here), self._read("postings").filter(here)
-        newest = F.max("segment").alias("segment")
-        live = entries.select("id", "segment").groupBy("id").agg(newest)
-        if self._has("removed"):
-            gone = self._read("removed").filter(here).groupBy("id").agg(F.max("segment").alias("since"))
-            live = live.join(gone, "id", "left").filter("since is null or since < segment").drop("since")
-        live = entries.join(live, ["id", "segment"])
-        if n > 1:
-            posts = posts.join(live.select("id", "segment"), ["id", "segment"], "left_semi")
-        size = live.filter("token_count > 0").agg(F.greatest(F.count("*"), F.lit(1)).alias("docs"))
-        base = f"{self.folder}/version={n}"
-        idf(posts, size).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{base}/vocabulary")
-        vocabulary = self.spark.read.parquet(f"{base}/vocabulary")
-        live.join(norms(posts, vocabulary), "id", "left").write.mode("overwrite").parquet(f"{base}/entries")
-        row = (self.spark.read.parquet(f"{base}/entries").count(), vocabulary.count(), indexed, removed)
-        self.spark.createDataFrame([row], "documents long, vocabulary long, total_indexed long, total_removed long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/state/segment={n}")
-        self._state = self._tables = None
-        return self
+        def make(state: dict) -> dict:
+            effect = self._effect(state, ids, None, self.versions.fresh())
+            segment = {"place": state["next"], "entries": None, "postings": None, "terms": effect.get("terms"), "gone": effect["gone"], "ranked": False, "documents": effect["went"]}
+            return state | {
+                "segments": [*state["segments"], segment] if effect["went"] else state["segments"], "docs": state["docs"] - effect["went_docs"], "documents": state["documents"] - effect["went"],
+                "total_removed": state["total_removed"] + effect["went"], "next": state["next"] + 1,
+            }
+
+        if self.state()["segments"]:
+            self._commit(make)
+        return self._merge_if_due()
+
+    def _merge_if_due(self) -> "Store":
+        segments = self.state()["segments"]
+        later = sum(s["documents"] for s in segments[1:])
+        return self.merge() if len(segments) > SEGMENTS or (segments and later > SHARE * segments[0]["documents"]) else self
+
+    def _write_entries(self, entries: DataFrame, name: str) -> None:
+        entries.repartitionByRange("id").sortWithinPartitions("id").write.option("parquet.block.size", ROW_GROUP).parquet(self._path(name, "entries"))
+
+    def _base(self, entries: DataFrame, posts: DataFrame, name: str) -> dict:
+        """Writes living documents as one ranked segment: norms, terms with idf, postings in blocks with impacts, bounds."""
+        posts = stored(posts.select("id", "token", "n", "tf", "n_tokens", "positions"), "posts")
+        kept = stored(entries, "entries")
+        counted = kept.agg(F.count("*").alias("n"), F.count_if(F.col("token_count") > 0).alias("docs")).first()
+        terms = posts.groupBy("token").agg(F.count("*").alias("df"))
+        terms.withColumn("idf", _weight(F.col("df"), counted["docs"])).repartitionByRange("token").sortWithinPartitions("token").write.option("parquet.block.size", ROW_GROUP).parquet(self._path(name, "terms"))
+        terms = self._read(name, "terms")
+        # like lengths share a block: short documents have the great impacts; the hash tells equal lengths apart
+        place = F.col("token_count") + F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20)
+        blocks = max(1, min(BLOCKS, counted["n"] // 64))
+        cuts = kept.agg(F.percentile_approx(place, [i / blocks for i in range(1, blocks)] or [1.0], 10_000).alias("c")).first()["c"] or [] if blocks > 1 else []
+        block = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < place)) if cuts else F.lit(0)
+        self._write_entries(kept.join(norms(posts, terms), "id", "left").withColumn("block", block), name)
+        docs = self._read(name, "entries").select("id", F.col("type").alias("type_"), "block", "norm")
+        ranked = posts.join(terms.select("token", "idf"), "token").join(docs, "id").withColumn("impact", F.col("tf") * F.col("idf") / F.col("norm")).drop("idf", "norm")
+        ranked.repartitionByRange("token", "block", "id").sortWithinPartitions("token", "block", "id").write.option("parquet.block.size", ROW_GROUP).parquet(self._path(name, "postings"))
+        bounds = self._read(name, "postings").groupBy("token", "block").agg(F.max("impact").alias("most"), F.count("*").alias("n"))
+        bounds.repartitionByRange("token").sortWithinPartitions("token", "block").write.option("parquet.block.size", ROW_GROUP).parquet(self._path(name, "bounds"))
+        drop_stored(posts, kept)
+        return {"documents": counted["n"], "docs": counted["docs"], "ranked": True}
+
+    def merge(self) -> "Store":
+        """One ranked segment of all that lives; what other writers add meanwhile stays on top of it."""
+        for _ in range(10):
+            state = self.state()
+            if not state["segments"] or (len(state["segments"]) == 1 and state["segments"][0]["ranked"]):
+                return self
+            live = self._live(state)
+            posts = self._union(state, "postings", "id", "token", "n", "tf", "n_tokens", "positions").join(live.select("id", "segment"), ["id", "segment"], "left_semi")
+            name = self.versions.fresh()
+            made = self._base(live.drop("segment"), posts.drop("segment"), name)
+            base = {"place": state["segments"][-1]["place"], "entries": name, "postings": name, "terms": name, "gone": None, "ranked": True, "documents": made["documents"]}
+            while True:
+                number, now = self.versions.newest()
+                if now["segments"][: len(state["segments"])] != state["segments"]:
+                    break  # another writer merged these
+                if self.versions.commit(number + 1, now | {"segments": [base, *now["segments"][len(state["segments"]) :]]}):
+                    return self
+        raise RuntimeError(f"other writers merged {self.folder} time and again")
+
+    def vacuum(self, keep: int = 2, older_than: float = 3600.0) -> int:
+        parts = ("entries", "postings", "terms", "gone")
+        return self.versions.vacuum(lambda m: {s[p] for s in m["segments"] for p in parts if s.get(p)}, keep, older_than)
+
+    # --- reading
 
     def tables(self) -> Index:
-        n = self.state()["segment"]
-        if not n:
+        number, state = self.versions.newest()
+        if not number or not state["segments"]:
             raise ValueError(f"nothing was added to {self.folder}")
-        if self._tables is None:
-            base = f"{self.folder}/version={n}"
-            self._tables = Index(self.spark.read.parquet(f"{base}/entries"), self._read("postings").filter(F.col("segment") <= n), self.spark.read.parquet(f"{base}/vocabulary"))
-        return self._tables
+        if self._held is None or self._held[0] != number:
+            only = state["segments"][0]
+            if len(state["segments"]) == 1 and only["ranked"]:
+                at = F.lit(only["place"]).alias("segment")
+                own = Index(*[self._read(only[p], p).select("*", at) if p != "terms" else self._read(only[p], p) for p in ("entries", "postings", "terms")], self._read(only["postings"], "bounds"))
+            else:
+                terms = self._union(state, "terms", "token", "df").groupBy("token").agg(F.sum("df").alias("df")).filter("df > 0")
+                own = Index(self._live(state), self._union(state, "postings", "id", "token", "n", "tf", "n_tokens", "positions"), terms.withColumn("idf", _weight(F.col("df"), state["docs"])))
+            self._held = (number, own)
+        return self._held[1]
 
 
 def add(corpus: DataFrame, new: DataFrame) -> DataFrame:

@@ -93,7 +93,19 @@ def search_rows(spark, sf_dir):
 
 @query("SELECT doc_id AS id, lang AS type FROM documents WHERE contains(' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ', ' of the ')")
 def search_phrase(spark, sf_dir):
-    return search.phrase(corpus(spark, sf_dir), "Of the")
+    return search.phrase(store(spark, sf_dir).tables(), "Of the")
+
+
+@query("SELECT doc_id AS id, lang AS type FROM documents WHERE contains(' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ', ' is the is ') OR contains(' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ', ' the the the ')")
+def search_phrase_repeated(spark, sf_dir):
+    """Phrases that hold a word twice or thrice."""
+    own = store(spark, sf_dir).tables()
+    return search.phrase(own, "is the is").union(search.phrase(own, "The, the the")).distinct()
+
+
+@query("WITH w AS (SELECT doc_id AS id, lang AS type, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), t AS MATERIALIZED (SELECT * FROM w WHERE list_has_all(t, ['of', 'is', 'the'])) SELECT id, type FROM t WHERE len(list_filter(range(1, len(t) + 1), lambda i: list_has_all(t[i : i + 5], ['of', 'is', 'the']))) > 0")
+def search_near(spark, sf_dir):
+    return search.near(store(spark, sf_dir).tables(), "of is the", within=6)
 
 
 @query("WITH tok AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents) SELECT id, len(t)::INT AS token_count, len(list_distinct(t))::INT AS unique_tokens FROM tok")
@@ -139,6 +151,38 @@ def search_batch(spark, sf_dir):
     return search.search_many(store(spark, sf_dir).tables(), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
+def many_fuzzy_sql(queries: str, k: int, most: int) -> str:
+    """The same with fuzzy matches, every token of the queries against every token of the vocabulary."""
+    exact = many_sql(queries, "", k)
+    tail = exact.index("reach AS (")
+    return exact[:tail] + f"""hit AS (SELECT v.token AS vt, t.token AS qt, starts_with(v.token, t.token) AS prefix, CASE WHEN length(v.token) BETWEEN length(t.token) - {most} AND length(t.token) + {most} AND levenshtein(v.token, t.token) <= {most} THEN levenshtein(v.token, t.token) END AS dist FROM idf v, t),
+    reach AS (SELECT * FROM hit WHERE prefix OR dist IS NOT NULL),
+    touched AS (SELECT p.id, r.qt, bool_or(r.vt = r.qt) AS exact, bool_or(prefix) AS prefix, min(dist) AS dist FROM post p JOIN reach r ON p.token = r.vt GROUP BY p.id, r.qt),
+    cand AS (SELECT q.query_id, x.id, bool_or(x.exact) AS exact, bool_or(x.prefix) AS prefix, min(dist) AS dist FROM q JOIN touched x ON x.qt = q.token GROUP BY q.query_id, x.id),
+    w AS (SELECT query_id, q.token, n, idf / l AS share FROM q JOIN idf USING (token)),
+    qn AS (SELECT query_id, sqrt(sum(n * share * share)) AS q_norm FROM w GROUP BY query_id),
+    dot AS (SELECT w.query_id, p.id, sum(w.n * w.share * (p.tf * i.idf)) AS dot FROM post p JOIN w ON p.token = w.token JOIN idf i ON i.token = p.token GROUP BY w.query_id, p.id),
+    raw AS (SELECT c.*, coalesce(dot, 0) / (coalesce(nullif(q_norm, 0), 1) * norm) AS raw FROM cand c LEFT JOIN dot USING (query_id, id) LEFT JOIN qn USING (query_id) JOIN norm USING (id)),
+    s AS (SELECT query_id, id, round(raw + CASE WHEN exact THEN 0.25 WHEN prefix THEN 0.15 ELSE -0.1 * dist END, 6) AS score, round(raw, 6) AS tfidf, CASE WHEN exact THEN 'exact' WHEN prefix THEN 'prefix' ELSE 'fuzzy(editDistance=' || dist || ')' END AS match_type FROM raw)
+    SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM s QUALIFY rank <= {k}"""
+
+
+@query(many_fuzzy_sql("SELECT item_id AS query_id, text FROM benchmark", 10, 2))
+def search_batch_fuzzy(spark, sf_dir):
+    return search.search_many(store(spark, sf_dir).tables(), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), fuzzy=True)
+
+
+MISSPELT = "regexp_replace(t, '^(.)(.)(.*)$', '\\2\\1\\3') || 'q'"
+
+
+@query(many_fuzzy_sql(f"SELECT item_id AS query_id, string_agg(w, ' ') AS text FROM (SELECT DISTINCT item_id, {MISSPELT} AS w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark) WHERE length(t) BETWEEN 5 AND 9) GROUP BY item_id", 10, 3))
+def search_batch_misspelt(spark, sf_dir):
+    """Words of the benchmark with their first letters exchanged and another letter at the end: hardly one matches but by edits."""
+    t = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokenize(F.col("text"))).alias("t")).filter("length(t) between 5 and 9")
+    wrong = t.select("query_id", F.concat(F.regexp_replace("t", "^(.)(.)(.*)$", "$2$1$3"), F.lit("q")).alias("w")).distinct()
+    return search.search_many(store(spark, sf_dir).tables(), wrong.groupBy("query_id").agg(F.array_join(F.collect_list("w"), " ").alias("text")), fuzzy=True, max_distance=3)
+
+
 @query("SELECT rank, id, score, tfidf, match_type FROM (" + many_sql("SELECT doc_id AS query_id, text FROM documents WHERE doc_id = 7", "WHERE query_id <> id", 5) + ")")
 def similar_documents(spark, sf_dir):
     return search.similar(store(spark, sf_dir).tables(), 7, 5)
