@@ -14,15 +14,19 @@ class Reads:
     """
 
     def __init__(self, spark: SparkSession, part: str):
+        self._spark = spark
         self._store, self._part = spark._jsparkSession.sharedState().statusStore(), part
         self._conf = spark._jvm.scala.jdk.javaapi.CollectionConverters
         self.files = self.rows = self.scans = 0
 
     def __enter__(self) -> "Reads":
+        self._length = self._spark.conf.get("spark.sql.maxMetadataStringLength")
+        self._spark.conf.set("spark.sql.maxMetadataStringLength", "10000")  # so that scans tell their whole paths
         self._before = {e.executionId() for e in self._conf.asJava(self._store.executionsList())}
         return self
 
     def __exit__(self, *failed) -> None:
+        self._spark.conf.set("spark.sql.maxMetadataStringLength", self._length)
         time.sleep(0.3)  # metrics arrive by events
         for e in self._conf.asJava(self._store.executionsList()):
             if e.executionId() in self._before:
