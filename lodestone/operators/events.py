@@ -60,9 +60,11 @@ def recent(events: DataFrame, limit: int = 100, event_type: str | None = None, l
 
 
 def deduplicate(events: DataFrame) -> DataFrame:
-    """One row for each eventId: the earliest."""
-    first = events.groupBy(F.col("eventId").alias("__id")).agg(F.min_by(F.struct("*"), "timestamp").alias("__e"))
-    return first.select("__e.*")
+    """One row for each eventId: the earliest, one without a time last, of equal times the one of the smallest hash. Events without an id are all kept:
+    nothing says that two of them are one."""
+    order = F.struct(F.col("timestamp").isNull(), "timestamp", F.xxhash64(F.to_json(F.struct("*"))))
+    first = events.filter("eventId is not null").groupBy(F.col("eventId").alias("__id")).agg(F.min_by(F.struct("*"), order).alias("__e"))
+    return first.select("__e.*").union(events.filter("eventId is null"))
 
 
 def rates(events: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:

@@ -37,10 +37,10 @@ def _prepared(events: DataFrame) -> DataFrame:
     return e.withColumn("alive", alive & F.col("repo").isNotNull()).withColumn("gone", F.max(F.when(F.col("eventType") == "RepositoryDeleted", F.col("at"))).over(Window.partitionBy(each)))
 
 
-def fold_nodes(events: DataFrame) -> DataFrame:
-    """Nodes after all events: properties are patched key by key, nulls never overwrite, a deletion forgets what came before. Documents,
-    dependencies, commits and developers outlive their repository. What an event writes is an array that is exploded, so that the log is read
-    and ordered once."""
+def node_parts(events: DataFrame) -> DataFrame:
+    """What the events of each repository say of each node: node_id, repo, first (at, label), created_at, updated_at, made, props (key, at, value).
+    It follows from the events of that repository alone. What an event writes is an array that is exploded, so that the log is read and
+    ordered once."""
     e = _prepared(events)
     kind, repo = F.col("eventType"), F.col("repo")
     kept = F.col("gone").isNull() | (F.col("at") > F.col("gone"))
@@ -61,20 +61,35 @@ def fold_nodes(events: DataFrame) -> DataFrame:
         write(kind == "CommitAnalyzed", F.concat(F.lit("commit:"), _text("sha")), "Commit", commit),
         write((kind == "CommitAnalyzed") & (F.length(_text("authorEmail")) > 0), F.concat(F.lit("developer:"), _get("authorEmail")), "Developer", F.create_map(F.lit("email"), _get("authorEmail"), F.lit("name"), _get("authorName"))),
     )
-    rows = e.select("at", "timestamp", F.explode(F.array_compact(writes)).alias("w")).select("w.*", "at", "timestamp")
-    times = rows.groupBy("node_id").agg(F.min_by("label", "at").alias("label"), F.min("timestamp").alias("created_at"), F.max("timestamp").alias("updated_at"), F.max("makes").alias("made")).filter("made").drop("made")
-    values = rows.select("node_id", "at", F.explode("props").alias("k", "v")).filter("v is not null").groupBy("node_id", "k").agg(F.max_by("v", "at").alias("v"))
-    props = values.groupBy("node_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))
-    return times.join(props, "node_id", "left").select("node_id", "label", "props", "created_at", "updated_at")
+    rows = e.select(F.coalesce("repo", F.concat(F.lit("no repository "), "eventId")).alias("repo"), "at", "timestamp", F.explode(F.array_compact(writes)).alias("w")).select("repo", "w.*", "at", "timestamp")
+    key = ["node_id", "repo"]
+    first = F.min(F.struct("at", "label")).alias("first")
+    times = rows.groupBy(*key).agg(first, F.min("timestamp").alias("created_at"), F.max("timestamp").alias("updated_at"), F.max("makes").alias("made"))
+    values = rows.select(*key, "at", F.explode("props").alias("k", "v")).filter("v is not null").groupBy(*key, "k").agg(F.max(F.struct("at", "v")).alias("b"))
+    props = values.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("k", "b.at", "b.v"))).alias("props"))
+    return times.join(props, key, "left").withColumn("props", F.coalesce("props", F.array().cast(props.schema["props"].dataType)))
+
+
+def join_nodes(parts: DataFrame) -> DataFrame:
+    """Nodes of the parts of all repositories: a node that several share has the last value of each property."""
+    times = parts.groupBy("node_id").agg(F.min("first").alias("first"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.max("made").alias("made")).filter("made")
+    values = parts.select("node_id", F.explode("props").alias("p")).groupBy("node_id", F.col("p.k").alias("k")).agg(F.max(F.struct("p.at", "p.v")).alias("b"))
+    props = values.groupBy("node_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "b.v")))).alias("props"))
+    return times.join(props, "node_id", "left").select("node_id", F.col("first.label").alias("label"), "props", "created_at", "updated_at")
+
+
+def fold_nodes(events: DataFrame) -> DataFrame:
+    """Nodes after all events: properties are patched key by key, nulls never overwrite, a deletion forgets what came before. Documents,
+    dependencies, commits and developers outlive their repository."""
+    return join_nodes(node_parts(events))
 
 
 def dependency_id():
     return F.concat(F.lit("dep:"), F.coalesce(_get("ecosystem"), F.lit("unknown")), F.lit(":"), _text("name"), F.lit(":"), _text("version"))
 
 
-def fold_edges(events: DataFrame, eventual: bool = False) -> DataFrame:
-    """Edges after all events: the first write of (from, to, type) counts; an edge to a repository needs the repository to be there at
-    that event (eventual: at the end), and goes with it."""
+def edge_parts(events: DataFrame, eventual: bool = False) -> DataFrame:
+    """The first write of each edge by each repository: from_id, to_id, type, repo, created_at. It follows from the events of that repository alone."""
     e = _prepared(events)
     kind, repo = F.col("eventType"), F.col("repo")
     commit = F.concat(F.lit("commit:"), _text("sha"))
@@ -91,8 +106,18 @@ def fold_edges(events: DataFrame, eventual: bool = False) -> DataFrame:
         write(there & (kind == "CommitAnalyzed"), commit, repo, "COMMITTED_TO"),
         write((kind == "CommitAnalyzed") & (F.length(_text("authorEmail")) > 0), F.concat(F.lit("developer:"), _get("authorEmail")), commit, "AUTHORED_BY"),
     )
-    rows = e.select("timestamp", F.explode(F.array_compact(writes)).alias("w")).select("w.*", "timestamp")
-    return rows.groupBy("from_id", "to_id", "type").agg(F.min("timestamp").alias("created_at"))
+    rows = e.select(F.coalesce("repo", F.concat(F.lit("no repository "), "eventId")).alias("repo"), "timestamp", F.explode(F.array_compact(writes)).alias("w")).select("w.*", "repo", "timestamp")
+    return rows.groupBy("from_id", "to_id", "type", "repo").agg(F.min("timestamp").alias("created_at"))
+
+
+def join_edges(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("from_id", "to_id", "type").agg(F.min("created_at").alias("created_at"))
+
+
+def fold_edges(events: DataFrame, eventual: bool = False) -> DataFrame:
+    """Edges after all events: the first write of (from, to, type) counts; an edge to a repository needs the repository to be there at
+    that event (eventual: at the end), and goes with it."""
+    return join_edges(edge_parts(events, eventual))
 
 
 def graph_updates(events: DataFrame) -> DataFrame:

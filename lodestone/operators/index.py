@@ -254,7 +254,7 @@ class Store:
         place = F.col("token_count") + F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20)
         blocks = max(1, min(BLOCKS, counted["n"] // 64))
         cuts = kept.agg(F.percentile_approx(place, [i / blocks for i in range(1, blocks)] or [1.0], 10_000).alias("c")).first()["c"] or [] if blocks > 1 else []
-        block = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < place)) if cuts else F.lit(0)
+        block = F.size(F.filter(F.split(F.lit(",".join(map(repr, map(float, cuts)))), ",").cast("array<double>"), lambda c: c < place)) if cuts else F.lit(0)
         self._write_entries(kept.join(norms(posts, terms), "id", "left").withColumn("block", block), name)
         docs = self._read(name, "entries").select("id", F.col("type").alias("type_"), "block", "norm")
         ranked = posts.join(terms.select("token", "idf"), "token").join(docs, "id").withColumn("impact", F.col("tf") * F.col("idf") / F.col("norm")).drop("idf", "norm")

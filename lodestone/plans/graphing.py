@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from ..functions import manifests
 from ..operators import events as E
-from ..operators import folds, graph, index, vectors
+from ..operators import folds, graph, search, vectors
 from ..sources.store import table
 from . import query
+from .searching import new_store, search_sql
 
 # label of the nodes, table, key column, column that is its name
 NODES = [("Region", "region", "r_regionkey", "r_name"), ("Nation", "nation", "n_nationkey", "n_name"), ("Customer", "customer", "c_custkey", "c_name"), ("Supplier", "supplier", "s_suppkey", "s_name"), ("Part", "part", "p_partkey", "p_name"), ("Order", "orders", "o_orderkey", "o_orderstatus")]
@@ -234,11 +235,17 @@ def rate_limit_admission(spark, sf_dir):
     return E.rate_limit(e, limit=20, seconds=3600.0).select("client", "request_id", "admitted")
 
 
-@query("""SELECT topic, event_type, producer, array_to_string(list_sort(string_split(consumers, ' ')), ' ') AS consumers FROM (VALUES ('repository.created','RepositoryCreated','repository-service','document-service embedding-service graph-service search-service'),
+TOPIC_KIND = "CASE event_type WHEN 'error' THEN 'DocumentProcessed' WHEN 'purchase' THEN 'RepositoryCreated' WHEN 'signup' THEN 'GraphUpdated' ELSE 'Unknown' END"
+
+
+@query(f"""WITH c AS (SELECT * FROM (VALUES ('repository.created','RepositoryCreated','repository-service','document-service embedding-service graph-service search-service'),
 ('repository.updated','RepositoryUpdated','repository-service','graph-service search-service'),('repository.deleted','RepositoryDeleted','repository-service','document-service graph-service search-service'),
-('document.processed','DocumentProcessed','document-service','embedding-service graph-service search-service'),('embedding.generated','EmbeddingGenerated','embedding-service','search-service'),('graph.updated','GraphUpdated','graph-service','')) t(topic, event_type, producer, consumers)""")
+('document.processed','DocumentProcessed','document-service','embedding-service graph-service search-service'),('embedding.generated','EmbeddingGenerated','embedding-service','search-service'),('graph.updated','GraphUpdated','graph-service','')) t(topic, event_type, producer, consumers)),
+e AS (SELECT event_id, {TOPIC_KIND} AS kind FROM events) SELECT event_id AS "eventId", kind AS "eventType", topic, producer, consumers FROM e LEFT JOIN c ON kind = c.event_type""")
 def topic_catalog(spark, sf_dir):
-    return E.topics(spark).select("topic", "event_type", "producer", F.array_join(F.sort_array("consumers"), " ").alias("consumers"))
+    """Every event with the topic, producer and consumers of its type; types that the catalog does not know have none."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("eventId"), F.expr(TOPIC_KIND).alias("eventType"))
+    return E.with_topic(e, E.topics(spark)).select("eventId", "eventType", "topic", "producer", F.array_join(F.sort_array("consumers"), " ").alias("consumers"))
 
 
 @query("SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations")
@@ -301,19 +308,25 @@ REPOS = "repos AS (SELECT *, 'repo_' || c_custkey AS repo, CASE WHEN c_mktsegmen
 LIVE = f"{REPOS}, live AS (SELECT * FROM repos WHERE c_nationkey <> 7)"
 
 
-@query(f"""WITH {LIVE} SELECT repo AS node_id, 'Repository' AS label, name, CASE WHEN c_acctbal > 0 THEN 'success' END AS cloned, CASE WHEN c_acctbal > 0 THEN c_nationkey::VARCHAR END AS count_ FROM live
+FOLD_NODES = f"""WITH {LIVE} SELECT repo AS node_id, 'Repository' AS label, name, CASE WHEN c_acctbal > 0 THEN 'success' END AS cloned, CASE WHEN c_acctbal > 0 THEN c_nationkey::VARCHAR END AS count_ FROM live
 UNION ALL SELECT 'commit:' || o_orderkey, 'Commit', NULL, NULL, '2' FROM orders UNION ALL SELECT * FROM (SELECT 'developer:' || o_orderpriority || '@x.org', 'Developer', arg_max(o_orderstatus, o_orderkey), NULL, NULL FROM orders GROUP BY o_orderpriority)
-UNION ALL SELECT 'doc_' || doc_id, 'Document', source || '.md', NULL, n_chars::VARCHAR FROM documents UNION ALL SELECT DISTINCT 'dep:pip:' || p_name || ':' || p_size, 'Dependency', p_name, NULL, p_size::VARCHAR FROM part""")
+UNION ALL SELECT 'doc_' || doc_id, 'Document', source || '.md', NULL, n_chars::VARCHAR FROM documents UNION ALL SELECT DISTINCT 'dep:pip:' || p_name || ':' || p_size, 'Dependency', p_name, NULL, p_size::VARCHAR FROM part"""
+
+
+@query(FOLD_NODES)
 def event_fold_nodes(spark, sf_dir):
     p = F.col("props")
     return graph.fold_nodes(envelopes(spark, sf_dir)).select("node_id", "label", F.coalesce(p["name"], p["fileName"]).alias("name"), p["cloneStatus"].alias("cloned"), F.coalesce(p["commitCount"], p["filesChanged"], p["wordCount"], p["version"]).alias("count_"))
 
 
-@query(f"""WITH {LIVE} SELECT 'commit:' || o_orderkey AS from_id, 'repo_' || o_custkey AS to_id, 'COMMITTED_TO' AS type FROM orders JOIN live ON c_custkey = o_custkey
-UNION ALL SELECT 'developer:' || o_orderpriority || '@x.org', 'commit:' || o_orderkey, 'AUTHORED_BY' FROM orders UNION ALL SELECT 'doc_' || doc_id, repo, 'DESCRIBES' FROM documents JOIN live ON c_custkey = doc_id
-UNION ALL SELECT DISTINCT repo, 'dep:pip:' || p_name || ':' || p_size, 'DEPENDS_ON' FROM part JOIN live ON c_custkey = p_partkey""")
+FOLD_EDGES = f"""WITH {LIVE} SELECT 'commit:' || o_orderkey AS from_id, 'repo_' || o_custkey AS to_id, 'COMMITTED_TO' AS type, TIMESTAMP '2024-01-02' + INTERVAL (o_orderkey) SECOND AS created_at FROM orders JOIN live ON c_custkey = o_custkey
+UNION ALL SELECT 'developer:' || o_orderpriority || '@x.org', 'commit:' || o_orderkey, 'AUTHORED_BY', TIMESTAMP '2024-01-02' + INTERVAL (o_orderkey) SECOND FROM orders UNION ALL SELECT 'doc_' || doc_id, repo, 'DESCRIBES', TIMESTAMP '2024-01-20' + INTERVAL (doc_id) SECOND FROM documents JOIN live ON c_custkey = doc_id
+UNION ALL SELECT repo, 'dep:pip:' || p_name || ':' || p_size, 'DEPENDS_ON', min(TIMESTAMP '2024-01-21' + INTERVAL (p_partkey) SECOND) FROM part JOIN live ON c_custkey = p_partkey GROUP BY 1, 2"""
+
+
+@query(FOLD_EDGES)
 def event_fold_edges(spark, sf_dir):
-    return graph.fold_edges(envelopes(spark, sf_dir)).drop("created_at")
+    return graph.fold_edges(envelopes(spark, sf_dir)).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 @query(f"""WITH {REPOS}, e AS (SELECT 'CommitAnalyzed' AS trigger_event, o_custkey AS k, 2 AS n, 1 AS r FROM orders UNION ALL SELECT 'DocumentProcessed', doc_id, 1, 0 FROM documents UNION ALL SELECT 'DependencyDetected', p_partkey, 1, 0 FROM part)
@@ -327,21 +340,26 @@ def graph_update_counts(spark, sf_dir):
 PREVIEW = "concat_ws(' ', source, lang, n_chars::VARCHAR)"
 
 
-@query(f"""WITH {LIVE} SELECT repo AS id, 'Repository' AS type, name || ' ' || c_mktsegment || ' ' || url || CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN ' private main' ELSE '' END AS text FROM live
+FOLD_SEARCH = f"""WITH {LIVE} SELECT repo AS id, 'Repository' AS type, name || ' ' || c_mktsegment || ' ' || url || CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN ' private main' ELSE '' END AS text FROM live
 UNION ALL SELECT 'commit:' || o_orderkey, 'Commit', 'work ' || o_orderstatus || ' ' || o_orderpriority || '@x.org' FROM orders
-UNION ALL SELECT 'doc_' || doc_id, 'Document', {PREVIEW} || CASE WHEN lang = 'de' THEN '  ' ELSE '' END FROM documents UNION ALL SELECT DISTINCT 'dep:pip:' || p_name || ':' || p_size, 'Dependency', p_name || ' pip ' || p_size || ' requirements.txt' FROM part""")
+UNION ALL SELECT 'doc_' || doc_id, 'Document', {PREVIEW} || CASE WHEN lang = 'de' THEN '  ' ELSE '' END FROM documents UNION ALL SELECT DISTINCT 'dep:pip:' || p_name || ':' || p_size, 'Dependency', p_name || ' pip ' || p_size || ' requirements.txt' FROM part"""
+
+
+@query(FOLD_SEARCH)
 def search_fold(spark, sf_dir):
     return folds.search_documents(envelopes(spark, sf_dir))
 
 
-@query(f"""WITH {LIVE}, text AS (SELECT repo AS id, name || ' ' || c_mktsegment || ' ' || url AS text FROM live WHERE c_mktsegment <> 'AUTOMOBILE' UNION ALL SELECT repo, name || ' ' || c_mktsegment || ' ' || url || ' private main' FROM live WHERE c_mktsegment = 'AUTOMOBILE'
-UNION ALL SELECT 'doc_' || doc_id, {PREVIEW} FROM documents UNION ALL SELECT DISTINCT 'dep:pip:' || p_name || ':' || p_size, p_name || ' pip ' || p_size || ' requirements.txt' FROM part UNION ALL SELECT 'commit:' || o_orderkey, 'work ' || o_orderstatus || ' ' || o_orderpriority || '@x.org' FROM orders)
-SELECT CASE WHEN id LIKE 'repo%' THEN 'Repository' WHEN id LIKE 'doc%' THEN 'Document' WHEN id LIKE 'dep%' THEN 'Dependency' ELSE 'Commit' END AS type, count(*) AS n FROM text WHERE list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'building') OR list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'small') GROUP BY 1""")
+UNIFIED = "building fob small custmer"
+
+
+@query(f"""WITH {LIVE}, corpus_ AS (SELECT repo AS doc_id, 'Repository' AS lang, name || ' ' || c_mktsegment || ' ' || url || CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN ' private main' ELSE '' END AS text FROM live
+UNION ALL SELECT 'commit:' || o_orderkey, 'Commit', 'work ' || o_orderstatus || ' ' || o_orderpriority || '@x.org' FROM orders UNION ALL SELECT 'doc_' || doc_id, 'Document', {PREVIEW} FROM documents
+UNION ALL SELECT DISTINCT 'dep:pip:' || p_name || ':' || p_size, 'Dependency', p_name || ' pip ' || p_size || ' requirements.txt' FROM part), """ + search_sql(UNIFIED, None, True, 2, 60).replace("documents", "corpus_").removeprefix("WITH "))
 def unified_search(spark, sf_dir):
-    """Repositories, documents, dependencies and commits in one index: how many of each kind hold one of two tokens."""
-    posts = index.postings(folds.search_documents(envelopes(spark, sf_dir)))
-    ids = posts.filter(F.col("token").isin("building", "small")).select("id").distinct()
-    return ids.join(folds.search_documents(envelopes(spark, sf_dir)).select("id", "type"), "id").groupBy("type").agg(F.count("*").alias("n"))
+    """Repositories, documents, dependencies and commits ranked together."""
+    own = new_store(spark).add(folds.search_documents(envelopes(spark, sf_dir)))
+    return search.search(own.tables(), UNIFIED, 60).select("id", "type", "score", "tfidf", "match_type")
 
 
 @query(f"""WITH {LIVE} SELECT repo AS repository_id, name, url, c_mktsegment AS language, 'private' AS visibility, 'main' AS default_branch, 'active' AS status, CASE WHEN c_nationkey = 3 THEN '2024-04-01' END AS synced FROM live""")
@@ -357,25 +375,29 @@ def readme_documents(spark, sf_dir):
     return folds.readmes(envelopes(spark, sf_dir)).select("document_id", "repository_id", "file_name", "document_type", "word_count", "chunk_count", "text_preview")
 
 
-@query(f"""WITH c AS (SELECT 'doc_' || doc_id AS document_id, 'repo_' || doc_id AS repository_id, {PREVIEW} AS p, string_split({PREVIEW}, ' ') AS w, lang FROM documents),
+EMBEDDED = f"""WITH c AS (SELECT 'doc_' || doc_id AS document_id, 'repo_' || doc_id AS repository_id, {PREVIEW} AS p, string_split({PREVIEW}, ' ') AS w, lang FROM documents),
 t AS (SELECT document_id, repository_id, unnest([0, 1]) AS chunk_index, p, w, lang FROM c)
 SELECT document_id, repository_id, 'org' AS organization_id, chunk_index::INT AS chunk_index, 'stub-128' AS model_name, 128 AS vector_dim,
-CASE WHEN lang = 'de' THEN CASE WHEN chunk_index = 0 THEN p ELSE document_id || ':chunk:1' END WHEN chunk_index = 0 THEN array_to_string(w[1 : greatest(len(w) // 2, 1)], ' ') ELSE array_to_string(w[greatest(len(w) // 2, 1) + 1 :], ' ') END AS text_preview FROM t""")
-def embedding_fold(spark, sf_dir):
-    return vectors.fold(envelopes(spark, sf_dir)).drop("vector")
+CASE WHEN lang = 'de' THEN CASE WHEN chunk_index = 0 THEN p ELSE document_id || ':chunk:1' END WHEN chunk_index = 0 THEN array_to_string(w[1 : greatest(len(w) // 2, 1)], ' ') ELSE array_to_string(w[greatest(len(w) // 2, 1) + 1 :], ' ') END AS text_preview FROM t"""
+
+
+# the vectors of the texts above, step by step: the digest once for each text, then its bytes, then their length
+STUBS = f"""t_ AS (SELECT *, sha256(text_preview) AS h FROM ({EMBEDDED}) UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, sha256('web de 120')),
+r_ AS MATERIALIZED (SELECT *, list_transform(range(0, 128), lambda i: ('0x' || substr(h, 2 * (i % 32) + 1, 2))::INT / 255.0::DOUBLE * 2 - 1) AS r FROM t_), n_ AS (SELECT *, sqrt(list_dot_product(r, r)) AS n FROM r_),
+v_ AS MATERIALIZED (SELECT * EXCLUDE (h, r, n), list_transform(r, lambda x: x / n) AS v FROM n_)"""
 
 
-def stub_sql(text: str) -> str:
-    raw = f"list_transform(range(0, 128), lambda i: ('0x' || substr(sha256({text}), 2 * (i % 32) + 1, 2))::INT / 255.0::DOUBLE * 2 - 1)"
-    return f"list_transform({raw}, lambda x: x / sqrt(list_dot_product({raw}, {raw})))"
+@query(f"WITH {STUBS} SELECT * EXCLUDE (v), md5(array_to_string(list_transform(v, lambda x: round(x * 100000)::BIGINT), ',')) AS digest FROM v_ WHERE document_id IS NOT NULL")
+def embedding_fold(spark, sf_dir):
+    """The vector as a digest of its rounded values."""
+    digest = F.md5(F.array_join(F.transform("vector", lambda x: F.round(x * 100_000).cast("long").cast("string")), ","))
+    return vectors.fold(envelopes(spark, sf_dir)).withColumn("digest", digest).drop("vector")
 
 
-@query(f"""WITH c AS (SELECT 'doc_' || doc_id AS document_id, {PREVIEW} AS p FROM documents WHERE lang = 'de'), t AS (SELECT document_id, 0 AS chunk_index, p AS preview FROM c UNION ALL SELECT document_id, 1, document_id || ':chunk:1' FROM c),
-v AS (SELECT *, {stub_sql("preview")} AS v FROM t), q AS (SELECT {stub_sql("'web de 120'")} AS q) SELECT document_id, chunk_index, preview, round(list_dot_product(v, q), 6) AS score FROM v, q ORDER BY score DESC, document_id, chunk_index LIMIT 10""")
+@query(f"WITH {STUBS} SELECT a.document_id, a.chunk_index, a.text_preview AS preview, round(list_dot_product(a.v, b.v), 6) AS score FROM v_ a, v_ b WHERE a.document_id IS NOT NULL AND b.document_id IS NULL ORDER BY score DESC, document_id, chunk_index LIMIT 10")
 def vector_text_search(spark, sf_dir):
-    """Chunks of German documents nearest to a text."""
-    german = envelopes(spark, sf_dir).filter("eventType = 'DocumentProcessed' and get_json_object(payload, '$.chunkPreviews') is not null")
-    return vectors.search_text(vectors.fold(german), "web de 120", 10)
+    """Chunks of all documents nearest to a text."""
+    return vectors.search_text(vectors.fold(envelopes(spark, sf_dir)), "web de 120", 10)
 
 
 @query("""SELECT 'repo_' || o_custkey AS repository_id, o_orderkey::VARCHAR AS sha, o_orderpriority || '@x.org' AS author_email, repeat('long ', 200)[1:500] AS message, o_orderdate AS committed_at, 50 AS files FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey::VARCHAR) <= 3""")
@@ -393,21 +415,24 @@ def event_log_topic(spark, sf_dir):
     return E.recent(e, 40, topic="document.processed").select("eventId", "eventType")
 
 
-MANIFESTS = [
-    ("a/requirements.txt", "requests==2.31.0\n# no\n-r base.txt\n\nuvicorn[standard]>=0.29.0\ngit+https://x\nflask\n"),
-    ("b/package.json", '{"dependencies": {"react": "^18.0.0"}, "devDependencies": {"jest": "29"}}'), ("c/package.json", "{not json}"),
-    ("d/go.mod", "module x\n\nrequire github.com/a/b v1.2.3\n\nrequire (\n\tgithub.com/c/d v0.1.0 // indirect\n\tgithub.com/a/b v1.2.3\n)\n"),
-    ("e/Cargo.toml", '[dependencies]\nserde = { version = "1.0", features = ["derive"] }\ntokio = "1.32.0"\n[dev-dependencies]\nmockito = "1"\n'), ("f/Cargo.toml", "[not valid"),
-    ("g/setup.py", "setup(install_requires=['requests>=2', \"flask\"])"), ("h/pyproject.toml", '[project]\ndependencies = ["httpx>=0.2"]\n[tool.poetry.dependencies]\npython = "^3.11"\nrich = "^13"\nyarl = {version = "1"}\n'),
-]
-
-
-@query("""SELECT * FROM (VALUES ('a/requirements.txt','requests','==2.31.0','pip','requirements.txt'),('a/requirements.txt','uvicorn','>=0.29.0','pip','requirements.txt'),('a/requirements.txt','flask','','pip','requirements.txt'),('b/package.json','react','^18.0.0','npm','b/package.json'),('b/package.json','jest','29','npm','b/package.json'),
-('d/go.mod','github.com/a/b','v1.2.3','go','go.mod'),('d/go.mod','github.com/c/d','v0.1.0','go','go.mod'),('e/Cargo.toml','serde','1.0','cargo','Cargo.toml'),('e/Cargo.toml','tokio','1.32.0','cargo','Cargo.toml'),('e/Cargo.toml','mockito','1','cargo','Cargo.toml'),
-('g/setup.py','requests','>=2','pip','setup.py'),('g/setup.py','flask','','pip','setup.py'),('h/pyproject.toml','httpx','>=0.2','pip','pyproject.toml'),('h/pyproject.toml','rich','^13','pip','pyproject.toml'),('h/pyproject.toml','yarl','','pip','pyproject.toml')) t(path, name, version, ecosystem, source_file)""")
+@query("""SELECT 's' || s_suppkey || '/go.mod' AS path, 'github.com/s/k' || s_suppkey AS name, 'v1.0.' || s_nationkey AS version, 'go' AS ecosystem, 'go.mod' AS source_file FROM supplier UNION ALL SELECT 's' || s_suppkey || '/go.mod', 'github.com/t/x' || s_suppkey, 'v2.' || s_nationkey || '.0', 'go', 'go.mod' FROM supplier
+UNION ALL SELECT 's' || s_suppkey || '/Cargo.toml', 'serde' || s_suppkey, '1.' || s_nationkey, 'cargo', 'Cargo.toml' FROM supplier WHERE s_nationkey <> 3 UNION ALL SELECT 's' || s_suppkey || '/Cargo.toml', 'tokio', '2.' || s_nationkey, 'cargo', 'Cargo.toml' FROM supplier WHERE s_nationkey <> 3
+UNION ALL SELECT 's' || s_suppkey || '/Cargo.toml', 'mock', '', 'cargo', 'Cargo.toml' FROM supplier WHERE s_nationkey <> 3
+UNION ALL SELECT 'p' || p_partkey || '/setup.py', 'a' || p_partkey, '>=' || p_size, 'pip', 'setup.py' FROM part UNION ALL SELECT 'p' || p_partkey || '/setup.py', 'b' || p_size, '', 'pip', 'setup.py' FROM part
+UNION ALL SELECT 'c' || c_custkey || '/pyproject.toml', 'a' || c_custkey, '>=1.' || c_nationkey, 'pip', 'pyproject.toml' FROM customer UNION ALL SELECT 'c' || c_custkey || '/pyproject.toml', 'b' || c_custkey, '^' || c_nationkey, 'pip', 'pyproject.toml' FROM customer
+UNION ALL SELECT 'c' || c_custkey || '/pyproject.toml', 'yarl', '', 'pip', 'pyproject.toml' FROM customer""")
 def dependencies(spark, sf_dir):
-    """One manifest of each format, and broken ones."""
-    return manifests.all_dependencies(spark.createDataFrame(MANIFESTS, "path string, content string"))
+    """Module files and Cargo files of suppliers (those of one nation broken), setup files of parts, project files of customers."""
+    s, p, c = (table(spark, sf_dir, t) for t in ("supplier", "part", "customer"))
+    path = lambda letter, key, name: F.concat(F.lit(letter), F.col(key).cast("string"), F.lit(f"/{name}")).alias("path")
+    text = lambda t, *columns: F.format_string(t, *columns).alias("content")
+    go = "module x\n\nrequire github.com/s/k%1$d v1.0.%2$d\n\nrequire (\n\tgithub.com/t/x%1$d v2.%2$d.0 // indirect\n\tgithub.com/s/k%1$d v1.0.%2$d\n)\n"
+    rust = '[dependencies]\nserde%1$d = { version = "1.%2$d", features = ["derive"] }\ntokio = "2.%2$d"\n[dev-dependencies]\nmock = {path = "x"}\n'
+    project = '[project]\ndependencies = ["a%1$d[x]>=1.%2$d"]\n[tool.poetry.dependencies]\npython = "^3.11"\nb%1$d = "^%2$d"\nyarl = {version = "1"}\n'
+    files = s.select(path("s", "s_suppkey", "go.mod"), text(go, "s_suppkey", "s_nationkey"))
+    files = files.union(s.select(path("s", "s_suppkey", "Cargo.toml"), F.when(F.col("s_nationkey") == 3, "[broken").otherwise(text(rust, "s_suppkey", "s_nationkey"))))
+    files = files.union(p.select(path("p", "p_partkey", "setup.py"), text("setup(install_requires=['a%d>=%d', \"b%d\"])", "p_partkey", "p_size", "p_size")))
+    return manifests.all_dependencies(files.union(c.select(path("c", "c_custkey", "pyproject.toml"), text(project, "c_custkey", "c_nationkey"))))
 
 
 @query("""SELECT 'r' || o_custkey || '/requirements-dev.txt' AS path, p_name[1:3] || o_orderkey AS name, '>=' || p_size AS version, 'pip' AS ecosystem, 'requirements.txt' AS source_file FROM orders JOIN part ON p_partkey = o_orderkey
@@ -417,6 +442,7 @@ def table_dependencies(spark, sf_dir):
     o, p = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
     line = F.concat(F.substring("p_name", 1, 3), F.col("o_orderkey").cast("string"), F.lit("[x]>="), F.col("p_size").cast("string"))
     path = lambda c, name: F.concat(F.lit("r"), F.col(c).cast("string"), F.lit(name)).alias("path")
-    req = o.join(p, o["o_orderkey"] == p["p_partkey"]).groupBy("o_custkey").agg(F.array_join(F.collect_list(line), "\n").alias("content"))
+    odd = "\t# note\n \t-r base.txt\n\t\n\u00a0\n"  # indented comments and options, and lines of white space, are no dependencies
+    req = o.join(p, o["o_orderkey"] == p["p_partkey"]).groupBy("o_custkey").agg(F.concat(F.lit(odd + "\t"), F.array_join(F.collect_list(line), "\t\f")).alias("content"))
     npm = F.to_json(F.struct(F.create_map(F.col("p_type"), F.concat(F.lit("^"), F.col("p_size").cast("string"))).alias("dependencies")))
     return manifests.all_dependencies(req.select(path("o_custkey", "/requirements-dev.txt"), "content").union(p.select(path("p_partkey", "/sub/package.json"), npm.alias("content"))))

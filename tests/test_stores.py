@@ -68,7 +68,7 @@ def test_a_writer_that_dies_changes_nothing(spark, store, monkeypatch, step):
     with monkeypatch.context() as m:
         if step == "write":
             whole = store._write
-            m.setattr(store, "_write", lambda table, *a: whole(table, *a) if table == "t" else die())
+            m.setattr(store, "_write", lambda table, *a: whole(table, *a) if table == "t" else die())  # one of two tables is written
         else:
             m.setattr(Versions, "commit", die)
         with pytest.raises(OSError):
