@@ -5,8 +5,9 @@ to 65,536 buckets. Counts for each language are summed in Spark over a bounded s
 language are expected in it, chosen by a hash of doc_id; held-out rows never; of more than `most_langs` languages those with the most
 rows are learned). The smoothed log-probability matrix has 65,536 rows and a column for each language and is broadcast, with the
 log of each language's share of the labelled rows as its prior. Texts are scored in batches: the n-grams of many texts make a sparse matrix
-of texts by buckets, whose product with the matrix gives all their scores at once; a long text goes in pieces that add up. The score is
-the posterior of the prior and the mean log-probability taken for 32 n-grams, so that it does not depend on length.
+of texts by buckets, whose product with the matrix gives all their scores at once; a long text goes in pieces that add up. The language is
+the one with the greatest sum of the log-probabilities of all n-grams and the log prior. The score says how sure that is: its posterior with the
+mean log-probability taken for 32 n-grams, since the posterior of whole texts is 0 or 1 throughout.
 
 A text that is null or has no letter gets `und` and score 0. Ties go to the language that sorts first. Null languages teach
 nothing; with no labelled row at all every text gets `und`. Repeated rows are each reported and taught; an empty table gives no rows. Other
@@ -121,10 +122,12 @@ def train(docs: DataFrame, per_lang: int = 2500, smoothing: float = 0.5, most_la
     return langs, np.log(counts / counts.sum(axis=0)), np.log(n / n.sum())
 
 
-def posterior(sums: np.ndarray, counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
+def decide(sums: np.ndarray, counts: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The most likely class of each text, and its score."""
+    best = (sums + prior).argmax(axis=1)
     p = sums / np.maximum(counts, 1)[:, None] * 32 + prior
     p = np.exp(p - p.max(axis=1, keepdims=True))
-    return p / p.sum(axis=1, keepdims=True)
+    return best, p[np.arange(len(best)), best] / p.sum(axis=1)
 
 
 def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, prior: np.ndarray) -> DataFrame:
@@ -140,9 +143,8 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, prior: np.nda
                 names, scores = ["und"] * len(texts), [0.0] * len(texts)
                 some = [i for i, t in enumerate(texts) if t]
                 if some:
-                    p = posterior(*totals([texts[i] for i in some], matrix), prior)
-                    for i, best, row in zip(some, p.argmax(axis=1).tolist(), p):
-                        names[i], scores[i] = langs[best], float(row[best])
+                    for i, best, sure in zip(some, *(x.tolist() for x in decide(*totals([texts[i] for i in some], matrix), prior))):
+                        names[i], scores[i] = langs[best], sure
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", "text", (fold_of(F.col("doc_id")) == 0).alias("held_out"))
@@ -150,5 +152,5 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, prior: np.nda
     return rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, per_lang: int = 2500) -> DataFrame:
-    return predict(docs, *train(docs, per_lang))
+def identify(docs: DataFrame, per_lang: int = 2500, most_langs: int = 200) -> DataFrame:
+    return predict(docs, *train(docs, per_lang, most_langs=most_langs))

@@ -144,12 +144,32 @@ def test_language_scores_like_the_plain_formula(docs, odd):
     for r in rows(some):
         mine = grams(r["text"])
         n = sum(mine.values())
-        logs = []
+        whole, logs = [], []
         for x in langs:
             logp = sum(c * np.log((counts[x][seen.setdefault(g, bucket(g))] + 0.5) / totals[x]) for g, c in mine.items())
-            logs.append(logp / n * 32 + np.log(sum(q["lang"] == x for q in learn) / len(learn)))
+            prior = np.log(sum(q["lang"] == x for q in learn) / len(learn))
+            whole.append(logp + prior)
+            logs.append(logp / n * 32 + prior)
         p = np.exp(np.array(logs) - max(logs))
-        assert got[r["doc_id"]]["lang_pred"] == langs[int(p.argmax())] and abs(got[r["doc_id"]]["score"] - p.max() / p.sum()) < 1e-9
+        best = int(np.argmax(whole))
+        assert got[r["doc_id"]]["lang_pred"] == langs[best] and abs(got[r["doc_id"]]["score"] - p[best] / p.sum()) < 1e-9
+
+
+def test_language_of_skewed_priors_and_long_texts():
+    """Multinomial naive Bayes: the sum over a long text outweighs any prior; on a short one the prior decides."""
+    sums, counts = np.array([[-700.0, -800.0], [-2.0, -2.5], [-9.0, -3.0]]), np.array([1000, 3, 5])
+    prior = np.log(np.array([0.02, 0.98]))
+    best, score = language.decide(sums, counts, prior)
+    assert best.tolist() == [0, 1, 1] and ((score >= 0) & (score <= 1)).all() and score[0] < 0.5
+
+
+def test_language_of_a_rare_language(spark):
+    """One text in fifty is of a language whose words share most letters with the other; held-out ones are found all the same."""
+    r = np.random.default_rng(8)
+    words = {"a": ["kilo", "lima", "mike", "oscar"], "b": ["kilu", "limu", "miku", "oscur"]}
+    some = [(i, " ".join(r.choice(words[x], 200)), x) for i in range(1000) for x in ["b" if i % 50 == 0 else "a"]]
+    got = {x["doc_id"]: x["lang_pred"] for x in rows(language.identify(spark.createDataFrame(some, "doc_id long, text string, lang string")))}
+    assert all(got[i] == x for i, _, x in some)
 
 
 def test_language_in_pieces(monkeypatch):
