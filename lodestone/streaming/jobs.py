@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.events import admit
+from ..operators.events import admit, parse
 from ..sources.schemas import ENVELOPE, TOPICS
 
 # the events that each projection follows
@@ -28,10 +28,16 @@ def read_events(spark: SparkSession, folder: str, format: str = "json", per_trig
     return (reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)).load(folder)
 
 
-def read_kafka(spark: SparkSession, servers: str, topics: list[str]) -> DataFrame:
-    """Needs Spark's Kafka package on the class path."""
+def read_lines(spark: SparkSession, folder: str, per_trigger: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Events of files of JSON lines, and the lines (value) that are none, for the quarantine."""
+    reader = spark.readStream.format("text")
+    return parse((reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)).load(folder))
+
+
+def read_kafka(spark: SparkSession, servers: str, topics: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Events, and the messages (value) that are none. Needs Spark's Kafka package on the class path."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("startingOffsets", "earliest").load()
-    return raw.select(F.from_json(F.col("value").cast("string"), ENVELOPE).alias("e")).select("e.*")
+    return parse(raw.select(F.col("value").cast("string").alias("value")))
 
 
 def write_kafka(events: DataFrame, servers: str, topic: str, checkpoint: str):
@@ -92,15 +98,20 @@ def _newest(spark: SparkSession, out: str, before: int) -> DataFrame | None:
     return spark.read.parquet(f"{out}/batch={max(done)}") if done else None
 
 
-def rate_limit(requests: DataFrame, limit: int = 120, seconds: float = 60.0) -> DataFrame:
-    """requests (client, request_id, timestamp): request_id, client, admitted. The state of a client is the times admitted within `seconds`."""
+def rate_limit(requests: DataFrame, limit: int = 120, seconds: float = 60.0, idle: float = 3600.0) -> DataFrame:
+    """requests (client, request_id, timestamp): request_id, client, admitted. The state of a client is the times admitted within `seconds`; it goes
+    when nothing came from the client for `idle` seconds of the clock (at least `seconds`), after which only requests that came late could need it."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["t", "request_id"])
         ok, held = admit(rows["t"].tolist(), limit, seconds, list(state.get[0]) if state.exists else [])
         state.update((held,))
+        state.setTimeoutDuration(int(max(idle, seconds) * 1000))
         yield pd.DataFrame({"client": rows["client"], "request_id": rows["request_id"], "admitted": ok})
 
     kinds = dict(requests.dtypes)
     timed = requests.select("client", "request_id", (F.unix_micros("timestamp") / 1e6).alias("t"))
-    return timed.groupBy("client").applyInPandasWithState(run, f"client {kinds['client']}, request_id {kinds['request_id']}, admitted boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return timed.groupBy("client").applyInPandasWithState(run, f"client {kinds['client']}, request_id {kinds['request_id']}, admitted boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
