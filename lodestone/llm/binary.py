@@ -86,9 +86,10 @@ def _encode(texts: list[str], blob: str, kind: str) -> list[bytes]:
 
 
 def _ranges(docs: DataFrame, file_bytes: int) -> int:
-    """From Spark's estimate of the input, which costs no scan; where it has none, from the texts."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 60:
+    """From Spark's estimate of the input, which costs no scan; where it has none, or multiplies the sides of a join, from the texts."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    if size >= 1 << 60 or "Join" in plan.toString():
         size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("s")).first()["s"]
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
 

@@ -1,6 +1,8 @@
 """Helpers shared by the operators: tables, scratch tables in the shared folder, and hashing in numpy."""
 
 import atexit
+import functools
+import re
 import shutil
 import tempfile
 import uuid
@@ -63,6 +65,23 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def plain_names(stage):
+    """A function of a table (first) that returns its columns, made to work for any column names: odd ones, as those with a dot, are replaced for it."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names = list(docs.columns)
+        if all(re.fullmatch(r"\w+", c) for c in names):
+            return stage(docs, *args, **kwargs)
+        taken, safe = list(names), []
+        for i, c in enumerate(names):
+            safe.append(c if re.fullmatch(r"\w+", c) else fresh(f"column_{i}", taken))
+            taken.append(safe[-1])
+        return stage(docs.toDF(*safe), *args, **kwargs).toDF(*names)
+
+    return run
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id written as text, modulo 5; fold 0 is held out. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5

@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import drop_stored, plain_names, stored
+
 Q, WINDOW, FILTER_BITS = 8, 96, 20
 HITS = 1 << 20  # of a document, expanded at once
 REACH = WINDOW + 2 * (WINDOW // 10 + 1)  # no band holds hits farther apart
@@ -282,10 +284,17 @@ def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20) -> D
     return out
 
 
+@plain_names
 def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20, shortest: int = Q) -> DataFrame:
-    """The rows of docs in which no item of at least `shortest` characters is found."""
-    at = docs.columns.index("text")
-    for index in blocks(benchmark, block_bytes):
+    """The rows of docs in which no item of at least `shortest` characters is found. With several blocks of items the table is stored between them, so
+    that a task holds the index of one."""
+    at, before = docs.columns.index("text"), None
+    for n, index in enumerate(blocks(benchmark, block_bytes)):
+        if n:
+            docs = stored(docs, "clean")
+            if before is not None:
+                drop_stored(before)
+            before = docs
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, held=held):

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, fresh, mix64, small_or_not, stored
+from .common import drop_stored, fresh, mix64, plain_names, small_or_not, stored
 
 COORDINATES, BANDS, ROWS = 160, 32, 5
 AGREE = 98
@@ -454,10 +454,11 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     return out
 
 
+@plain_names
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs of each component, with all its columns: the one of the smallest doc_id (null last), then digest of its shingles. Rows
     that share a doc_id are told apart by their texts, so none is lost that has no copy elsewhere. Rows without words are linked to nothing and
-    stay; but of rows that repeat doc_id and text, one stays."""
+    stay; but of rows that repeat doc_id and text one stays, that of the smallest hash of all its columns."""
     signed, named, repeated = _named(docs, width, percent)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "text_hash")
     best = named.groupBy("component").agg(F.min(order).alias("b")).select("b.doc_id", "b.digest", "b.text_hash")
@@ -472,5 +473,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         again = signed.groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"))
         again = small_or_not(stored(again, "neardup-again"), IDS)
         match = left["doc_id"].eqNullSafe(again["of_id"]) & (left[h] == again["of_hash"])
-        left = left.join(again, match, "left_anti").union(left.join(again, match, "left_semi").dropDuplicates(["doc_id", h]))
+        same = left.join(again, match, "left_semi")
+        first = F.xxhash64(F.to_json(F.struct(*docs.columns)))
+        one = same.groupBy(F.col("doc_id").alias("of_id"), F.col(h).alias("of_hash")).agg(F.min_by(F.struct(*left.columns), first).alias("one")).select("one.*")
+        left = left.join(again, match, "left_anti").union(one)
     return left.drop(h)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, fresh, small_or_not, stored
+from .common import drop_stored, fresh, plain_names, small_or_not, stored
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive forms of the base patterns: the same matches in time linear in the text.
@@ -257,6 +257,7 @@ def masked_text(text: str, spans) -> str:
     return "".join(out) + text[at:] if out else text
 
 
+@plain_names
 def redact(docs: DataFrame, support: int = 5, rounds: int = 3, sure: float = 0.9) -> DataFrame:
     """docs with every span of text replaced by its kind; all columns stay, n_chars (if there) follows the text."""
     scanned = _scanned(docs)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, fresh, mix64, stored
+from .common import fold_of, fresh, mix64, plain_names, stored
 
 BITS = 18
 MEMO = 100_000  # at most so many tokens are remembered, then forgotten all at once
@@ -139,6 +139,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 8000, threshold:
     return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+@plain_names
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 8000, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier accepts, with all their columns."""
     name = fresh("score", docs.columns)

@@ -1,0 +1,58 @@
+"""Columns with dots, rows that repeat an id, joined inputs, ids with many vectors."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import ann, binary, decontam, neardup, pii, quality
+
+from test_operators import ODD, SCHEMA, rows
+
+
+@pytest.fixture(scope="module")
+def dotted(spark):
+    return spark.createDataFrame(ODD, SCHEMA).withColumns({"a.b": F.lit("mine"), "n chars": F.lit(3), "`x`": F.lit(None).cast("string"), "column_6": F.lit(1)})
+
+
+def test_odd_column_names(spark, dotted):
+    labels, bench = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int"), spark.createDataFrame([(i, f"one two three. one two three. {i}") for i in range(4)], "item_id long, text string")
+    for df in (quality.keep_good(dotted, labels, threshold=0.0), neardup.keep_one(dotted), decontam.clean(dotted, bench), decontam.clean(dotted, bench, block_bytes=100), pii.redact(dotted)):
+        got = df.collect()
+        assert df.columns == dotted.columns and got and all(r["a.b"] == "mine" and r["n chars"] == 3 and r["column_6"] == 1 for r in got)
+
+
+def test_several_blocks_of_items_keep_the_same_rows(spark):
+    docs = spark.createDataFrame([(i, f"before this comes passage number {i % 7} of the hidden test set, whole and unchanged; after") for i in range(40)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"passage number {i} of the hidden test set, whole and unchanged") for i in range(3)], "item_id long, text string")
+    want = sorted(r["doc_id"] for r in rows(decontam.clean(docs, bench)))
+    assert want == sorted(r["doc_id"] for r in rows(decontam.clean(docs, bench, block_bytes=80))) and len(list(decontam.blocks(bench, 80))) > 1
+
+
+def test_one_of_rows_that_repeat_id_and_text(spark):
+    some = [(1, "a text of some more than five words here", f"s{i}") for i in range(12)]
+    kept = {tuple(r["source"] for r in rows(neardup.keep_one(spark.createDataFrame(some, "doc_id long, text string, source string").repartition(n)))) for n in (1, 4, 7)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 1
+
+
+def test_ranges_of_joined_inputs(spark):
+    docs, more = spark.range(3000).selectExpr("id as doc_id", "repeat('x', 50) as text"), spark.range(3000).selectExpr("id as doc_id", "id as a")
+    plain = binary._ranges(docs, 128 << 20)
+    assert binary._ranges(docs.join(more, "doc_id"), 128 << 20) == plain == binary._ranges(docs.join(more, "doc_id").join(more.withColumnRenamed("a", "b"), "doc_id"), 128 << 20)
+
+
+def test_ids_of_many_vectors(spark):
+    r = np.random.default_rng(1)
+    near = [0.9, 0.1, 0.0]
+    some = [(0, [1.0, 0.0, 0.0]), (1, [0.2, 0.9, 0.1]), (2, [0.1, 0.2, 0.9])] + [(3, (np.array(near) + 0.01 * r.standard_normal(3)).tolist()) for _ in range(60)]
+    got = rows(ann.nearest(spark.createDataFrame(some, "vec_id long, embedding array<double>"), every=20, k=20))
+    assert [(x["rank"], x["vec_id"]) for x in sorted(got, key=lambda x: x["rank"])] == [(1, 3), (2, 1), (3, 2)]
+    many = [(i // 3, r.standard_normal(8).tolist()) for i in range(900)]
+    got = rows(ann.nearest(spark.createDataFrame(many, "vec_id long, embedding array<double>"), every=20, k=20, sure=1 - 1e-12))
+    for q in range(0, 300, 20):
+        best = {}
+        for i, v in many:
+            for j, w in many:
+                if i == q and j != q:
+                    best[j] = max(best.get(j, -np.inf), sum(a * b for a, b in zip(v, w)))
+        want = sorted(best, key=lambda j: (-best[j], j))[:20]
+        assert [x["vec_id"] for x in sorted((x for x in got if x["query_id"] == q), key=lambda x: x["rank"])] == want
