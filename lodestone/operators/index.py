@@ -16,7 +16,7 @@ from ..sources.versions import Versions
 
 SEGMENTS, SHARE = 16, 0.2  # changes, and their share of the documents, beyond which a store is merged
 BLOCKS = 1000  # of the postings at most, each of documents of like length
-ROW_GROUP = 1 << 20  # bytes: what a search can skip
+ROW_GROUP, PAGE = 1 << 20, 2048  # bytes of a group and rows of a page: what a search can skip
 IDS = 1_000_000  # ids of a change up to which they are broadcast
 
 
@@ -200,7 +200,7 @@ class Store:
             made = self._base(entries, posts, name)
         else:
             self._write_entries(entries, name)
-            posts.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.option("parquet.block.size", ROW_GROUP).parquet(self._path(name, "postings"))
+            posts.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.option("parquet.block.size", ROW_GROUP).option("parquet.page.row.count.limit", PAGE).parquet(self._path(name, "postings"))
             counted = self._read(name, "entries").agg(F.count("*").alias("n"), F.count_if(F.col("token_count") > 0).alias("docs")).first()
             made = {"documents": counted["n"], "docs": counted["docs"], "ranked": False}
         words = self._read(name, "postings").select("token", F.lit(1).cast("long").alias("n"))
@@ -258,7 +258,7 @@ class Store:
         self._write_entries(kept.join(norms(posts, terms), "id", "left").withColumn("block", block), name)
         docs = self._read(name, "entries").select("id", F.col("type").alias("type_"), "block", "norm")
         ranked = posts.join(terms.select("token", "idf"), "token").join(docs, "id").withColumn("impact", F.col("tf") * F.col("idf") / F.col("norm")).drop("idf", "norm")
-        ranked.repartitionByRange("token", "block", "id").sortWithinPartitions("token", "block", "id").write.option("parquet.block.size", ROW_GROUP).parquet(self._path(name, "postings"))
+        ranked.repartitionByRange("token", "block", "id").sortWithinPartitions("token", "block", "id").write.option("parquet.block.size", ROW_GROUP).option("parquet.page.row.count.limit", PAGE).parquet(self._path(name, "postings"))
         bounds = self._read(name, "postings").groupBy("token", "block").agg(F.max("impact").alias("most"), F.count("*").alias("n"))
         bounds.repartitionByRange("token").sortWithinPartitions("token", "block").write.option("parquet.block.size", ROW_GROUP).parquet(self._path(name, "bounds"))
         drop_stored(posts, kept)
