@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import manifests
 from ..operators import events as E
-from ..operators import folds, graph, search, vectors
+from ..operators import folds, graph, retrieval, search, vectors
 from ..sources.store import table
 from . import query
 from .searching import new_store, search_sql
@@ -353,9 +353,13 @@ def search_fold(spark, sf_dir):
 UNIFIED = "building fob small custmer"
 
 
-@query(f"""WITH {LIVE}, corpus_ AS (SELECT repo AS doc_id, 'Repository' AS lang, name || ' ' || c_mktsegment || ' ' || url || CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN ' private main' ELSE '' END AS text FROM live
+def unified_sql(k: int) -> str:
+    return f"""WITH {LIVE}, corpus_ AS (SELECT repo AS doc_id, 'Repository' AS lang, name || ' ' || c_mktsegment || ' ' || url || CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN ' private main' ELSE '' END AS text FROM live
 UNION ALL SELECT 'commit:' || o_orderkey, 'Commit', 'work ' || o_orderstatus || ' ' || o_orderpriority || '@x.org' FROM orders UNION ALL SELECT 'doc_' || doc_id, 'Document', {PREVIEW} FROM documents
-UNION ALL SELECT DISTINCT 'dep:pip:' || p_name || ':' || p_size, 'Dependency', p_name || ' pip ' || p_size || ' requirements.txt' FROM part), """ + search_sql(UNIFIED, None, True, 2, 60).replace("documents", "corpus_").removeprefix("WITH "))
+UNION ALL SELECT DISTINCT 'dep:pip:' || p_name || ':' || p_size, 'Dependency', p_name || ' pip ' || p_size || ' requirements.txt' FROM part), """ + search_sql(UNIFIED, None, True, 2, k).replace("documents", "corpus_").removeprefix("WITH ")
+
+
+@query(unified_sql(60))
 def unified_search(spark, sf_dir):
     """Repositories, documents, dependencies and commits ranked together."""
     own = new_store(spark).add(folds.search_documents(envelopes(spark, sf_dir)))
@@ -394,10 +398,49 @@ def embedding_fold(spark, sf_dir):
     return vectors.fold(envelopes(spark, sf_dir)).withColumn("digest", digest).drop("vector")
 
 
-@query(f"WITH {STUBS} SELECT a.document_id, a.chunk_index, a.text_preview AS preview, round(list_dot_product(a.v, b.v), 6) AS score FROM v_ a, v_ b WHERE a.document_id IS NOT NULL AND b.document_id IS NULL ORDER BY score DESC, document_id, chunk_index LIMIT 10")
+VECTOR_TEXT = "web de 120"
+
+
+def vector_sql(k: int) -> str:
+    return f"WITH {STUBS} SELECT a.document_id, a.chunk_index, a.text_preview AS preview, round(list_dot_product(a.v, b.v), 6) AS score FROM v_ a, v_ b WHERE a.document_id IS NOT NULL AND b.document_id IS NULL ORDER BY score DESC, document_id, chunk_index LIMIT {k}"
+
+
+@query(vector_sql(10))
 def vector_text_search(spark, sf_dir):
     """Chunks of all documents nearest to a text."""
-    return vectors.search_text(vectors.fold(envelopes(spark, sf_dir)), "web de 120", 10)
+    return vectors.search_text(vectors.fold(envelopes(spark, sf_dir)), VECTOR_TEXT, 10)
+
+
+LEAST, ROUNDS = 1e-3, 6
+
+
+def hybrid_sql() -> str:
+    """Every round of the walk as a step of its own."""
+    steps = []
+    for i in range(ROUNDS):
+        steps.append(f"x{i} AS MATERIALIZED (SELECT node_id, settled, rest, coalesce(out, 0) AS out, rest > 0 AND rest >= {LEAST} * greatest(coalesce(out, 0), 1) AS act FROM s{i} LEFT JOIN o USING (node_id))")
+        steps.append(f"""s{i + 1} AS MATERIALIZED (SELECT node_id, sum(settled) AS settled, sum(rest) AS rest FROM (SELECT node_id, settled + CASE WHEN NOT act THEN 0::DOUBLE WHEN out = 0 THEN rest ELSE 0.15 * rest END AS settled,
+            CASE WHEN act THEN 0::DOUBLE ELSE rest END AS rest FROM x{i} UNION ALL SELECT to_id, 0::DOUBLE, 0.85 * rest / out FROM x{i} JOIN e ON from_id = node_id WHERE act) GROUP BY node_id)""")
+    fused = "round(sum(1 / (60 + rank)::DOUBLE), 6) AS score"
+    return f"""WITH txt AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({unified_sql(50)})),
+    vec AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT document_id AS id, max(score) AS score FROM ({vector_sql(50)}) GROUP BY 1)),
+    seed AS MATERIALIZED (SELECT id, {fused} FROM (SELECT * FROM txt UNION ALL SELECT * FROM vec) GROUP BY id ORDER BY score DESC, id LIMIT 50),
+    fe AS MATERIALIZED (SELECT from_id, to_id FROM ({FOLD_EDGES})), e AS MATERIALIZED (SELECT from_id, to_id FROM fe UNION SELECT to_id, from_id FROM fe),
+    o AS MATERIALIZED (SELECT from_id AS node_id, count(*) AS out FROM e GROUP BY 1), s0 AS (SELECT id AS node_id, 0::DOUBLE AS settled, score / (SELECT sum(score) FROM seed) AS rest FROM seed),
+    {", ".join(steps)}, near AS (SELECT node_id AS id, round(settled, 9) AS score FROM s{ROUNDS} WHERE settled > 0 ORDER BY score DESC, id LIMIT 50),
+    gr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM near)
+    SELECT id, {fused}, min(rank)::INT AS best_rank, count(*) AS sources FROM (SELECT * FROM txt UNION ALL SELECT * FROM vec UNION ALL SELECT * FROM gr) GROUP BY id ORDER BY score DESC, id LIMIT 50"""
+
+
+@query(hybrid_sql())
+def hybrid_graph(spark, sf_dir):
+    """Repositories, documents, dependencies, commits and developers by their words, by their chunks' vectors, and by a walk from the best of these
+    over the folded graph."""
+    e = envelopes(spark, sf_dir)
+    text = search.search(new_store(spark).add(folds.search_documents(e)).tables(), UNIFIED, 50)
+    chunks = vectors.search_text(vectors.fold(e), VECTOR_TEXT, 50).groupBy(F.col("document_id").alias("id")).agg(F.max("score").alias("score"))
+    return retrieval.hybrid(text, chunks, graph.fold_edges(e), 50, least=LEAST, rounds=ROUNDS)
+
 
 
 @query("""SELECT 'repo_' || o_custkey AS repository_id, o_orderkey::VARCHAR AS sha, o_orderpriority || '@x.org' AS author_email, repeat('long ', 200)[1:500] AS message, o_orderdate AS committed_at, 50 AS files FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey::VARCHAR) <= 3""")
