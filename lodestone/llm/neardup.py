@@ -40,6 +40,7 @@ from .common import drop_stored, fresh, mix64, plain_names, small_or_not, stored
 COORDINATES, BANDS, ROWS = 160, 32, 5
 AGREE = 98
 BLOCK = 500  # members or leaders of a bucket that one group holds
+SHINGLES = 8_000_000  # about so many shingles of 8 bytes one side of a group holds; more go to further blocks
 IDS = 1_000_000  # at most so many ids (16 bytes each) are broadcast to pick documents; more are joined by a shuffle
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -280,6 +281,11 @@ def _blocks_of(size: str):
     return F.expr(f"cast(ceil({size} / {BLOCK}) as int)")
 
 
+def _blocks_with_sets():
+    """By members and by the sum of their set sizes, so that a task which confirms links holds a bounded number of bytes."""
+    return F.expr(f"cast(ceil(greatest(count(1) / {BLOCK}, sum(n) / {SHINGLES})) as int)")
+
+
 def _place(blocks: str):
     return F.pmod(F.xxhash64("vid"), F.col(blocks)).cast("int")
 
@@ -424,7 +430,7 @@ def _named(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
     rows = labelled.join(small_or_not(mixed, IDS), "key", "left_semi").join(own.select("vid", "n", "brief", "bands"), "vid")
     rows = stored(rows.select("key", (F.array_position("bands", F.col("key")) - 1).cast("int").alias("band"), "vid", "n", "comp", "brief"), "neardup-rows")
     rows = stored(_near_others(rows), "neardup-near")
-    blocks = small_or_not(stored(rows.groupBy("key").agg(_blocks_of("count(1)").alias("blocks")).filter("blocks > 1"), "neardup-blocks"), IDS)
+    blocks = small_or_not(stored(rows.groupBy("key").agg(_blocks_with_sets().alias("blocks")).filter("blocks > 1"), "neardup-blocks"), IDS)
     rows = rows.join(blocks, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", _place("blocks"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).select(*COLUMNS)
     # by ranges: tasks get like numbers of rows, where a hash may send several full block pairs to one
@@ -432,9 +438,11 @@ def _named(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
     live = stored(pairs_of.mapInArrow(_live(percent), GROUP), "neardup-live")
     if not live.isEmpty():
         sets = _items(docs, own, stored(live.select("vid").distinct(), "neardup-ids"), width, repeated)
-        full = live.join(sets, "vid").select(*COLUMNS, "items").repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "vid")
-        last = components(links.union(full.mapInArrow(_linked(percent), "a long, b long").distinct()))
-        drop_stored(sets)
+        # stored, so that sampling the ranges does not join twice; by ranges for the same reason as above
+        full = stored(live.join(sets, "vid").select(*COLUMNS, "items"), "neardup-full")
+        dealt = full.repartitionByRange(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "vid")
+        last = components(links.union(dealt.mapInArrow(_linked(percent), "a long, b long").distinct()))
+        drop_stored(sets, full)
     named = own.join(last.withColumnRenamed("id", "vid"), "vid", "left").select("digest", F.coalesce("component", "vid").alias("component"), "doc_id", "text_hash")
     named = stored(named, "neardup-named")
     out = stored(signed.select("doc_id", "text_hash", "n_shingles", "digest"), "neardup-rows")

@@ -156,9 +156,10 @@ def test_two_groups_in_one_bucket_cost_no_pairs(spark, monkeypatch):
     assert seen[0][0] > 200 and seen[0][1] < seen[0][0] / 5  # members of mixed buckets, and those that are compared with others at all
 
 
-def test_near_duplicates_past_the_broadcast_bound(spark, monkeypatch):
+@pytest.mark.parametrize("bound, most", [("BLOCK", 3), ("SHINGLES", 30)])
+def test_near_duplicates_past_the_broadcast_bound(spark, monkeypatch, bound, most):
     monkeypatch.setattr(neardup, "IDS", 0)
-    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, bound, most)
     texts = groups()[280:320] + groups()[-12:] + [(5000, groups()[290][1])] * 3
     df = frame(spark, texts)
     want = brute_components(texts)
