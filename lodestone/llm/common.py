@@ -32,10 +32,10 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """df as a table written once in the shared folder: it cuts the lineage and outlives lost executors."""
+def stored(df: DataFrame, tag: str, codec: str = "zstd", options: dict | None = None) -> DataFrame:
+    """df as a table written once in the shared folder: it cuts the lineage and outlives lost executors. options: of the writer."""
     path = scratch(df.sparkSession, tag)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).options(**options or {}).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
     return out

@@ -31,6 +31,7 @@ from .common import drop_stored, small_or_not, stored
 
 POSTINGS = 1 << 20  # of a shard, or one document's
 ITEMS, TERMS, BLOCKS = 256, 16_384, 64  # of a block of queries, and blocks of a pass
+GROUP = 16 << 20  # bytes of a row group of shards
 ASKED = 1_000_000  # terms of all items up to which they are broadcast
 
 _KEPT = (string.ascii_letters + string.digits).encode()
@@ -117,6 +118,11 @@ def _impacts(n_docs: int, n_terms: int):
     return run
 
 
+def _kept(shards: DataFrame, tag: str) -> DataFrame:
+    """A stored table of shards. A shard is a row of megabytes, and the writer would hold a hundred before it looks at their size, the reader a whole group."""
+    return stored(shards, tag, options={"parquet.block.size": GROUP, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1})
+
+
 class Index:
     """shards: shard, terms (joined by line ends), df, docs, impact, ids; the documents with a term, and their terms."""
 
@@ -133,10 +139,10 @@ def build(docs: DataFrame, postings: int = POSTINGS) -> Index:
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(kind, pa.string())
     kind = kind if id_type != pa.string() else "string"
     schema = f"shard long, terms string, df array<int>, docs binary, tf binary, ids array<{kind}>, lengths binary, n_docs long, n_terms long"
-    raw = stored(docs.select(F.col("doc_id").cast(kind).alias("doc_id"), "text").mapInArrow(_shards(id_type, postings), schema), "lexical-counts")
+    raw = _kept(docs.select(F.col("doc_id").cast(kind).alias("doc_id"), "text").mapInArrow(_shards(id_type, postings), schema), "lexical-counts")
     total = raw.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("l")).first()
     made = raw.select("shard", "terms", "df", "docs", "tf", "ids", "lengths").mapInArrow(_impacts(total["n"], total["l"]), f"shard long, terms string, df array<int>, docs binary, impact binary, ids array<{kind}>")
-    out = Index(stored(made, "lexical"), total["n"], total["l"])
+    out = Index(_kept(made, "lexical"), total["n"], total["l"])
     drop_stored(raw)
     return out
 
