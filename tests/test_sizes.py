@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog import ORACLE_SQL, QUERIES
 from lodestone.functions import similarity as S
-from lodestone.operators import histories
+from lodestone.llm import lexical
+from lodestone.operators import histories, index
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +54,24 @@ def test_stub_vectors_to_the_last_bit(spark):
     want = dict(con.execute(sql).fetchall())
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", S.stub_embedding(F.col("text")).alias("v")).collect()
     assert all(list(r["v"]) == list(want[r["text"]]) for r in rows)
+
+
+def test_shards_are_written_as_they_come(spark, monkeypatch):
+    """Rows of megabytes must not wait for the hundredth."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(lexical, "GROUP", 1024)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * 7 + j}" for j in range(60))) for i in range(40)], "doc_id long, text string").coalesce(1)
+    own = lexical.build(docs, postings=100)
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(own.shards._lodestone_path.removeprefix("file:") + "/*.parquet")]
+    assert sum(f.num_rows for f in files) == 20 and max(f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) <= 3
+
+
+def test_documents_are_counted_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "t", "b a, B c"), (2, "t", None), (3, "t", "\u0130x a-a"), (4, None, "")], "id long, type string, text string")
+    counted = index._counted(docs)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["id"], w["token"], w["n"], tuple(w["positions"])) for r in counted.collect() for w in r["words"])
+    assert got == sorted((r["id"], r["token"], r["n"], tuple(r["positions"])) for r in index.postings(docs).collect())
