@@ -31,6 +31,17 @@ def test_events_keep_their_order_whatever_the_keys(name, spark, far):
     assert got and got == sorted(tuple(map(str, r)) for r in con.execute(f"select {', '.join(names)} from ({ORACLE_SQL[name]})").fetchall())
 
 
+def test_events_keep_their_order_beyond_the_year_9999(spark, sf, tmp_path):
+    """Keys so great that commits, parts and documents come later than any year of four digits, and customers are more than the microseconds of a day."""
+    con = duckdb.connect()
+    keys = {"customer": ["c_custkey"], "orders": ["o_orderkey", "o_custkey"], "part": ["p_partkey"], "documents": ["doc_id"]}
+    for t, own in keys.items():
+        con.execute(f"copy (select * replace ({', '.join(f'{k} + 300000000000 AS {k}' for k in own)}) from '{sf}/{t}.parquet') to '{tmp_path}/{t}.parquet'")
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    got = sorted(map(tuple, QUERIES["graph_update_counts"](spark, str(tmp_path)).select("trigger_event", "events", "nodes", "relationships").collect()))
+    assert got == sorted(con.execute(f"select trigger_event, events, nodes, relationships from ({ORACLE_SQL['graph_update_counts']})").fetchall())
+
+
 def test_histories_are_not_broadcast_by_the_size_of_their_files(spark):
     h = spark.range(100).select((F.col("id") % 10).alias("k"), F.timestamp_seconds("id").alias("valid_from"), F.timestamp_seconds(F.col("id") + 20).alias("valid_to"), F.col("id").alias("v"))
     met = histories.overlaps(h, h.withColumnRenamed("v", "w"), ["k"])
