@@ -86,3 +86,16 @@ def test_documents_are_counted_without_a_shuffle(spark):
     assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
     got = sorted((r["id"], w["token"], w["n"], tuple(w["positions"])) for r in counted.collect() for w in r["words"])
     assert got == sorted((r["id"], r["token"], r["n"], tuple(r["positions"])) for r in index.postings(docs).collect())
+
+
+def test_only_rare_tokens_are_shuffled_beyond_a_broadcast(spark, monkeypatch, tmp_path):
+    """A vocabulary too great to be broadcast: its frequent tokens still are, and all frequencies are right."""
+    want = {f"t{i}": 1 + i % 9 for i in range(200)}
+    spark.createDataFrame(list(want.items()), "token string, df long").write.parquet(str(tmp_path / "terms"))
+    terms, rows = spark.read.parquet(str(tmp_path / "terms")), spark.createDataFrame([(t,) for t in want] * 2, "token string")
+    for ids in (1_000_000, 70, 0):
+        monkeypatch.setattr(index, "IDS", ids)
+        got = index._frequencies(terms)(rows)
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString() or not ids
+        got = got.collect()
+        assert len(got) == 400 and {r["token"]: r["df"] for r in got} == want
