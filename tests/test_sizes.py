@@ -3,11 +3,13 @@
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from lodestone.catalog import ORACLE_SQL, QUERIES
 from lodestone.functions import similarity as S
 from lodestone.llm import lexical
 from lodestone.operators import histories, index
+from lodestone.sources.store import stored
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +101,49 @@ def test_only_rare_tokens_are_shuffled_beyond_a_broadcast(spark, monkeypatch, tm
         assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString() or not ids
         got = got.collect()
         assert len(got) == 400 and {r["token"]: r["df"] for r in got} == want
+
+
+def test_wide_rows_are_not_moved_to_meet_their_ids(spark, monkeypatch):
+    """Beyond a broadcast, ranges of ids are broadcast one after the other; every row still meets its id once."""
+    ids = stored(spark.createDataFrame([(i * 3, i) for i in range(100)], "id long, v int"), "ids")
+    rows = spark.createDataFrame([(i % 310,) for i in range(620)], "id long")
+    for most in (1000, 30, 1):
+        monkeypatch.setattr(index, "IDS", most)
+        got = index._by_id(ids)(rows)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["id"], r["v"]) for r in got.collect()) == sorted((i * 3, i) for i in range(100) for _ in range(2))
+
+
+def test_postings_are_moved_by_parts(spark, monkeypatch, tmp_path):
+    """Packed by part and unpacked, no row is lost or changed; parts follow each other in the order of token and block, and a frequent token is cut."""
+    rows = [(f"t{i % 7}", i, i % 4, [i, i + 1]) for i in range(300)] + [("t9", i, i % 4, []) for i in range(200)]
+    posts = spark.createDataFrame(rows, "token string, id long, block int, positions array<int>").repartition(3)
+    posts.groupBy("token").agg(F.count("*").alias("df")).coalesce(1).sortWithinPartitions("token").write.parquet(str(tmp_path / "terms"))
+    monkeypatch.setattr(index, "POSTINGS", 50)
+    terms = spark.read.parquet(str(tmp_path / "terms"))
+    cuts = index._cuts(terms, 60)
+    assert ("t9", 0.25) in cuts and ("t9", 0.75) in cuts and len(cuts) >= 6
+    got = index._moved(posts, terms, 4, 60)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(rows)
+    parts = [sorted((r["token"], r["block"]) for r in own) for own in got.rdd.glom().collect() if own]
+    spread = {p[0][0] for p in parts} | {p[-1][0] for p in parts}
+    assert len(parts) > 2 and len(spread) > 2 and sum(any(t == "t9" for t, _ in p) for p in parts) > 1
+
+
+def test_entries_in_order_are_written_where_they_are(spark, monkeypatch, tmp_path):
+    """Documents that come in the order of their ids are not moved for it, others are; either way an index finds the same."""
+    docs = [(i, "t", f"w{i % 5} w{i % 11} x") for i in range(60)]
+    monkeypatch.setattr(index, "POSTINGS", 20)
+    kept = []
+    for at, (ids, order) in enumerate([(1_000_000, "id"), (1_000_000, "-id % 7"), (7, "id")]):
+        monkeypatch.setattr(index, "IDS", ids)
+        moved, by = [], DataFrame.repartitionByRange
+        monkeypatch.setattr(DataFrame, "repartitionByRange", lambda df, *a, by=by: moved.append(a) or by(df, *a))
+        own = spark.createDataFrame(docs, "id long, type string, text string").repartitionByRange(3, F.expr(order))
+        moved.clear()
+        store = index.Store(spark, str(tmp_path / str(at))).add(own, "2024-01-01 00:00:00")
+        monkeypatch.setattr(DataFrame, "repartitionByRange", by)
+        assert (("id",) in moved) == (order != "id")
+        t = store.tables()
+        kept.append((sorted((r["id"], round(r["norm"], 12), r["block"]) for r in t.entries.collect()), sorted((r["token"], r["id"], r["n"], r["tf"], round(r["impact"], 12)) for r in t.postings.collect())))
+    assert kept[0] == kept[1] == kept[2] and len(kept[0][0]) == 60
