@@ -1,6 +1,7 @@
 """Folds, log, rate limit and streaming."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,21 @@ def test_derived_edges_of_a_hot_node(spark):
     assert rows(graph.derived_edges(e, e, most=3)) == rows(graph.derived_edges(e, e)) and graph.derived_edges(e, e, most=3).count() > 500
 
 
+def test_derived_edges_are_counted_before_they_are_moved(spark, monkeypatch):
+    """One table or two, repeated edges, nulls and hot nodes, few pairs at once: the counts are those of all pairs, and no pair is made by a join."""
+    some = [(f"s{i * i % 23}", f"p{i % 5 if i % 3 else 0}") for i in range(90)] + [(None, "p1"), ("s1", None)]
+    e, same = (spark.createDataFrame(some, "from_id string, to_id string") for _ in range(2))
+    f = spark.createDataFrame([(f"s{i % 9}", f"p{i % 4}") for i in range(30)], "from_id string, to_id string")
+    edges = lambda df: {(r["from_id"], r["to_id"]) for r in df.collect() if r["from_id"] and r["to_id"]}
+    for one, two in ((e, e), (e, same), (e, f), (f, e)):
+        want = Counter((a, b) for a, x in edges(one) for b, y in edges(two) if x == y and a != b)
+        for most, pairs in ((1000, 4_000_000), (4, 10)):
+            monkeypatch.setattr(graph, "PAIRS", pairs)
+            got = graph.derived_edges(one, two, most=most).collect()
+            assert len(got) == len(want) and {(r["from_id"], r["to_id"]): r["evidence"] for r in got} == want
+    assert "Join" not in graph.derived_edges(f, f)._jdf.queryExecution().optimizedPlan().toString().replace("Join LeftOuter", "")
+
+
 def test_events_without_a_repository(spark):
     """They belong to no window of a repository, and to no edge."""
     some = [envelope(1, "CommitAnalyzed", 1, sha="a", authorEmail="m@x.org"), envelope(2, "CommitAnalyzed", 2, sha="b"), envelope(3, "RepositoryDeleted", 3)]
