@@ -23,15 +23,16 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, stored
-from .tokens import cut, read_blob, tokenizer, worker_store
+from .tokens import UNSAFE, cut, read_blob, tokenizer
 
 MASK = 0xA282EAD8  # fixed value of the record format
-MEMO, LONG = 200 << 20, 256  # bytes held by a worker for pieces that it has seen, none of more than 256 characters
+AT_ONCE = 16 << 20  # bytes of text whose words are told apart at once
 
 
 def _place(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -60,29 +61,64 @@ def unframe(buffer: bytes, at: int) -> tuple[bytes, int]:
     return payload, end + 4
 
 
+def _table(pieces: list[str], tok, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, and the place and count of those of each piece. Pieces are encoded as lines of one text, since the pre-tokenizer always cuts at a line feed between visible
+    characters; those that hold line feeds or begin or end with other white space, and lines whose feeds do not come out as they went in, are encoded alone."""
+    feed = tok.encode("\n", add_special_tokens=False).ids
+    starts, sizes, out, base = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [], 0
+    alone = [i for i, p in enumerate(pieces) if not p or len(feed) > 1 or "\n" in p or p[-1].isspace() or (p[0] != " " and p[0].isspace())]
+    plain = np.ones(len(pieces), bool)
+    plain[alone] = False
+    lines = np.flatnonzero(plain)
+    groups = [lines[i : i + 256] for i in range(0, len(lines), 256)]
+    for at in range(0, len(groups), 32):
+        some = groups[at : at + 32]
+        for own, e in zip(some, tok.encode_batch_fast(["\n".join([*map(pieces.__getitem__, own.tolist()), ""]) for own in some], add_special_tokens=False)):
+            ids = np.array(e.ids, kind)
+            ends = np.flatnonzero(ids == feed[0])
+            if len(ends) != len(own):
+                alone += own.tolist()
+                continue
+            first = np.concatenate([[0], ends[:-1] + 1])
+            starts[own], sizes[own] = base + first, ends - first
+            out.append(ids)
+            base += len(ids)
+    for at in range(0, len(alone), 4096):
+        some = alone[at : at + 4096]
+        for i, e in zip(some, tok.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False)):
+            starts[i], sizes[i] = base, len(e.ids)
+            out.append(np.array(e.ids, kind))
+            base += len(e.ids)
+    return np.concatenate(out) if out else np.zeros(0, kind), starts, sizes
+
+
 def _encode(texts: list[str], blob: str, kind: str) -> list[bytes]:
-    """Ids of each text as bytes; pieces seen before by this worker come from its memo, whose size is bounded in bytes."""
-    store, tok = worker_store(f"pieces-{kind}"), tokenizer(blob)
-    memo = store.setdefault("memo", {})
-    code = "H" if kind == "<u2" else "I"
-    pieces = [cut(t) for t in texts]
-    new = list({p for ps in pieces for p in ps if p not in memo})
-    fixed = 150  # of an entry besides its characters and ids
-    added = fixed * len(new) + 2 * sum(map(len, new))  # at most
-    if store.get("bytes", 0) + added > MEMO:
-        memo.clear()
-        store["bytes"] = 0
-        new = list({p for ps in pieces for p in ps})
-        added = fixed * len(new) + 2 * sum(map(len, new))
-    store["bytes"] = store.get("bytes", 0) + added
-    once = {}
-    for at in range(0, len(new), 4096):
-        some = new[at : at + 4096]
-        for p, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
-            (memo if len(p) <= LONG else once)[p] = array(code, e.ids).tobytes()
-    if not once:
-        return [b"".join(map(memo.__getitem__, ps)) for ps in pieces]
-    return [b"".join([memo[p] if len(p) <= LONG else once[p] for p in ps]) for ps in pieces]
+    """Ids of each text as bytes. Each different word of the texts is encoded once; Arrow tells them apart and numpy puts their ids together. Texts that
+    cannot be cut before every space are cut one by one."""
+    cuts = {i: cut(t) for i, t in enumerate(texts) if UNSAFE.search(t)}
+    plain = ["" if i in cuts else t for i, t in enumerate(texts)]
+    words = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+    offsets, coded = words.offsets.to_numpy(), words.flatten().dictionary_encode()
+    codes, each = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    codes[offsets[:-1]] = len(each) + np.arange(len(texts))  # no space before the first word of a text
+    rest = list({p for ps in cuts.values() for p in ps})
+    flat, starts, sizes = _table([" " + w for w in each] + [t.split(" ", 1)[0] for t in plain] + rest, tokenizer(blob), kind)
+    n = sizes[codes]
+    ends = np.cumsum(n)
+    out = flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(int(n.sum()))].tobytes()
+    bounds = (np.concatenate([[0], ends])[offsets] * flat.itemsize).tolist()
+    own = {p: flat[starts[i] : starts[i] + sizes[i]].tobytes() for i, p in enumerate(rest, len(each) + len(texts))}
+    return [b"".join(map(own.__getitem__, cuts[i])) if i in cuts else out[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+
+
+def _pieces(batch: pa.RecordBatch, most: int):
+    """Slices of about `most` bytes of text (column 1), or of one row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+    low = 0
+    while low < len(batch):
+        high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + most, "right")))
+        yield batch.slice(low, high - low)
+        low = high
 
 
 def _ranges(docs: DataFrame, file_bytes: int) -> int:
@@ -109,8 +145,7 @@ def write(docs: DataFrame, folder: str, end_id: int = 2, tokenizer_path: str | N
         fs, base = _place(folder)
         tail, offset, n_ids, ids, offsets, counts, out = np.array([end_id], dtype=kind).tobytes(), 0, 0, [], array("q"), array("q"), None
         for b in batches:
-            for at in range(0, len(b), 256):
-                rows = b.slice(at, 256)
+            for rows in _pieces(b, AT_ONCE):
                 if out is None:
                     fs.create_dir(base)
                     out = fs.open_output_stream(_place(name + ".rec")[1])

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -487,3 +488,30 @@ def test_quotes_of_part_of_an_item(spark, sf):
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
     assert os.path.exists(default_path())
+
+
+def test_words_are_encoded_once_a_batch(monkeypatch):
+    """Whatever white space and special tokens do at their ends, words put together as lines give the ids of the whole texts; each is encoded once."""
+    from lodestone.llm import binary, tokens
+
+    blob = tokens.read_blob(None)
+    tok = tokens.tokenizer(blob)
+    texts = ["", " ", "a", " a", "a ", "a  b", "a\n", "\n a", "a\nb c\td", "　b c", "x" * 300 + " y", "a b c", "é  z", "<|endoftext|> a", "it's <s> 12 345 </s>", "tab\t end\r\n more"]
+    counted = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(tok, name)
+
+        def encode_batch_fast(self, some, **k):
+            counted.extend(some)
+            return tok.encode_batch_fast(some, **k)
+
+    monkeypatch.setattr(binary, "tokenizer", lambda b: Counting())
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert binary._encode(texts, blob, "<u2") == want and binary._encode([], blob, "<u2") == []
+    counted.clear()
+    binary._encode([f"same words {i} and again the same words" for i in range(500)], blob, "<u2")
+    assert len(counted) < 10
+    sizes = [len(b) for b in binary._pieces(pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text": ["ab", None, "x" * 50, "c"]}), 3)]
+    assert sizes == [2, 1, 1]
