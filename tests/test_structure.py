@@ -62,3 +62,28 @@ def test_importance(spark, hot):
     assert got.keys() == ranks.keys() and all(abs(got[x] - ranks[x]) < 1e-12 for x in n) and abs(sum(got.values()) - 1) < 1e-9
     early = structure.importance(*frames(spark, n, e), rounds=100, tolerance=1e-4, hot=hot).collect()
     assert all(abs(x["score"] - ranks[x["node_id"]]) < 1e-3 for x in early)
+
+
+def test_edges_are_packed_by_blocks(spark, monkeypatch):
+    """Small blocks and rows, repeated edges: each pair is packed once, in its block, and no round joins ids or single edges."""
+    import numpy as np
+
+    from lodestone.operators import structure
+
+    pairs = {(f, t) for f in range(0, 90, 2) for t in (f % 7, f * f % 31, 2**33 + f)}
+    table = spark.createDataFrame([*pairs, *pairs], "f long, t long").repartition(5)
+    for bits, most in ((4, 10), (16, 100_000)):
+        monkeypatch.setattr(structure, "BLOCK", bits)
+        got = []
+        for r in structure._packed(table, most).collect():
+            f, t, first = np.frombuffer(r["froms"], "<u2"), np.frombuffer(r["tos"], "<i8"), np.frombuffer(r["firsts"], "<i4")
+            got += [((r["block"] << bits) + int(a), int(b)) for a, b in zip(f, np.repeat(t, np.diff([*first, len(f)])))]
+        assert sorted(got) == sorted(pairs)
+    want = None
+    for bits, most in ((2, 3), (16, 100_000)):
+        monkeypatch.setattr(structure, "BLOCK", bits)
+        e = spark.createDataFrame([(f"n{f % 40}", f"n{t % 37}") for f, t in pairs], "from_id string, to_id string")
+        nodes = spark.createDataFrame([(f"n{i}",) for i in range(38)], "node_id string")
+        scores = {r["node_id"]: round(r["score"], 12) for r in structure.importance(nodes, e, rounds=4, hot=most).collect()}
+        assert want in (None, scores) and len(scores) == 38 and abs(sum(scores.values()) - 1) < 1e-9
+        want = scores
