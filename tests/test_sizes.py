@@ -130,6 +130,44 @@ def test_postings_are_moved_by_parts(spark, monkeypatch, tmp_path):
     assert len(parts) > 2 and len(spread) > 2 and sum(any(t == "t9" for t, _ in p) for p in parts) > 1
 
 
+def test_what_follows_from_ids_and_tokens_is_moved_once_for_each(spark, monkeypatch, tmp_path):
+    """Ids of any kind, no positions, long lists and negative steps come back as they were; what a posting takes does not grow with the columns of its document."""
+    rows = [(f"d{d:03d}", f"t{t}", [5 * d + i * (t - 2) for i in range(t)], d % 4, f"type {d % 3}", 1 / (d + 3), 40) for d in range(400) for t in range(7)]
+    posts = spark.createDataFrame(rows, "id string, token string, positions array<int>, block int, type_ string, norm double, df int").repartition(2)
+    terms = posts.groupBy("token").agg(F.count("*").alias("df")).coalesce(1).sortWithinPartitions("token")
+    alike = ("block", "type_", "norm"), ("df",)
+    for held in (1_000_000, 100):
+        monkeypatch.setattr(index, "POSTINGS", held)
+        got = index._moved(posts, terms, 4, 500, *alike)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(rows)
+        parts = [p for p in got.rdd.glom().collect() if p]
+        assert len(parts) > 4 and max(len(p) for p in parts) <= 900  # a part each: 500, and a token that is not cut
+    few, many = (index._packed(posts.select(*c), index._cuts(terms, 5000), 4, *own).agg(F.sum(F.length("rows"))).first()[0] for c, own in ((("id", "token", "positions", "block"), ()), (posts.columns, alike)))
+    assert many < 2 * few + 8 * 400 * 2
+
+
+def test_bounds_are_few_values_and_hold(spark, tmp_path):
+    """The greatest impacts of tokens and blocks are rounded up, a little and to few values, so that they take little room."""
+    own = index.Store(spark, str(tmp_path)).add(spark.createDataFrame([(i, "t", " ".join(f"w{i * j % 997}" for j in range(1, 3 + i % 50))) for i in range(600)], "id long, type string, text string")).tables()
+    most = own.postings.groupBy("token", "block").agg(F.max("impact").alias("exact")).join(own.bounds, ["token", "block"])
+    n, low, high, kinds = most.agg(F.count("*"), F.min(F.col("most") / F.col("exact")), F.max(F.col("most") / F.col("exact")), F.max(F.col("most") * (1 << 20) % 1)).first()
+    assert n == own.bounds.count() > 1000 and 1 <= low and high <= 1.002 and kinds == 0
+
+
+def test_entries_in_runs_are_written_where_they_are(spark, monkeypatch, tmp_path):
+    """Files of some runs of ids each, as tasks write them that read some files of an ordered table, are sorted but not moved; ids scattered over the files are moved."""
+    store, by = index.Store(spark, str(tmp_path)), DataFrame.repartitionByRange
+    for name, file in (("runs", "int(id / 1750) % 4"), ("scattered", "int(id % 4)")):
+        own = stored(spark.range(14_000).repartitionById(4, F.expr(file)).select("id"), "own")
+        moved = []
+        monkeypatch.setattr(DataFrame, "repartitionByRange", lambda df, *a: moved.append(a) or by(df, *a))
+        store._write_entries(own, name)
+        monkeypatch.setattr(DataFrame, "repartitionByRange", by)
+        assert moved == ([] if name == "runs" else [("id",)])
+        files = store._read(name, "entries").select("id", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("at")).orderBy("f", "at").collect()
+        assert sorted(r["id"] for r in files) == list(range(14_000)) and all(a["id"] < b["id"] for a, b in zip(files, files[1:]) if a["f"] == b["f"])
+
+
 def test_entries_in_order_are_written_where_they_are(spark, monkeypatch, tmp_path):
     """Documents that come in the order of their ids are not moved for it, others are; either way an index finds the same."""
     docs = [(i, "t", f"w{i % 5} w{i % 11} x") for i in range(60)]
