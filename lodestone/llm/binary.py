@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, stored
-from .tokens import UNSAFE, cut, read_blob, tokenizer
+from .tokens import UNSAFE, cut, read_blob, tokenizer, worker_store
 
 MASK = 0xA282EAD8  # fixed value of the record format
 AT_ONCE = 16 << 20  # bytes of text whose words are told apart at once
+KNOWN = 1 << 20  # words and bytes of 16 each of which a worker keeps the ids
 
 
 def _place(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -64,6 +65,8 @@ def unframe(buffer: bytes, at: int) -> tuple[bytes, int]:
 def _table(pieces: list[str], tok, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, and the place and count of those of each piece. Pieces are encoded as lines of one text, since the pre-tokenizer always cuts at a line feed between visible
     characters; those that hold line feeds or begin or end with other white space, and lines whose feeds do not come out as they went in, are encoded alone."""
+    if not pieces:
+        return np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
     feed = tok.encode("\n", add_special_tokens=False).ids
     starts, sizes, out, base = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [], 0
     alone = [i for i, p in enumerate(pieces) if not p or len(feed) > 1 or "\n" in p or p[-1].isspace() or (p[0] != " " and p[0].isspace())]
@@ -92,6 +95,27 @@ def _table(pieces: list[str], tok, kind: str) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate(out) if out else np.zeros(0, kind), starts, sizes
 
 
+def _words(words: pa.LargeStringArray, blob: str, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_table() of different words after a space. A worker keeps the ids of the first KNOWN words it meets, in arrays, for its later batches and tasks."""
+    held = worker_store("words")
+    if (blob, kind) not in held:
+        held.clear()
+        held[blob, kind] = words.slice(0, 0), *_table([], None, kind)
+    known, flat, starts, sizes = held[blob, kind]
+    at = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
+    new = np.flatnonzero(at < 0)
+    fresh = words.take(pa.array(new))
+    more, begins, counts = _table([" " + w for w in fresh.to_pylist()], tokenizer(blob), kind)
+    begins = begins + len(flat)
+    out = np.concatenate([flat, more])
+    place, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    old = at >= 0
+    place[old], n[old], place[new], n[new] = starts[at[old]], sizes[at[old]], begins, counts
+    if len(known) + len(fresh) <= KNOWN and known.nbytes + fresh.nbytes <= 16 * KNOWN:
+        held[blob, kind] = pa.concat_arrays([known, fresh]), out, np.concatenate([starts, begins]), np.concatenate([sizes, counts])
+    return out, place, n
+
+
 def _encode(texts: list[str], blob: str, kind: str) -> list[bytes]:
     """Ids of each text as bytes. Each different word of the texts is encoded once; Arrow tells them apart and numpy puts their ids together. Texts that
     cannot be cut before every space are cut one by one."""
@@ -99,15 +123,17 @@ def _encode(texts: list[str], blob: str, kind: str) -> list[bytes]:
     plain = ["" if i in cuts else t for i, t in enumerate(texts)]
     words = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
     offsets, coded = words.offsets.to_numpy(), words.flatten().dictionary_encode()
-    codes, each = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-    codes[offsets[:-1]] = len(each) + np.arange(len(texts))  # no space before the first word of a text
+    codes, many = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    codes[offsets[:-1]] = many + np.arange(len(texts))  # no space before the first word of a text
     rest = list({p for ps in cuts.values() for p in ps})
-    flat, starts, sizes = _table([" " + w for w in each] + [t.split(" ", 1)[0] for t in plain] + rest, tokenizer(blob), kind)
+    flat, starts, sizes = _words(coded.dictionary, blob, kind)
+    others, begins, counts = _table([t.split(" ", 1)[0] for t in plain] + rest, tokenizer(blob), kind)
+    flat, starts, sizes = np.concatenate([flat, others]), np.concatenate([starts, begins + len(flat)]), np.concatenate([sizes, counts])
     n = sizes[codes]
     ends = np.cumsum(n)
     out = flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(int(n.sum()))].tobytes()
     bounds = (np.concatenate([[0], ends])[offsets] * flat.itemsize).tolist()
-    own = {p: flat[starts[i] : starts[i] + sizes[i]].tobytes() for i, p in enumerate(rest, len(each) + len(texts))}
+    own = {p: flat[starts[i] : starts[i] + sizes[i]].tobytes() for i, p in enumerate(rest, many + len(texts))}
     return [b"".join(map(own.__getitem__, cuts[i])) if i in cuts else out[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
 
 

@@ -515,3 +515,33 @@ def test_words_are_encoded_once_a_batch(monkeypatch):
     assert len(counted) < 10
     sizes = [len(b) for b in binary._pieces(pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text": ["ab", None, "x" * 50, "c"]}), 3)]
     assert sizes == [2, 1, 1]
+
+
+def test_words_of_earlier_batches_are_not_encoded_again(monkeypatch):
+    """A worker keeps the ids of words for its later batches, up to a bound; with the bound reached, or none kept, ids are the same."""
+    from lodestone.llm import binary, tokens
+
+    blob = tokens.read_blob(None)
+    tok = tokens.tokenizer(blob)
+    counted = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(tok, name)
+
+        def encode_batch_fast(self, some, **k):
+            counted.append(sum(map(len, some)))
+            return tok.encode_batch_fast(some, **k)
+
+    monkeypatch.setattr(binary, "tokenizer", lambda b: Counting())
+    batches = [["x " + " ".join(f"word{i * j}\tz" for i in range(400)) + " é", "", "y  z"] for j in (1, 1, 3, 1)]
+    for most in (1 << 20, 300, 0):
+        tokens.worker_store("words").clear()
+        monkeypatch.setattr(binary, "KNOWN", most)
+        each = []
+        for texts in batches:
+            counted.clear()
+            assert binary._encode(texts, blob, "<u2") == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+            each.append(sum(counted))
+        assert each[1] < 100 < each[0] if most > 400 else each[1] == each[0]
+    tokens.worker_store("words").clear()
