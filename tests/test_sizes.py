@@ -185,3 +185,23 @@ def test_entries_in_order_are_written_where_they_are(spark, monkeypatch, tmp_pat
         t = store.tables()
         kept.append((sorted((r["id"], round(r["norm"], 12), r["block"]) for r in t.entries.collect()), sorted((r["token"], r["id"], r["n"], r["tf"], round(r["impact"], 12)) for r in t.postings.collect())))
     assert kept[0] == kept[1] == kept[2] and len(kept[0][0]) == 60
+
+
+def test_more_documents_than_the_driver_holds_are_met_by_a_shuffle(spark, monkeypatch, tmp_path):
+    """Broadcast range by range, all ranges of a table lie in the driver at once; beyond a bound none is, and the index is the same."""
+    docs, broadcast = spark.createDataFrame([(f"d{i % 60}", "t", f"w{i % 5} w{i % 11} x") for i in range(0, 420, 7)], "id string, type string, text string"), []
+    monkeypatch.setattr(index, "IDS", 7)
+    by, kept = index._by_id, []
+    monkeypatch.setattr(index, "_by_id", lambda t: broadcast.append(t) or by(t))
+    for most in (400, 100):
+        monkeypatch.setattr(index, "HELD", most)
+        store = index.Store(spark, str(tmp_path / str(most))).add(docs, "2024-01-01 00:00:00")
+        ranges = len(broadcast)
+        assert ranges == (1 if most == 400 else 0)
+        store.add(docs.filter("id < 'd3'").withColumn("text", F.lit("w1 new"))).merge()
+        broadcast.clear()
+        t = store.tables()
+        files = t.entries.select("id", F.input_file_name().alias("f")).groupBy("f").agg(F.min("id").alias("low"), F.max("id").alias("high")).orderBy("low").collect()
+        assert all(a["high"] < b["low"] for a, b in zip(files, files[1:]))
+        kept.append((sorted((r["id"], round(r["norm"], 12), r["block"]) for r in t.entries.collect()), sorted((r["token"], r["id"], r["n"], r["tf"], round(r["impact"], 12)) for r in t.postings.collect())))
+    assert kept[0] == kept[1] and len(kept[0][0]) == 60
