@@ -85,6 +85,21 @@ def test_a_small_change_costs_little(spark, tmp_path):
     assert reads.rows == 0 and size(set(store.versions.names("data")) - now) < size(base) / 20
 
 
+def test_changes_alone_do_not_merge(spark, tmp_path, monkeypatch):
+    """However great a share of the documents changes make up, neither they, nor counts, nor the first read of a version build the index anew; the second read does."""
+    merged, by = [], index.Store.merge
+    monkeypatch.setattr(index.Store, "merge", lambda self: merged.append(1) or by(self))
+    store = index.Store(spark, str(tmp_path / "i")).add(corpus(spark, [(1, "payment one"), (2, "payment two"), (3, "billing")]))
+    store.add(corpus(spark, [(2, "now payment"), (4, "payment payment")])).remove(spark.createDataFrame([(1,)], "id long"))
+    want = found(search.search(corpus(spark, [(2, "now payment"), (3, "billing"), (4, "payment payment")]), "payment", 5, fuzzy=False))
+    s = store.stats().first()
+    assert (s["documents"], s["vocabulary"], s["total_indexed"], s["total_removed"]) == (3, 3, 5, 1)
+    assert found(search.search(store.tables(), "payment", 5, fuzzy=False)) == want and len(want) == 2
+    assert not merged and len(store.state()["segments"]) == 3
+    assert found(search.search(store.tables(), "payment", 5, fuzzy=False)) == want
+    assert merged == [1] and len(store.state()["segments"]) == 1
+
+
 @pytest.mark.parametrize("step", ["entries", "effect", "commit"])
 @pytest.mark.parametrize("kind", ["add", "remove"])
 def test_a_change_that_dies_is_never_seen(spark, tmp_path, monkeypatch, step, kind):
